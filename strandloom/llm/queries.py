@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from strandloom.llm import decontamination, ngram_join, quality_rules
+from strandloom.llm import best_fit, decontamination, license_scan, ngram_join, packed_matrix, pii, quality_rules, quotes, suffix_tree_lm, warc
 
 QUERIES = {
+    "op1_packed_matrix": packed_matrix.query,
+    "op2_best_fit_packing": best_fit.query,
     "op3_ngram_jaccard_join": ngram_join.query,
+    "op4_suffix_tree_lm": suffix_tree_lm.query,
+    "op5_quotation_linking": quotes.query,
+    "op6_warc": warc.query,
     "op7_decontamination": decontamination.query,
+    "op8_license_scan": license_scan.query,
+    "op9_pii": pii.query,
     "op10_quality_rules": quality_rules.query,
 }
 ORACLE_SQL: dict[str, str] = {}
