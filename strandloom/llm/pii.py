@@ -79,15 +79,25 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
-def luhn(digits: Column) -> Column:
-    n = F.length(digits)
+def bound(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def luhn(digits: Column, most: int = 19) -> Column:
+    """Whether up to ``most`` digits pass; more never do."""
+
+    def passes(d: Column) -> Column:
+        n = F.length(d)
+
+        def step(acc: Column, k: Column) -> Column:
+            x = F.ascii(F.substring(d, n - k, F.lit(1))) - 48
+            twice = F.when(x > 4, 2 * x - 9).otherwise(2 * x)
+            return acc + F.when(k % 2 == 1, twice).otherwise(x)
 
-    def step(acc: Column, k: Column) -> Column:
-        d = F.ascii(F.substring(digits, n - k, 1)) - 48
-        twice = F.when(d > 4, 2 * d - 9).otherwise(2 * d)
-        return acc + F.when(k % 2 == 1, twice).otherwise(d)
+        return F.when(n.between(1, most), F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), step) % 10 == 0).otherwise(False)
 
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), step) % 10 == 0).otherwise(False)
+    return bound(digits, passes)
 
 
 def _ip_ok(value: Column) -> Column:
@@ -113,7 +123,7 @@ def _votes(x: Column, text: Column) -> Column:
     n = F.length(digits)
     never = F.lit(False)
     by = lambda of: reduce(lambda acc, k: acc.when(kind == k, of[k]), list(of)[1:], F.when(kind == next(iter(of)), of[next(iter(of))]))
-    tld = F.lower(F.regexp_extract(value, r"([A-Za-z0-9-]+)$", 1))
+    tld = F.lower(F.substring_index(F.regexp_replace(value, r"[)\]\x20]", "."), ".", -1))
     mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     hexed = value.rlike("^[0-9a-fA-F]+$")
     check = by({
