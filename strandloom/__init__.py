@@ -1,0 +1 @@
+"""Haplotype analytics on Spark: phasing, read tagging and modification calling as DataFrame plans."""
