@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import _text
 from strandloom.llm._store import stored
-from strandloom.llm.token_ids import Ids, default_path
+from strandloom.llm.token_ids import default_path, ids_of
 
 CAPACITY = 2048
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        row, ids = TaskContext.get().partitionId() << 36, Ids(path)
+        row, ids = TaskContext.get().partitionId() << 36, ids_of(path)
         for b in batches:
             names = b.column(0).to_pylist()
             data, offsets = _text.buffers(b.column(1))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import _text
-from strandloom.llm.token_ids import Ids, default_path
+from strandloom.llm.token_ids import default_path, ids_of
 
 CAPACITY = 2048
 PAD = 0
@@ -105,7 +105,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, ids, held, total = TaskContext.get().partitionId() << 36, Ids(path), [], 0
+        number, ids, held, total = TaskContext.get().partitionId() << 36, ids_of(path), [], 0
         for b in batches:
             names = b.column(0).to_pylist()
             data, offsets = _text.buffers(b.column(1))

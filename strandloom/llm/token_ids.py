@@ -1,16 +1,25 @@
 """Token ids of whole texts with a public tokenizer file.
 
-The tokenizer drops white space and never joins across it, so a text's ids are those of its
-space-separated chunks one after another. Each task keeps the ids of chunks that it has met.
+The tokenizer lower-cases, drops white space and encodes runs of letters, single digits and runs of
+other signs on their own, so a text's ids are those of its space-separated chunks one after another, and a chunk's
+those of such parts. Each Python worker keeps the ids of chunks and parts that it has met. A chunk that may hold a special
+token, an apostrophe or other signs than ASCII's is encoded as it stands.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 #: Ends a document.
 END = 0
 
+_SIGNS = rb"[!-&(-/:-@\[-`{-~]"
+_PLAIN = re.compile(rb"(?:[a-z0-9]|" + _SIGNS + rb")+")
+_PARTS = re.compile(rb"[a-z]+|[0-9]|" + _SIGNS + rb"+")
+_ENDING = re.compile(rb"(.*[^!-/:-@\[-`{-~])(" + _SIGNS + rb"+)", re.S)
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -28,8 +37,28 @@ class Ids(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
 
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _made(self, chunk: bytes) -> bytes:
+        if b"<|" in chunk:
+            return self._encode(chunk.decode("utf-8", "replace"))
+        low = chunk.lower()  # A-Z only
+        if low != chunk:
+            return self[low]
+        if _PLAIN.fullmatch(chunk):
+            parts = _PARTS.findall(chunk)
+            if len(parts) > 1:
+                return b"".join([self[p] for p in parts])
+            # normalisation and splitting change nothing in one such part
+            return np.array([t.id for t in self.tokenizer.model.tokenize(chunk.decode())], "<u4").tobytes()
+        elif m := _ENDING.fullmatch(chunk):
+            if m[1].decode("utf-8", "replace")[-1].lower().isalpha():
+                return self[m[1]] + self[m[2]]
+        return self._encode(chunk.decode("utf-8", "replace"))
+
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self._made(chunk)
         if len(chunk) <= 64:
             if len(self) >= self.LIMIT:
                 self.clear()
@@ -39,3 +68,13 @@ class Ids(dict):
     def document(self, text: bytes) -> bytes:
         """Ids of a text and the end id. bytes.split() cuts at ASCII white space alone."""
         return b"".join([*map(self.__getitem__, text.split()), END.to_bytes(4, "little")])
+
+
+_held: dict[str, Ids] = {}
+
+
+def ids_of(path: str) -> Ids:
+    """This process's ids of a tokenizer file."""
+    if path not in _held:
+        _held[path] = Ids(path)
+    return _held[path]
