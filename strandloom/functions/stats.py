@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
@@ -68,31 +69,31 @@ def fisher(n11: int, n12: int, n21: int, n22: int) -> tuple[float, float, float,
     return own, min(1.0, sum(p[: n11 - lo + 1])), min(1.0, sum(p[n11 - lo :])), min(1.0, sum(x for x in p if x <= own * (1 + 1e-8)))
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def lgamma(x: pd.Series) -> pd.Series:
     return x.map(math.lgamma)
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def erfc(x: pd.Series) -> pd.Series:
     return x.map(math.erfc)
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def gammap(s: pd.Series, z: pd.Series) -> pd.Series:
     return pd.Series([gamma_p(a, b) for a, b in zip(s, z)])
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def gammaq(s: pd.Series, z: pd.Series) -> pd.Series:
     return pd.Series([1 - gamma_p(a, b) for a, b in zip(s, z)])
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def betai(a: pd.Series, b: pd.Series, x: pd.Series) -> pd.Series:
     return pd.Series([beta_i(*v) for v in zip(a, b, x)])
 
 
-@pandas_udf("p double, left double, right double, two double")
+@pandas_udf(T.StructType([T.StructField(k, T.DoubleType()) for k in ("p", "left", "right", "two")]))
 def fisher_exact(n11: pd.Series, n12: pd.Series, n21: pd.Series, n22: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([fisher(*map(int, v)) for v in zip(n11, n12, n21, n22)], columns=["p", "left", "right", "two"])

@@ -13,34 +13,40 @@ def _bins(first: Column, last: Column, size: int) -> Column:
     return F.explode(F.sequence(F.floor(first / size), F.floor(last / size)))
 
 
+def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys under other names, so that sides of one origin stay apart."""
+    return df.withColumnsRenamed({k: f"_k_{k}" for k in keys} | {"_bin": "_k_bin"})
+
+
+def _same(keys: list[str]) -> Column:
+    out = F.col("_bin") == F.col("_k_bin")
+    for k in keys:
+        out = out & (F.col(k) == F.col(f"_k_{k}"))
+    return out
+
+
 def point_join(intervals: DataFrame, points: DataFrame, keys: list[str], start: str, end: str, pos: str, size: int = BIN, how: str = "inner") -> DataFrame:
     """Intervals (start..end inclusive) with the points inside. A point is in one bin, so no match is doubled."""
     i = intervals.where(F.col(start) <= F.col(end)).withColumn("_bin", _bins(F.col(start), F.col(end), size))
-    p = points.withColumn("_bin", F.floor(F.col(pos) / size))
-    on = [i[k] == p[k] for k in keys] + [i["_bin"] == p["_bin"], p[pos] >= i[start], p[pos] <= i[end]]
-    out = i.join(p, on, how)
-    for k in keys:
-        out = out.drop(p[k])
-    return out.drop("_bin")
+    p = _renamed(points.withColumn("_bin", F.floor(F.col(pos) / size)), keys)
+    out = i.join(p, _same(keys) & (F.col(pos) >= F.col(start)) & (F.col(pos) <= F.col(end)), how)
+    return out.drop("_bin", "_k_bin", *[f"_k_{k}" for k in keys])
 
 
 def points_within(points: DataFrame, intervals: DataFrame, keys: list[str], start: str, end: str, pos: str, size: int = BIN, anti: bool = False) -> DataFrame:
     """Points inside (anti: outside) any interval, each once."""
     i = intervals.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e")).where("_s <= _e").withColumn("_bin", _bins(F.col("_s"), F.col("_e"), size))
     p = points.withColumn("_bin", F.floor(F.col(pos) / size))
-    on = [i[k] == p[k] for k in keys] + [i["_bin"] == p["_bin"], p[pos] >= i["_s"], p[pos] <= i["_e"]]
-    return p.join(i, on, "left_anti" if anti else "left_semi").drop("_bin")
+    on = _same(keys) & (F.col(pos) >= F.col("_s")) & (F.col(pos) <= F.col("_e"))
+    return p.join(_renamed(i, keys), on, "left_anti" if anti else "left_semi").drop("_bin")
 
 
 def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], a_range: tuple[str, str], b_range: tuple[str, str], size: int = BIN) -> DataFrame:
     """Pairs of overlapping intervals. The bin of the later start reports the pair. Column names must differ but for keys."""
     x = a.where(F.col(a_range[0]) <= F.col(a_range[1])).withColumn("_bin", _bins(F.col(a_range[0]), F.col(a_range[1]), size))
     y = b.where(F.col(b_range[0]) <= F.col(b_range[1])).withColumn("_bin", _bins(F.col(b_range[0]), F.col(b_range[1]), size))
-    on = [x[k] == y[k] for k in keys] + [x["_bin"] == y["_bin"], x[a_range[0]] <= y[b_range[1]], y[b_range[0]] <= x[a_range[1]], F.floor(F.greatest(x[a_range[0]], y[b_range[0]]) / size) == x["_bin"]]
-    out = x.join(y, on)
-    for k in keys:
-        out = out.drop(y[k])
-    return out.drop("_bin")
+    on = _same(keys) & (F.col(a_range[0]) <= F.col(b_range[1])) & (F.col(b_range[0]) <= F.col(a_range[1])) & (F.floor(F.greatest(a_range[0], b_range[0]) / size) == F.col("_bin"))
+    return x.join(_renamed(y, keys), on).drop("_bin", "_k_bin", *[f"_k_{k}" for k in keys])
 
 
 def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], pos: str, value: str) -> DataFrame:
