@@ -226,10 +226,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the contaminated ones. A row is known by its place: an id may repeat or be null."""
+    """Documents without those that hold a whole window of a benchmark item. Items shorter than a window are no evidence on their own:
+    a document goes if ``WINDOW`` of its words or more are hit. Rows of one id share their fate."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     index = stored(build_index(docs), "postings")
-    bad = search(index, bench, slop=None).where(F.size("items") >= 2).select(F.col("doc_id").alias("_bad")).distinct()
+    bad = search(index, bench, slop=None).where(F.col("n_hit") >= WINDOW).select(F.col("doc_id").alias("_bad")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
 
 
