@@ -6,8 +6,8 @@ places of the term, as document ordinal << POS_BITS | position. A segment holds
 phrase is answered inside one segment and no postings of different segments ever meet.
 ``search`` sends the benchmark's windows to every segment. Terms are tried from the rarest of the
 segment: its postings, moved back by the term's offset in the window, are the candidate starts,
-and each further term's list is intersected at its own offset. What survives is an exact phrase. For
-proximity the same candidates need every term within ``slop`` words.
+and each further term's list is intersected at its own offset. What survives is an exact phrase. A proximity match is
+a place of the window's first word that has each other word within ``slop`` words, in any order; its candidates lie about the rarest term's places.
 
 The benchmark is a stated query set: it is sent in blocks of at most ``BLOCK_WINDOWS`` windows.
 
@@ -114,7 +114,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, size: int, limit: int
 
 def _find(terms: np.ndarray, ends: np.ndarray, places: np.ndarray, wins: np.ndarray, lens: np.ndarray, slop: int | None) -> tuple[np.ndarray, np.ndarray]:
     """(window, place) of each match in a segment. terms: sorted; places[ends[t]:ends[t+1]] are the postings of term t, sorted.
-    slop None: exact phrases, place is the start; else one place of the rarest term that has all others within slop words."""
+    slop None: exact phrases, place is the start; else places of the window's first word that have all others within slop words."""
     size = wins.shape[1]
     used = np.arange(size)[None, :] < lens[:, None]
     at = np.searchsorted(terms, wins.view(np.int64))
@@ -137,11 +137,17 @@ def _find(terms: np.ndarray, ends: np.ndarray, places: np.ndarray, wins: np.ndar
             continue
         w = np.repeat(part, n[part])
         p = places[np.repeat(first[part] - np.concatenate([[0], np.cumsum(n[part])[:-1]]), n[part]) + np.arange(int(n[part].sum()))]
-        begin = p - rare[w] if slop is None else p
         if slop is None:
             good = (p & ((1 << POS_BITS) - 1)) >= rare[w]
-            w, begin = w[good], begin[good]
-        for k in range(1, size):
+            w, begin = w[good], (p - rare[w])[good]
+        else:  # the first word's places about those of the rarest, each once
+            lo, hi = ends[at[w, 0]], ends[at[w, 0] + 1]
+            a = _lower_bound(places, lo, hi, p - np.minimum(slop, p & ((1 << POS_BITS) - 1)))
+            z = _lower_bound(places, a, hi, p + slop + 1)
+            w, n_near = np.repeat(w, z - a), z - a
+            begin = places[np.repeat(a - np.concatenate([[0], np.cumsum(n_near)[:-1]]), n_near) + np.arange(int(n_near.sum()))]
+            w, begin = np.unique(np.stack([w, begin]), axis=1)
+        for k in range(0 if slop is not None else 1, size):
             if not len(w):
                 break
             j = order[w, k]
@@ -207,22 +213,24 @@ def search(index: DataFrame, benchmark: DataFrame, item_id: str = "item_id", tex
         return pd.DataFrame({"doc_id": pd.array(doc_ids, "Int64"), "n_words": n_words, "n_hit": hit, "items": [sorted(x) for x in items], "near_items": [sorted(x) for x in near]})
 
     if wanted is not None:  # only the postings that the query set asks for leave the index
-        terms = index.sparkSession.createDataFrame([(t,) for t in wanted], "term long")
-        index = index.where("not is_docs").join(F.broadcast(terms), "term", "left_semi").unionByName(index.where("is_docs")) if len(wanted) <= 1_000_000 else index
+        terms = index.sparkSession.createDataFrame([(t, True) for t in wanted], "term long, _asked boolean")
+        if len(wanted) <= 1_000_000:
+            index = index.join(F.broadcast(terms), "term", "left").where("is_docs or _asked").drop("_asked")
     return index.groupBy("segment").applyInPandas(run, "doc_id long, n_words long, n_hit long, items array<string>, near_items array<string>")
 
 
 def report(found: DataFrame, least_items: int = 2) -> DataFrame:
+    """The exact matches in figures."""
     n = F.size("items").cast("long")
     return found.select(
         "doc_id", "n_words", "n_hit", n.alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (n >= least_items).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"),
+        (n >= least_items).alias("contaminated"),
     )
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     index = stored(build_index(spark.read.parquet(f"{sf_dir}/documents.parquet")), "postings")
-    return report(search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return report(search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=None))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import best_fit, decontamination, license_scan, ngram_join, packed_matrix, pii, quality_rules, quotes, suffix_tree_lm, warc
+from strandloom.llm import best_fit, decontamination, license_scan, ngram_join, oracles, packed_matrix, pii, quality_rules, quotes, suffix_tree_lm, warc
 
 QUERIES = {
     "op1_packed_matrix": packed_matrix.query,
@@ -16,4 +16,4 @@ QUERIES = {
     "op9_pii": pii.query,
     "op10_quality_rules": quality_rules.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.SQL
