@@ -669,6 +669,79 @@ def _(e):
     return e.select("event_id", F.map_from_arrays(F.array(F.lit("KK")), F.array(F.try_element_at(tags, F.lit("k")))).alias("tags")).where(filters.predicate("default([KK], \"0\") =~ \"^(5[1-9]|[6-9][0-9]|[1-9][0-9][0-9]+)$\"", {}, {}, F.col("tags"))).select("event_id")
 
 
+# -- whole commands and the rest ---------------------------------------------------------------------------------------
+_JUDGED = f"{_TAG}, j AS (SELECT *, CASE WHEN greatest(h1, h2) * 10 < 6 * (h1 + h2) OR n_ps > 1 OR h1 = h2 THEN 0 WHEN h1 > h2 THEN 1 ELSE 2 END AS hp FROM v)"
+
+
+@query("p2_haplotag", "obs", "assigned", "aln", sql=f"{_JUDGED} SELECT a.chrom, a.read_id, coalesce(j.hp, 0) AS hp, CASE WHEN j.hp > 0 THEN j.ps END AS ps FROM aln a LEFT JOIN j ON j.chrom = a.chrom AND j.read_id = a.read_id")
+def _(o, a, x):
+    j = tag.judged(tag.votes(o, a))
+    out = x.select("chrom", "read_id").join(j.select("chrom", "read_id", "hp", "ps"), ["chrom", "read_id"], "left")
+    return out.select("chrom", "read_id", F.coalesce("hp", F.lit(0)).alias("hp"), F.when(F.col("hp") > 0, F.col("ps")).alias("ps"))
+
+
+@query("k08_tag_log", "obs", "assigned", sql=f"{_JUDGED} SELECT CAST(read_id AS VARCHAR) AS read_name, CASE hp WHEN 0 THEN '.' ELSE CAST(hp AS VARCHAR) END AS haplotype, CASE hp WHEN 0 THEN '.' ELSE CAST(ps AS VARCHAR) END AS phase_set, total AS n_alleles, CAST(h1 AS BIGINT) AS h1, CAST(h2 AS BIGINT) AS h2 FROM j")
+def _(o, a):
+    j = tag.judged(tag.votes(o, a)).withColumn("read_name", F.col("read_id").cast("string")).withColumn("start", F.lit(0))
+    log = tag.log_rows(j)
+    return log.select(F.col("Read").alias("read_name"), F.col("Haplotype").alias("haplotype"), F.col("PhaseSet").alias("phase_set"), F.col("TotalAllele").alias("n_alleles"), F.col("HP1Allele").alias("h1"), F.col("HP2Allele").alias("h2"))
+
+
+@query("p3_modcall_sites", "calls")
+def _(c):
+    return methyl.genotyped(_sites(c)).select("chrom", "pos", "n_mod", "n_unmod", "depth", "gt", "paired")
+
+
+@query("k09_modcall_lines", "calls")
+def _(c):
+    from strandloom.plans.api import modcall_lines
+
+    s = methyl.genotyped(_sites(c)).where("gt = '0/1'")
+    return modcall_lines(s, s.select("chrom", "pos", F.substring(F.lit("ACGTN"), (F.col("pos") % 5).cast("int") + 1, F.lit(1)).alias("base")))
+
+
+@query("u02_union_unplaced", "aln", sql="SELECT read_id, true AS placed FROM aln WHERE (flag2 & 4) = 0 UNION ALL SELECT read_id, false FROM aln WHERE (flag2 & 4) <> 0")
+def _(a):
+    un = F.col("flag2").bitwiseAND(4) != 0
+    return a.where(~un).select("read_id", F.lit(True).alias("placed")).unionByName(a.where(un).select("read_id", F.lit(False).alias("placed")))
+
+
+@query("v02_index_statistics", "aln", sql="SELECT chrom AS rname, count(CASE WHEN (flag2 & 4) = 0 THEN 1 END) AS mapped, count(CASE WHEN (flag2 & 4) <> 0 THEN 1 END) AS unmapped FROM aln GROUP BY chrom")
+def _(a):
+    from strandloom.sources.alignments import index_statistics
+
+    return index_statistics(a.withColumnRenamed("chrom", "rname").drop("flag").withColumnRenamed("flag2", "flag"))
+
+
+@query("v09_quickselect", "aln", sql="SELECT chrom, min(mapq) AS median FROM (SELECT chrom, mapq, row_number() OVER (PARTITION BY chrom ORDER BY mapq) AS rn, count(*) OVER (PARTITION BY chrom) AS n FROM aln) t WHERE rn = (n + 1) // 2 GROUP BY chrom")
+def _(a):
+    w = Window.partitionBy("chrom")
+    x = a.groupBy("chrom", "mapq").agg(F.count("*").alias("k"))  # a row a value: nothing is sorted in full
+    x = x.withColumn("upto", F.sum("k").over(w.orderBy("mapq"))).withColumn("n", F.sum("k").over(w))
+    return x.where(F.col("upto") >= F.expr("(n + 1) div 2")).groupBy("chrom").agg(F.min("mapq").alias("median"))
+
+
+@query("t01_pileup_columns", "cigars")
+def _(c):
+    return depth.pileup_columns(cigar.blocks(c, ["chrom", "aln_id"]), ["chrom", "aln_id"])
+
+
+@query("x27_fisher_exact", "obs")
+def _(o):
+    from strandloom.functions import stats
+
+    n = o.groupBy("chrom", "pos").agg(*[F.count_if((F.col("allele") == a) & (F.col("read_id") % 2 == r)).cast("int").alias(f"n{a}{r}") for a in (0, 1) for r in (0, 1)])
+    return n.select("chrom", "pos", F.round(stats.fisher_exact("n00", "n01", "n10", "n11")["two"], 9).alias("p"))
+
+
+@query("s15_base_modifications", "@events")
+def _(e):
+    from strandloom.functions import basemods
+
+    tags = F.create_map(F.lit("MM"), F.concat(F.lit("C+m,"), F.col("event_id") % 3, F.lit(",0;")), F.lit("ML"), F.concat(F.lit("C,"), F.col("user_id") % 256, F.lit(",200")))
+    return basemods.modifications(e.select(F.col("event_id").alias("aln_id"), F.when(F.col("user_id") % 2 == 0, 0).otherwise(16).alias("flag"), F.lit("ACGTCCGATCGCGGCATCGG").alias("seq"), tags.alias("tags")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phased blocks of the gapped observations."""
     from strandloom.plans.api import phase_observations
