@@ -29,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +40,7 @@ from strandloom.llm.components import components
 
 DIMS = 64
 SHARD = 2048
+LEAF = 64
 FAN = 8
 #: Ids of sets to fetch are sent to the tasks up to this many (32 MB); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
@@ -230,27 +230,75 @@ def tree_pairs(vec: np.ndarray, n: np.ndarray, p: int) -> Iterator[tuple[np.ndar
         stack.append((k - 1, a[ok], b[ok]))
 
 
+def leaf_pairs(vec: np.ndarray, n: np.ndarray, comp: np.ndarray, ends: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same over many shards that are one leaf each: rows i < j below ends[i], of different components."""
+    out = [np.zeros((2, 0), np.int64)]
+    follow = ends - np.arange(len(n)) - 1
+    total = np.concatenate([[0], np.cumsum(follow)])
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + (1 << 20), "right")) - 1)
+        i = np.repeat(np.arange(lo, hi), follow[lo:hi])
+        j = i + 1 + np.arange(len(i)) - np.repeat(total[lo:hi] - total[lo], follow[lo:hi])
+        ok = (comp[i] != comp[j]) & (100 * n[i] >= p * n[j]) & (100 * n[j] >= p * n[i])
+        i, j = i[ok], j[ok]
+        for k in range(0, len(i), 1 << 16):
+            x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            ok = np.minimum(vec[x], vec[y]).sum(axis=1) >= -(-p * (n[x] + n[y]) // (100 + p))
+            out.append(np.stack([x[ok], y[ok]]))
+        lo = hi
+    return tuple(np.concatenate(out, axis=1))
+
+
 def residual_pairs(shards: DataFrame, p: int) -> DataFrame:
-    """shards: (shard, m, cls, comp, n_shingles, vec). Pairs of classes of different components that the trees leave."""
+    """shards: (shard, m, cls, comp, n_shingles, vec). Pairs of classes of different components that the trees leave.
+    A task reads its shards in order and handles many at a time; those of up to LEAF members are trees of one leaf."""
     nb = F.ceil(F.col("m") / F.lit(SHARD)).cast("long")
     mine = F.pmod(F.xxhash64("cls"), nb)
     other = F.explode(F.sequence(F.lit(0).cast("long"), nb - 1))
     dealt = shards.withColumn("x", mine).withColumn("y", other).select("*", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"))
+    dealt = dealt.repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi", "cls").select("shard", "lo", "hi", "cls", "comp", "n_shingles", "x", "vec")
+
+    def found(t: pa.Table) -> pa.RecordBatch:
+        shard, lo, hi, cls, comp, n, side = (t.column(k).to_numpy() for k in range(7))
+        vec = np.frombuffer(b"".join(t.column(7).to_pylist()), np.int32).reshape(len(t), DIMS)
+        new = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+        ends = np.append(new[1:], len(t))
+        size = ends - new
+        row_end = np.repeat(np.where(size <= LEAF, ends, 0), size)
+        row_end = np.where(row_end > 0, row_end, np.arange(len(t)) + 1)  # rows of larger shards pair with none here
+        pairs = [np.stack(leaf_pairs(vec, n, comp, row_end, p))]
+        for k in np.flatnonzero(size > LEAF):
+            a, b = new[k], ends[k]
+            for i, j in tree_pairs(vec[a:b], n[a:b], p):
+                i, j = i + a, j + a
+                ok = comp[i] != comp[j]
+                pairs.append(np.stack([i[ok], j[ok]]))
+        i, j = np.concatenate(pairs, axis=1)
+        ok = (lo[i] == hi[i]) | (side[i] != side[j])  # of two blocks, pairs across; those within are another task's
+        i, j = i[ok], j[ok]
+        both = np.unique(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        vec = np.stack([np.frombuffer(v, np.int32) for v in part.vec]).astype(np.int32)
-        n, cls, comp, side = (part[c].to_numpy() for c in ("n_shingles", "cls", "comp", "x"))
-        two = part.lo.iloc[0] != part.hi.iloc[0]
-        found = [np.zeros((2, 0), np.int64)]
-        for i, j in tree_pairs(vec, n, p):
-            ok = comp[i] != comp[j]
-            if two:
-                ok &= side[i] != side[j]
-            found.append(np.stack([np.minimum(cls[i], cls[j])[ok], np.maximum(cls[i], cls[j])[ok]]))
-        a, b = np.concatenate(found, axis=1)
-        return pd.DataFrame({"a": a, "b": b})
-
-    return dealt.groupBy("shard", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        rows = 0
+        for b in batches:
+            held.append(pa.table(b.columns, names=b.schema.names))
+            rows += len(b)
+            if rows < 4 * SHARD:
+                continue
+            t = pa.concat_tables(held).combine_chunks()
+            key = [t.column(k).to_numpy() for k in range(3)]
+            last = np.logical_and.reduce([x == x[-1] for x in key])
+            cut = int(np.argmax(last))  # the last shard may go on
+            if cut:
+                yield found(t.slice(0, cut).combine_chunks())
+            held, rows = [t.slice(cut)], len(t) - cut
+        if rows:
+            yield found(pa.concat_tables(held).combine_chunks())
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
