@@ -6,6 +6,7 @@ folder that the driver and all executors share, so that it survives the loss of
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,7 +29,7 @@ def new_path(spark: SparkSession, tag: str) -> str:
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write df once to the shared folder and return the table read from there."""
     spark, at = df.sparkSession, new_path(df.sparkSession, tag)
-    df.write.parquet(at)
+    df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
@@ -37,3 +38,9 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
     for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of plans that are no longer held."""
+    gc.collect()
+    spark._jvm.System.gc()

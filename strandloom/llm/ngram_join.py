@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.llm import _text
-from strandloom.llm._store import stored
+from strandloom.llm._store import dropped, released, stored
 from strandloom.llm.components import components
 
 DIMS = 64
@@ -103,7 +103,8 @@ def shard_keys(s: np.ndarray, p: int, edges: list[int]) -> np.ndarray:
         out.append(key)
         if g - len(full) > spare:
             out.append(_text.mixed(_text.mixed(np.flatnonzero(held == 0).astype(np.uint64)) + np.uint64(k)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    # 48 bits are shorter to shuffle; an equal key by chance only makes a pair that fails to verify
+    return np.concatenate(out) >> np.uint64(16) if out else np.zeros(0, np.uint64)
 
 
 def counts(s: np.ndarray) -> np.ndarray:
@@ -179,7 +180,7 @@ def linked(a: np.ndarray, b: np.ndarray, p: int) -> bool:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text: str, size: int, p: int, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link."""
+    """The pairs (a, b) of classes that link, stored; what it took to find them is removed."""
     pairs = stored(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     named = classes.select("cls", "h1", "h2")
@@ -192,7 +193,10 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, size: int, p: int, cl
             ok = [linked(np.frombuffer(s.as_buffer(), np.int64).view(np.uint64), np.frombuffer(t.as_buffer(), np.int64).view(np.uint64), p) for s, t in zip(x.column("s"), x.column("t"))]
             yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+    out = stored(pairs.join(two, "b").join(one, "a").select("a", "b", "s", "t").mapInArrow(run, "a long, b long"), "links")
+    dropped(docs.sparkSession, pairs)
+    dropped(docs.sparkSession, sets)
+    return out
 
 
 def tree_pairs(vec: np.ndarray, n: np.ndarray, p: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -304,14 +308,23 @@ def residual_pairs(shards: DataFrame, p: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
     """(row, doc_id, n_shingles, component_id) for each row of docs. component_id: the smallest doc_id reachable by links."""
     p = percent
-    made = stored(prepared(docs, doc_id, text, size, p), "sets")
+    spark = docs.sparkSession
+    whole = stored(prepared(docs, doc_id, text, size, p), "keys")
+    made = stored(whole.withColumn("first", F.size("keys") > 0).drop("keys"), "sets")
     classes = stored(made.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("row").alias("cls"), F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles")), "classes")
     # a class's first row is the one whose task met it first, so it has the keys
-    keyed = made.where("size(keys) > 0").select("row", F.explode("keys").alias("key")).join(classes.select("cls"), F.col("row") == F.col("cls"), "left_semi").withColumnRenamed("row", "cls")
+    # other tasks have met the class too; their rows are few and are left out before their keys are dealt
+    more = stored(made.where("first").select("row").join(classes.select("cls"), F.col("row") == F.col("cls"), "left_anti"), "repeats")
+    more = F.broadcast(more) if more.count() <= BROADCAST_IDS else more
+    keyed = whole.where("size(keys) > 0").join(more, "row", "left_anti").select(F.explode("keys").alias("key"), F.col("row").alias("cls"))
     shared = keyed.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last")).where("pivot < last").select("key", "pivot")
     member = stored(keyed.join(shared, "key"), "members")  # keys of several classes only
+    dropped(spark, whole)
+    del keyed, shared
+    released(spark)
     star = member.where("cls <> pivot").groupBy(F.col("cls").alias("b")).agg(F.mode("pivot", deterministic=True).alias("a")).select("a", "b")
-    edges = stored(verified(star, docs, text, size, p, classes), "edges")
+    edges = verified(star, docs, text, size, p, classes)
+    released(spark)
     comp = components(edges)
 
     def labelled(label: DataFrame) -> DataFrame:
