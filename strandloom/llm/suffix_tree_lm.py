@@ -1,17 +1,20 @@
 """A probabilistic suffix tree over words, trained on all training documents and used to score all documents.
 
-Tree. The root is the smoothed unigram distribution. A context of 1 to ``DEPTH`` words may be a node when it is
-at least ``P_MIN`` of the training text. A next symbol is stored at a node when the n-gram is that frequent and
+Tree. The root is the smoothed unigram distribution. A context of 1 to ``DEPTH`` words may be a node, and a next symbol may be
+stored at it, when the n-gram occurs at least ``LEAST`` times, at any size of the corpus. A symbol is stored where
 its probability differs from the parent's by a factor of ``RATIO``; the node is kept when the stored symbols' divergence
 from the parent (counts times log ratio, in nats) reaches ``GAIN``, or a longer kept context ends in it. With C the
 context's count, S the stored symbols' and B = C - S + 1:
 p(t | s) = (count(s t) + B p(t | parent)) / (C + 1), which sums to one. A text is scored with the longest
 kept suffix of each token's history.
 
-Scale. ``P_MIN`` is a share, so the model has at most 1 / P_MIN n-grams of each order at any size of the
-corpus and may be sent to the tasks; all counts cover all training text. Tokens below that share are
-counted and looked up by a shuffle on the token, where none is hot. Pairs are first counted
-in 2^``BUCKETS`` hash buckets, and only pairs in buckets that reach the bound are counted on their own, which loses none.
+Scale. Counts and nodes are tables that grow with the input. A text's score is a sum over its n-grams: log p of each token at the root,
+log(B / (C + 1)) of each kept context that a token follows, and for each stored symbol what its own entry adds to that. So
+``weights`` gives each n-gram one number and scoring is a join on the n-gram. Keys above a share of ``HEAD`` (at most 1 / HEAD
+an order) are looked up in a broadcast, since they would be hot in a shuffle, all others by a shuffle. A
+bitmap of 2^``BITS`` hashes leaves out keys that have no row, which loses none.
+
+``train`` and ``Tree`` are the same model in memory, for small corpora and as what the tables are tested against.
 
 Defined results: a null or empty text is the end token alone; a null id is training text; repeated
 rows are scored one by one and all count for training; without training text every token has the probability
@@ -29,13 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import _text
-from strandloom.llm._store import stored
+from strandloom.llm._store import released, stored
 
 DEPTH = 3
 P_MIN = 2e-6
 RATIO = 1.1
 GAIN = 6.0
 BUCKETS = 22
+LEAST = 2
+HEAD = 1e-5
+BITS = 27
 END = np.uint64(0x1D8E4E27C47D124F)
 HELD = 1 << 20  # distinct keys that a task counts before it passes them on
 
@@ -129,7 +135,7 @@ def counted(docs: DataFrame, make) -> DataFrame:
         if out := c.flush():
             yield out
 
-    return docs.where("not _held").select("_text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.where("not _held").select("_text").mapInArrow(run, "key long, n long").repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def hash_buckets(docs: DataFrame, vocabulary, least: int) -> np.ndarray:
@@ -286,38 +292,174 @@ def train(docs: DataFrame, depth: int = DEPTH, p_min: float = P_MIN) -> tuple[Da
     return unigrams, n, v, Tree(vocabulary, counts, n, v)
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, p_min: float = P_MIN, folds: int = 5, held_fold: int = 1) -> DataFrame:
+def gram_keys(t: np.ndarray, order: int) -> np.ndarray:
+    """Hash of the n-gram that begins at each token; of one word, its own."""
+    return t if order == 1 else _text.windows(t, order)
+
+
+def begins(first: np.ndarray, order: int) -> np.ndarray:
+    """Where n-grams of an order begin that lie inside one text."""
+    text = _text.owners(first)
+    return np.flatnonzero(text[: max(0, len(text) - order + 1)] == text[order - 1 :])
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """2^BITS bits in bytes: the hashes of a table's keys."""
+    at = F.shiftrightunsigned("key", 64 - BITS) + 1
+    rows = keys.groupBy(F.bitmap_bucket_number(at).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros(1 << BITS - 3, np.uint8)
+    for r in rows.toLocalIterator():  # 2^BITS bits in all
+        out[(r.block - 1) * 4096 : r.block * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys.view(np.uint64) >> np.uint64(64 - BITS)
+    return bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) != 0
+
+
+def looked_up(rows: DataFrame, column: str, table: DataFrame, least: int, how: str = "inner") -> DataFrame:
+    """rows with the table's columns but key and n. Keys of n >= least are sent to the tasks, the rest are shuffled."""
+    table = table.withColumnRenamed("key", column)
+    head, tail = F.broadcast(table.where(F.col("n") >= least).drop("n")), table.where(F.col("n") < least).drop("n")
+    return rows.join(head, column).unionByName(rows.join(F.broadcast(head.select(column)), column, "left_anti").join(tail, column, how))
+
+
+def frequent_grams(docs: DataFrame, unigrams: DataFrame, depth: int, least: int) -> DataFrame:
+    """(order, key, ctx, short, n) of n-grams of 2 to depth + 1 words; ctx: without the last word, short: without the first."""
+    spark, orders = docs.sparkSession, range(2, depth + 2)
+    bits, made, total = bitmap(unigrams.where(F.col("n") >= least)), None, 0
+    for k in orders:
+        shorter = spark.sparkContext.broadcast(bits)
+
+        def make(t: np.ndarray, first: np.ndarray, k=k, shorter=shorter) -> np.ndarray:
+            """An n-gram is no more frequent than the two in it that are a word shorter."""
+            ok, at = marked(shorter.value, gram_keys(t, k - 1)), begins(first, k)
+            return gram_keys(t, k)[at[ok[at] & ok[at + 1]]].view(np.int64)
+
+        part = stored(counted(docs, make).where(F.col("n") >= least), "frequent")
+        released(spark)
+        bits = bitmap(part)
+        made, total = (part if made is None else made.unionByName(part)), total | bits
+    sent = spark.sparkContext.broadcast(total)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            x = np.concatenate(held, axis=1)
+            _, at = np.unique(x[1], return_index=True)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in x[:, at]], names=["order", "key", "ctx", "short"])
+
+        for b in batches:
+            for _, t, first in tokens(b.column(0)):
+                for k in orders:
+                    at = begins(first, k)
+                    key, shorter = gram_keys(t, k), gram_keys(t, k - 1)
+                    at = at[marked(sent.value, key[at])]
+                    held.append(np.stack([np.full(len(at), k), *(x.view(np.int64) for x in (key[at], shorter[at], shorter[at + 1]))]))
+                    n += len(at)
+                if n >= HELD:
+                    yield out()
+                    held, n = [], 0
+        if n:
+            yield out()
+
+    parts = docs.where("not _held").select("_text").mapInArrow(run, "order long, key long, ctx long, short long")
+    parts = parts.groupBy("key").agg(*[F.first(c).alias(c) for c in ("order", "ctx", "short")])
+    out = stored(parts.join(made, "key").select("order", "key", "ctx", "short", "n"), "grams")
+    released(spark)
+    return out
+
+
+def weights(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, head: float = HEAD) -> tuple[DataFrame, int, int, float, int]:
+    """docs: (_held, _text). The table (key, n, lp, w), training tokens, distinct ones, the root's denominator, the count of a hot key.
+    lp: log10 of the root's probability (null but for single tokens); w: what an occurrence of the n-gram adds to it."""
+    unigrams = stored(counted(docs, lambda t, first: t.view(np.int64)), "unigrams")
+    n, v = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    total, hot = n + 0.5 * (v + 1), max(2, math.ceil(head * n))
+    p = (F.col("n") + 0.5) / F.lit(total)
+    made = unigrams.select("key", "n", F.log10(p).alias("lp"), F.lit(0.0).alias("w"))
+    if depth and n:
+        grams, below = frequent_grams(docs, unigrams, depth, least), unigrams.withColumn("p", p)
+        for d in range(1, depth + 1):
+            rows = looked_up(grams.where(F.col("order") == d + 1), "ctx", below.select("key", "n", F.col("n").alias("c")), hot)
+            rows = looked_up(rows, "short", below.select("key", "n", F.col("p").alias("parent")), hot)
+            own = F.col("n") / F.col("c")
+            rows = rows.withColumn("apart", F.greatest(own / F.col("parent"), F.col("parent") / own) >= RATIO)
+            rows = stored(rows.withColumn("gain", F.when(F.col("apart"), F.col("n") * F.log(own / F.col("parent"))).otherwise(0.0)), "rows")
+            nodes = rows.groupBy(F.col("ctx").alias("key")).agg(F.max("c").alias("n"), F.sum(F.when(F.col("apart"), F.col("n")).otherwise(0)).alias("s"), F.sum("gain").alias("gain"))
+            nodes = stored(nodes.where(F.col("gain") >= GAIN).drop("gain"), "nodes")
+            rows = looked_up(rows.drop("gain"), "ctx", nodes, hot, "left")
+            b = F.col("c") - F.col("s") + 1
+            entry, back = (F.col("n") + b * F.col("parent")) / (F.col("c") + 1), b / (F.col("c") + 1)
+            kept = F.col("s").isNotNull()
+            rows = rows.select(
+                "key", "n", F.when(kept & F.col("apart"), entry).when(kept, back * F.col("parent")).otherwise(F.col("parent")).alias("p"),
+                F.when(kept & F.col("apart"), F.log10(entry) - F.log10(back * F.col("parent"))).alias("w"),
+            )
+            below = stored(rows, "probabilities")
+            released(docs.sparkSession)
+            none = F.lit(None).cast("double").alias("lp")
+            made = made.unionByName(below.where("w is not null").select("key", "n", none, "w"))
+            made = made.unionByName(nodes.select("key", "n", none, F.log10((F.col("n") - F.col("s") + 1) / (F.col("n") + 1)).alias("w")))
+    made = made.groupBy("key").agg(F.max("n").alias("n"), F.max("lp").alias("lp"), F.sum("w").alias("w"))
+    return stored(made, "weights"), n, v, total, hot
+
+
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, least: int = LEAST, folds: int = 5, held_fold: int = 1, head: float = HEAD) -> DataFrame:
     name = F.col(f"`{doc_id}`").cast("long")
     held = F.coalesce(F.crc32(name.cast("string").cast("binary")) % folds == held_fold, F.lit(False))
     docs = docs.select(name.alias("_id"), held.alias("_held"), F.col(f"`{text}`").cast("string").alias("_text"))
-    unigrams, n, v, tree = train(docs, depth, p_min)
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
+    table, n, _, total, hot = weights(docs, depth, least, head)
+    top = table.where(F.col("n") >= hot).toPandas().sort_values("key")  # at most 1 / head rows an order
+    known = [top.key.to_numpy(np.int64), np.nan_to_num(top.lp.to_numpy(float)), top.w.to_numpy(float)]
+    rest = table.where(F.col("n") < hot)
+    sent = docs.sparkSession.sparkContext.broadcast((*known, bitmap(rest)))
+    unseen = math.log10(0.5 / total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 36
+        keys, lp, w, bits = sent.value
         for b in batches:
             for lo, t, first in tokens(b.column(2)):
                 k = len(first) - 1
-                ids, base, out = sent.value.score(t, first)
-                rare = ids < 0
-                sums = [np.add.reduceat(x, first[:-1]) for x in (base, out, rare.astype(np.int64))]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sums[2])]).astype(np.int32)), pa.array(t[rare].view(np.int64)))
+                text = _text.owners(first)
+                at = lookup(keys, t.view(np.int64))
+                there, far = at >= 0, (at < 0) & marked(bits, t)
+                none = ~there & ~far  # surely not in training text
+                base = np.where(far, 0.0, unseen)
+                base[there] = lp[at[there]]
+                model, asked, owner = base.copy(), [t[far].view(np.int64)], [text[far]]
+                model[there] += w[at[there]]
+                for order in range(2, depth + 2):
+                    begin = begins(first, order)
+                    g = gram_keys(t, order)[begin].view(np.int64)
+                    at = lookup(keys, g)
+                    there = at >= 0
+                    model[begin[there]] += w[at[there]]
+                    other = ~there & marked(bits, g)
+                    asked.append(g[other])
+                    owner.append(text[begin[other]])
+                asked, owner = np.concatenate(asked), np.concatenate(owner)
+                asked = asked[np.argsort(owner, kind="stable")]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=k))]).astype(np.int32)
+                sums = [np.add.reduceat(x, first[:-1]) for x in (base, model, far.astype(np.int64), none.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + k)), b.column(0).slice(lo, k), b.column(1).slice(lo, k), pa.array(np.diff(first)), pa.array(sums[0]), pa.array(sums[1]), lists],
-                    names=["row", "doc_id", "held_out", "n_tokens", "base", "model", "rare"],
+                    [pa.array(np.arange(row, row + k)), b.column(0).slice(lo, k), b.column(1).slice(lo, k), pa.array(np.diff(first)), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(ends), pa.array(asked))],
+                    names=["row", "doc_id", "held_out", "n_tokens", "base", "model", "far", "none", "asked"],
                 )
                 row += k
 
-    made = stored(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, base double, model double, rare array<long>"), "scored")
-    rare = made.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("k"))
-    c = F.coalesce("n", F.lit(0))
-    rest = rare.join(unigrams, "key", "left").groupBy("row").agg(F.sum(F.col("k") * F.log10((c + 0.5) / F.lit(tree.total))).alias("lp"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("seen"))
-    lp, seen = F.coalesce("lp", F.lit(0.0)), F.coalesce("seen", F.lit(0))
-    return made.join(rest, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_tokens") - F.size("rare") + seen).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + lp).alias("base_score"), (F.col("model") + lp).alias("score"),
+    made = stored(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, base double, model double, far long, none long, asked array<long>"), "scored")
+    found = made.select("row", F.explode("asked").alias("key")).join(rest, "key").groupBy("row").agg(F.sum("lp").alias("lp"), F.sum("w").alias("w"), F.count("lp").alias("seen"))
+    missed = F.col("far") - F.coalesce("seen", F.lit(0))
+    lp = F.coalesce("lp", F.lit(0.0)) + missed * F.lit(unseen)
+    return made.join(found, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_tokens") - F.col("none") - missed).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") + lp).alias("base_score"), (F.col("model") + lp + F.coalesce("w", F.lit(0.0))).alias("score"),
     )
 
 

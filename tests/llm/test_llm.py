@@ -234,6 +234,33 @@ def test_suffix_tree_odd(odd, empty):
     assert suffix_tree_lm.score(empty).count() == 0
 
 
+@pytest.mark.parametrize("head", [suffix_tree_lm.HEAD, 1e-3, 1.0])
+def test_suffix_tree_tables(docs, head):
+    """The tables give what the tree in memory gives, whether keys are sent or shuffled."""
+    rows = [tuple(r) for r in docs.collect()]
+    held = {name: zlib.crc32(str(name).encode()) % 5 == 1 for name, _ in rows}
+    d = docs.select(F.col("text").alias("_text"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1).alias("_held"))
+    _, n, _, tree = suffix_tree_lm.train(d, p_min=1e-12)
+    got = {r.doc_id: r for r in suffix_tree_lm.score(docs, head=head).collect()}
+    import pyarrow as pa
+
+    for name, text in rows:
+        _, t, first = next(suffix_tree_lm.tokens(pa.array([text])))
+        ids, _, out = tree.score(t, first)
+        once = got[name].base_score - tree.root[ids[ids >= 0]].sum()  # tokens that the tree doesn't hold
+        assert got[name].score == pytest.approx(out.sum() + once) and got[name].held_out == held[name]
+
+
+def test_suffix_tree_floor_does_not_rise(spark):
+    """A pair seen four times is a node, however much other text there is (2.4 million tokens)."""
+    rows = [(k, "a b c d e f g h i j " * 8000) for k in range(40)] + [(100 + k, "qq zz") for k in range(40)]
+    seen = [x for x, _ in rows[40:] if zlib.crc32(str(x).encode()) % 5 != 1][:4]
+    held = next(x for x, _ in rows[40:] if zlib.crc32(str(x).encode()) % 5 == 1)
+    df = spark.createDataFrame([r for r in rows if r[0] < 100 or r[0] in (*seen, held)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in suffix_tree_lm.score(df).collect()}
+    assert got[held].train_tokens > 2_000_000 and got[held].score > got[held].base_score + 4
+
+
 # -- quotes ------------------------------------------------------------------------------------------------------------
 MESSAGES = [
     (1, 0, "u", "Hello there my friend, how are you today?\nI have a question about boats."),
