@@ -220,17 +220,18 @@ def search(index: DataFrame, benchmark: DataFrame, item_id: str = "item_id", tex
 
 
 def report(found: DataFrame, least_items: int = 2) -> DataFrame:
-    """The exact matches in figures."""
+    """The exact matches in figures, and the items with proximity matches."""
     n = F.size("items").cast("long")
     return found.select(
         "doc_id", "n_words", "n_hit", n.alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (n >= least_items).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"), F.sha2(F.array_join("near_items", ","), 256).alias("near_items_sha256"),
     )
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     index = stored(build_index(spark.read.parquet(f"{sf_dir}/documents.parquet")), "postings")
-    return report(search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=None))
+    return report(search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -365,6 +365,34 @@ def test_proximity_and_empty(spark, odd, empty):
     assert decontamination.report(decontamination.search(decontamination.build_index(odd), bench.where("false"))).where("contaminated or n_hit > 0").count() == 0
 
 
+def brute_near(text, items, size=8, slop=16):
+    """Items with a window whose first word has a place with each other word of the window within slop words."""
+    at, found = collections.defaultdict(list), set()
+    for k, w in enumerate(ALNUM.findall(low(text))):
+        at[w].append(k)
+    for name, item in items:
+        w = ALNUM.findall(low(item))
+        n = min(size, len(w))
+        wins = [w[k : k + n] for k in range(len(w) - n + 1)] if n else []
+        if any(all(x in at for x in win) and any(all(any(abs(q - p) <= slop for q in at[x]) for x in win) for p in at[win[0]]) for win in wins):
+            found.add(str(name))
+    return sorted(found)
+
+
+def test_query_reports_proximity(spark, tmp_path):
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    w = ALNUM.findall(low(bench[0][1]))[:8]
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows += [(9001, " ".join(reversed(w))), (9002, " so ".join(w)), (9003, " ".join(w[:4]) + " so" * 40 + " " + " ".join(w[4:])), (9004, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(bench, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id: r for r in decontamination.query(spark, str(tmp_path)).collect()}
+    for name, text in rows:
+        near = brute_near(text, bench)
+        assert (got[name].n_near_items, got[name].near_items_sha256) == (len(near), decontamination.items_digest(near))
+    assert [got[k].n_items for k in (9001, 9002, 9003)] == [0, 0, 0] and got[9001].n_near_items >= 1 and got[9002].n_near_items >= 1 and got[9003].n_near_items == 0
+
+
 # -- licences ----------------------------------------------------------------------------------------------------------
 def test_licenses(spark, docs):
     extra = [(9001, "Some text.\nReleased under the MIT License."), (9002, "The driver's license was issued in 2010."), (9003, "Licensed under the Apache License, Version 2.0.\n\nLicensed under CC BY-NC 4.0."), (9004, None), (9005, ""), (9006, "This work is licensed under the GNU General Public\nLicense, version 3.")]
