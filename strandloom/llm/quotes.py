@@ -1,11 +1,11 @@
 """Quotation linking and reply-ordered conversations, in DataFrame functions alone.
 
 A line's quote level is the number of ``>`` that it begins with. Consecutive quoted lines of one level are a passage; what
-remains, without the attribution line before a quote, is the message's own text. Passages and their single
-lines are normalised and hashed, and so are each message's own text, its paragraphs and lines. A quote
+remains, without the attribution line before a quote, is the message's own text. Passages, their paragraphs (cut at
+empty quoted lines) and single lines are normalised and hashed, and so are each message's own text, its paragraphs and lines. A quote
 is linked to the latest earlier message of its conversation that holds its hash: both sides are put
 in order and the last original carried forward, so a passage that recurs many times costs one row each, never pairs.
-A quote not found there is linked to the first message anywhere that holds it. The parent of a message is the one
+A quote not found there, of ``LEAST_CHARS`` normalised characters or more, is linked to the first message anywhere that holds it. The parent of a message is the one
 from which it quotes most at level 1. Paths from the first message are built by pointer doubling, in as many
 rounds as the logarithm of the deepest thread.
 
@@ -53,7 +53,7 @@ def passages(ls: Column) -> Column:
 
 
 def parsed(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, turn, role, clean_text, n_quoted_lines, max_level, quotes (level, chars, hash), own (hashes)."""
+    """conv_id, turn, role, clean_text, n_quoted_lines, max_level, quotes (level, chars, hash), own (chars, hash)."""
     out = messages.select(F.col(f"`{conv}`").cast("long").alias("conv_id"), F.col(f"`{turn}`").cast("long").alias("turn"), F.col(f"`{role}`").cast("string").alias("role"), F.col(f"`{text}`").cast("string").alias("_text"))
     out = out.withColumn("_quoting", F.coalesce(F.col("_text"), F.lit("")).rlike(r"(?m)^\s*>"))
     out = out.withColumn("_lines", F.when(F.col("_quoting"), lines(F.col("_text"))))
@@ -62,11 +62,11 @@ def parsed(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     clean = F.trim(F.regexp_replace(F.array_join(F.transform(plain, lambda x: x["text"]), "\n"), r"\n{3,}", "\n\n"))
     out = out.withColumn("clean_text", F.when(F.col("_quoting"), clean).otherwise(F.coalesce(F.col("_text"), F.lit(""))))
     runs = F.filter(passages(F.col("_lines")), lambda r: level(r) > 0)
-    units = lambda r: F.array_distinct(F.concat(F.array(F.array_join(r["lines"], " ")), r["lines"]))
+    units = lambda r: F.array_distinct(F.concat(F.array(F.array_join(r["lines"], " ")), F.split(F.array_join(r["lines"], "\n"), r"\n\s*\n"), r["lines"]))
     hashed = lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(x, F.lit(1)).alias("h2"))
-    quotes = F.flatten(F.transform(runs, lambda r: F.transform(F.filter(F.transform(units(r), normalised), lambda x: F.length(x) >= LEAST_CHARS), lambda x: F.struct(level(r).alias("level"), F.length(x).alias("chars"), hashed(x).alias("hash")))))
+    quotes = F.flatten(F.transform(runs, lambda r: F.transform(F.filter(F.transform(units(r), normalised), lambda x: F.length(x) > 0), lambda x: F.struct(level(r).alias("level"), F.length(x).alias("chars"), hashed(x).alias("hash")))))
     parts = F.concat(F.array(F.col("clean_text")), F.split("clean_text", r"\n\s*\n"), F.split("clean_text", "\n"))
-    own = F.transform(F.filter(F.array_distinct(F.transform(parts, normalised)), lambda x: F.length(x) >= LEAST_CHARS), hashed)
+    own = F.transform(F.filter(F.array_distinct(F.transform(parts, normalised)), lambda x: F.length(x) > 0), lambda x: F.struct(F.length(x).alias("chars"), hashed(x).alias("hash")))
     none = F.array().cast("array<struct<level:int,chars:int,hash:struct<h1:bigint,h2:bigint>>>")
     return out.select(
         "conv_id", "turn", "role", "clean_text", F.coalesce(F.size(F.filter("_lines", lambda x: level(x) > 0)), F.lit(0)).alias("_n"),
@@ -79,14 +79,16 @@ def linked(rows: DataFrame) -> DataFrame:
     """conv_id, turn, parent_turn, n_links, source_conv_id, source_turn (of a quote found elsewhere only)."""
     q = rows.where("size(quotes) > 0 and conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(F.array_distinct("quotes")).alias("q"))
     q = stored(q.select("conv_id", "turn", "q.level", "q.chars", "q.hash").distinct(), "quotes")
-    wanted = q.select("hash").distinct()
-    own = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("own").alias("hash")).join(wanted, "hash", "left_semi").distinct()
-    own = stored(own, "originals")
+    own = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("own").alias("o")).select("conv_id", "turn", "o.chars", "o.hash")
+    long_ = F.col("chars") >= LEAST_CHARS
+    afar = own.where(long_).join(q.where(long_).select("hash").distinct(), "hash", "left_semi").select("conv_id", "turn", "chars", "hash")
+    near = own.where(~long_).join(q.where(~long_).select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").select("conv_id", "turn", "chars", "hash")
+    own = stored(afar.unionByName(near).distinct(), "originals")
     both = own.select("conv_id", "hash", "turn", F.col("turn").alias("orig"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("chars")).unionByName(q.withColumn("orig", F.lit(None).cast("long")))
     before = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("from", F.last("orig", ignorenulls=True).over(before)).where("level is not null")
-    anywhere = own.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    found = found.join(anywhere, "hash", "left")
+    anywhere = own.where(long_).groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    found = found.where(long_).join(anywhere, "hash", "left").unionByName(found.where(~long_), allowMissingColumns=True)
     vote = found.groupBy("conv_id", "turn", "from").agg(F.sum(F.when(F.col("level") == 1, F.col("chars")).otherwise(0)).alias("chars"), F.count("*").alias("n"), F.min(F.when(F.col("from").isNull() & ((F.col("first.conv_id") != F.col("conv_id")) | (F.col("first.turn") < F.col("turn"))), F.col("first"))).alias("other"))
     best = F.max_by("from", F.when(F.col("from").isNotNull() & (F.col("chars") > 0), F.struct("chars", "from")))
     n = F.sum(F.when(F.col("from").isNotNull() | F.col("other").isNotNull(), F.col("n")).otherwise(0))

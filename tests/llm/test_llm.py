@@ -290,6 +290,20 @@ def test_long_thread(spark):
     assert got[39].path == list(range(40)) and got[39].depth == 39
 
 
+def test_short_and_rewrapped_quotes(spark):
+    one, two, three = "The first paragraph is\nabout boats.", "The second one goes on\nabout sails and oars.", "The third ends it all."
+    rows = [
+        (1, 0, "u", "Boat or car?"), (1, 1, "a", "Yes, I agree!"), (1, 2, "u", "> Yes, I agree!\nGood, then we go."), (1, 3, "a", "Which one?"), (1, 4, "u", "> Which one?\nThe boat."),
+        (2, 0, "u", "> Which one?\nNo link to another conversation."),
+        (3, 0, "u", f"{one}\n\n{two}\n\n{three}"), (3, 1, "a", "> The first paragraph\n> is about boats.\n>\n> The second one goes\n> on about sails and\n> oars.\nYes."),
+        (4, 0, "u", "> ...\n> !\nNothing quoted."), (4, 1, "u", "..."),
+    ]
+    got = {(r.conv_id, r.turn): r for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[1, 2].parent_turn, got[1, 2].n_links, got[1, 4].parent_turn, got[1, 4].path) == (1, 1, 3, [3, 4])
+    assert (got[2, 0].parent_turn, got[2, 0].n_links, got[2, 0].source_conv_id) == (None, 0, None)
+    assert (got[3, 1].parent_turn, got[3, 1].n_links) == (0, 2) and got[4, 0].n_links == 0
+
+
 # -- WARC --------------------------------------------------------------------------------------------------------------
 def test_warc_round_trip(spark, tmp_path):
     r = random.Random(3)
