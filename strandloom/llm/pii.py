@@ -39,7 +39,7 @@ LOOSE = {
     "email": rf"(?i)(?<![a-z0-9])[a-z0-9][a-z0-9._%+-]{{0,63}}\x20?(?:\[at\]|\(at\))\x20?[a-z0-9-]{{1,63}}(?:\x20?(?:\[dot\]|\(dot\)|\.)\x20?[a-z0-9-]{{1,63}}){{1,5}}",
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){3}(?![0-9])",
     "phone": r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
-    "secret": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,200}(?![A-Za-z0-9+/_=-])",
+    "secret": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+",
 }
 
 # Gazetteers and context words.

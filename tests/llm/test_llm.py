@@ -453,6 +453,15 @@ def test_pii(spark, docs):
     assert pii.spans(pii.candidates(empty), pii.fit(pii.candidates(empty))).count() == 0
 
 
+def test_long_secrets(spark, docs):
+    """A token has no greatest length."""
+    token = lambda n: "".join(hashlib.sha256(f"{n} {k}".encode()).hexdigest() for k in range(9))[:n]
+    rows = [(2000 + k, f'token = "{hashlib.sha1(str(k).encode()).hexdigest()}"') for k in range(40)] + [(n, f'token = "{token(n)}" x') for n in (200, 201, 500)]
+    made = pii.candidates(spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs))
+    red = {r.doc_id: r.red for r in pii.spans(made, pii.fit(made)).select("doc_id", pii.redacted().alias("red")).collect()}
+    assert [red[n] for n in (200, 201, 500)] == ['token = "[SECRET]" x'] * 3
+
+
 # -- quality -----------------------------------------------------------------------------------------------------------
 def measured(text):
     w = WORD.findall(text or "")
