@@ -418,6 +418,18 @@ def test_licenses(spark, docs):
             assert bool(v) == bool(re.search(r"[Ll]icensed? |License", text[k]))
 
 
+def test_notices_without_anchor_words(spark, docs):
+    said = {
+        9101: ("Released under the Unlicense.", "unlicense"), 9102: ("This work is available under a Creative Commons Attribution 4.0 International", "cc-by"),
+        9103: ("This work is available under a Creative Commons Attribution ShareAlike 4.0 International", "cc-by-sa"),
+        9104: ("Dedicated to the public domain under the CC0 1.0 Universal deed", "cc0"),
+    }
+    d = docs.where("doc_id < 100").unionByName(spark.createDataFrame([(k, "Some text.\n\n" + t) for k, (t, _) in said.items()], "doc_id long, text string"))
+    got = {r.doc_id: r for r in license_scan.scan(d).collect()}
+    assert {k: got[k].licenses for k in said if k != 9101} == {k: v for k, (_, v) in said.items() if k != 9101}
+    assert got[9101].licenses == "unlicense" or got[9101].n_unknown == 1  # never dropped unclassified
+
+
 # -- personal data -----------------------------------------------------------------------------------------------------
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
