@@ -1,9 +1,11 @@
 """N-gram Jaccard self-join with count-vector R-trees, exact at any size.
 
-Sets. A text's set is its distinct word n-grams as 64-bit hashes. Equal sets form a class (a
-128-bit digest), and only one member of a class goes on, so copies never meet each other.
+Sets. A text's set is its distinct word n-grams as 64-bit hashes. Texts are read once; a set is stored as the high 48 bits of its
+hashes (a chance collision inside one pair has a probability of about 1e-9). Equal sets form a class (a 128-bit digest), and
+only one member of a class goes on, so copies never meet each other.
 
-Sharding. Two sets of a and b elements with 100 * i >= p * u differ in at most
+Sharding. A single R-tree over everything can't be dealt to tasks: bounding boxes of group counts overlap almost everywhere. So
+classes are first brought together by content. Two sets of a and b elements with 100 * i >= p * u differ in at most
 d = (a + b) (100 - p) / (100 + p) elements. With the elements dealt by hash into more than d
 groups, at least one group holds the same elements in both. Sizes are cut into bands so that a pair lies in
 one band or two neighbours; each set therefore has, in its own band's grouping and in that of the band below,
@@ -11,13 +13,15 @@ one key a group: the digest of the group's content. A linked pair shares a key,
 is so specific (all of a group's elements) that little else shares it. Empty groups give no key unless a
 set has more of them than the grouping has spare groups.
 
-Links. First each class is verified against one other class, the smallest class of most of its keys, which
-joins nearly all copies. Then every key whose members are still in different components is a
-shard: its members' element counts by group of hashes (``DIMS`` coordinates) are bulk-loaded into
-an R-tree, the tree is joined with itself from the root down, and a pair of nodes is followed only while the summed minima of
-their upper corners reach the overlap that their sizes need. Pairs of points that remain, of different components,
-are verified on their sets. Hence no link that connects two components is missed, and no pairs are made
-within a component. Shards over ``SHARD`` members are dealt as pairs of blocks.
+Links, all found inside shards (``forest``). A shard's sets are points of group counts, bulk-loaded into an
+R-tree that is joined with itself from the root down; a pair of nodes is followed only while the summed minima of
+their upper corners reach the overlap that their sizes need and while they aren't wholly of one component. Pairs of points
+that remain are verified on their sets, a union-find skips those that verified links already connect, and a shard of m members returns
+at most m - 1 links, so no pairs of a group are ever emitted.
+Round 1: each class goes to one shard, that of the smallest class that shares most of its keys; shards over
+``SHARD`` members are split, each part with the shard's first class. Round 2: the keys whose members are still in
+different components and were not together in one shard of round 1 are shards in turn, larger ones as pairs of blocks.
+Hence every linked pair is either compared or connected by links.
 
 Defined results: null, empty or word-less texts have an empty set and are linked with nothing; a text of
 fewer words than n is one element; rows with equal ids are separate rows; an empty table gives no rows;
@@ -32,20 +36,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strandloom.llm import _text
 from strandloom.llm._store import dropped, released, stored
 from strandloom.llm.components import components
 
-DIMS = 64
-SHARD = 2048
-LEAF = 64
+DIMS = (64, 1024)  # least and most coordinates of a shard's points
+SHARD = 2048  # members of a block
+BLOCK_ELEMENTS = 1 << 21  # or so many elements
+LEAF = 32
 FAN = 8
-#: Ids of sets to fetch are sent to the tasks up to this many (32 MB); beyond it they are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
+ELEMENT_BYTES = 6
 
-SETS = "row long, doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"
+SETS = "row long, doc_id long, n_shingles long, h1 long, h2 long, elements binary"
 
 
 def bands(p: int, largest: int) -> list[int]:
@@ -79,9 +82,33 @@ def element_sets(run: _text.Run, size: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def digest(s: np.ndarray) -> tuple[int, int]:
-    with np.errstate(over="ignore"):
-        return tuple(int(_text.mixed(np.array([np.add.reduce(_text.mixed(s ^ np.uint64(seed))) + np.uint64(len(s))]))[0].view(np.int64)) for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+def digests(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 128-bit digest of each of the sets that lie one after another in an array, first[k] being where set k begins."""
+    n = np.diff(first)
+    out = np.zeros((len(n), 2), np.uint64)
+    full = np.flatnonzero(n)
+    if len(full):
+        for k, seed in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
+            out[full, k] = _text.mixed(np.add.reduceat(_text.mixed(sets ^ np.uint64(seed)), first[full]) + n[full].astype(np.uint64))
+    return out.view(np.int64)
+
+
+def packed(sets: np.ndarray) -> np.ndarray:
+    """The high ELEMENT_BYTES bytes of each element, which keeps their order."""
+    return np.ascontiguousarray((sets >> np.uint64(64 - 8 * ELEMENT_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ELEMENT_BYTES]).reshape(-1)
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of a column of packed sets, sorted within each, and where each set begins."""
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].reshape(-1, ELEMENT_BYTES) if data else np.zeros((0, ELEMENT_BYTES), np.uint8)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :ELEMENT_BYTES] = raw
+    return wide.reshape(-1).view("<u8"), (offsets - offsets[0]) // ELEMENT_BYTES
 
 
 def shard_keys(s: np.ndarray, p: int, edges: list[int]) -> np.ndarray:
@@ -107,118 +134,76 @@ def shard_keys(s: np.ndarray, p: int, edges: list[int]) -> np.ndarray:
     return np.concatenate(out) >> np.uint64(16) if out else np.zeros(0, np.uint64)
 
 
-def counts(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=DIMS).astype(np.int32)
-
-
-def prepared(docs: DataFrame, doc_id: str, text: str, size: int, p: int) -> DataFrame:
-    """A row for each document: its set's size and digest, and the shard keys of the set where this task meets it first."""
+def prepared(docs: DataFrame, row: str, doc_id: str, text: str, size: int) -> DataFrame:
+    """A row for each document: its set's size and digest, and the set where this task meets it first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 36
-        edges, seen = bands(p, 1000), set()
+        seen: set[tuple[int, int]] = set()
         for b in batches:
-            ids = b.column(0)
-            for r in _text.runs(b.column(1)):
-                rows = []
-                for s in element_sets(r, size):
-                    if len(s) >= edges[-1]:
-                        edges = bands(p, 2 * len(s))
-                    h = digest(s) if len(s) else (0, 0)
-                    new = len(s) > 0 and h not in seen
-                    if new:
+            for r in _text.runs(b.column(2)):
+                sets = list(element_sets(r, size))
+                n = np.array([len(s) for s in sets], np.int64)
+                h = digests(np.concatenate(sets), np.concatenate([[0], np.cumsum(n)]))
+                new = np.zeros(len(n), bool)
+                for k, x in enumerate(zip(h[:, 0].tolist(), h[:, 1].tolist())):
+                    if n[k] and x not in seen:
                         if len(seen) > 500_000:
                             seen.clear()
-                        seen.add(h)
-                    rows.append((len(s), *h, shard_keys(s, p, edges).view(np.int64) if new else None))
-                n = len(rows)
+                        seen.add(x)
+                        new[k] = True
+                elements = pa.array([packed(s).tobytes() if new[k] else None for k, s in enumerate(sets)], pa.binary())
+                own = slice(r.lo, r.hi)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + n)), ids.slice(r.lo, n), *(pa.array([x[k] for x in rows], pa.int64()) for k in range(3)), pa.array([x[3] for x in rows], pa.list_(pa.int64()))],
-                    names=["row", "doc_id", "n_shingles", "h1", "h2", "keys"],
+                    [b.column(0)[own], b.column(1)[own], pa.array(n), pa.array(h[:, 0]), pa.array(h[:, 1]), elements],
+                    names=["row", "doc_id", "n_shingles", "h1", "h2", "elements"],
                 )
-                row += n
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string")).mapInArrow(run, SETS)
+    return docs.select(F.col(f"`{row}`").cast("long"), F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string")).mapInArrow(run, SETS)
 
 
-def fetched(docs: DataFrame, text: str, size: int, wanted: DataFrame, what: str) -> DataFrame:
-    """(h1, h2, value) of the wanted classes: value is the set, or the count vector."""
-    spark = docs.sparkSession
-    wanted = wanted.select("h1", "h2").distinct()
-    n = wanted.count()
-    few = spark.sparkContext.broadcast(np.sort(np.array([r.h1 for r in wanted.select("h1").toLocalIterator()], np.int64))) if n <= BROADCAST_IDS else None
+def keyed(heads: DataFrame, p: int) -> DataFrame:
+    """(key, cls) of each class, from heads: (cls, elements)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+        edges = bands(p, 1000)
         for b in batches:
-            for r in _text.runs(b.column(0)):
-                rows = []
-                for s in element_sets(r, size):
-                    if not len(s) or (h := digest(s)) in seen:
-                        continue
-                    if few is not None:
-                        at = np.searchsorted(few.value, h[0])
-                        if at == len(few.value) or few.value[at] != h[0]:
-                            continue
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(h)
-                    rows.append((*h, (s.view(np.int64) if what == "set" else counts(s)).tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows]) for k in range(3)], names=["h1", "h2", "value"])
-
-    out = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "h1 long, h2 long, value binary")
-    out = out.groupBy("h1", "h2").agg(F.first("value").alias("value"))
-    return out if few is not None else out.join(wanted, ["h1", "h2"], "left_semi")
-
-
-def linked(a: np.ndarray, b: np.ndarray, p: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= p * (len(a) + len(b) - both)
-
-
-def verified(pairs: DataFrame, docs: DataFrame, text: str, size: int, p: int, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link, stored; what it took to find them is removed."""
-    pairs = stored(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    named = classes.select("cls", "h1", "h2")
-    sets = fetched(docs, text, size, ids.join(named, "cls"), "set").join(named, ["h1", "h2"]).select("cls", F.col("value").alias("set"))
-    sets = stored(sets, "sets")
-    one, two = sets.select(F.col("cls").alias("a"), F.col("set").alias("s")), sets.select(F.col("cls").alias("b"), F.col("set").alias("t"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            ok = [linked(np.frombuffer(s.as_buffer(), np.int64).view(np.uint64), np.frombuffer(t.as_buffer(), np.int64).view(np.uint64), p) for s, t in zip(x.column("s"), x.column("t"))]
-            yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    out = stored(pairs.join(two, "b").join(one, "a").select("a", "b", "s", "t").mapInArrow(run, "a long, b long"), "links")
-    dropped(docs.sparkSession, pairs)
-    dropped(docs.sparkSession, sets)
-    return out
-
-
-def tree_pairs(vec: np.ndarray, n: np.ndarray, p: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of points whose summed minima reach the overlap that they need, by joining an R-tree with itself from the root down."""
+            e, first = unpacked(b.column(1))
+            keys = []
+            for k in range(len(b)):
+                s = e[first[k] : first[k + 1]]
+                if len(s) >= edges[-1]:
+                    edges = bands(p, 2 * len(s))
+                keys.append(shard_keys(s, p, edges))
+            if keys:
+                n = [len(x) for x in keys]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), n))], names=["key", "cls"])
+
+    return heads.select("cls", "elements").mapInArrow(run, "key long, cls long")
+
+
+def tree_pairs(vec: np.ndarray, n: np.ndarray, p: int, label: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of points whose summed minima reach the overlap that they need, by joining an R-tree with itself from the root down.
+    Pairs of nodes whose points all have one label are left out."""
+    label = np.arange(len(n)) if label is None else label
     order = np.lexsort((*vec.T[:4], n))
-    vec, size = vec[order], n[order]
-    levels = [(vec, size, size)]
+    vec, size, lab = vec[order], n[order], label[order]
+    levels = [(vec, size, size, lab, lab)]
     while len(levels[-1][0]) > 1:
-        hi, lo_n, hi_n = levels[-1]
+        hi, lo_n, hi_n, lo_l, hi_l = levels[-1]
         cut = np.arange(0, len(hi), FAN)
-        levels.append((np.maximum.reduceat(hi, cut), np.minimum.reduceat(lo_n, cut), np.maximum.reduceat(hi_n, cut)))
+        levels.append((np.maximum.reduceat(hi, cut), np.minimum.reduceat(lo_n, cut), np.maximum.reduceat(hi_n, cut), np.minimum.reduceat(lo_l, cut), np.maximum.reduceat(hi_l, cut)))
     stack = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    most = max(256, (1 << 22) // vec.shape[1])
     while stack:
         k, i, j = stack.pop()
-        if len(i) > 16384:
+        if len(i) > most:
             half = len(i) // 2
             stack += [(k, i[half:], j[half:]), (k, i[:half], j[:half])]
             continue
-        hi, lo_n, hi_n = levels[k]
+        hi, lo_n, hi_n, lo_l, hi_l = levels[k]
+        ok = (100 * hi_n[i] >= p * lo_n[j]) & (100 * hi_n[j] >= p * lo_n[i]) & (np.minimum(lo_l[i], lo_l[j]) != np.maximum(hi_l[i], hi_l[j]))
+        i, j = i[ok], j[ok]
         need = -(-p * (lo_n[i] + lo_n[j]) // (100 + p))
-        ok = (100 * hi_n[i] >= p * lo_n[j]) & (100 * hi_n[j] >= p * lo_n[i])
-        i, j, need = i[ok], j[ok], need[ok]
         ok = np.minimum(hi[i], hi[j]).sum(axis=1) >= need
         i, j = i[ok], j[ok]
         if not len(i):
@@ -234,113 +219,173 @@ def tree_pairs(vec: np.ndarray, n: np.ndarray, p: int) -> Iterator[tuple[np.ndar
         stack.append((k - 1, a[ok], b[ok]))
 
 
-def leaf_pairs(vec: np.ndarray, n: np.ndarray, comp: np.ndarray, ends: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same over many shards that are one leaf each: rows i < j below ends[i], of different components."""
-    out = [np.zeros((2, 0), np.int64)]
-    follow = ends - np.arange(len(n)) - 1
-    total = np.concatenate([[0], np.cumsum(follow)])
-    lo = 0
-    while lo < len(n):
-        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + (1 << 20), "right")) - 1)
-        i = np.repeat(np.arange(lo, hi), follow[lo:hi])
-        j = i + 1 + np.arange(len(i)) - np.repeat(total[lo:hi] - total[lo], follow[lo:hi])
-        ok = (comp[i] != comp[j]) & (100 * n[i] >= p * n[j]) & (100 * n[j] >= p * n[i])
-        i, j = i[ok], j[ok]
-        for k in range(0, len(i), 1 << 16):
-            x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-            ok = np.minimum(vec[x], vec[y]).sum(axis=1) >= -(-p * (n[x] + n[y]) // (100 + p))
-            out.append(np.stack([x[ok], y[ok]]))
-        lo = hi
-    return tuple(np.concatenate(out, axis=1))
-
-
-def residual_pairs(shards: DataFrame, p: int) -> DataFrame:
-    """shards: (shard, m, cls, comp, n_shingles, vec). Pairs of classes of different components that the trees leave.
-    A task reads its shards in order and handles many at a time; those of up to LEAF members are trees of one leaf."""
-    nb = F.ceil(F.col("m") / F.lit(SHARD)).cast("long")
-    mine = F.pmod(F.xxhash64("cls"), nb)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), nb - 1))
-    dealt = shards.withColumn("x", mine).withColumn("y", other).select("*", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"))
-    dealt = dealt.repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi", "cls").select("shard", "lo", "hi", "cls", "comp", "n_shingles", "x", "vec")
+class Shard:
+    """Sets one after another, with component labels that verified links merge."""
+
+    def __init__(self, elements: np.ndarray, first: np.ndarray, comp: np.ndarray, side: np.ndarray, p: int):
+        self.e, self.first, self.n, self.p, self.side = elements, first, np.diff(first), p, side
+        self.label = np.unique(comp, return_inverse=True)[1]
+        self.across = bool((side != side[0]).any())
+        self.links: list[tuple[int, int]] = []
+
+    def open(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Those of j that i may link with and isn't connected to."""
+        ok = self.label[j] != self.label[i]
+        if self.across:
+            ok &= self.side[j] != self.side[i]
+        return j[ok & (100 * self.n[j] >= self.p * self.n[i]) & (100 * self.n[i] >= self.p * self.n[j])]
+
+    def linked(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Which of j link with i."""
+        own = self.e[self.first[i] : self.first[i + 1]]
+        n = self.n[j]
+        at = np.cumsum(n) - n
+        other = self.e[np.repeat(self.first[j] - at, n) + np.arange(int(n.sum()))]
+        place = np.searchsorted(own, other)
+        place[place == len(own)] = 0
+        both = np.add.reduceat(own[place] == other, at, dtype=np.int64)
+        return 100 * both >= self.p * (len(own) + n - both)
+
+    def meet(self, i: int, j: np.ndarray) -> None:
+        """Link i with those of j that it links with; of each component, members are tried until one links."""
+        j, take = self.open(i, j), 1
+        while len(j):
+            order = np.argsort(self.label[j], kind="stable")
+            j = j[order]
+            lab = self.label[j]
+            new = np.concatenate([[True], lab[1:] != lab[:-1]])
+            nth = np.arange(len(j)) - np.repeat(np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(j))))
+            now = nth < take
+            try_, j = j[now], j[~now]
+            cut = np.searchsorted(np.cumsum(self.n[try_]), np.arange(1, int(self.n[try_].sum()) // 2_000_000 + 1) * 2_000_000)
+            for part in np.split(try_, np.unique(cut)):
+                if len(part):
+                    for k in part[self.linked(i, part)].tolist():
+                        if self.label[k] != self.label[i]:
+                            self.links.append((i, k))
+                            self.label[self.label == self.label[k]] = self.label[i]
+            j, take = self.open(i, j), 2 * take
+
+    def forest(self) -> list[tuple[int, int]]:
+        """Links that connect what the shard's links connect, at most one fewer than its members."""
+        m = len(self.n)
+        self.meet(0, np.arange(1, m))
+        if m == 2 or not (self.label != self.label[0]).any():
+            return self.links
+        dims = 1 << int(np.clip(int(self.n.max()) // 2, *DIMS)).bit_length() - 1
+        at = np.repeat(np.arange(m) * dims, self.n) + ((self.e * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - dims.bit_length())).astype(np.int64)
+        vec = np.bincount(at, minlength=m * dims).reshape(m, dims)
+        vec = vec.astype(np.uint16 if vec.max(initial=0) < 1 << 15 else np.int32)
+        for i, j in tree_pairs(vec, self.n, self.p, self.label):
+            order = np.argsort(i, kind="stable")
+            i, j = i[order], j[order]
+            new = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+            for a, b in zip(new.tolist(), np.append(new[1:], len(i)).tolist()):
+                self.meet(int(i[a]), j[a:b])
+        return self.links
+
+
+def shard_links(rows: DataFrame, p: int) -> DataFrame:
+    """Links (a, b) that connect what the shards connect. rows: (shard, lo, hi, cls, comp, side, elements); a shard's rows with one (lo, hi)
+    meet in one task, and where they have two sides, only across. A task holds one such group at a time."""
 
     def found(t: pa.Table) -> pa.RecordBatch:
-        shard, lo, hi, cls, comp, n, side = (t.column(k).to_numpy() for k in range(7))
-        vec = np.frombuffer(b"".join(t.column(7).to_pylist()), np.int32).reshape(len(t), DIMS)
+        shard, lo, hi, cls, comp, side = (t.column(k).to_numpy() for k in range(6))
+        e, first = unpacked(t.column(6).combine_chunks() if t.num_rows else t.column(6))
         new = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
-        ends = np.append(new[1:], len(t))
-        size = ends - new
-        row_end = np.repeat(np.where(size <= LEAF, ends, 0), size)
-        row_end = np.where(row_end > 0, row_end, np.arange(len(t)) + 1)  # rows of larger shards pair with none here
-        pairs = [np.stack(leaf_pairs(vec, n, comp, row_end, p))]
-        for k in np.flatnonzero(size > LEAF):
-            a, b = new[k], ends[k]
-            for i, j in tree_pairs(vec[a:b], n[a:b], p):
-                i, j = i + a, j + a
-                ok = comp[i] != comp[j]
-                pairs.append(np.stack([i[ok], j[ok]]))
-        i, j = np.concatenate(pairs, axis=1)
-        ok = (lo[i] == hi[i]) | (side[i] != side[j])  # of two blocks, pairs across; those within are another task's
-        i, j = i[ok], j[ok]
-        both = np.unique(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+        a, b = [], []
+        for x, y in zip(new.tolist(), np.append(new[1:], len(t)).tolist()):
+            if y - x > 1:
+                s = Shard(e[first[x] : first[y]], first[x : y + 1] - first[x], comp[x:y], side[x:y], p)
+                for i, j in s.forest():
+                    a.append(cls[x + i])
+                    b.append(cls[x + j])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        rows = 0
+        size = 0
         for b in batches:
             held.append(pa.table(b.columns, names=b.schema.names))
-            rows += len(b)
-            if rows < 4 * SHARD:
+            size += b.nbytes
+            if size < 1 << 25:
                 continue
             t = pa.concat_tables(held).combine_chunks()
             key = [t.column(k).to_numpy() for k in range(3)]
-            last = np.logical_and.reduce([x == x[-1] for x in key])
-            cut = int(np.argmax(last))  # the last shard may go on
+            cut = int(np.argmax(np.logical_and.reduce([x == x[-1] for x in key])))  # the last group may go on
             if cut:
                 yield found(t.slice(0, cut).combine_chunks())
-            held, rows = [t.slice(cut)], len(t) - cut
-        if rows:
+            held, size = [t.slice(cut).combine_chunks()], 0
+        if held:
             yield found(pa.concat_tables(held).combine_chunks())
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
-    """(row, doc_id, n_shingles, component_id) for each row of docs. component_id: the smallest doc_id reachable by links."""
-    p = percent
-    spark = docs.sparkSession
-    whole = stored(prepared(docs, doc_id, text, size, p), "keys")
-    made = stored(whole.withColumn("first", F.size("keys") > 0).drop("keys"), "sets")
-    classes = stored(made.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("row").alias("cls"), F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles")), "classes")
-    # a class's first row is the one whose task met it first, so it has the keys
-    # other tasks have met the class too; their rows are few and are left out before their keys are dealt
-    more = stored(made.where("first").select("row").join(classes.select("cls"), F.col("row") == F.col("cls"), "left_anti"), "repeats")
-    more = F.broadcast(more) if more.count() <= BROADCAST_IDS else more
-    keyed = whole.where("size(keys) > 0").join(more, "row", "left_anti").select(F.explode("keys").alias("key"), F.col("row").alias("cls"))
-    shared = keyed.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last")).where("pivot < last").select("key", "pivot")
-    member = stored(keyed.join(shared, "key"), "members")  # keys of several classes only
-    dropped(spark, whole)
-    del keyed, shared
-    released(spark)
-    star = member.where("cls <> pivot").groupBy(F.col("cls").alias("b")).agg(F.mode("pivot", deterministic=True).alias("a")).select("a", "b")
-    edges = verified(star, docs, text, size, p, classes)
+    rows = rows.select("shard", "lo", "hi", "cls", "comp", "side", "elements")
+    rows = rows.repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi", "cls")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def blocks(m: str, elements: str):
+    """Blocks that a shard of m members and so many elements is cut into."""
+    return F.greatest(F.ceil(F.col(m) / F.lit(SHARD)), F.ceil(F.col(elements) / F.lit(BLOCK_ELEMENTS)), F.lit(1)).cast("long")
+
+
+def first_round(member: DataFrame, heads: DataFrame) -> DataFrame:
+    """(shard, part, cls): each class in the shard of the class that is the smallest of most of its keys, which is in all parts of it itself."""
+    own = member.groupBy("cls").agg(F.mode("pivot", deterministic=True).alias("shard"))
+    n = heads.select("cls", "n_shingles")
+    wide = own.join(n, "cls").groupBy("shard").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("e")).withColumn("parts", blocks("m", "e"))
+    own = own.join(wide.select("shard", "parts"), "shard")
+    dealt = own.where("cls <> shard").select("shard", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part"), "cls")
+    return dealt.unionByName(wide.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("shard").alias("cls")))
+
+
+def second_round(member: DataFrame, place: DataFrame, comp: DataFrame, heads: DataFrame) -> DataFrame:
+    """(shard, lo, hi, cls, comp, side) of the keys whose members are neither of one component nor were in one part of one shard."""
+    at = place.groupBy("cls").agg(F.max(F.struct(F.col("cls") != F.col("shard"), F.xxhash64("shard", "part").alias("at"))).alias("x")).select("cls", "x.at")
+    held = member.join(at, "cls").join(comp.select(F.col("node").alias("cls"), "label"), "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("comp"), "at")
+    same = [F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64("cls", F.lit(7))).alias("s2")]
+    open_ = held.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("at").alias("a1"), F.max("at").alias("a2"), *same).where("c1 < c2 and a1 < a2")
+    shard = open_.groupBy("m", "s1", "s2").agg(F.min("key").alias("key"))  # keys with the same members are one shard
+    rest = held.join(shard.select("key", "m"), "key").join(heads.select("cls", "n_shingles"), "cls")
+    size = rest.groupBy("key").agg(F.sum("n_shingles").alias("e"))
+    rest = rest.join(size, "key").withColumn("nb", blocks("m", "e")).withColumn("side", F.pmod(F.xxhash64("cls"), F.col("nb")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))
+    return rest.withColumn("y", other).select(F.col("key").alias("shard"), F.least("side", "y").alias("lo"), F.greatest("side", "y").alias("hi"), "cls", "comp", "side")
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90, row: str | None = None) -> DataFrame:
+    """(row, doc_id, n_shingles, component_id) for each row of docs. component_id: the smallest doc_id reachable by links.
+    row: a column of distinct row numbers; without it, they are made."""
+    p, spark = percent, docs.sparkSession
+    if row is None:
+        docs, row = docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`"), F.monotonically_increasing_id().alias("_row")), "_row"
+    whole = stored(prepared(docs, row, doc_id, text, size), "sets")
+    made = whole.drop("elements")
+    # a class's smallest row is one whose task met the class there first, so its set is stored
+    first = F.min(F.when(F.col("elements").isNotNull(), F.col("row"))).alias("cls")
+    classes = stored(whole.where("n_shingles > 0").groupBy("h1", "h2").agg(first, F.min("doc_id").alias("low")), "classes")
+    heads = whole.where("elements is not null").join(classes.select("cls"), F.col("row") == F.col("cls"), "left_semi").select(F.col("row").alias("cls"), "n_shingles", "elements")
+    keys = keyed(heads, p)
+    shared = keys.groupBy("key").agg(F.min("cls").alias("pivot"), F.count("*").alias("m")).where("m > 1").select("key", "pivot")
+    member = stored(keys.join(shared, "key"), "members")  # keys of several classes only
     released(spark)
+    place = stored(first_round(member, heads), "places")
+    at = place.select("shard", F.col("part").alias("lo"), F.col("part").alias("hi"), "cls", F.col("cls").alias("comp"), F.lit(0).cast("long").alias("side"))
+    edges = stored(shard_links(at.join(heads.select("cls", "elements"), "cls"), p), "links")
     comp = components(edges)
-
-    def labelled(label: DataFrame) -> DataFrame:
-        return member.join(label, member["cls"] == label["node"], "left").select("key", "cls", F.coalesce("label", "cls").alias("comp"))
-
-    held = labelled(comp)
-    open_ = held.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64("cls", F.lit(7))).alias("s2")).where("c1 < c2")
-    # keys with the same members are one shard
-    shard = open_.groupBy("m", "s1", "s2").agg(F.min("key").alias("key"))
-    rest = stored(held.join(shard.select("key", "m"), "key").select(F.col("key").alias("shard"), "m", "cls", "comp"), "shards")
+    released(spark)
+    rest = stored(second_round(member, place, comp, heads), "rest")
+    dropped(spark, member)
+    dropped(spark, place)
     if rest.limit(1).count():
-        named = rest.select("cls").distinct().join(classes, "cls")
-        vec = fetched(docs, text, size, named, "counts").join(classes, ["h1", "h2"]).select("cls", "n_shingles", F.col("value").alias("vec"))
-        more = verified(residual_pairs(rest.join(vec, "cls"), p), docs, text, size, p, classes)
-        edges = stored(edges.union(more), "edges")
-        comp = components(edges)
+        more = stored(shard_links(rest.join(heads.select("cls", "elements"), "cls"), p), "links")
+        if more.limit(1).count():
+            dropped(spark, comp)
+            comp = components(edges.union(more))
+        dropped(spark, more)
+    dropped(spark, rest)
+    dropped(spark, edges)
+    released(spark)
     of = classes.join(comp, classes["cls"] == comp["node"], "left").select("h1", "h2", F.coalesce("label", "cls").alias("comp"), "low")
     low = of.groupBy("comp").agg(F.min("low").alias("component_id"))
     named = of.join(low, "comp").select("h1", "h2", "component_id")
@@ -353,10 +398,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8) stays: that of the smallest id, of equal ids one row."""
-    found = jaccard_components(docs, size=5, percent=80)
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("n_shingles") == 0, "doc_id", "row")).alias("f"))
-    empty = found.where("n_shingles = 0").select(F.col("doc_id").alias("_keep"))
-    keep = first.where("not f.col1").select(F.col("f.doc_id").alias("_keep")).union(empty).distinct()
-    left = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
-    return left.dropDuplicates(docs.columns) if T.MapType not in {type(f.dataType) for f in docs.schema} else left
+    """One row of each group of near duplicates (five words, 0.8) stays: that of the smallest id, a null id counting as largest, of equal
+    ids the first row. Rows without words stay. The rows are stored with numbers first, so that the choice holds whatever is computed anew."""
+    held = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    found = jaccard_components(held.select("row", "doc.doc_id", "doc.text"), size=5, percent=80, row="row")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(order).alias("f")).select(F.col("f.row").alias("row"))
+    keep = first.union(found.where("n_shingles = 0").select("row"))
+    return held.join(keep, "row", "left_semi").select("doc.*")

@@ -174,14 +174,69 @@ def test_join_odd(odd, empty):
 
 def test_tree_pairs_lose_nothing():
     r = np.random.default_rng(5)
-    vec = r.integers(0, 6, (200, ngram_join.DIMS)).astype(np.int32)
-    vec[100:] = vec[:100] + r.integers(0, 2, (100, ngram_join.DIMS)) * (r.random((100, ngram_join.DIMS)) < 0.1)
+    vec = r.integers(0, 6, (200, 64)).astype(np.int32)
+    vec[100:] = vec[:100] + r.integers(0, 2, (100, 64)) * (r.random((100, 64)) < 0.1)
     n = vec.sum(axis=1)
     got = {tuple(sorted(x)) for i, j in ngram_join.tree_pairs(vec, n, 90) for x in zip(i.tolist(), j.tolist())}
     want = {(i, j) for j in range(200) for i in range(j) if np.minimum(vec[i], vec[j]).sum() >= -(-90 * (n[i] + n[j]) // 190) and 100 * min(n[i], n[j]) >= 90 * max(n[i], n[j])}
     assert want and got == want
 
 
+@pytest.mark.parametrize("across", [False, True])
+def test_forest_connects_what_links_connect(across):
+    """A shard of chains of near copies against all pairs; of two sides, only pairs across."""
+    r, p = np.random.default_rng(3), 85
+    sets = []
+    for _ in range(12):
+        s = r.integers(0, 2**48, 60).astype(np.uint64)
+        for _ in range(30):
+            sets.append(np.unique(s))
+            s = s.copy()
+            s[r.integers(0, 60, r.integers(0, 5))] = r.integers(0, 2**48, 1).astype(np.uint64)
+    side = r.integers(0, 2, len(sets)) * across
+    first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    links = ngram_join.Shard(np.concatenate(sets), first, np.arange(len(sets)), side, p).forest()
+
+    def groups(pairs):
+        root = list(range(len(sets)))
+        for i, j in pairs:
+            a, b = root[i], root[j]
+            root = [a if x == b else x for x in root]
+        return root
+
+    whole = [set(s.tolist()) for s in sets]
+    link = lambda i, j: 100 * len(whole[i] & whole[j]) >= p * len(whole[i] | whole[j])
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if (not across or side[i] != side[j]) and link(i, j)]
+    assert all(link(i, j) for i, j in links) and len(links) < len(sets)
+    one, two = groups(pairs), groups(links)
+    assert len(set(zip(one, two))) == len(set(one)) == len(set(two))
+
+
+@pytest.mark.parametrize("shard", [4, 2048])
+def test_join_of_one_large_group(spark, monkeypatch, shard):
+    """One group of near copies about the threshold, in one shard and in many blocks."""
+    r = random.Random(17)
+    monkeypatch.setattr(ngram_join, "SHARD", shard)
+    base = ["".join(r.choice("abcdef") for _ in range(5)) for _ in range(80)]
+    rows = []
+    for k in range(90):
+        w = list(base)
+        for _ in range(r.randrange(0, 5)):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+        rows.append((k + 1, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert joined(df) == brute_components(rows, 3, 90)
+
+
+def test_stage_keeps_one_row_of_a_group(spark):
+    words = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, words, {"a": 1}, 1), (5, words.upper(), None, 2), (5, words + " end", {"b": 2}, 3), (7, "", None, 4), (7, "", None, 5), (None, None, None, 6), (8, "apart from all others here", None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>, row long")
+    got = sorted(r.row for r in ngram_join.stage(spark, df, "").collect())
+    assert got[1:] == [4, 5, 6, 7] and got[0] in (2, 3)
+    assert ngram_join.stage(spark, df.where("false"), "").count() == 0
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(50)] + [(100, 101), (103, 101)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
