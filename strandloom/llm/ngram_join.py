@@ -47,6 +47,8 @@ BLOCK_ELEMENTS = 1 << 21  # or so many elements
 LEAF = 32
 FAN = 8
 ELEMENT_BYTES = 6
+#: Row numbers by which stored sets are picked are sent to the tasks up to this many (32 MB); beyond it the sets are shuffled to them.
+BROADCAST_IDS = 4_000_000
 
 SETS = "row long, doc_id long, n_shingles long, h1 long, h2 long, elements binary"
 
@@ -329,6 +331,12 @@ def blocks(m: str, elements: str):
     return F.greatest(F.ceil(F.col(m) / F.lit(SHARD)), F.ceil(F.col(elements) / F.lit(BLOCK_ELEMENTS)), F.lit(1)).cast("long")
 
 
+def picked(sets: DataFrame, column: str, ids: DataFrame, how: str) -> DataFrame:
+    """The sets whose column is (left_semi) or isn't (left_anti) among ids, a stored table of row numbers."""
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return sets.join(ids.withColumnRenamed(ids.columns[0], "_id"), F.col(column) == F.col("_id"), how)
+
+
 def first_round(member: DataFrame, heads: DataFrame) -> DataFrame:
     """(shard, part, cls): each class in the shard of the class that is the smallest of most of its keys, which is in all parts of it itself."""
     own = member.groupBy("cls").agg(F.mode("pivot", deterministic=True).alias("shard"))
@@ -364,11 +372,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # a class's smallest row is one whose task met the class there first, so its set is stored
     first = F.min(F.when(F.col("elements").isNotNull(), F.col("row"))).alias("cls")
     classes = stored(whole.where("n_shingles > 0").groupBy("h1", "h2").agg(first, F.min("doc_id").alias("low")), "classes")
-    heads = whole.where("elements is not null").join(classes.select("cls"), F.col("row") == F.col("cls"), "left_semi").select(F.col("row").alias("cls"), "n_shingles", "elements")
+    met = whole.where("elements is not null")
+    repeats = stored(met.select("row").join(classes.select("cls"), F.col("row") == F.col("cls"), "left_anti"), "repeats")  # other tasks' rows of the classes
+    heads = picked(met, "row", repeats, "left_anti").select(F.col("row").alias("cls"), "n_shingles", "elements")
     keys = keyed(heads, p)
     shared = keys.groupBy("key").agg(F.min("cls").alias("pivot"), F.count("*").alias("m")).where("m > 1").select("key", "pivot")
     member = stored(keys.join(shared, "key"), "members")  # keys of several classes only
     released(spark)
+    candidates = stored(member.select("cls").distinct(), "candidates")
+    heads = picked(heads, "cls", candidates, "left_semi")
     place = stored(first_round(member, heads), "places")
     at = place.select("shard", F.col("part").alias("lo"), F.col("part").alias("hi"), "cls", F.col("cls").alias("comp"), F.lit(0).cast("long").alias("side"))
     edges = stored(shard_links(at.join(heads.select("cls", "elements"), "cls"), p), "links")
@@ -383,8 +395,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             dropped(spark, comp)
             comp = components(edges.union(more))
         dropped(spark, more)
-    dropped(spark, rest)
-    dropped(spark, edges)
+    for x in (rest, edges, candidates, repeats):
+        dropped(spark, x)
     released(spark)
     of = classes.join(comp, classes["cls"] == comp["node"], "left").select("h1", "h2", F.coalesce("label", "cls").alias("comp"), "low")
     low = of.groupBy("comp").agg(F.min("low").alias("component_id"))
