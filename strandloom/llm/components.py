@@ -24,4 +24,5 @@ def components(edges: DataFrame) -> DataFrame:
         dropped(spark, step)
         labels = jumped.select("node", "label")
         if not changed:
+            dropped(spark, both)
             return labels

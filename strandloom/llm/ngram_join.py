@@ -18,7 +18,8 @@ R-tree that is joined with itself from the root down; a pair of nodes is followe
 their upper corners reach the overlap that their sizes need and while they aren't wholly of one component. Pairs of points
 that remain are verified on their sets, a union-find skips those that verified links already connect, and a shard of m members returns
 at most m - 1 links, so no pairs of a group are ever emitted.
-Round 1: each class goes to one shard, that of the smallest class that shares most of its keys; shards over
+Classes that shared keys connect are a cluster, and a cluster of up to ``SHARD`` members is one shard, so all its pairs are settled
+there. Larger clusters take two rounds. Round 1: each class goes to one shard, that of the smallest class that shares most of its keys; shards over
 ``SHARD`` members are split, each part with the shard's first class. Round 2: the keys whose members are still in
 different components and were not together in one shard of round 1 are shards in turn, larger ones as pairs of blocks.
 Hence every linked pair is either compared or connected by links.
@@ -259,7 +260,7 @@ class Shard:
             nth = np.arange(len(j)) - np.repeat(np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(j))))
             now = nth < take
             try_, j = j[now], j[~now]
-            cut = np.searchsorted(np.cumsum(self.n[try_]), np.arange(1, int(self.n[try_].sum()) // 2_000_000 + 1) * 2_000_000)
+            cut = np.searchsorted(np.cumsum(self.n[try_]), np.arange(1, int(self.n[try_].sum()) // 500_000 + 1) * 500_000)
             for part in np.split(try_, np.unique(cut)):
                 if len(part):
                     for k in part[self.linked(i, part)].tolist():
@@ -310,7 +311,7 @@ def shard_links(rows: DataFrame, p: int) -> DataFrame:
         for b in batches:
             held.append(pa.table(b.columns, names=b.schema.names))
             size += b.nbytes
-            if size < 1 << 25:
+            if size < 1 << 24:
                 continue
             t = pa.concat_tables(held).combine_chunks()
             key = [t.column(k).to_numpy() for k in range(3)]
@@ -381,21 +382,30 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     released(spark)
     candidates = stored(member.select("cls").distinct(), "candidates")
     heads = picked(heads, "cls", candidates, "left_semi")
-    place = stored(first_round(member, heads), "places")
-    at = place.select("shard", F.col("part").alias("lo"), F.col("part").alias("hi"), "cls", F.col("cls").alias("comp"), F.lit(0).cast("long").alias("side"))
+    cluster = components(member.where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
+    size_of = cluster.join(heads.select("cls", "n_shingles"), F.col("node") == F.col("cls")).groupBy("label").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("e"))
+    size_of = stored(size_of.select("label", (blocks("m", "e") > 1).alias("large")), "sizes")
+    zero = F.lit(0).cast("long")
+    place = cluster.join(size_of.where("not large"), "label").select(F.col("label").alias("shard"), zero.alias("part"), F.col("node").alias("cls"))
+    large, far, temporary = size_of.where("large"), None, [candidates, repeats, size_of, cluster, member]
+    if large.limit(1).count():
+        member = stored(member.join(cluster.join(large, "label").select(F.col("node").alias("cls")), "cls", "left_semi"), "members")
+        far = stored(first_round(member, heads), "places")
+        place = place.unionByName(far)
+        temporary += [member, far]
+    at = place.select("shard", F.col("part").alias("lo"), F.col("part").alias("hi"), "cls", F.col("cls").alias("comp"), zero.alias("side"))
     edges = stored(shard_links(at.join(heads.select("cls", "elements"), "cls"), p), "links")
     comp = components(edges)
+    temporary.append(edges)
     released(spark)
-    rest = stored(second_round(member, place, comp, heads), "rest")
-    dropped(spark, member)
-    dropped(spark, place)
-    if rest.limit(1).count():
+    if far is not None:
+        rest = stored(second_round(member, far, comp, heads), "rest")
         more = stored(shard_links(rest.join(heads.select("cls", "elements"), "cls"), p), "links")
         if more.limit(1).count():
-            dropped(spark, comp)
+            temporary.append(comp)
             comp = components(edges.union(more))
-        dropped(spark, more)
-    for x in (rest, edges, candidates, repeats):
+        temporary += [rest, more]
+    for x in temporary:
         dropped(spark, x)
     released(spark)
     of = classes.join(comp, classes["cls"] == comp["node"], "left").select("h1", "h2", F.coalesce("label", "cls").alias("comp"), "low")
