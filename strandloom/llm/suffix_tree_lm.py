@@ -14,8 +14,6 @@ log(B / (C + 1)) of each kept context that a token follows, and for each stored
 an order) are looked up in a broadcast, since they would be hot in a shuffle, all others by a shuffle. A
 bitmap of 2^``BITS`` hashes leaves out keys that have no row, which loses none.
 
-``train`` and ``Tree`` are the same model in memory, for small corpora and as what the tables are tested against.
-
 Defined results: a null or empty text is the end token alone; a null id is training text; repeated
 rows are scored one by one and all count for training; without training text every token has the probability
 0.5 / 0.5; an empty table gives no rows; other columns are ignored.
@@ -32,15 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import _text
-from strandloom.llm._store import released, stored
+from strandloom.llm._store import dropped, released, stored
 
 DEPTH = 3
-P_MIN = 2e-6
-RATIO = 1.1
-GAIN = 6.0
-BUCKETS = 22
-LEAST = 2
-HEAD = 1e-5
+RATIO = 2.0
+GAIN = 10.0
+LEAST = 3
+HEAD = 1e-6
 BITS = 27
 END = np.uint64(0x1D8E4E27C47D124F)
 HELD = 1 << 20  # distinct keys that a task counts before it passes them on
@@ -60,58 +56,35 @@ def tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 class Counter:
-    """Counts of 64-bit keys, handed on when there are many."""
+    """Counts of n-grams by key, with what identifies each, handed on when there are many."""
 
-    def __init__(self):
-        self.keys, self.counts, self.loose, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+    def __init__(self, names: list[str]):
+        self.names, self.rows, self.counts = names, np.zeros((len(names), 0), np.int64), np.zeros(0, np.int64)
+        self.loose, self.n = [], 0
 
-    def add(self, keys: np.ndarray) -> pa.RecordBatch | None:
-        self.loose.append(keys)
-        self.n += len(keys)
+    def add(self, rows: np.ndarray) -> pa.RecordBatch | None:
+        """rows: one for each name, the first of which is the key."""
+        self.loose.append(rows)
+        self.n += rows.shape[1]
         if self.n < HELD:
             return None
         self._merge()
-        return self.flush() if len(self.keys) >= 2 * HELD else None
+        return self.flush() if len(self.counts) >= 2 * HELD else None
 
     def _merge(self) -> None:
-        keys = np.concatenate([self.keys, *self.loose])
+        rows = np.concatenate([self.rows, *self.loose], axis=1)
         counts = np.concatenate([self.counts, np.ones(self.n, np.int64)])
-        self.keys, back = np.unique(keys, return_inverse=True)
-        self.counts = np.bincount(back, counts, len(self.keys)).astype(np.int64)
+        order = np.argsort(rows[0], kind="stable")
+        key = rows[0][order]
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.rows, self.counts = rows[:, order[new]], np.add.reduceat(counts[order], new) if len(new) else counts
         self.loose, self.n = [], 0
 
     def flush(self) -> pa.RecordBatch | None:
         if self.n:
             self._merge()
-        out = pa.RecordBatch.from_arrays([pa.array(self.keys), pa.array(self.counts)], names=["key", "n"]) if len(self.keys) else None
-        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return out
-
-
-class Vocabulary:
-    """The frequent n-grams by order; n-gram of order k: place of its first k-1 words' n-gram << 32 | id of the last word."""
-
-    def __init__(self, words: np.ndarray):
-        self.words, self.grams = words, []
-
-    def ids(self, t: np.ndarray) -> np.ndarray:
-        return lookup(self.words, t.view(np.int64))
-
-    def places(self, ids: np.ndarray, first: np.ndarray, order: int) -> np.ndarray:
-        """Place of the n-gram of an order that ends at each token, or -1."""
-        at = ids
-        for k in range(2, order + 1):
-            at = lookup(self.grams[k - 2], self.keys(at, ids, first))
-        return at
-
-    @staticmethod
-    def keys(at: np.ndarray, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The key of the n-gram one longer than those at the token before; -1 where there is none."""
-        out = np.full(len(ids), -1, np.int64)
-        ok = (at[:-1] >= 0) & (ids[1:] >= 0)
-        out[1:] = np.where(ok, at[:-1] << 32 | ids[1:], -1)
-        inner = first[:-1]
-        out[inner[inner < len(out)]] = -1
+        out = pa.RecordBatch.from_arrays([*map(pa.array, self.rows), pa.array(self.counts)], names=[*self.names, "n"]) if len(self.counts) else None
+        self.rows, self.counts = self.rows[:, :0], self.counts[:0]
         return out
 
 
@@ -123,11 +96,11 @@ def lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def counted(docs: DataFrame, make) -> DataFrame:
-    """(key, n) over the keys that make(tokens, first) gives for training texts."""
+def counted(docs: DataFrame, make, names: tuple[str, ...] = ("key",), by: tuple[str, ...] = ("key",)) -> DataFrame:
+    """Sums n of the n-grams that make(tokens, first) gives for training texts, a row for each of names; ``by`` tells n-grams apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Counter()
+        c = Counter(list(names))
         for b in batches:
             for _, t, first in tokens(b.column(0)):
                 if out := c.add(make(t, first)):
@@ -135,161 +108,10 @@ def counted(docs: DataFrame, make) -> DataFrame:
         if out := c.flush():
             yield out
 
-    return docs.where("not _held").select("_text").mapInArrow(run, "key long, n long").repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def hash_buckets(docs: DataFrame, vocabulary, least: int) -> np.ndarray:
-    """Which of 2^BUCKETS buckets of frequent words' pairs reach the bound, as a bitmap of fixed size."""
-    wide = 1 << 12  # counters a row
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << BUCKETS, np.int32)
-        for b in batches:
-            for _, t, first in tokens(b.column(0)):
-                ids = vocabulary.value.ids(t)
-                np.add.at(held, bucket((k := Vocabulary.keys(ids, ids, first))[k >= 0]), 1)
-        rows = held.reshape(-1, wide)
-        full = np.flatnonzero(rows.any(axis=1))
-        if len(full):
-            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([r.tobytes() for r in rows[full]])], names=["block", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total = None, np.zeros(wide, np.int64)
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([at]), pa.array([np.packbits(total >= least).tobytes()])], names=["block", "bits"])
-        for b in batches:
-            for block, counts in zip(b.column(0).to_pylist(), b.column(1)):
-                if block != at:
-                    if at is not None:
-                        yield out()
-                    at, total = block, np.zeros(wide, np.int64)
-                total += np.frombuffer(counts.as_buffer(), np.int32)
-        if at is not None:
-            yield out()
-
-    sums = docs.where("not _held").select("_text").mapInArrow(run, "block long, counts binary")
-    sums = sums.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block long, bits binary")
-    bits = np.zeros(1 << BUCKETS, bool)
-    for r in sums.toLocalIterator():  # 2^BUCKETS bits in all
-        bits[r.block * wide : (r.block + 1) * wide] = np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
-    return bits
-
-
-def bucket(keys: np.ndarray) -> np.ndarray:
-    return (_text.mixed(keys.view(np.uint64)) >> np.uint64(64 - BUCKETS)).astype(np.int64)
-
-
-class Tree:
-    """Arrays by depth d: back[d][context] is log10 of the factor on the parent's probability where the context is kept, else nan;
-    entry[d][n-gram of order d + 1] is log10 p where the symbol is stored at a kept context, else nan."""
-
-    def __init__(self, vocabulary: Vocabulary, counts: list[np.ndarray], n: int, v: int):
-        self.vocabulary, self.total = vocabulary, n + 0.5 * (v + 1)
-        self.root = np.log10((counts[0] + 0.5) / self.total)
-        self.back, self.entry = [None], [None]
-        kept: list[np.ndarray] = [np.ones(1, bool)]
-        raw = []
-        p_parent_of = 10**self.root  # by last word, for depth 1
-        for d in range(1, len(counts)):
-            grams = vocabulary.grams[d - 1]
-            context, last = grams >> 32, grams & 0xFFFFFFFF
-            c = counts[d - 1].astype(float)
-            parent = p_parent_of[last] if d == 1 else self._p(d - 1, self._suffix(grams, d), last)
-            own = counts[d] / c[context]
-            stored_ = np.maximum(own / parent, parent / own) >= RATIO
-            gain = np.bincount(context[stored_], (counts[d] * np.log(own / parent))[stored_], len(c))
-            s = np.bincount(context[stored_], counts[d][stored_].astype(float), len(c))
-            keep = gain >= GAIN
-            back = np.where(keep, np.log10((c - s + 1) / (c + 1)), np.nan)
-            entry = np.where(stored_ & keep[context], np.log10((counts[d] + (c - s + 1)[context] * parent) / (c[context] + 1)), np.nan)
-            raw.append((context, s, c))
-            kept.append(keep)
-            self.back.append(back)
-            self.entry.append(entry)
-        # ancestors of kept nodes are nodes: one without stored symbols passes its parent's distribution on
-        for d in range(len(counts) - 1, 1, -1):
-            if not len(vocabulary.grams[d - 2]):
-                continue
-            up = self._suffix_context(d)
-            child = ~np.isnan(self.back[d])
-            need = up[child & (up >= 0)]
-            bare = need[np.isnan(self.back[d - 1][need])]
-            self.back[d - 1][bare] = 0.0
-
-    def _suffix_context(self, d: int) -> np.ndarray:
-        """For each context of depth d (an n-gram of order d): the place of its last d-1 words, of order d-1."""
-        return self._drop_first(self.vocabulary.grams[d - 2], d)
-
-    def _drop_first(self, grams: np.ndarray, order: int) -> np.ndarray:
-        """Place of each n-gram of an order without its first word, among those of the order below."""
-        prefix, last = grams >> 32, grams & 0xFFFFFFFF
-        if order == 2:
-            return last
-        short = self._drop_first(self.vocabulary.grams[order - 3], order - 1)[prefix]
-        return np.where(short >= 0, lookup(self.vocabulary.grams[order - 3], short << 32 | last), -1)
-
-    def _suffix(self, grams: np.ndarray, d: int) -> np.ndarray:
-        """The n-gram (order d) left of an n-gram of order d + 1 without its first word, as (context place of depth d-1)."""
-        prefix = grams >> 32
-        return self._drop_first(self.vocabulary.grams[d - 2], d)[prefix]
-
-    def _p(self, d: int, context: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """p(last | context) for contexts of depth d (places of n-grams of order d, or -1: then a shorter one)."""
-        lower = 10 ** self.root[last] if d == 1 else self._p(d - 1, np.where(context >= 0, self._drop_first(self.vocabulary.grams[d - 2], d)[np.maximum(context, 0)], -1), last)
-        here = context >= 0
-        back = np.where(here, self.back[d][np.maximum(context, 0)], np.nan)
-        at = lookup(self.vocabulary.grams[d - 1], np.where(here, context << 32 | last, -1))
-        entry = np.where(at >= 0, self.entry[d][np.maximum(at, 0)] if len(self.entry[d]) else np.nan, np.nan)
-        return np.where(np.isnan(back), lower, np.where(np.isnan(entry), 10 ** np.where(np.isnan(back), 0, back) * lower, 10 ** np.where(np.isnan(entry), 0, entry)))
-
-    def score(self, t: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By token: its id (-1: rare), log10 of the root's probability and of the tree's; for a rare token without its root's."""
-        v = self.vocabulary
-        ids = v.ids(t)
-        base = np.where(ids >= 0, self.root[np.maximum(ids, 0)] if len(self.root) else 0.0, 0.0)
-        out, at = base.copy(), ids
-        for d in range(1, len(self.back)):
-            if not len(v.grams[d - 1]):
-                break
-            context = np.full(len(ids), -1, np.int64)
-            context[1:] = at[:-1]
-            context[first[:-1]] = -1
-            back = np.where(context >= 0, self.back[d][np.maximum(context, 0)], np.nan)
-            at = lookup(v.grams[d - 1], v.keys(at, ids, first))
-            entry = np.where(at >= 0, self.entry[d][np.maximum(at, 0)], np.nan)
-            out = np.where(np.isnan(back), out, np.where(np.isnan(entry), out + np.nan_to_num(back), np.nan_to_num(entry)))
-        return ids, base, out
-
-
-def train(docs: DataFrame, depth: int = DEPTH, p_min: float = P_MIN) -> tuple[DataFrame, int, int, Tree]:
-    """docs: (_held, _text). The unigram table (key, n), training tokens, distinct ones, and the tree."""
-    sc = docs.sparkSession.sparkContext
-    unigrams = stored(counted(docs, lambda t, first: t.view(np.int64)), "unigrams")
-    n, v = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(2, math.ceil(p_min * n))
-
-    def frequent(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        rows = table.where(F.col("n") >= least).toPandas().sort_values("key")  # at most 1 / p_min rows
-        return rows.key.to_numpy(np.int64), rows.n.to_numpy(np.int64)
-
-    words, c = frequent(unigrams)
-    vocabulary, counts = Vocabulary(words), [c]
-    for order in range(2, depth + 2):
-        sent = sc.broadcast(vocabulary)
-        full = sc.broadcast(hash_buckets(docs, sent, least)) if order == 2 else None
-
-        def make(t: np.ndarray, first: np.ndarray, sent=sent, full=full, order=order) -> np.ndarray:
-            ids = sent.value.ids(t)
-            keys = Vocabulary.keys(sent.value.places(ids, first, order - 1), ids, first)
-            keys = keys[keys >= 0]
-            return keys if full is None else keys[full.value[bucket(keys)]]
-
-        keys, c = frequent(counted(docs, make))
-        vocabulary = Vocabulary(words)
-        vocabulary.grams = [*sent.value.grams, keys]
-        counts.append(c)
-        if not len(keys):
-            break
-    return unigrams, n, v, Tree(vocabulary, counts, n, v)
+    found = docs.where("not _held").select("_text").mapInArrow(run, ", ".join(f"{x} long" for x in (*names, "n")))
+    if "key" not in by:
+        found = found.drop("key")
+    return found.repartition(*by).groupBy(*by).agg(F.sum("n").alias("n"), *[F.first(x).alias(x) for x in names if x not in by and x != "key"])
 
 
 def gram_keys(t: np.ndarray, order: int) -> np.ndarray:
@@ -325,69 +147,57 @@ def looked_up(rows: DataFrame, column: str, table: DataFrame, least: int, how: s
     return rows.join(head, column).unionByName(rows.join(F.broadcast(head.select(column)), column, "left_anti").join(tail, column, how))
 
 
-def frequent_grams(docs: DataFrame, unigrams: DataFrame, depth: int, least: int) -> DataFrame:
-    """(order, key, ctx, short, n) of n-grams of 2 to depth + 1 words; ctx: without the last word, short: without the first."""
-    spark, orders = docs.sparkSession, range(2, depth + 2)
-    bits, made, total = bitmap(unigrams.where(F.col("n") >= least)), None, 0
-    for k in orders:
-        shorter = spark.sparkContext.broadcast(bits)
+def paired(found: DataFrame) -> DataFrame:
+    """(key, ctx, short, n) from (ctx, short, n) of word pairs."""
 
-        def make(t: np.ndarray, first: np.ndarray, k=k, shorter=shorter) -> np.ndarray:
-            """An n-gram is no more frequent than the two in it that are a word shorter."""
-            ok, at = marked(shorter.value, gram_keys(t, k - 1)), begins(first, k)
-            return gram_keys(t, k)[at[ok[at] & ok[at + 1]]].view(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, z = (b.column(k).to_numpy().view(np.uint64) for k in range(2))
+            both = np.stack([a, z], axis=1).reshape(-1)
+            key = _text.windows(both, 2)[::2] if len(both) else both
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *b.columns], names=["key", "ctx", "short", "n"])
 
-        part = stored(counted(docs, make).where(F.col("n") >= least), "frequent")
-        released(spark)
-        bits = bitmap(part)
-        made, total = (part if made is None else made.unionByName(part)), total | bits
-    sent = spark.sparkContext.broadcast(total)
+    return found.select("ctx", "short", "n").mapInArrow(run, "key long, ctx long, short long, n long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
 
-        def out() -> pa.RecordBatch:
-            x = np.concatenate(held, axis=1)
-            _, at = np.unique(x[1], return_index=True)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in x[:, at]], names=["order", "key", "ctx", "short"])
+def frequent_grams(docs: DataFrame, unigrams: DataFrame, depth: int, least: int) -> list[DataFrame]:
+    """(key, ctx, short, n) of n-grams of 2, 3, .. depth + 1 words, a table each; ctx: without the last word, short: without the first.
+    A word pair is told apart by its words, so that it is shuffled without its key, longer ones, far fewer, by their keys."""
+    spark, out, bits = docs.sparkSession, [], bitmap(unigrams.where(F.col("n") >= least))
+    for k in range(2, depth + 2):
+        shorter = spark.sparkContext.broadcast(bits)
 
-        for b in batches:
-            for _, t, first in tokens(b.column(0)):
-                for k in orders:
-                    at = begins(first, k)
-                    key, shorter = gram_keys(t, k), gram_keys(t, k - 1)
-                    at = at[marked(sent.value, key[at])]
-                    held.append(np.stack([np.full(len(at), k), *(x.view(np.int64) for x in (key[at], shorter[at], shorter[at + 1]))]))
-                    n += len(at)
-                if n >= HELD:
-                    yield out()
-                    held, n = [], 0
-        if n:
-            yield out()
-
-    parts = docs.where("not _held").select("_text").mapInArrow(run, "order long, key long, ctx long, short long")
-    parts = parts.groupBy("key").agg(*[F.first(c).alias(c) for c in ("order", "ctx", "short")])
-    out = stored(parts.join(made, "key").select("order", "key", "ctx", "short", "n"), "grams")
-    released(spark)
+        def make(t: np.ndarray, first: np.ndarray, k=k, shorter=shorter) -> np.ndarray:
+            """An n-gram is no more frequent than the two in it that are a word shorter."""
+            part = gram_keys(t, k - 1)
+            ok, at = marked(shorter.value, part), begins(first, k)
+            at = at[ok[at] & ok[at + 1]]
+            return np.stack([gram_keys(t, k)[at], part[at], part[at + 1]]).view(np.int64)
+
+        found = counted(docs, make, ("key", "ctx", "short"), ("ctx", "short") if k == 2 else ("key",)).where(F.col("n") >= least)
+        out.append(stored(paired(found) if k == 2 else found.select("key", "ctx", "short", "n"), "grams"))
+        shorter.unpersist()
+        released(spark)
+        bits = bitmap(out[-1]) if k <= depth else bits
     return out
 
 
 def weights(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, head: float = HEAD) -> tuple[DataFrame, int, int, float, int]:
     """docs: (_held, _text). The table (key, n, lp, w), training tokens, distinct ones, the root's denominator, the count of a hot key.
     lp: log10 of the root's probability (null but for single tokens); w: what an occurrence of the n-gram adds to it."""
-    unigrams = stored(counted(docs, lambda t, first: t.view(np.int64)), "unigrams")
+    unigrams = stored(counted(docs, lambda t, first: t.view(np.int64)[None, :]), "unigrams")
     n, v = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, hot = n + 0.5 * (v + 1), max(2, math.ceil(head * n))
-    p = (F.col("n") + 0.5) / F.lit(total)
+    spark, temporary, p = docs.sparkSession, [], (F.col("n") + 0.5) / F.lit(total)
     made = unigrams.select("key", "n", F.log10(p).alias("lp"), F.lit(0.0).alias("w"))
     if depth and n:
         grams, below = frequent_grams(docs, unigrams, depth, least), unigrams.withColumn("p", p)
         for d in range(1, depth + 1):
-            rows = looked_up(grams.where(F.col("order") == d + 1), "ctx", below.select("key", "n", F.col("n").alias("c")), hot)
+            rows = looked_up(grams[d - 1], "ctx", below.select("key", "n", F.col("n").alias("c")), hot)
             rows = looked_up(rows, "short", below.select("key", "n", F.col("p").alias("parent")), hot)
             own = F.col("n") / F.col("c")
             rows = rows.withColumn("apart", F.greatest(own / F.col("parent"), F.col("parent") / own) >= RATIO)
-            rows = stored(rows.withColumn("gain", F.when(F.col("apart"), F.col("n") * F.log(own / F.col("parent"))).otherwise(0.0)), "rows")
+            rows = apart = stored(rows.withColumn("gain", F.when(F.col("apart"), F.col("n") * F.log(own / F.col("parent"))).otherwise(0.0)), "rows")
             nodes = rows.groupBy(F.col("ctx").alias("key")).agg(F.max("c").alias("n"), F.sum(F.when(F.col("apart"), F.col("n")).otherwise(0)).alias("s"), F.sum("gain").alias("gain"))
             nodes = stored(nodes.where(F.col("gain") >= GAIN).drop("gain"), "nodes")
             rows = looked_up(rows.drop("gain"), "ctx", nodes, hot, "left")
@@ -399,12 +209,18 @@ def weights(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, head: float
                 F.when(kept & F.col("apart"), F.log10(entry) - F.log10(back * F.col("parent"))).alias("w"),
             )
             below = stored(rows, "probabilities")
-            released(docs.sparkSession)
+            temporary += [below, nodes]
+            for x in (grams[d - 1], apart):
+                dropped(spark, x)
+            released(spark)
             none = F.lit(None).cast("double").alias("lp")
             made = made.unionByName(below.where("w is not null").select("key", "n", none, "w"))
             made = made.unionByName(nodes.select("key", "n", none, F.log10((F.col("n") - F.col("s") + 1) / (F.col("n") + 1)).alias("w")))
     made = made.groupBy("key").agg(F.max("n").alias("n"), F.max("lp").alias("lp"), F.sum("w").alias("w"))
-    return stored(made, "weights"), n, v, total, hot
+    out = stored(made, "weights")
+    for x in (unigrams, *temporary):
+        dropped(spark, x)
+    return out, n, v, total, hot
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, least: int = LEAST, folds: int = 5, held_fold: int = 1, head: float = HEAD) -> DataFrame:

@@ -263,47 +263,72 @@ def test_suffix_tree(docs):
     assert held[1] > held[0]
 
 
-def test_suffix_tree_sums_to_one(spark):
-    """Over all frequent symbols and the rest of the root's mass."""
-    rows = [(k, "the cat sat on the mat and the cat ran to the mat " * 3 + "a b c " * (k % 3)) for k in range(40)]
-    d = spark.createDataFrame(rows, "_id long, _text string").withColumn("_held", F.lit(False))
-    _, n, v, tree = suffix_tree_lm.train(d, 3, 1e-9)
-    assert any((~np.isnan(b)).any() for b in tree.back[1:])
-    words = tree.vocabulary.words
-    for history in (["the"], ["the", "cat"], ["on", "the"], ["zzz"], ["sat", "on", "the"]):
-        import pyarrow as pa
-
-        hashes = next(suffix_tree_lm.tokens(pa.array([" ".join(history)])))[1][:-1]
-        total = 0.0
-        for w in words.view(np.uint64):
-            t = np.append(hashes, w)
-            total += 10 ** tree.score(t, np.array([0, len(t)]))[2][-1]
-        t = np.append(hashes, np.uint64(12345))
-        unseen = 10 ** tree.score(t, np.array([0, len(t)]))[2][-1]  # the factor on the root's probability
-        assert total + unseen * 0.5 / tree.total == pytest.approx(1.0)
+class BruteTree:
+    """The tree word by word in dictionaries, from the definition."""
+
+    def __init__(self, texts, depth=suffix_tree_lm.DEPTH, least=suffix_tree_lm.LEAST):
+        self.depth, self.least = depth, least
+        self.count = collections.Counter(tuple(w[k : k + m]) for w in texts for m in range(1, depth + 2) for k in range(len(w) - m + 1))
+        self.n = sum(len(w) for w in texts)
+        self.v = sum(len(g) == 1 for g in self.count)
+        self.next = collections.defaultdict(list)
+        for g, c in self.count.items():
+            if len(g) > 1 and c >= least:
+                self.next[g[:-1]].append(g[-1])
+        self.nodes, self.known = {}, {}
+
+    def node(self, context):
+        """Stored symbols and B / (C + 1) of a kept context, else None."""
+        if context not in self.nodes:
+            held, gain, c = [], 0.0, self.count[context]
+            for t in self.next.get(context, ()):
+                own, parent = self.count[*context, t] / c, self.p(context[1:], t)
+                if max(own / parent, parent / own) >= suffix_tree_lm.RATIO:
+                    held.append(t)
+                    gain += self.count[*context, t] * math.log(own / parent)
+            b = c - sum(self.count[*context, t] for t in held) + 1
+            self.nodes[context] = (set(held), b / (c + 1)) if gain >= suffix_tree_lm.GAIN else None
+        return self.nodes[context]
+
+    def p(self, context, t):
+        if (context, t) not in self.known:
+            if not context:
+                out = (self.count[(t,)] + 0.5) / (self.n + 0.5 * (self.v + 1))
+            else:
+                out, node = self.p(context[1:], t), self.node(context)
+                if node:
+                    out *= node[1]
+                    if t in node[0]:
+                        out += self.count[*context, t] / (self.count[context] + 1)
+            self.known[context, t] = out
+        return self.known[context, t]
 
+    def score(self, w):
+        return sum(math.log10(self.p(tuple(w[max(0, k - self.depth) : k]), w[k])) for k in range(len(w)))
 
-def test_suffix_tree_odd(odd, empty):
-    rows = suffix_tree_lm.score(odd).collect()
-    assert len(rows) == len(ODD) and all(not r.held_out for r in rows if r.doc_id is None) and all(r.n_tokens >= 1 for r in rows)
-    assert suffix_tree_lm.score(empty).count() == 0
+
+def of_words(text):
+    return [*WORD.findall(low(text)), None]
 
 
 @pytest.mark.parametrize("head", [suffix_tree_lm.HEAD, 1e-3, 1.0])
-def test_suffix_tree_tables(docs, head):
-    """The tables give what the tree in memory gives, whether keys are sent or shuffled."""
+def test_suffix_tree_against_brute_force(docs, head):
+    """Every text's score, whether keys are sent or shuffled, with many, few and no contexts kept."""
     rows = [tuple(r) for r in docs.collect()]
-    held = {name: zlib.crc32(str(name).encode()) % 5 == 1 for name, _ in rows}
-    d = docs.select(F.col("text").alias("_text"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1).alias("_held"))
-    _, n, _, tree = suffix_tree_lm.train(d, p_min=1e-12)
+    tree = BruteTree([of_words(x) for name, x in rows if zlib.crc32(str(name).encode()) % 5 != 1])
     got = {r.doc_id: r for r in suffix_tree_lm.score(docs, head=head).collect()}
-    import pyarrow as pa
-
     for name, text in rows:
-        _, t, first = next(suffix_tree_lm.tokens(pa.array([text])))
-        ids, _, out = tree.score(t, first)
-        once = got[name].base_score - tree.root[ids[ids >= 0]].sum()  # tokens that the tree doesn't hold
-        assert got[name].score == pytest.approx(out.sum() + once) and got[name].held_out == held[name]
+        assert got[name].score == pytest.approx(tree.score(of_words(text)))
+    assert sum(x is not None for x in tree.nodes.values()) > 100
+    known = [t for (t,) in [g for g in tree.count if len(g) == 1]]
+    for context in [c for c, x in tree.nodes.items() if x][:20]:  # probabilities over all known tokens and an unknown one sum to one
+        assert sum(tree.p(context, t) for t in known) + tree.p(context, "never seen") == pytest.approx(1.0)
+
+
+def test_suffix_tree_odd(odd, empty):
+    rows = suffix_tree_lm.score(odd).collect()
+    assert len(rows) == len(ODD) and all(not r.held_out for r in rows if r.doc_id is None) and all(r.n_tokens >= 1 for r in rows)
+    assert suffix_tree_lm.score(empty).count() == 0
 
 
 def test_suffix_tree_floor_does_not_rise(spark):
