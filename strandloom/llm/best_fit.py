@@ -7,9 +7,12 @@ size, meet in a successor sweep: the ranks of the length take, in order, the sma
 rank decides which piece gets which gap, so no two ask for the same one. Gaps are updated and the next superstep follows.
 
 Pieces and gaps are run-length coded: a run is a length (or gap) and an interval of ranks (or
-sequences). There are at most ``capacity`` lengths whatever the input, so the sweep's state
-doesn't grow with the data, while every row is ranked and placed on the executors. The
-result equals best-fit decreasing on single rows.
+sequences). Best fit puts the next piece of the length into the gap that it has just cut, while that still holds one, so a gap of
+size g takes g // l pieces before the next gap of its size is looked at; a superstep gives whole runs of gaps their pieces so, and the remainder
+to one gap more. The result equals best-fit decreasing on single pieces (equal gaps are taken in any order).
+
+The sweep over runs is the one part that is not distributed. Its state is bounded by the capacity, not by the data: there are at most ``capacity`` lengths
+and gap sizes, and runs level off (README has figures), while every row is ranked and placed on the executors.
 
 Defined results: a null or empty text is the end id alone; repeated rows and ids are separate documents; an empty table
 gives no rows; other columns are ignored.
@@ -57,14 +60,14 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
     return docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string")).mapInArrow(run, PIECES)
 
 
-def sweep(lengths: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, rank after the last, first sequence, offset) from the number of pieces of each length."""
+def sweep(lengths: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Runs (length, first rank, rank after the last, first sequence, pieces a sequence, offset of its first) from the number of pieces of each length."""
     gaps: list[int] = []  # sizes, sorted
     held: dict[int, list[tuple[int, int]]] = {}  # size -> runs of sequences (first, count)
     out, opened = [], 0
 
     def free(size: int, first: int, count: int) -> None:
-        if size:
+        if size and count:
             if size not in held:
                 bisect.insort(gaps, size)
                 held[size] = []
@@ -74,20 +77,25 @@ def sweep(lengths: dict[int, int], capacity: int) -> list[tuple[int, int, int, i
         rank, n = 0, lengths[length]
         while rank < n:
             at = bisect.bisect_left(gaps, length)
+            size = gaps[at] if at < len(gaps) else capacity
+            deep, left = size // length, n - rank
             if at < len(gaps):
-                size = gaps[at]
                 first, count = held[size].pop()
-                took = min(count, n - rank)
+                took = min(count, -(-left // deep))
                 if took < count:
                     held[size].append((first + took, count - took))
                 elif not held[size]:
                     del held[size], gaps[at]
-            else:  # as many new sequences as these pieces fill
-                size, first, took = capacity, opened, -(-(n - rank) // (capacity // length))
+            else:  # no gap holds the length: new sequences
+                first, took = opened, -(-left // deep)
                 opened += took
-            out.append((length, rank, rank + took, first, capacity - size))
-            free(size - length, first, took)
-            rank += took
+            full = min(took, left // deep)
+            put = min(left, took * deep)
+            out.append((length, rank, rank + put, first, deep, capacity - size))
+            free(size - deep * length, first, full)
+            if full < took:  # the last one takes the remainder
+                free(size - (put - full * deep) * length, first + full, 1)
+            rank += put
     return out
 
 
@@ -107,11 +115,15 @@ def packed(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = made.sparkSession
     lengths = {r.length: r.n for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     runs = sweep(lengths, capacity)
-    plan = spark.createDataFrame(runs, "length long, lo long, hi long, first long, offset long")
+    plan = spark.createDataFrame(runs, "length long, lo long, hi long, first long, deep long, begin long")
     rows = ranked(made)
+    nth = F.col("rank") - F.col("lo")
     on = (rows["length"] == plan["length"]) & (rows["rank"] >= plan["lo"]) & (rows["rank"] < plan["hi"])
     plan = F.broadcast(plan) if len(runs) <= 200_000 else plan
-    return rows.join(plan, on).select("doc_id", "piece", "start", rows["length"], "ids_crc32", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
+    return rows.join(plan, on).select(
+        "doc_id", "piece", "start", rows["length"], "ids_crc32",
+        (F.col("first") + (nth / F.col("deep")).cast("long")).alias("sequence_id"), (F.col("begin") + nth % F.col("deep") * rows["length"]).alias("offset"),
+    )
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -75,22 +75,36 @@ def test_best_fit_odd(odd, empty):
     assert best_fit.pack(empty).count() == 0
 
 
-def test_sweep_is_best_fit_decreasing():
+@pytest.mark.parametrize("kind", ["spread", "clumped", "three"])
+def test_sweep_is_best_fit_decreasing(kind):
+    """Piece by piece: the same number of sequences with the same room left, and places that are gapless."""
     r = random.Random(4)
-    for _ in range(30):
-        lengths = [r.randrange(1, 65) for _ in range(r.randrange(1, 120))]
-        runs = best_fit.sweep(collections.Counter(lengths), 64)
-        gaps, opened = [], 0
+    for trial in range(60):
+        if kind == "three":
+            lengths, capacity = [600] * 4 + [500] * 2 + [400] * (trial % 3 + 1), 2048
+        elif kind == "spread":
+            lengths, capacity = [r.randrange(1, 65) for _ in range(r.randrange(1, 120))], 64
+        else:
+            sizes = [r.randrange(1, 65) for _ in range(r.randrange(1, 6))]
+            lengths, capacity = [r.choice(sizes) for _ in range(r.randrange(1, 200))], 64
+        gaps = []
         for n in sorted(lengths, reverse=True):
             fit = [g for g in gaps if g >= n]
+            gaps.append((min(fit) if fit else capacity) - n)
             if fit:
                 gaps.remove(min(fit))
-                gaps.append(min(fit) - n)
-            else:
-                opened += 1
-                gaps.append(64 - n)
-        assert max(first + hi - lo for _, lo, hi, first, _ in runs) == opened
-        assert sum(hi - lo for _, lo, hi, _, _ in runs) == len(lengths)
+        seq = collections.defaultdict(list)
+        for length, lo, hi, first, deep, begin in best_fit.sweep(collections.Counter(lengths), capacity):
+            for rank in range(hi - lo):
+                seq[first + rank // deep].append((begin + rank % deep * length, length))
+        ends = []
+        for v in seq.values():
+            v.sort()
+            assert v[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(v, v[1:]))
+            ends.append(capacity - sum(v[-1]))
+        assert sorted(ends) == sorted(gaps) and sum(map(len, seq.values())) == len(lengths)
+    if kind == "three":
+        assert len(gaps) == 3 and len(best_fit.sweep({600: 4, 500: 2, 400: 1}, 2048)) and max(x[3] for x in best_fit.sweep({600: 4, 500: 2, 400: 1}, 2048)) == 1
 
 
 def test_matrix_round_trip(spark, odd, empty):
