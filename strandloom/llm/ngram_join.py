@@ -338,9 +338,23 @@ def picked(sets: DataFrame, column: str, ids: DataFrame, how: str) -> DataFrame:
     return sets.join(ids.withColumnRenamed(ids.columns[0], "_id"), F.col(column) == F.col("_id"), how)
 
 
-def first_round(member: DataFrame, heads: DataFrame) -> DataFrame:
-    """(shard, part, cls): each class in the shard of the class that is the smallest of most of its keys, which is in all parts of it itself."""
-    own = member.groupBy("cls").agg(F.mode("pivot", deterministic=True).alias("shard"))
+def clusters(member: DataFrame, own: DataFrame) -> DataFrame:
+    """(node, label): classes that shared keys connect, member: (key, cls), own: (cls, shard). Classes are first connected to the class that they share
+    most keys with; only what keys connect beyond that is connected in a second step, on the labels of the first."""
+    near = components(own.select(F.col("cls").alias("a"), F.col("shard").alias("b")))
+    near = stored(own.join(near, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("label", "cls").alias("at")), "near")
+    held = stored(member.select("key", "cls").join(near, "cls").groupBy("key", "at").agg(F.lit(1)).select("key", "at"), "held")
+    least = held.groupBy("key").agg(F.min("at").alias("a"), F.max("at").alias("most")).where("a < most").select("key", "a")
+    across = stored(held.join(least, "key").where("at <> a").select("a", F.col("at").alias("b")).distinct(), "across")
+    joined = components(across)
+    out = stored(near.join(joined, F.col("at") == F.col("node"), "left").select(F.col("cls").alias("node"), F.coalesce("label", "at").alias("label")), "clusters")
+    for x in (near, held, across, joined):
+        dropped(member.sparkSession, x)
+    return out
+
+
+def first_round(own: DataFrame, heads: DataFrame) -> DataFrame:
+    """(shard, part, cls): each class in the shard of the class that is the smallest of most of its keys (own), which is in all parts of it itself."""
     n = heads.select("cls", "n_shingles")
     wide = own.join(n, "cls").groupBy("shard").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("e")).withColumn("parts", blocks("m", "e"))
     own = own.join(wide.select("shard", "parts"), "shard")
@@ -382,17 +396,19 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     released(spark)
     candidates = stored(member.select("cls").distinct(), "candidates")
     heads = picked(heads, "cls", candidates, "left_semi")
-    cluster = components(member.where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
+    own = stored(member.groupBy("cls").agg(F.mode("pivot", deterministic=True).alias("shard")), "own")
+    cluster = clusters(member, own)
     size_of = cluster.join(heads.select("cls", "n_shingles"), F.col("node") == F.col("cls")).groupBy("label").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("e"))
     size_of = stored(size_of.select("label", (blocks("m", "e") > 1).alias("large")), "sizes")
     zero = F.lit(0).cast("long")
     place = cluster.join(size_of.where("not large"), "label").select(F.col("label").alias("shard"), zero.alias("part"), F.col("node").alias("cls"))
-    large, far, temporary = size_of.where("large"), None, [candidates, repeats, size_of, cluster, member]
+    large, far, temporary = size_of.where("large"), None, [candidates, repeats, size_of, cluster, member, own]
     if large.limit(1).count():
-        member = stored(member.join(cluster.join(large, "label").select(F.col("node").alias("cls")), "cls", "left_semi"), "members")
-        far = stored(first_round(member, heads), "places")
+        within = stored(cluster.join(large, "label").select(F.col("node").alias("cls")), "within")
+        member = stored(member.join(within, "cls", "left_semi"), "members")
+        far = stored(first_round(own.join(within, "cls", "left_semi"), heads), "places")
         place = place.unionByName(far)
-        temporary += [member, far]
+        temporary += [within, member, far]
     at = place.select("shard", F.col("part").alias("lo"), F.col("part").alias("hi"), "cls", F.col("cls").alias("comp"), zero.alias("side"))
     edges = stored(shard_links(at.join(heads.select("cls", "elements"), "cls"), p), "links")
     comp = components(edges)

@@ -10,7 +10,8 @@ kept suffix of each token's history.
 
 Scale. Counts and nodes are tables that grow with the input. A text's score is a sum over its n-grams: log p of each token at the root,
 log(B / (C + 1)) of each kept context that a token follows, and for each stored symbol what its own entry adds to that. So
-``weights`` gives each n-gram one number and scoring is a join on the n-gram. Keys above a share of ``HEAD`` (at most 1 / HEAD
+``weights`` gives each n-gram one number and scoring is a join on the n-gram. Counts and lookups are shuffled by buckets of hashed keys, whose
+number grows with the input, as packed arrays, so that a task holds one bucket's keys at a time. Keys above a share of ``HEAD`` (at most 1 / HEAD
 an order) are looked up in a broadcast, since they would be hot in a shuffle, all others by a shuffle. A
 bitmap of 2^``BITS`` hashes leaves out keys that have no row, which loses none.
 
@@ -39,7 +40,8 @@ LEAST = 3
 HEAD = 1e-6
 BITS = 27
 END = np.uint64(0x1D8E4E27C47D124F)
-HELD = 1 << 20  # distinct keys that a task counts before it passes them on
+HELD = 1 << 19  # distinct keys that a task counts before it passes them on
+BUCKET = 1 << 18  # keys of a bucket, about
 
 
 def tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -96,11 +98,11 @@ def lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def counted(docs: DataFrame, make, names: tuple[str, ...] = ("key",), by: tuple[str, ...] = ("key",)) -> DataFrame:
-    """Sums n of the n-grams that make(tokens, first) gives for training texts, a row for each of names; ``by`` tells n-grams apart."""
+def counted(docs: DataFrame, make) -> DataFrame:
+    """(key, n) over the keys that make(tokens, first) gives for training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Counter(list(names))
+        c = Counter(["key"])
         for b in batches:
             for _, t, first in tokens(b.column(0)):
                 if out := c.add(make(t, first)):
@@ -108,10 +110,79 @@ def counted(docs: DataFrame, make, names: tuple[str, ...] = ("key",), by: tuple[
         if out := c.flush():
             yield out
 
-    found = docs.where("not _held").select("_text").mapInArrow(run, ", ".join(f"{x} long" for x in (*names, "n")))
-    if "key" not in by:
-        found = found.drop("key")
-    return found.repartition(*by).groupBy(*by).agg(F.sum("n").alias("n"), *[F.first(x).alias(x) for x in names if x not in by and x != "key"])
+    return docs.where("not _held").select("_text").mapInArrow(run, "key long, n long").repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def buckets_for(rows: int) -> int:
+    """A power of two, so that a bucket of hashed keys holds some BUCKET of so many rows."""
+    return 1 << max(3, math.ceil(math.log2(max(1, rows) / BUCKET)))
+
+
+def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
+    return (_text.mixed(keys.view(np.uint64)) >> np.uint64(64 - n.bit_length() + 1)).astype(np.int64)
+
+
+def dealt(bucket: np.ndarray, side: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each bucket, with its part of each column as bytes; rows of a bucket must lie together."""
+    new = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    ends = np.append(new[1:], len(bucket))
+    parts = [pa.array([c[x:y].tobytes() for x, y in zip(new.tolist(), ends.tolist())], pa.binary()) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[new]), pa.array(np.full(len(new), side)), *parts], names=["bucket", "side", *(f"c{k}" for k in range(len(columns)))])
+
+
+def counted_grams(docs: DataFrame, make, order: int, least: int, tokens_in_all: int) -> DataFrame:
+    """(key, ctx, short, n) of the n-grams of n >= least, from the rows key, ctx, short that make(tokens, first) gives. They are shuffled by bucket,
+    packed; a pair of words without its key, which its words give."""
+    many, pairs = buckets_for(tokens_in_all), order == 2
+
+    def packed(c: pa.RecordBatch) -> pa.RecordBatch:
+        key, ctx, short, n = (x.to_numpy() for x in c.columns)
+        at = bucket_of(key, many)
+        o = np.lexsort((ctx, at))
+        return dealt(at[o], 0, [x[o] for x in ((ctx, short) if pairs else (ctx, short, key))] + [n[o].astype(np.uint32)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = Counter(["key", "ctx", "short"])
+        for b in batches:
+            for _, t, first in tokens(b.column(0)):
+                if out := c.add(make(t, first)):
+                    yield packed(out)
+        if out := c.flush():
+            yield packed(out)
+
+    def total(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        col = lambda k, t: np.concatenate([np.frombuffer(x.as_buffer(), t) for h in held for x in h.column(k)])
+        ctx, short = col(2, np.int64), col(3, np.int64)
+        key, n = pair_keys(ctx, short) if pairs else col(4, np.int64), col(-1, np.uint32).astype(np.int64)
+        o = np.argsort(key, kind="stable")
+        new = np.flatnonzero(np.concatenate([[True], np.diff(key[o]) != 0]))
+        n = np.add.reduceat(n[o], new)
+        o, n = o[new][n >= least], n[n >= least]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[o], ctx[o], short[o], n)], names=["key", "ctx", "short", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in by_bucket(batches):
+            yield total(held)
+
+    columns = ", ".join(f"c{k} binary" for k in range(3 if pairs else 4))
+    sent = docs.where("not _held").select("_text").mapInArrow(run, f"bucket long, side long, {columns}")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "key long, ctx long, short long, n long")
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of each bucket, from batches in order of bucket."""
+    held, at = [], None
+    for b in batches:
+        bucket = b.column(0).to_numpy()
+        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
+        for x, y in zip(cut, np.append(cut[1:], len(bucket)).tolist() if len(bucket) else []):
+            if bucket[x] != at and held:
+                yield held
+                held = []
+            at = bucket[x]
+            held.append(b.slice(x, y - x))
+    if held:
+        yield held
 
 
 def gram_keys(t: np.ndarray, order: int) -> np.ndarray:
@@ -147,22 +218,13 @@ def looked_up(rows: DataFrame, column: str, table: DataFrame, least: int, how: s
     return rows.join(head, column).unionByName(rows.join(F.broadcast(head.select(column)), column, "left_anti").join(tail, column, how))
 
 
-def paired(found: DataFrame) -> DataFrame:
-    """(key, ctx, short, n) from (ctx, short, n) of word pairs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, z = (b.column(k).to_numpy().view(np.uint64) for k in range(2))
-            both = np.stack([a, z], axis=1).reshape(-1)
-            key = _text.windows(both, 2)[::2] if len(both) else both
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *b.columns], names=["key", "ctx", "short", "n"])
+def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Keys of pairs of words."""
+    return _text.windows(np.stack([a, b], axis=1).reshape(-1).view(np.uint64), 2)[::2].view(np.int64)
 
-    return found.select("ctx", "short", "n").mapInArrow(run, "key long, ctx long, short long, n long")
 
-
-def frequent_grams(docs: DataFrame, unigrams: DataFrame, depth: int, least: int) -> list[DataFrame]:
-    """(key, ctx, short, n) of n-grams of 2, 3, .. depth + 1 words, a table each; ctx: without the last word, short: without the first.
-    A word pair is told apart by its words, so that it is shuffled without its key, longer ones, far fewer, by their keys."""
+def frequent_grams(docs: DataFrame, unigrams: DataFrame, depth: int, least: int, tokens_in_all: int) -> list[DataFrame]:
+    """(key, ctx, short, n) of n-grams of 2, 3, .. depth + 1 words, a table each; ctx: without the last word, short: without the first."""
     spark, out, bits = docs.sparkSession, [], bitmap(unigrams.where(F.col("n") >= least))
     for k in range(2, depth + 2):
         shorter = spark.sparkContext.broadcast(bits)
@@ -174,8 +236,7 @@ def frequent_grams(docs: DataFrame, unigrams: DataFrame, depth: int, least: int)
             at = at[ok[at] & ok[at + 1]]
             return np.stack([gram_keys(t, k)[at], part[at], part[at + 1]]).view(np.int64)
 
-        found = counted(docs, make, ("key", "ctx", "short"), ("ctx", "short") if k == 2 else ("key",)).where(F.col("n") >= least)
-        out.append(stored(paired(found) if k == 2 else found.select("key", "ctx", "short", "n"), "grams"))
+        out.append(stored(counted_grams(docs, make, k, least, tokens_in_all), "grams"))
         shorter.unpersist()
         released(spark)
         bits = bitmap(out[-1]) if k <= depth else bits
@@ -191,7 +252,7 @@ def weights(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, head: float
     spark, temporary, p = docs.sparkSession, [], (F.col("n") + 0.5) / F.lit(total)
     made = unigrams.select("key", "n", F.log10(p).alias("lp"), F.lit(0.0).alias("w"))
     if depth and n:
-        grams, below = frequent_grams(docs, unigrams, depth, least), unigrams.withColumn("p", p)
+        grams, below = frequent_grams(docs, unigrams, depth, least, n), unigrams.withColumn("p", p)
         for d in range(1, depth + 1):
             rows = looked_up(grams[d - 1], "ctx", below.select("key", "n", F.col("n").alias("c")), hot)
             rows = looked_up(rows, "short", below.select("key", "n", F.col("p").alias("parent")), hot)
@@ -270,14 +331,73 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: in
                 row += k
 
     made = stored(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, base double, model double, far long, none long, asked array<long>"), "scored")
-    found = made.select("row", F.explode("asked").alias("key")).join(rest, "key").groupBy("row").agg(F.sum("lp").alias("lp"), F.sum("w").alias("w"), F.count("lp").alias("seen"))
+    found = answered(made.select("row", "asked"), rest).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("lp", "w", "seen")])
     missed = F.col("far") - F.coalesce("seen", F.lit(0))
     lp = F.coalesce("lp", F.lit(0.0)) + missed * F.lit(unseen)
-    return made.join(found, "row", "left").select(
+    return made.drop("asked").join(found, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_tokens") - F.col("none") - missed).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + lp).alias("base_score"), (F.col("model") + lp + F.coalesce("w", F.lit(0.0))).alias("score"),
     )
 
 
+def answered(asked: DataFrame, table: DataFrame) -> DataFrame:
+    """(row, lp, w, seen): sums over the asked keys of a text that the table (key, lp, w) has, in parts. Both are shuffled by bucket, packed;
+    of each bucket, the table's part comes first and is held, those of the texts pass by."""
+    many = buckets_for(table.count())
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in range(0, len(b), 2000):
+                part = b.slice(x, 2000)
+                key, n = part.column(1).flatten().to_numpy(), np.diff(part.column(1).offsets.to_numpy())
+                row, at = np.repeat(part.column(0).to_numpy(), n), bucket_of(key, many)
+                o = np.argsort(at, kind="stable")
+                yield dealt(at[o], 1, [key[o], row[o], np.zeros(0)])
+
+    def know(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, lp, w = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            at = bucket_of(key, many)
+            o = np.argsort(at, kind="stable")
+            yield dealt(at[o], 0, [key[o], lp[o].astype(float), w[o].astype(float)])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, held = [], 0
+
+        def out() -> pa.RecordBatch:
+            x = [np.concatenate(c) for c in zip(*sums)]
+            rows, back = np.unique(x[0], return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(rows), *(pa.array(np.bincount(back, c, len(rows))) for c in x[1:3]), pa.array(np.bincount(back, x[3], len(rows)).astype(np.int64))], names=["row", "lp", "w", "seen"])
+
+        at, parts, known = None, [], None
+        for b in batches:
+            for bucket, side, c0, c1, c2 in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4)):
+                if bucket != at:
+                    at, parts, known = bucket, [], None
+                if side == 0:
+                    parts.append([np.frombuffer(c.as_buffer(), t) for c, t in ((c0, np.int64), (c1, float), (c2, float))])
+                    continue
+                if known is None:
+                    x = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+                    o = np.argsort(x[0], kind="stable")
+                    known, parts = [c[o] for c in x], []
+                key, row = np.frombuffer(c0.as_buffer(), np.int64), np.frombuffer(c1.as_buffer(), np.int64)
+                place = lookup(known[0], key)
+                there = place >= 0
+                place, row = place[there], row[there]
+                lp = known[1][place]
+                sums.append((row, np.nan_to_num(lp), known[2][place], ~np.isnan(lp)))
+                held += len(row)
+                if held >= 4 * HELD:
+                    yield out()
+                    sums, held = [], 0
+        if sums:
+            yield out()
+
+    schema = "bucket long, side long, c0 binary, c1 binary, c2 binary"
+    both = table.select("key", "lp", "w").mapInArrow(know, schema).unionByName(asked.mapInArrow(ask, schema))
+    return both.repartition("bucket").sortWithinPartitions("bucket", "side").mapInArrow(answer, "row long, lp double, w double, seen long")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
