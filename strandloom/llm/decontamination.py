@@ -12,7 +12,7 @@ a place of the window's first word that has each other word within ``slop`` word
 The benchmark is a stated query set: it is sent in blocks of at most ``BLOCK_WINDOWS`` windows.
 
 Defined results: null or empty texts have no words and no hits; an item without words has no
-window; repeated document rows are each reported; repeated items (same id) count once; an empty
+window; the words of an item without an id are hit, but it is no item that is counted or named; repeated document rows are each reported; repeated items (same id) count once; an empty
 benchmark leaves all documents clean; clashing extra columns are ignored by the report.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -88,9 +89,9 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seg
     return docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string")).mapInArrow(run, INDEX)
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, size: int, limit: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, list]]:
-    """The query set in blocks: windows (rows of term hashes), their lengths, their items. The driver holds one row of hashes a window, a block at a time goes to executors."""
-    blocks, wins, lens, owner, names = [], [], [], [], []
+def _blocks(benchmark: DataFrame, item_id: str, text: str, size: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list]]:
+    """The query set in blocks, of which the driver holds one at a time: windows (rows of term hashes), their lengths, their items."""
+    wins, lens, owner, names, held = [], [], [], [], 0
     it = benchmark.select(F.col(f"`{item_id}`").cast("string"), F.col(f"`{text}`").cast("string")).where(F.col(f"`{text}`").isNotNull()).distinct().toLocalIterator()
     for name, value in it:
         for r in _text.runs(pa.array([value]), _text.ALNUM):
@@ -104,12 +105,12 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, size: int, limit: int
             lens.append(np.full(len(own), n))
             owner.append(np.full(len(own), len(names)))
             names.append(name)
-            if sum(map(len, lens)) >= limit:
-                blocks.append((np.concatenate(wins), np.concatenate(lens), np.concatenate(owner), names))
-                wins, lens, owner, names = [], [], [], []
+            held += len(own)
+            if held >= limit:
+                yield np.concatenate(wins), np.concatenate(lens), np.concatenate(owner), names
+                wins, lens, owner, names, held = [], [], [], [], 0
     if wins:
-        blocks.append((np.concatenate(wins), np.concatenate(lens), np.concatenate(owner), names))
-    return blocks
+        yield np.concatenate(wins), np.concatenate(lens), np.concatenate(owner), names
 
 
 def _find(terms: np.ndarray, ends: np.ndarray, places: np.ndarray, wins: np.ndarray, lens: np.ndarray, slop: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -177,46 +178,83 @@ def _lower_bound(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.nd
     return lo
 
 
-def search(index: DataFrame, benchmark: DataFrame, item_id: str = "item_id", text: str = "text", size: int = WINDOW, slop: int | None = SLOP, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """One row a document row of the index: doc_id, n_words, n_hit, items (sorted strings with exact phrases), near_items."""
-    sc = index.sparkSession.sparkContext
-    blocks = [sc.broadcast(x) for x in _blocks(benchmark, item_id, text, size, block_windows)]
-    wanted = sorted({int(t) for b in blocks for t in np.unique(b.value[0].view(np.int64))}) if len(blocks) == 1 else None
+FOUND = "segment long, nth int, doc_id long, n_words long, starts array<long>, ends array<long>, whole boolean, items array<string>, near_items array<string>"
+
 
-    def run(_: tuple, part: pd.DataFrame) -> pd.DataFrame:
+def _searched(index: DataFrame, block, slop: int | None, every: bool) -> DataFrame:
+    """FOUND for one block of the query set; only documents with a match, or every one."""
+    sent = index.sparkSession.sparkContext.broadcast(block)
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         info = part[part.is_docs].iloc[0]
         rows = part[~part.is_docs].sort_values("term")
         doc_ids, n_words = list(info.doc_ids), np.array(info.n_words, np.int64)
-        items, near = [set() for _ in doc_ids], [set() for _ in doc_ids]
-        spans: list[np.ndarray] = []
+        found = [(set(), set()) for _ in doc_ids]
+        starts, ends_, whole = [[] for _ in doc_ids], [[] for _ in doc_ids], np.zeros(len(doc_ids), bool)
         if len(rows):
             terms = rows.term.to_numpy(np.int64)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in rows.places])]).astype(np.int64)
             places = np.concatenate([np.asarray(x, np.int64) for x in rows.places])
-            for b in blocks:
-                wins, lens, owner, names = b.value
-                w, p = _find(terms, ends, places, wins, lens, None)
-                for d, i in set(zip((p >> POS_BITS).tolist(), owner[w].tolist())):
-                    items[d].add(names[i])
-                spans.append(np.stack([p, p + lens[w]]))
-                if slop is not None:
-                    w, p = _find(terms, ends, places, wins, lens, slop)
-                    for d, i in set(zip((p >> POS_BITS).tolist(), owner[w].tolist())):
-                        near[d].add(names[i])
-        hit = np.zeros(len(doc_ids), np.int64)
-        if spans:
-            s = np.concatenate(spans, axis=1)
-            s = s[:, np.argsort(s[0], kind="stable")]
-            if s.shape[1]:  # words covered: each span adds what lies beyond all before it
-                reach = np.concatenate([[0], np.maximum.accumulate(s[1])[:-1]])
-                np.add.at(hit, s[0] >> POS_BITS, np.maximum(0, s[1] - np.maximum(s[0], reach)))
-        return pd.DataFrame({"doc_id": pd.array(doc_ids, "Int64"), "n_words": n_words, "n_hit": hit, "items": [sorted(x) for x in items], "near_items": [sorted(x) for x in near]})
-
-    if wanted is not None:  # only the postings that the query set asks for leave the index
-        terms = index.sparkSession.createDataFrame([(t, True) for t in wanted], "term long, _asked boolean")
-        if len(wanted) <= 1_000_000:
-            index = index.join(F.broadcast(terms), "term", "left").where("is_docs or _asked").drop("_asked")
-    return index.groupBy("segment").applyInPandas(run, "doc_id long, n_words long, n_hit long, items array<string>, near_items array<string>")
+            wins, lens, owner, names = sent.value
+            for kind, s in enumerate((None,) if slop is None else (None, slop)):
+                w, p = _find(terms, ends, places, wins, lens, s)
+                doc = p >> POS_BITS
+                for d, i in set(zip(doc.tolist(), owner[w].tolist())):
+                    if names[i] is not None:
+                        found[d][kind].add(names[i])
+                if s is None:
+                    whole[doc[lens[w] == wins.shape[1]]] = True
+                    at = p & ((1 << POS_BITS) - 1)
+                    for d, x, y in zip(doc.tolist(), at.tolist(), (at + lens[w]).tolist()):
+                        starts[d].append(x)
+                        ends_[d].append(y)
+        lists = lambda x: pd.Series(list(x), dtype=object)
+        pick = [k for k in range(len(doc_ids)) if every or starts[k] or found[k][1]]
+        return pd.DataFrame({
+            "segment": np.full(len(pick), key[0]), "nth": np.array(pick, np.int32), "doc_id": pd.array([doc_ids[k] for k in pick], "Int64"), "n_words": n_words[pick],
+            "starts": lists(starts[k] for k in pick), "ends": lists(ends_[k] for k in pick), "whole": whole[pick],
+            "items": lists(sorted(found[k][0]) for k in pick), "near_items": lists(sorted(found[k][1]) for k in pick),
+        })
+
+    asked = np.unique(block[0].view(np.int64)).tolist()  # only the postings that the block asks for leave the index
+    terms = index.sparkSession.createDataFrame([(t, True) for t in asked], "term long, _asked boolean")
+    index = index.join(F.broadcast(terms), "term", "left").where("is_docs or _asked").drop("_asked")
+    return index.groupBy("segment").applyInPandas(run, FOUND)
+
+
+def _covered(starts: list, ends: list) -> int:
+    """Positions inside any of the spans."""
+    if not len(starts):
+        return 0
+    a, z = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
+    o = np.argsort(a, kind="stable")
+    a, z = a[o], z[o]
+    reach = np.concatenate([[0], np.maximum.accumulate(z)[:-1]])  # each span adds what lies beyond all before it
+    return int(np.maximum(0, z - np.maximum(a, reach)).sum())
+
+
+def search(index: DataFrame, benchmark: DataFrame, item_id: str = "item_id", text: str = "text", size: int = WINDOW, slop: int | None = SLOP, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """One row a document row of the index: doc_id, n_words, n_hit, whole (a window of full size occurs), items (sorted strings with exact phrases), near_items.
+    Blocks are searched one after another, each stored where there are several."""
+    spark, parts, blocks = index.sparkSession, [], _blocks(benchmark, item_id, text, size, block_windows)
+    none = (np.zeros((0, size), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), [])
+    block = next(blocks, none)
+    while block is not None:
+        after = next(blocks, None)
+        part = _searched(index, block, slop, every=not parts)
+        parts.append(part if after is None and not parts else stored(part, "found"))
+        block = after
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hit = [_covered(x, y) for x, y in zip(b.column("starts").to_pylist(), b.column("ends").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(hit, pa.int64()), *(b.column(c) for c in ("whole", "items", "near_items"))], names=["doc_id", "n_words", "n_hit", "whole", "items", "near_items"])
+
+    out = parts[0]
+    if len(parts) > 1:
+        lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends")] + [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items")]
+        out = reduce(DataFrame.unionByName, parts).groupBy("segment", "nth").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.max("whole").alias("whole"), *lists)
+    return out.mapInArrow(merged, "doc_id long, n_words long, n_hit long, whole boolean, items array<string>, near_items array<string>")
 
 
 def report(found: DataFrame, least_items: int = 2) -> DataFrame:
@@ -235,11 +273,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without those that hold a whole window of a benchmark item. Items shorter than a window are no evidence on their own:
-    a document goes if ``WINDOW`` of its words or more are hit. Rows of one id share their fate."""
+    """Documents without those that hold a window of ``WINDOW`` words of a benchmark item, or windows of two items or more (items of fewer words
+    are one window, and one of them alone is no evidence). Rows of one id share their fate."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     index = stored(build_index(docs), "postings")
-    bad = search(index, bench, slop=None).where(F.col("n_hit") >= WINDOW).select(F.col("doc_id").alias("_bad")).distinct()
+    bad = search(index, bench, slop=None).where(F.col("whole") | (F.size("items") >= 2)).select(F.col("doc_id").alias("_bad")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
 
 

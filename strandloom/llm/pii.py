@@ -9,8 +9,11 @@ classifier, and a loose candidate becomes a span where the classifier gives ``AC
 Positions are code points. Patterns are possessive where that changes no match, so that Java's matcher neither
 recurses nor backs up on long runs, and start where a longer run can't have begun before.
 
+Positions and redacted texts come from prefix sums and prefix maxima over blocks of ``BLOCK`` matches, so that a text with many matches costs
+no more than BLOCK steps a match.
+
 Defined results: a null text is empty and has no spans; repeated rows are treated one by one; an empty table gives no rows
-(and an untrained model, which adds nothing); a column named like an internal one (``_text``, ``_cands``) must not exist.
+(and an untrained model, which adds nothing); the caller's columns travel in one struct, so that no name clashes.
 """
 
 from __future__ import annotations
@@ -22,10 +25,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm._store import stored
+
 KINDS = ("email", "ip", "card", "phone", "secret")
 ACCEPT = 0.95
 LABELERS = ("shape", "check", "gazetteer", "context", "touching")
 LEFT = 40
+BLOCK = 128
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
 _AT = lambda run: rf"(?:\G|(?<!{run}))"  # noqa: E731  a run's beginning, or the end of the last match
@@ -57,21 +63,34 @@ NEAR = {
 NOT_NEAR = "version|isbn|issn|doi|order|invoice|sha1|sha256|md5|commit|checksum|digest"
 
 
+def prefixes(values: Column, op) -> Column:
+    """For an array of longs, op (a sum, a maximum) over all values before each, from 0 on; in blocks, as each step copies what it adds to."""
+    none = F.array().cast("array<bigint>")
+
+    def scan(block: Column, at: Column) -> Column:
+        zero = F.struct(at.alias("at"), none.alias("out"))
+        return F.aggregate(block, zero, lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+
+    last = F.greatest(F.ceil(F.size(values) / F.lit(BLOCK)).cast("int") - 1, F.lit(0))
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * BLOCK + 1, BLOCK))
+    zero = F.lit(0).cast("long")
+    whole = lambda of: F.flatten(F.zip_with(of, scan(F.transform(of, lambda x: F.aggregate(x, zero, op)), zero), scan))
+    return F.when(F.size(values) <= BLOCK, scan(values, zero)).otherwise(bound(blocks, whole))
+
+
 def _found(text: Column, pattern: str, kind: str, form: str) -> Column:
     """Array of (kind, form, start, stop, value) of all matches, in order."""
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     item = "struct<kind:string,form:string,start:bigint,stop:bigint,value:string>"
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{item}>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.length(x["hit"])
-        one = F.struct(F.lit(kind).alias("kind"), F.lit(form).alias("form"), start.cast("long").alias("start"), stop.cast("long").alias("stop"), x["hit"].alias("value"))
-        return F.struct(stop.cast("long").alias("at"), F.array_append(acc["out"], one).alias("out"))
+    def one(x: Column, before: Column) -> Column:
+        start = before + F.length(x["gap"])
+        return F.struct(F.lit(kind).alias("kind"), F.lit(form).alias("form"), start.alias("start"), (start + F.length(x["hit"])).alias("stop"), x["hit"].alias("value"))
 
     pairs = F.zip_with(hits, F.slice(gaps, 1, F.greatest(F.size(hits), F.lit(1))), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
     pairs = F.filter(pairs, lambda x: x["hit"].isNotNull())
-    made = F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    long = lambda x: (F.length(x["gap"]) + F.length(x["hit"])).cast("long")
+    made = bound(pairs, lambda x: F.zip_with(x, prefixes(F.transform(x, long), lambda a, b: a + b), one))
     return F.when(text.rlike(pattern), made).otherwise(F.array().cast(f"array<{item}>"))
 
 
@@ -151,16 +170,16 @@ def _votes(x: Column, text: Column) -> Column:
 
 
 def candidates(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns, ``_text`` and ``_cands``: all candidates with their votes, by start."""
+    """``row`` (a struct of the kept columns), ``body`` (the text, a null one empty) and ``cands``: all candidates with their votes, by start."""
     kept = docs.columns if keep is None else keep
-    out = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"))
-    body = F.col("_text")
+    body = F.col("body")
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body"))
     valid = lambda kind: lambda x: _valid(x, kind)
     strict = [F.filter(_found(body, p, k, "strict"), valid(k)) for k, p in STRICT.items()]
     loose = [_found(body, p, k, "loose") for k, p in LOOSE.items()]
-    out = out.withColumn("_strict", F.concat(*strict)).withColumn("_loose", F.concat(*loose))
-    free = F.filter("_loose", lambda x: ~F.exists("_strict", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
-    return out.withColumn("_cands", F.transform(F.concat("_strict", free), lambda x: _votes(x, body))).drop("_strict", "_loose")
+    out = out.withColumn("strict", F.concat(*strict)).withColumn("loose", F.concat(*loose))
+    free = F.filter("loose", lambda x: ~F.exists("strict", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
+    return out.withColumn("cands", F.transform(F.concat("strict", free), lambda x: _votes(x, body))).drop("strict", "loose")
 
 
 @dataclass
@@ -223,7 +242,7 @@ def _logistic(rows: list[tuple[tuple[int, ...], int]], post: list[float], rounds
 
 def fit(cands: DataFrame) -> Model:
     """From the counts of vote patterns; at most 3^5 rows a kind reach the driver."""
-    c = F.explode("_cands").alias("c")
+    c = F.explode("cands").alias("c")
     seen = cands.select(c).groupBy("c.kind", *[f"c.{x}" for x in LABELERS]).count().collect()
     weights, reliability = {}, {}
     for kind in KINDS:
@@ -235,12 +254,12 @@ def fit(cands: DataFrame) -> Model:
 
 
 def spans(cands: DataFrame, model: Model) -> DataFrame:
-    """Adds ``_base`` and ``_spans``: arrays of (kind place, start, stop), sorted."""
+    """Adds ``base`` and ``spans``: arrays of (kind place, start, stop), sorted."""
     at = lambda x: F.array_position(F.lit(list(KINDS)), x["kind"])
     cut = lambda x: F.struct(at(x).alias("k"), x["start"].alias("start"), x["stop"].alias("stop"))
-    base = F.filter("_cands", lambda x: x["form"] == "strict")
-    kept = F.filter("_cands", lambda x: (x["form"] == "strict") | model.accepts(x))
-    return cands.withColumn("_base", F.array_sort(F.transform(base, cut))).withColumn("_spans", F.array_sort(F.transform(kept, cut)))
+    base = F.filter("cands", lambda x: x["form"] == "strict")
+    kept = F.filter("cands", lambda x: (x["form"] == "strict") | model.accepts(x))
+    return cands.withColumn("base", F.array_sort(F.transform(base, cut))).withColumn("spans", F.array_sort(F.transform(kept, cut)))
 
 
 def listed(column: str) -> Column:
@@ -248,34 +267,34 @@ def listed(column: str) -> Column:
     return F.array_join(F.transform(column, lambda x: F.concat_ws(":", name(x), x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
 
-def redacted(column: str = "_spans") -> Column:
-    """The text with each span replaced by its kind in brackets; spans that overlap become one."""
-    text = F.col("_text")
+def redacted(text: Column, column: str = "spans") -> Column:
+    """The text with each span replaced by its kind in brackets; of spans that overlap, the first is named and all are removed."""
     by_start = F.array_sort(F.transform(column, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["k"].alias("k"))))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def piece(x: Column, reach: Column) -> Column:
         name = F.concat(F.lit("["), F.upper(F.element_at(F.lit(list(KINDS)), x["k"].cast("int"))), F.lit("]"))
-        gap = F.substring(text, acc["at"].cast("int") + 1, (x["start"] - acc["at"]).cast("int"))
-        new = F.struct(x["stop"].alias("at"), F.concat(acc["out"], F.array(gap, name)).alias("out"))
-        return F.when(x["start"] >= acc["at"], new).otherwise(F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), acc["out"].alias("out")))
+        gap = F.substring(text, reach.cast("int") + 1, (x["start"] - reach).cast("int"))
+        return F.when(x["start"] >= reach, F.concat(gap, name)).otherwise(F.lit(""))
 
-    done = F.aggregate(by_start, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"].cast("int") + 1, F.length(text))))
-    return F.when(F.size(column) > 0, done).otherwise(text)
+    def done(found: Column) -> Column:
+        stops = F.transform(found, lambda x: x["stop"])
+        rest = F.substring(text, F.array_max(stops).cast("int") + 1, F.length(text))
+        return F.concat(F.array_join(F.zip_with(found, prefixes(stops, lambda a, b: F.greatest(a, b)), piece), ""), rest)
 
+    return F.when(F.size(column) > 0, bound(by_start, done)).otherwise(text)
 
-def query(spark, sf_dir: str) -> DataFrame:
-    from strandloom.llm._store import stored
 
-    made = stored(candidates(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"]).drop("_text"), "spans")
+def query(spark, sf_dir: str) -> DataFrame:
+    made = stored(candidates(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"]).drop("body"), "spans")
     out = spans(made, fit(made))
-    n = lambda k: F.size(F.filter("_base", lambda x: x["k"] == k + 1)).cast("long")
-    return out.select("doc_id", *(n(k).alias(f"n_{KINDS[k]}") for k in range(4)), F.sha2(listed("_base"), 256).alias("base_sha256"), listed("_spans").alias("spans"))
+    n = lambda k: F.size(F.filter("base", lambda x: x["k"] == k + 1)).cast("long")
+    return out.select("row.doc_id", *(n(k).alias(f"n_{KINDS[k]}") for k in range(4)), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its spans replaced. n_chars follows the text; a null text stays null."""
-    made = candidates(docs)
-    out = spans(made, fit(made)).withColumn("_new", redacted())
-    new = {"text": F.when(F.col("text").isNotNull(), F.col("_new")), "n_chars": F.when(F.col("text").isNotNull(), F.length("_new").cast("long")).otherwise(F.col("n_chars"))}
-    return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    """Every document, its spans replaced. n_chars follows the text; a null text stays null. Texts and votes are stored once, for fitting and for spans."""
+    made = stored(candidates(docs).drop("body"), "votes")
+    text = F.col("row.text")
+    out = spans(made, fit(made)).select("row", redacted(text).alias("new"))
+    new = {"text": F.when(text.isNotNull(), F.col("new")), "n_chars": F.when(text.isNotNull(), F.length("new").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

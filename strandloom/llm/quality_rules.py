@@ -124,4 +124,6 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ledger(docs).where(~failed()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that the policy keeps, with their own columns, whatever their names."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    return ledger(whole, keep=["row"]).where(~failed()).select("row.*")

@@ -473,6 +473,14 @@ def test_proximity_and_empty(spark, odd, empty):
     assert decontamination.report(decontamination.search(decontamination.build_index(odd), bench.where("false"))).where("contaminated or n_hit > 0").count() == 0
 
 
+def test_items_without_id(spark):
+    rows = [(1, "alpha beta gamma delta one two three four"), (2, "nothing of it")]
+    bench = spark.createDataFrame([(None, "alpha beta gamma"), ("b", "beta gamma"), (None, None), ("c", None)], "item_id string, text string")
+    for block in (1, 100):
+        got = {r.doc_id: (r.n_hit, r["items"], r.whole) for r in decontamination.search(decontamination.build_index(spark.createDataFrame(rows, "doc_id long, text string")), bench, block_windows=block).collect()}
+        assert got == {1: (3, ["b"], False), 2: (0, [], False)}
+
+
 def brute_near(text, items, size=8, slop=16):
     """Items with a window whose first word has a place with each other word of the window within slop words."""
     at, found = collections.defaultdict(list), set()
@@ -588,7 +596,7 @@ def test_pii(spark, docs):
     rows += [(2000 + k, f'token = "{hashlib.sha1(str(k).encode()).hexdigest()}"') for k in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs)
     made = pii.candidates(df)
-    out = pii.spans(made, pii.fit(made)).select("doc_id", "_text", pii.listed("_base").alias("base"), pii.listed("_spans").alias("spans"), pii.redacted().alias("red")).collect()
+    out = pii.spans(made, pii.fit(made)).select("row.doc_id", F.col("body").alias("_text"), pii.listed("base").alias("base"), pii.listed("spans").alias("spans"), pii.redacted(F.col("body")).alias("red")).collect()
     for x in out:
         assert x.base == base_spans(x._text)
         assert set(filter(None, x.base.split(","))) <= set(x.spans.split(","))
@@ -603,7 +611,7 @@ def test_long_secrets(spark, docs):
     token = lambda n: "".join(hashlib.sha256(f"{n} {k}".encode()).hexdigest() for k in range(9))[:n]
     rows = [(2000 + k, f'token = "{hashlib.sha1(str(k).encode()).hexdigest()}"') for k in range(40)] + [(n, f'token = "{token(n)}" x') for n in (200, 201, 500)]
     made = pii.candidates(spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs))
-    red = {r.doc_id: r.red for r in pii.spans(made, pii.fit(made)).select("doc_id", pii.redacted().alias("red")).collect()}
+    red = {r.doc_id: r.red for r in pii.spans(made, pii.fit(made)).select("row.doc_id", pii.redacted(F.col("body")).alias("red")).collect()}
     assert [red[n] for n in (200, 201, 500)] == ['token = "[SECRET]" x'] * 3
 
 
@@ -626,3 +634,38 @@ def test_quality(spark, docs, odd, empty):
     for name, bit in quality_rules.BIT.items():
         assert ab[name][0] == made.where(F.col("fail_bits").bitwiseAND(F.lit(bit)) != 0).count()
         assert ab[name][1] == made.where(F.col("fail_bits") == bit).count()
+
+
+# -- stages on odd tables ----------------------------------------------------------------------------------------------
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated ids and rows, clashing names, and no rows at all."""
+    spark.createDataFrame([("i", "w w w w w w w w w")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    long = " ".join(f"w{k}" for k in range(80)) + " mail a@b.com now"
+    rows = [*ODD, (20, long), (20, long), (None, long + " x"), (21, long.replace("w5", "v5").replace("w6", "v6").replace("w7", "v7"))]
+    names = "doc_id long, text string, lang string, source string, n_chars long, n_words long, _text string, row int, cands int, base int, fail_bits int, segment int, _bad int, label int, elements int"
+    df = spark.createDataFrame([(*r, None, "s", None, 77, None, 1, 2, 3, 4, 5, 6, 7, 8) for r in rows], names)
+    want = {quality_rules: 4, ngram_join: None, decontamination: None, pii: len(rows)}
+    for module, n in want.items():
+        out = module.stage(spark, df, str(tmp_path))
+        got = out.collect()
+        assert out.columns == df.columns and all(r.n_words == 77 and r.fail_bits == 4 for r in got)
+        assert n is None or len(got) == n
+        texts = {r.doc_id: r.text for r in got}
+        if module is ngram_join:
+            assert sum((r.text or "").startswith("w0 ") for r in got) == 2 and sum(not (r.text or "").strip() for r in got) == 4
+        elif module is decontamination:
+            assert {r.doc_id for r in got} == {r[0] for r in rows} - {6}
+        elif module is pii:
+            assert "[EMAIL]" in texts[20] and "a@b.com" not in texts[20] and any(r.doc_id == 7 and r.text is None for r in got)
+        assert module.stage(spark, df.where("false"), str(tmp_path)).count() == 0
+    packed = best_fit.stage(spark, df, str(tmp_path)).collect()
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == expected_pieces(rows)
+
+
+def test_many_matches_in_one_text(spark):
+    """More matches than a block of prefixes holds, some overlapping."""
+    text = " ".join(f"x{k}@y{k}.com 10.0.{k % 300}.1, 4111 1111 1111 1111;" for k in range(400))
+    made = pii.candidates(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    r = pii.spans(made, pii.Model({}, {})).select(pii.listed("base").alias("base"), pii.redacted(F.col("body")).alias("red")).first()
+    assert r.base == base_spans(text) and r.base.count("email") == 400
+    assert r.red == re.sub("4111 1111 1111 1111", "[CARD]", re.sub(r"x\d+@y\d+\.com", "[EMAIL]", re.sub(r"10\.0\.(\d+)\.1", lambda m: "[IP]" if int(m[1]) < 256 else m[0], text)))

@@ -1,9 +1,10 @@
 """Each stage against its brute-force version on its own input."""
 
 import collections
+import re
 
 import corpus_pipeline
-from test_llm import brute_components, brute_hits, expected_pieces, low, measured  # noqa: F401
+from test_llm import ALNUM, base_spans, brute_components, brute_hits, expected_pieces, low, measured  # noqa: F401
 
 from strandloom.llm._store import stored
 
@@ -34,8 +35,13 @@ def test_stages(spark):
             assert set(after) == {min(v) for v in of.values()}
         elif name == "decontamination":
             bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-            hit = {x[0] for x in brute_hits(rows.items(), bench) if x[2] >= 8}
+            long = [b for b in bench if len(ALNUM.findall(low(b[1]))) >= 8]
+            hit = {x[0] for x in brute_hits(rows.items(), long) if x[2]} | {x[0] for x in brute_hits(rows.items(), bench) if x[3] >= 2}
             assert set(after) == set(rows) - hit
         else:
             assert set(after) == set(rows)
+            for k, text in rows.items():  # base spans are gone, and a text without candidates is as it was
+                assert not base_spans(after[k])
+                if re.fullmatch(r"[^@+]*", text) and not re.search(r"[0-9]{3}|[A-Za-z0-9+/_=-]{20}|[0-9]\.|\[at\]|\(at\)", text):
+                    assert after[k] == text
         rows = after
