@@ -1,6 +1,6 @@
 """Words of whole texts as 64-bit hashes, computed on Arrow buffers with numpy.
 
-Texts are handled in runs of a few MB, so memory follows the run, not the Arrow batch. A text
+Texts are handled in runs of half a MB, so memory follows the run, not the Arrow batch. A text
 longer than a run is hashed piece by piece, cut between words; it is never cut short.
 """
 
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 19
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)

@@ -34,13 +34,13 @@ from strandloom.llm import _text
 from strandloom.llm._store import dropped, released, stored
 
 DEPTH = 3
-RATIO = 2.0
-GAIN = 10.0
+RATIO = 1.1
+GAIN = 6.0
 LEAST = 3
 HEAD = 1e-6
 BITS = 27
 END = np.uint64(0x1D8E4E27C47D124F)
-HELD = 1 << 19  # distinct keys that a task counts before it passes them on
+HELD = 1 << 18  # distinct keys that a task counts before it passes them on
 BUCKET = 1 << 18  # keys of a bucket, about
 
 
@@ -90,12 +90,29 @@ class Counter:
         return out
 
 
-def lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    return np.where(keys[at] == wanted, at, -1)
+class Places:
+    """Places of keys among sorted distinct ones, by the leading bits of their hashes."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys.view(np.uint64)
+        self.shift = np.uint64(64 - max(1, len(keys).bit_length()))
+        at = (self.keys >> self.shift).astype(np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=1 << int(64 - int(self.shift))))])
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each, or -1."""
+        wanted = wanted.view(np.uint64)
+        at = (wanted >> self.shift).astype(np.int64)
+        out, lo, hi = np.full(len(wanted), -1, np.int64), self.starts[at], self.starts[at + 1]
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            here = lo[open_]
+            same = self.keys[here] == wanted[open_]
+            out[open_[same]] = here[same]
+            open_ = open_[~same]
+            lo[open_] += 1
+            open_ = open_[lo[open_] < hi[open_]]
+        return out
 
 
 def counted(docs: DataFrame, make) -> DataFrame:
@@ -185,9 +202,13 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch
         yield held
 
 
-def gram_keys(t: np.ndarray, order: int) -> np.ndarray:
-    """Hash of the n-gram that begins at each token; of one word, its own."""
-    return t if order == 1 else _text.windows(t, order)
+def gram_keys(t: np.ndarray, most: int) -> list[np.ndarray]:
+    """Keys of the n-grams of 1 to ``most`` words that begin at each token; of one word, its own."""
+    out = [t]
+    for k in range(1, most):
+        n = max(0, len(t) - k)
+        out.append(pair_keys(out[-1][:n], t[k:]).view(np.uint64))
+    return out
 
 
 def begins(first: np.ndarray, order: int) -> np.ndarray:
@@ -219,8 +240,9 @@ def looked_up(rows: DataFrame, column: str, table: DataFrame, least: int, how: s
 
 
 def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Keys of pairs of words."""
-    return _text.windows(np.stack([a, b], axis=1).reshape(-1).view(np.uint64), 2)[::2].view(np.int64)
+    """Keys of n-grams that are one word longer than those of keys a, by their last words b."""
+    with np.errstate(over="ignore"):
+        return _text.mixed(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)).view(np.int64)
 
 
 def frequent_grams(docs: DataFrame, unigrams: DataFrame, depth: int, least: int, tokens_in_all: int) -> list[DataFrame]:
@@ -231,10 +253,10 @@ def frequent_grams(docs: DataFrame, unigrams: DataFrame, depth: int, least: int,
 
         def make(t: np.ndarray, first: np.ndarray, k=k, shorter=shorter) -> np.ndarray:
             """An n-gram is no more frequent than the two in it that are a word shorter."""
-            part = gram_keys(t, k - 1)
+            *_, part, own = gram_keys(t, k)
             ok, at = marked(shorter.value, part), begins(first, k)
             at = at[ok[at] & ok[at + 1]]
-            return np.stack([gram_keys(t, k)[at], part[at], part[at + 1]]).view(np.int64)
+            return np.stack([own[at], part[at], part[at + 1]]).view(np.int64)
 
         out.append(stored(counted_grams(docs, make, k, least, tokens_in_all), "grams"))
         shorter.unpersist()
@@ -289,10 +311,11 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: in
     held = F.coalesce(F.crc32(name.cast("string").cast("binary")) % folds == held_fold, F.lit(False))
     docs = docs.select(name.alias("_id"), held.alias("_held"), F.col(f"`{text}`").cast("string").alias("_text"))
     table, n, _, total, hot = weights(docs, depth, least, head)
-    top = table.where(F.col("n") >= hot).toPandas().sort_values("key")  # at most 1 / head rows an order
-    known = [top.key.to_numpy(np.int64), np.nan_to_num(top.lp.to_numpy(float)), top.w.to_numpy(float)]
+    top = table.where(F.col("n") >= hot).toPandas()  # at most 1 / head rows an order
+    top = top.iloc[np.argsort(top.key.to_numpy(np.int64).view(np.uint64))]
+    known = [top.key.to_numpy(np.int64).copy(), np.nan_to_num(top.lp.to_numpy(float)), top.w.to_numpy(float)]
     rest = table.where(F.col("n") < hot)
-    sent = docs.sparkSession.sparkContext.broadcast((*known, bitmap(rest)))
+    sent = docs.sparkSession.sparkContext.broadcast((Places(known[0]), *known[1:], bitmap(rest)))
     unseen = math.log10(0.5 / total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +327,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: in
             for lo, t, first in tokens(b.column(2)):
                 k = len(first) - 1
                 text = _text.owners(first)
-                at = lookup(keys, t.view(np.int64))
+                at, grams = keys.of(t), gram_keys(t, depth + 1)
                 there, far = at >= 0, (at < 0) & marked(bits, t)
                 none = ~there & ~far  # surely not in training text
                 base = np.where(far, 0.0, unseen)
@@ -313,12 +336,12 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: in
                 model[there] += w[at[there]]
                 for order in range(2, depth + 2):
                     begin = begins(first, order)
-                    g = gram_keys(t, order)[begin].view(np.int64)
-                    at = lookup(keys, g)
+                    g = grams[order - 1][begin]
+                    at = keys.of(g)
                     there = at >= 0
                     model[begin[there]] += w[at[there]]
                     other = ~there & marked(bits, g)
-                    asked.append(g[other])
+                    asked.append(g[other].view(np.int64))
                     owner.append(text[begin[other]])
                 asked, owner = np.concatenate(asked), np.concatenate(owner)
                 asked = asked[np.argsort(owner, kind="stable")]
@@ -379,10 +402,10 @@ def answered(asked: DataFrame, table: DataFrame) -> DataFrame:
                     continue
                 if known is None:
                     x = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
-                    o = np.argsort(x[0], kind="stable")
-                    known, parts = [c[o] for c in x], []
+                    o = np.argsort(x[0].view(np.uint64), kind="stable")
+                    known, parts = [Places(x[0][o].copy()), x[1][o], x[2][o]], []
                 key, row = np.frombuffer(c0.as_buffer(), np.int64), np.frombuffer(c1.as_buffer(), np.int64)
-                place = lookup(known[0], key)
+                place = known[0].of(key)
                 there = place >= 0
                 place, row = place[there], row[there]
                 lp = known[1][place]
