@@ -232,11 +232,9 @@ def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) != 0
 
 
-def looked_up(rows: DataFrame, column: str, table: DataFrame, least: int, how: str = "inner") -> DataFrame:
-    """rows with the table's columns but key and n. Keys of n >= least are sent to the tasks, the rest are shuffled."""
-    table = table.withColumnRenamed("key", column)
-    head, tail = F.broadcast(table.where(F.col("n") >= least).drop("n")), table.where(F.col("n") < least).drop("n")
-    return rows.join(head, column).unionByName(rows.join(F.broadcast(head.select(column)), column, "left_anti").join(tail, column, how))
+def looked_up(rows: DataFrame, column: str, table: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with the table's columns but key. Rows are distinct n-grams, so that a frequent context has at most as many as there are words; skewed ones are split by AQE."""
+    return rows.join(table.withColumnRenamed("key", column), column, how)
 
 
 def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -276,14 +274,14 @@ def weights(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, head: float
     if depth and n:
         grams, below = frequent_grams(docs, unigrams, depth, least, n), unigrams.withColumn("p", p)
         for d in range(1, depth + 1):
-            rows = looked_up(grams[d - 1], "ctx", below.select("key", "n", F.col("n").alias("c")), hot)
-            rows = looked_up(rows, "short", below.select("key", "n", F.col("p").alias("parent")), hot)
+            rows = looked_up(grams[d - 1], "ctx", below.select("key", F.col("n").alias("c")))
+            rows = looked_up(rows, "short", below.select("key", F.col("p").alias("parent")))
             own = F.col("n") / F.col("c")
             rows = rows.withColumn("apart", F.greatest(own / F.col("parent"), F.col("parent") / own) >= RATIO)
             rows = apart = stored(rows.withColumn("gain", F.when(F.col("apart"), F.col("n") * F.log(own / F.col("parent"))).otherwise(0.0)), "rows")
             nodes = rows.groupBy(F.col("ctx").alias("key")).agg(F.max("c").alias("n"), F.sum(F.when(F.col("apart"), F.col("n")).otherwise(0)).alias("s"), F.sum("gain").alias("gain"))
             nodes = stored(nodes.where(F.col("gain") >= GAIN).drop("gain"), "nodes")
-            rows = looked_up(rows.drop("gain"), "ctx", nodes, hot, "left")
+            rows = looked_up(rows.drop("gain"), "ctx", nodes.drop("n"), "left")
             b = F.col("c") - F.col("s") + 1
             entry, back = (F.col("n") + b * F.col("parent")) / (F.col("c") + 1), b / (F.col("c") + 1)
             kept = F.col("s").isNotNull()
@@ -311,6 +309,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: in
     held = F.coalesce(F.crc32(name.cast("string").cast("binary")) % folds == held_fold, F.lit(False))
     docs = docs.select(name.alias("_id"), held.alias("_held"), F.col(f"`{text}`").cast("string").alias("_text"))
     table, n, _, total, hot = weights(docs, depth, least, head)
+    released(docs.sparkSession)
     top = table.where(F.col("n") >= hot).toPandas()  # at most 1 / head rows an order
     top = top.iloc[np.argsort(top.key.to_numpy(np.int64).view(np.uint64))]
     known = [top.key.to_numpy(np.int64).copy(), np.nan_to_num(top.lp.to_numpy(float)), top.w.to_numpy(float)]
@@ -354,6 +353,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: in
                 row += k
 
     made = stored(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, base double, model double, far long, none long, asked array<long>"), "scored")
+    released(docs.sparkSession)
     found = answered(made.select("row", "asked"), rest).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("lp", "w", "seen")])
     missed = F.col("far") - F.coalesce("seen", F.lit(0))
     lp = F.coalesce("lp", F.lit(0.0)) + missed * F.lit(unseen)
@@ -373,9 +373,14 @@ def answered(asked: DataFrame, table: DataFrame) -> DataFrame:
             for x in range(0, len(b), 2000):
                 part = b.slice(x, 2000)
                 key, n = part.column(1).flatten().to_numpy(), np.diff(part.column(1).offsets.to_numpy())
-                row, at = np.repeat(part.column(0).to_numpy(), n), bucket_of(key, many)
+                row = part.column(0).to_numpy()
+                if not len(key):
+                    continue
+                at, nth = bucket_of(key, many), np.repeat((row - row[0]).astype(np.uint32), n)  # rows of a part are numbered in turn
                 o = np.argsort(at, kind="stable")
-                yield dealt(at[o], 1, [key[o], row[o], np.zeros(0)])
+                out = dealt(at[o], 1, [key[o], nth[o]])
+                base = pa.array([row[:1].tobytes()] * len(out), pa.binary())
+                yield pa.RecordBatch.from_arrays([*out.columns, base], names=["bucket", "side", "c0", "c1", "c2"])
 
     def know(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -404,7 +409,7 @@ def answered(asked: DataFrame, table: DataFrame) -> DataFrame:
                     x = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
                     o = np.argsort(x[0].view(np.uint64), kind="stable")
                     known, parts = [Places(x[0][o].copy()), x[1][o], x[2][o]], []
-                key, row = np.frombuffer(c0.as_buffer(), np.int64), np.frombuffer(c1.as_buffer(), np.int64)
+                key, row = np.frombuffer(c0.as_buffer(), np.int64), np.frombuffer(c1.as_buffer(), np.uint32) + np.frombuffer(c2.as_buffer(), np.int64)
                 place = known[0].of(key)
                 there = place >= 0
                 place, row = place[there], row[there]
