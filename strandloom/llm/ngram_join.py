@@ -21,7 +21,7 @@ at most m - 1 links, so no pairs of a group are ever emitted.
 Classes that shared keys connect are a cluster, and a cluster of up to ``SHARD`` members is one shard, so all its pairs are settled
 there. Larger clusters take two rounds. Round 1: each class goes to one shard, that of the smallest class that shares most of its keys; shards over
 ``SHARD`` members are split, each part with the shard's first class. Round 2: the keys whose members are still in
-different components and were not together in one shard of round 1 are shards in turn, larger ones as pairs of blocks.
+different components and were not together in one shard of round 1 are open; those with the same least component are one shard, larger ones as pairs of blocks.
 Hence every linked pair is either compared or connected by links.
 
 Defined results: null, empty or word-less texts have an empty set and are linked with nothing; a text of
@@ -363,17 +363,17 @@ def first_round(own: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def second_round(member: DataFrame, place: DataFrame, comp: DataFrame, heads: DataFrame) -> DataFrame:
-    """(shard, lo, hi, cls, comp, side) of the keys whose members are neither of one component nor were in one part of one shard."""
+    """(shard, lo, hi, cls, comp, side) of the keys whose members are neither of one component nor were in one part of one shard.
+    Keys with the same least component are one shard, so that a class comes once for all of them."""
     at = place.groupBy("cls").agg(F.max(F.struct(F.col("cls") != F.col("shard"), F.xxhash64("shard", "part").alias("at"))).alias("x")).select("cls", "x.at")
     held = member.join(at, "cls").join(comp.select(F.col("node").alias("cls"), "label"), "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("comp"), "at")
-    same = [F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64("cls", F.lit(7))).alias("s2")]
-    open_ = held.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("at").alias("a1"), F.max("at").alias("a2"), *same).where("c1 < c2 and a1 < a2")
-    shard = open_.groupBy("m", "s1", "s2").agg(F.min("key").alias("key"))  # keys with the same members are one shard
-    rest = held.join(shard.select("key", "m"), "key").join(heads.select("cls", "n_shingles"), "cls")
-    size = rest.groupBy("key").agg(F.sum("n_shingles").alias("e"))
-    rest = rest.join(size, "key").withColumn("nb", blocks("m", "e")).withColumn("side", F.pmod(F.xxhash64("cls"), F.col("nb")))
+    open_ = held.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("at").alias("a1"), F.max("at").alias("a2")).where("c1 < c2 and a1 < a2")
+    rest = held.join(open_.select("key", "c1"), "key").groupBy(F.col("c1").alias("shard"), "cls").agg(F.first("comp").alias("comp"))
+    rest = rest.join(heads.select("cls", "n_shingles"), "cls")
+    size = rest.groupBy("shard").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("e"))
+    rest = rest.join(size, "shard").withColumn("nb", blocks("m", "e")).withColumn("side", F.pmod(F.xxhash64("cls"), F.col("nb")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))
-    return rest.withColumn("y", other).select(F.col("key").alias("shard"), F.least("side", "y").alias("lo"), F.greatest("side", "y").alias("hi"), "cls", "comp", "side")
+    return rest.withColumn("y", other).select("shard", F.least("side", "y").alias("lo"), F.greatest("side", "y").alias("hi"), "cls", "comp", "side")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90, row: str | None = None) -> DataFrame:
