@@ -11,7 +11,8 @@ groups, at least one group holds the same elements in both. Sizes are cut into b
 one band or two neighbours; each set therefore has, in its own band's grouping and in that of the band below,
 one key a group: the digest of the group's content. A linked pair shares a key, and a key
 is so specific (all of a group's elements) that little else shares it. Empty groups give no key unless a
-set has more of them than the grouping has spare groups.
+set has more of them than the grouping has spare groups. Keys of one class alone, nearly all, are left out before they are
+shuffled a second time, by a bitmap of fixed size over the others.
 
 Links, all found inside shards (``forest``). A shard's sets are points of group counts, bulk-loaded into an
 R-tree that is joined with itself from the root down; a pair of nodes is followed only while the summed minima of
@@ -39,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import _text
+from strandloom.llm._bits import bitmap, marked
 from strandloom.llm._store import dropped, released, stored
 from strandloom.llm.components import components
 
@@ -48,6 +50,7 @@ BLOCK_ELEMENTS = 1 << 21  # or so many elements
 LEAF = 32
 FAN = 8
 ELEMENT_BYTES = 6
+KEY_BITS = 48
 #: Row numbers by which stored sets are picked are sent to the tasks up to this many (32 MB); beyond it the sets are shuffled to them.
 BROADCAST_IDS = 4_000_000
 
@@ -134,7 +137,7 @@ def shard_keys(s: np.ndarray, p: int, edges: list[int]) -> np.ndarray:
         if g - len(full) > spare:
             out.append(_text.mixed(_text.mixed(np.flatnonzero(held == 0).astype(np.uint64)) + np.uint64(k)))
     # 48 bits are shorter to shuffle; an equal key by chance only makes a pair that fails to verify
-    return np.concatenate(out) >> np.uint64(16) if out else np.zeros(0, np.uint64)
+    return np.concatenate(out) >> np.uint64(64 - KEY_BITS) if out else np.zeros(0, np.uint64)
 
 
 def prepared(docs: DataFrame, row: str, doc_id: str, text: str, size: int) -> DataFrame:
@@ -164,22 +167,26 @@ def prepared(docs: DataFrame, row: str, doc_id: str, text: str, size: int) -> Da
     return docs.select(F.col(f"`{row}`").cast("long"), F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string")).mapInArrow(run, SETS)
 
 
-def keyed(heads: DataFrame, p: int) -> DataFrame:
-    """(key, cls) of each class, from heads: (cls, elements)."""
+def keyed(heads: DataFrame, p: int, bits=None) -> DataFrame:
+    """(key, cls) of each class, from heads: (cls, elements); with bits, a broadcast bitmap, only keys that it marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = bands(p, 1000)
         for b in batches:
-            e, first = unpacked(b.column(1))
-            keys = []
-            for k in range(len(b)):
-                s = e[first[k] : first[k + 1]]
-                if len(s) >= edges[-1]:
-                    edges = bands(p, 2 * len(s))
-                keys.append(shard_keys(s, p, edges))
-            if keys:
-                n = [len(x) for x in keys]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), n))], names=["key", "cls"])
+            for x in range(0, len(b), 1000):
+                part = b.slice(x, 1000)
+                e, first = unpacked(part.column(1))
+                keys = []
+                for k in range(len(part)):
+                    s = e[first[k] : first[k + 1]]
+                    if len(s) >= edges[-1]:
+                        edges = bands(p, 2 * len(s))
+                    keys.append(shard_keys(s, p, edges))
+                key, cls = np.concatenate(keys), np.repeat(part.column(0).to_numpy(), [len(x) for x in keys])
+                if bits is not None:
+                    ok = marked(bits.value, key, KEY_BITS)
+                    key, cls = key[ok], cls[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls)], names=["key", "cls"])
 
     return heads.select("cls", "elements").mapInArrow(run, "key long, cls long")
 
@@ -390,9 +397,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     met = whole.where("elements is not null")
     repeats = stored(met.select("row").join(classes.select("cls"), F.col("row") == F.col("cls"), "left_anti"), "repeats")  # other tasks' rows of the classes
     heads = picked(met, "row", repeats, "left_anti").select(F.col("row").alias("cls"), "n_shingles", "elements")
-    keys = keyed(heads, p)
-    shared = keys.groupBy("key").agg(F.min("cls").alias("pivot"), F.count("*").alias("m")).where("m > 1").select("key", "pivot")
-    member = stored(keys.join(shared, "key"), "members")  # keys of several classes only
+    shared = keyed(heads, p).groupBy("key").agg(F.min("cls").alias("pivot"), F.count("*").alias("m")).where("m > 1")
+    shared = stored(shared.select("key", "pivot"), "shared")  # keys of several classes only
+    released(spark)
+    bits = spark.sparkContext.broadcast(bitmap(shared, KEY_BITS))
+    member = stored(keyed(heads, p, bits).join(shared, "key"), "members")
+    bits.unpersist()
+    dropped(spark, shared)
     released(spark)
     candidates = stored(member.select("cls").distinct(), "candidates")
     heads = picked(heads, "cls", candidates, "left_semi")

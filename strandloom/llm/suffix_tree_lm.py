@@ -13,7 +13,7 @@ log(B / (C + 1)) of each kept context that a token follows, and for each stored
 ``weights`` gives each n-gram one number and scoring is a join on the n-gram. Counts and lookups are shuffled by buckets of hashed keys, whose
 number grows with the input, as packed arrays, so that a task holds one bucket's keys at a time. Keys above a share of ``HEAD`` (at most 1 / HEAD
 an order) are looked up in a broadcast, since they would be hot in a shuffle, all others by a shuffle. A
-bitmap of 2^``BITS`` hashes leaves out keys that have no row, which loses none.
+bitmap of fixed size leaves out keys that have no row, which loses none.
 
 Defined results: a null or empty text is the end token alone; a null id is training text; repeated
 rows are scored one by one and all count for training; without training text every token has the probability
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import _text
+from strandloom.llm._bits import bitmap, marked
 from strandloom.llm._store import dropped, released, stored
 
 DEPTH = 3
@@ -38,7 +39,6 @@ RATIO = 1.1
 GAIN = 6.0
 LEAST = 3
 HEAD = 1e-6
-BITS = 27
 END = np.uint64(0x1D8E4E27C47D124F)
 HELD = 1 << 18  # distinct keys that a task counts before it passes them on
 BUCKET = 1 << 18  # keys of a bucket, about
@@ -217,21 +217,6 @@ def begins(first: np.ndarray, order: int) -> np.ndarray:
     return np.flatnonzero(text[: max(0, len(text) - order + 1)] == text[order - 1 :])
 
 
-def bitmap(keys: DataFrame) -> np.ndarray:
-    """2^BITS bits in bytes: the hashes of a table's keys."""
-    at = F.shiftrightunsigned("key", 64 - BITS) + 1
-    rows = keys.groupBy(F.bitmap_bucket_number(at).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-    out = np.zeros(1 << BITS - 3, np.uint8)
-    for r in rows.toLocalIterator():  # 2^BITS bits in all
-        out[(r.block - 1) * 4096 : r.block * 4096] = np.frombuffer(r.bits, np.uint8)
-    return out
-
-
-def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys.view(np.uint64) >> np.uint64(64 - BITS)
-    return bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) != 0
-
-
 def looked_up(rows: DataFrame, column: str, table: DataFrame, how: str = "inner") -> DataFrame:
     """rows with the table's columns but key. Rows are distinct n-grams, so that a frequent context has at most as many as there are words; skewed ones are split by AQE."""
     return rows.join(table.withColumnRenamed("key", column), column, how)
