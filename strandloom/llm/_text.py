@@ -6,6 +6,7 @@ longer than a run is hashed piece by piece, cut between words; it is never cut s
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +38,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: Python workers live on between tasks, beside the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 @dataclass
 class Run:
     """Texts lo..hi of a batch. words: hashes in order; first: where each text's words begin, with the end."""
@@ -105,6 +115,7 @@ def runs(column: pa.Array, word: np.ndarray = NOT_SPACE, fold: np.ndarray = FOLD
             words, at = np.concatenate(parts), np.concatenate(places)
         yield Run(lo, hi, own, inner, words, np.searchsorted(at, inner))
         lo = hi
+    trim()
 
 
 def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -56,6 +56,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
                     row += 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k == 2 else pa.int64()) for k, x in enumerate(zip(*rows))], names=["row", "doc_id", "piece", "start", "length", "ids_crc32"])
+            _text.trim()
 
     return docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string")).mapInArrow(run, PIECES)
 

@@ -328,6 +328,7 @@ def shard_links(rows: DataFrame, p: int) -> DataFrame:
             held, size = [t.slice(cut).combine_chunks()], 0
         if held:
             yield found(pa.concat_tables(held).combine_chunks())
+        _text.trim()
 
     rows = rows.select("shard", "lo", "hi", "cls", "comp", "side", "elements")
     rows = rows.repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi", "cls")

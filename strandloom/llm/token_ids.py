@@ -30,7 +30,7 @@ def default_path() -> str:
 class Ids(dict):
     """chunk (UTF-8) -> its ids as little-endian unsigned 32-bit bytes."""
 
-    LIMIT = 1_000_000
+    LIMIT = 250_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
