@@ -168,7 +168,8 @@ def prepared(docs: DataFrame, row: str, doc_id: str, text: str, size: int) -> Da
 
 
 def keyed(heads: DataFrame, p: int, bits=None) -> DataFrame:
-    """(key, cls) of each class, from heads: (cls, elements); with bits, a broadcast bitmap, only keys that it marks."""
+    """(key, cls, n) of each class, from heads: (cls, elements). With bits, a broadcast bitmap, a row for each key of a class that it marks; without,
+    keys are counted over some classes at a time before they are shuffled, and cls is the smallest of n classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = bands(p, 1000)
@@ -183,12 +184,19 @@ def keyed(heads: DataFrame, p: int, bits=None) -> DataFrame:
                         edges = bands(p, 2 * len(s))
                     keys.append(shard_keys(s, p, edges))
                 key, cls = np.concatenate(keys), np.repeat(part.column(0).to_numpy(), [len(x) for x in keys])
+                n = np.ones(len(key), np.int64)
                 if bits is not None:
                     ok = marked(bits.value, key, KEY_BITS)
-                    key, cls = key[ok], cls[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls)], names=["key", "cls"])
+                    key, cls, n = key[ok], cls[ok], n[ok]
+                elif len(key):
+                    o = np.lexsort((cls, key))
+                    key, cls = key[o], cls[o]
+                    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                    key, cls, n = key[new], cls[new], np.diff(np.append(new, len(key)))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls), pa.array(n)], names=["key", "cls", "n"])
+            _text.trim()
 
-    return heads.select("cls", "elements").mapInArrow(run, "key long, cls long")
+    return heads.select("cls", "elements").mapInArrow(run, "key long, cls long, n long")
 
 
 def tree_pairs(vec: np.ndarray, n: np.ndarray, p: int, label: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -398,11 +406,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     met = whole.where("elements is not null")
     repeats = stored(met.select("row").join(classes.select("cls"), F.col("row") == F.col("cls"), "left_anti"), "repeats")  # other tasks' rows of the classes
     heads = picked(met, "row", repeats, "left_anti").select(F.col("row").alias("cls"), "n_shingles", "elements")
-    shared = keyed(heads, p).groupBy("key").agg(F.min("cls").alias("pivot"), F.count("*").alias("m")).where("m > 1")
+    shared = keyed(heads, p).repartition("key").groupBy("key").agg(F.min("cls").alias("pivot"), F.sum("n").alias("m")).where("m > 1")
     shared = stored(shared.select("key", "pivot"), "shared")  # keys of several classes only
     released(spark)
     bits = spark.sparkContext.broadcast(bitmap(shared, KEY_BITS))
-    member = stored(keyed(heads, p, bits).join(shared, "key"), "members")
+    member = stored(keyed(heads, p, bits).drop("n").join(shared, "key"), "members")
     bits.unpersist()
     dropped(spark, shared)
     released(spark)
