@@ -24,6 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Rows of a batch that goes to a Python worker. Texts have some kB each, so that Spark's 10,000 would fill many times that memory in worker and executor.
+BATCH = 1000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Lets this session send at most BATCH rows at a time to Python workers; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "0")) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
@@ -31,6 +42,7 @@ def new_path(spark: SparkSession, tag: str) -> str:
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write df once to the shared folder and return the table read from there."""
     spark, at = df.sparkSession, new_path(df.sparkSession, tag)
+    bounded(spark)
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import _text
+from strandloom.llm._store import bounded
 from strandloom.llm.token_ids import default_path, ids_of
 
 CAPACITY = 2048
@@ -85,6 +86,7 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, doc_id: str = "doc_id", text: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     path = path or default_path()
+    bounded(docs.sparkSession)
 
     def shard(held: list, number: int, last: bool) -> tuple[pa.RecordBatch | None, list, int]:
         out, rest = [], []

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.llm import _text
+from strandloom.llm._store import bounded
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
@@ -82,6 +83,7 @@ def _measure(texts: pa.Array) -> pa.Table:
 
 def ledger(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns, the measurements and ``fail_bits`` (long) of every row."""
+    bounded(docs.sparkSession)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in (*MEASURES, "fail_bits")]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(m, T.LongType()) for m in MEASURES])
 
