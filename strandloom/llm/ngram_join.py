@@ -23,6 +23,7 @@ Classes that shared keys connect are a cluster, and a cluster of up to ``SHARD``
 there. Larger clusters take two rounds. Round 1: each class goes to one shard, that of the smallest class that shares most of its keys; shards over
 ``SHARD`` members are split, each part with the shard's first class. Round 2: the keys whose members are still in
 different components and were not together in one shard of round 1 are open; those with the same least component are one shard, larger ones as pairs of blocks.
+There, R-trees over the points alone come first, and only the sets of points that they can't rule out are sent after.
 Hence every linked pair is either compared or connected by links.
 
 Defined results: null, empty or word-less texts have an empty set and are linked with nothing; a text of
@@ -45,6 +46,7 @@ from strandloom.llm._store import dropped, released, stored
 from strandloom.llm.components import components
 
 DIMS = (64, 1024)  # least and most coordinates of a shard's points
+POINT_DIMS = 256  # coordinates of the points that are sent ahead of sets
 SHARD = 2048  # members of a block
 BLOCK_ELEMENTS = 1 << 21  # or so many elements
 LEAF = 32
@@ -321,21 +323,8 @@ def shard_links(rows: DataFrame, p: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        size = 0
-        for b in batches:
-            held.append(pa.table(b.columns, names=b.schema.names))
-            size += b.nbytes
-            if size < 1 << 24:
-                continue
-            t = pa.concat_tables(held).combine_chunks()
-            key = [t.column(k).to_numpy() for k in range(3)]
-            cut = int(np.argmax(np.logical_and.reduce([x == x[-1] for x in key])))  # the last group may go on
-            if cut:
-                yield found(t.slice(0, cut).combine_chunks())
-            held, size = [t.slice(cut).combine_chunks()], 0
-        if held:
-            yield found(pa.concat_tables(held).combine_chunks())
+        for t in whole_groups(batches):
+            yield found(t)
         _text.trim()
 
     rows = rows.select("shard", "lo", "hi", "cls", "comp", "side", "elements")
@@ -343,6 +332,64 @@ def shard_links(rows: DataFrame, p: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def points(heads: DataFrame) -> DataFrame:
+    """(cls, n, vec): each class's element counts by POINT_DIMS groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            e, first = unpacked(b.column(1))
+            n = np.diff(first)
+            at = np.repeat(np.arange(len(n)) * POINT_DIMS, n) + (e * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - POINT_DIMS.bit_length())).astype(np.int64)
+            vec = np.bincount(at, minlength=len(n) * POINT_DIMS).astype(np.int32).reshape(-1, POINT_DIMS)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array([v.tobytes() for v in vec], pa.binary())], names=["cls", "n", "vec"])
+
+    return heads.select("cls", "elements").mapInArrow(run, "cls long, n long, vec binary")
+
+
+def near_points(rows: DataFrame, p: int) -> DataFrame:
+    """Of rows (shard, lo, hi, cls, comp, side, n, vec), those that have a partner of another component that an R-tree of the points can't rule out."""
+
+    def found(t: pa.Table) -> pa.Table:
+        shard, lo, hi, _, comp, side, n = (t.column(k).to_numpy() for k in range(7))
+        vec = np.frombuffer(b"".join(t.column(7).to_pylist()), np.int32).reshape(len(t), POINT_DIMS)
+        new = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+        kept = np.zeros(len(t), bool)
+        for x, y in zip(new.tolist(), np.append(new[1:], len(t)).tolist()):
+            if y - x > 1:
+                across = lo[x] != hi[x]
+                for i, j in tree_pairs(vec[x:y], n[x:y], p, np.unique(comp[x:y], return_inverse=True)[1]):
+                    ok = side[x + i] != side[x + j] if across else np.ones(len(i), bool)
+                    kept[x + i[ok]] = kept[x + j[ok]] = True
+        return t.select(["shard", "lo", "hi", "cls", "comp", "side"]).filter(pa.array(kept))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches):
+            yield from found(t).to_batches()
+        _text.trim()
+
+    rows = rows.select("shard", "lo", "hi", "cls", "comp", "side", "n", "vec").repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi", "cls")
+    return rows.mapInArrow(run, "shard long, lo long, hi long, cls long, comp long, side long")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups of rows, from batches in order of the first three columns; some 16 MB or one group at a time."""
+    held: list[pa.Table] = []
+    size = 0
+    for b in batches:
+        held.append(pa.table(b.columns, names=b.schema.names))
+        size += b.nbytes
+        if size < 1 << 24:
+            continue
+        t = pa.concat_tables(held).combine_chunks()
+        key = [t.column(k).to_numpy() for k in range(3)]
+        cut = int(np.argmax(np.logical_and.reduce([x == x[-1] for x in key])))  # the last group may go on
+        if cut:
+            yield t.slice(0, cut).combine_chunks()
+        held, size = [t.slice(cut).combine_chunks()], 0
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
 def blocks(m: str, elements: str):
     """Blocks that a shard of m members and so many elements is cut into."""
     return F.greatest(F.ceil(F.col(m) / F.lit(SHARD)), F.ceil(F.col(elements) / F.lit(BLOCK_ELEMENTS)), F.lit(1)).cast("long")
@@ -435,7 +482,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     temporary.append(edges)
     released(spark)
     if far is not None:
-        rest = stored(second_round(member, far, comp, heads), "rest")
+        rest = second_round(member, far, comp, heads)
+        rest = stored(near_points(rest.join(points(heads), "cls"), p), "rest")
         more = stored(shard_links(rest.join(heads.select("cls", "elements"), "cls"), p), "links")
         if more.limit(1).count():
             temporary.append(comp)
