@@ -213,7 +213,7 @@ def tree_pairs(vec: np.ndarray, n: np.ndarray, p: int, label: np.ndarray | None
         cut = np.arange(0, len(hi), FAN)
         levels.append((np.maximum.reduceat(hi, cut), np.minimum.reduceat(lo_n, cut), np.maximum.reduceat(hi_n, cut), np.minimum.reduceat(lo_l, cut), np.maximum.reduceat(hi_l, cut)))
     stack = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
-    most = max(256, (1 << 22) // vec.shape[1])
+    most = max(256, (1 << 20) // vec.shape[1])
     while stack:
         k, i, j = stack.pop()
         if len(i) > most:
