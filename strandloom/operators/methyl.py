@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,77 +61,115 @@ def graph(obs: DataFrame, n: int = 50) -> tuple[DataFrame, DataFrame]:
     return node, e.select("chrom", "p1", "p2", (F.col("rr_hi") + F.col("aa_hi")).alias("same"), (F.col("ra_hi") + F.col("ar_hi")).alias("flipped"))
 
 
-def _supported(node: DataFrame, pairs: DataFrame, confidence: float) -> DataFrame:
-    """Pairs of enough reads (chrom, p1, p2, t1, t2, r1, r2, sure); r1 and r2 are places in the order of all sites, sure tells whether the reads agree."""
-    placed = node.select("chrom", "pos", "vtype", "n_reads", F.row_number().over(Window.partitionBy("chrom").orderBy("pos")).alias("r"))
-    x = pairs
-    for k in "12":
-        x = x.join(placed.select("chrom", F.col("pos").alias(f"p{k}"), F.col("vtype").alias(f"t{k}"), F.col("n_reads").alias(f"d{k}"), F.col("r").alias(f"r{k}")), ["chrom", f"p{k}"])
-    total = F.col("same") + F.col("flipped")
-    x = x.where(total > F.greatest((F.col("d1") + F.col("d2")) / 4, F.lit(6)))
-    return x.select("chrom", "p1", "p2", "t1", "t2", "r1", "r2", (F.greatest("same", "flipped") >= confidence * total).alias("sure"))
-
-
-def _unbroken(x: DataFrame, place1: Column, place2: Column) -> DataFrame:
-    """The pairs of a site up to the first place at which it has none: the n-th pair of the site is n places on."""
-    nth = F.row_number().over(Window.partitionBy("chrom", "p1").orderBy("p2"))
-    return x.withColumn("_nth", nth).where(F.col("_nth") == place2 - place1).drop("_nth")
-
-
-def _reached(members: DataFrame, pairs: DataFrame, adjacent: int) -> tuple[DataFrame, DataFrame]:
-    """Sites that sure pairs connect, and sites that had no partner to try. members: (chrom, pos, fresh); of two partners, one must be fresh;
-    each is tried with partners among the next ``adjacent`` members, in order, up to the first without support."""
-    order = Window.partitionBy("chrom").orderBy("pos")
-    m = members.withColumn("m", F.row_number().over(order)).withColumn("f", F.sum(F.col("fresh").cast("int")).over(order))
-    ahead = F.min(F.when(F.col("fresh"), F.col("m"))).over(order.rowsBetween(1, Window.unboundedFollowing))
-    following = F.lead("m").over(order)
-    m = m.withColumn("idle", ~F.coalesce(F.when(F.col("fresh"), following.isNotNull()).otherwise(ahead <= F.col("m") + adjacent), F.lit(False)))
-    x = pairs.select("chrom", "p1", "p2", "sure")
-    for k in "12":
-        x = x.join(m.select("chrom", F.col("pos").alias(f"p{k}"), F.col("m").alias(f"m{k}"), F.col("f").alias(f"f{k}"), F.col("fresh").alias(f"new{k}")), ["chrom", f"p{k}"])
-    x = x.where((F.col("m2") - F.col("m1") <= adjacent) & (F.col("new1") | F.col("new2")))
-    x = _unbroken(x, F.when(F.col("new1"), F.col("m1")).otherwise(F.col("f1")), F.when(F.col("new1"), F.col("m2")).otherwise(F.col("f2")))
-    hit = x.where("sure").select("chrom", F.explode(F.array("p1", "p2")).alias("pos")).distinct()
-    return hit, m.where("idle").select("chrom", "pos")
+def _connected(node: pd.DataFrame, edge: pd.DataFrame, adjacent: int, confidence: float, rounds: int, with_snps: bool) -> list[int]:
+    """Positions of a chromosome that pass: strong sites, their connections, what these reach, and the check of neighbours."""
+    kind, depth = dict(zip(node.pos, node.vtype)), dict(zip(node.pos, node.n_reads))
+    order = sorted(kind)
+    pair = {(a, b): (s + f, max(s, f)) for a, b, s, f in zip(edge.p1, edge.p2, edge.same, edge.flipped)}
+    starts = {a for a, _ in pair}
 
+    def support(a: int, b: int) -> str:
+        """'thin': too few reads, which ends a search; 'sure': they agree; else 'split'."""
+        total, most = pair.get((a, b), (0, 0))
+        if total <= max((depth[a] + depth[b]) / 4, 6):
+            return "thin"
+        return "sure" if most >= confidence * total else "split"
 
-def connected(node: DataFrame, pairs: DataFrame, adjacent: int = 20, confidence: float = 0.9, rounds: int = 2, with_snps: bool = True) -> DataFrame:
-    """(chrom, pos) of the sites that pass: those that SNPs confirm, those that confirmed sites connect, in ``rounds`` rounds what these reach,
-    and of all these the ones that reads join to both neighbours. Each step is a join of supported pairs with the sites it is about."""
-    key = ["chrom", "pos"]
-    begin = pairs.select("chrom", F.col("p1").alias("pos")).distinct()
-    held = _supported(node, pairs, confidence).persist()
-    snps = node.where(F.col("vtype") == SNP).select(*key).join(begin, key, "left_semi")
-    mods = node.where(F.col("vtype") == MOD).select(*key)
-    if with_snps:
-        near = _unbroken(held, F.col("r1"), F.col("r2"))
-        out = near.where((F.col("t1") == MOD) & (F.col("t2") == SNP) & (F.col("r2") - F.col("r1") <= adjacent))
-        into = near.where((F.col("t1") == SNP) & (F.col("t2") == MOD))
-        after = node.select("chrom", "pos", F.lead("pos").over(Window.partitionBy("chrom").orderBy("pos")).alias("next"))
-        # of a SNP that confirms a site, the site right after it is the one accepted
-        by_snp = into.where("sure").select("chrom", F.col("p1").alias("pos")).distinct().join(after, key).select("chrom", F.col("next").alias("pos"))
-        strong = out.where("sure").select("chrom", F.col("p1").alias("pos")).union(by_snp).distinct()
-        touched = out.select("chrom", F.col("p1").alias("pos")).union(into.select("chrom", F.col("p2").alias("pos")))
-        weak = mods.join(begin, key, "left_semi").join(touched, key, "left_anti")
+    strong, weak, touched, passed = set(), set(), set(), []
+    if not with_snps:
+        strong = {p for p in order if kind[p] == MOD}
     else:
-        strong, weak, snps = mods, mods.limit(0), snps.limit(0)
-    fresh = _reached(strong.withColumn("fresh", F.lit(True)), held, adjacent)[0].persist()
-    passed, members = snps.union(fresh).distinct(), weak.union(fresh).distinct()
+        for k, p in enumerate(order[:-1]):
+            if p not in starts:
+                continue
+            if kind[p] == MOD:
+                for q in order[k + 1 : k + 1 + adjacent]:
+                    s = support(p, q)
+                    if s == "thin":
+                        break
+                    if kind[q] == SNP:
+                        touched.add(p)
+                        if s == "sure" and p not in strong:
+                            strong.add(p)
+                            break
+                if p not in touched:
+                    weak.add(p)
+            elif kind[p] == SNP:
+                passed.append(p)
+                for q in order[k + 1 :]:
+                    s = support(p, q)
+                    if s == "thin":
+                        break
+                    if kind[q] == MOD:
+                        touched.add(q)
+                        if s == "sure":  # the neighbour right after the SNP is the one accepted
+                            strong.add(order[k + 1])
+    seen, added = set(passed), set()
+    members = sorted(strong)
+    for k, p in enumerate(members):
+        if p not in starts:
+            continue
+        for q in members[k + 1 : k + 1 + adjacent]:
+            s = support(p, q)
+            if s == "thin":
+                break
+            if s == "sure":
+                for x in (p, q):
+                    if x not in added:
+                        added.add(x)
+                        passed.append(x)
+                        seen.add(x)
+                        if with_snps:
+                            weak.add(x)
     for _ in range(rounds if with_snps else 0):
-        asked = members.join(fresh.withColumn("fresh", F.lit(True)), key, "left").select(*key, F.coalesce("fresh", F.lit(False)).alias("fresh")).persist()
-        hit, idle = _reached(asked, held, adjacent)
-        fresh = hit.join(passed, key, "left_anti").persist()
-        members = fresh.union(idle.join(begin, key, "left_semi")).distinct()
-        passed = passed.union(fresh).persist()
-    w = Window.partitionBy("chrom").orderBy("pos")
-    line = passed.join(begin.withColumn("begins", F.lit(True)), key, "left").join(node.select("chrom", "pos", "vtype"), key, "left")
-    line = line.select(*key, "vtype", F.coalesce("begins", F.lit(False)).alias("begins")).select("*", F.lag("pos").over(w).alias("before"), F.lead("pos").over(w).alias("after"), F.lag("begins").over(w).alias("led"))
-    total = F.col("same") + F.col("flipped")
-    good = pairs.where((total >= 6) & (F.greatest("same", "flipped") >= confidence * total)).select("chrom", "p1", "p2")
-    line = line.join(good.select("chrom", F.col("p1").alias("before"), F.col("p2").alias("pos"), F.lit(True).alias("left")), ["chrom", "before", "pos"], "left")
-    line = line.join(good.select("chrom", F.col("p1").alias("pos"), F.col("p2").alias("after"), F.lit(True).alias("right")), ["chrom", "pos", "after"], "left")
-    last = F.col("before").isNull() | (F.col("after").isNull() & F.col("led"))
-    return line.where(~F.coalesce(F.col("vtype") == SNP, F.lit(False)) & (last | (F.col("led") & F.col("left") & F.col("right")))).select(*key)
+        members, next_weak, next_added = sorted(weak), set(), set()
+        for k, p in enumerate(members):
+            if p not in starts:
+                continue
+            tried = False
+            for q in members[k + 1 : k + 1 + adjacent]:
+                if p not in added and q not in added:
+                    continue
+                tried = True
+                s = support(p, q)
+                if s == "thin":
+                    break
+                if s == "sure":
+                    for x in (p, q):
+                        if x not in seen:
+                            seen.add(x)
+                            passed.append(x)
+                            next_weak.add(x)
+                            next_added.add(x)
+            if not tried:
+                next_weak.add(p)
+        weak, added = next_weak, next_added
+    passed.sort()
+    good = lambda a, b: pair.get((a, b), (0, 0))[0] >= 6 and pair[a, b][1] >= confidence * pair[a, b][0]
+    out = []
+    for k, p in enumerate(passed):
+        if kind.get(p) == SNP:
+            continue
+        edge_case = k in (0, len(passed) - 1)
+        if k and passed[k - 1] not in starts:
+            continue
+        before = k > 0 and good(passed[k - 1], p)
+        if before and k < len(passed) - 1 and p not in starts:
+            continue
+        if edge_case or (before and good(p, passed[k + 1])):
+            out.append(p)
+    return out
+
+
+def connected(node: DataFrame, pairs: DataFrame, adjacent: int = 20, confidence: float = 0.9, rounds: int = 2, with_snps: bool = True) -> DataFrame:
+    """(chrom, pos) of the sites that pass. A chromosome's input is its aggregated nodes and pairs."""
+
+    def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        found = _connected(n, e, adjacent, confidence, rounds, with_snps) if len(n) else []
+        return pd.DataFrame({"chrom": [n.chrom.iloc[0]] * len(found) if len(n) else [], "pos": found})
+
+    pairs = pairs.withColumnRenamed("chrom", "e_chrom")  # both sides come from the same table
+    return node.groupBy("chrom").cogroup(pairs.groupBy("e_chrom")).applyInPandas(run, "chrom long, pos long")
 
 
 def neighbours_agree(candidates: DataFrame, pairs: DataFrame, confidence: float = 0.9, least: int = 6) -> DataFrame:
