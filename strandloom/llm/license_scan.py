@@ -9,8 +9,10 @@ temperature of least log loss and the bound on 1 - p(none) that at most 1% of th
 
 Verdict on a paragraph. Its most probable family is confirmed if p reaches the bound and at least ``CONTAINED`` of the word triples of one of the
 family's notices occur in it. Else it is ``unknown`` if 1 - p(none) reaches the bound, or if it holds so much of any notice: a licence, but none that the
-templates confirm. Each paragraph that has a word of ``LEXICON`` is classified. Others are ``none`` by definition of the classifier, and no paragraph
-that holds ``CONTAINED`` of a notice is among them: in each notice, more than 1 - CONTAINED of the triples have a word of the lexicon (held by a test).
+templates confirm. Each paragraph is scored by the model's weights of all its words and pairs. ``most_some`` sums, per word and pair, the weight of the class
+that it speaks for most, and so is never below the margin of any class over ``none``: where 13 classes of that margin don't reach the bound, 1 - p(none)
+can't, and the paragraph is ``none``. All others go through the whole model, and so do those with a word of ``LEXICON``, which may hold ``CONTAINED`` of a
+notice whatever the model says: in each notice, more than 1 - CONTAINED of the triples have a word of the lexicon (held by a test).
 ``n_near`` counts the paragraphs with an anchor word.
 
 Defined results: null or empty texts have no paragraphs; repeated rows and ids are separate rows; an empty table gives no
@@ -23,7 +25,7 @@ import math
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, NGram, VectorAssembler
+from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,7 +96,7 @@ OTHER_NOTICES = [
     "you may copy and redistribute the software freely provided that this notice is not removed or altered from any source distribution",
     "permission is granted to use copy and sublicense this software without charge subject to the conditions of this license",
 ]
-#: Paragraphs with any of these words are classified.
+#: A paragraph that holds enough of a notice has one of these words.
 LEXICON = [
     "license", "licenses", "licensed", "licence", "licences", "licenced", "licensing", "licensor", "licensee", "sublicense", "unlicense", "unencumbered", "software", "redistribution",
     "redistributions", "redistribute", "redistributed", "warranty", "warranties", "merchantability", "noninfringement", "liable", "copyright", "hereby", "obtaining", "compliance",
@@ -159,11 +161,32 @@ def has_word(text: Column, of: list[str]) -> Column:
     return text.rlike(f"(?<![a-z0-9])(?=[{begins}])(?:{'|'.join(of)})(?![a-z0-9])")
 
 
+def features(w: Column) -> Column:
+    """(ones, pairs): 32-bit codes of a paragraph's words and of its pairs of words."""
+    n = lambda c: F.greatest(F.size(c) - 1, F.lit(0))
+    made = lambda c: F.struct(c.alias("ones"), F.zip_with(F.slice(c, 1, n(c)), F.slice(c, 2, n(c)), lambda x, y: F.hash(x, y)).alias("pairs"))
+    return F.element_at(F.transform(F.array(F.transform(w, lambda x: F.hash(x))), made), 1)
+
+
+def classified(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    return model.transform(rows.withColumn("_f", features(F.col("words"))).withColumn("ones", F.col("_f.ones")).withColumn("pairs", F.col("_f.pairs")))
+
+
+def most_some(model: PipelineModel, w: Column) -> Column:
+    """At least the largest margin of any class over none that the model gives to a paragraph's words, to rounding."""
+    fit = model.stages[-1]
+    margin, start = fit.coefficientMatrix.toArray(), fit.interceptVector.toArray()
+    weights = F.split(F.lit(",".join(map(repr, (margin - margin[0])[1:].max(axis=0).tolist()))), ",").cast("array<double>")  # a constant, computed once
+    bucket = lambda c, base: F.transform(c, lambda x: F.pmod(F.hash(x), F.lit(FEATURES)) + F.lit(base))  # noqa: E731  as HashingTF deals integers
+    at = lambda f: F.array_distinct(F.concat(bucket(f["ones"], 0), bucket(f["pairs"], FEATURES)))
+    summed = lambda f: F.aggregate(at(f), F.lit(float((start - start[0])[1:].max())), lambda s, k: s + F.get(weights, k))
+    return F.element_at(F.transform(F.array(features(w)), summed), 1)
+
+
 def _fitted(rows: DataFrame) -> PipelineModel:
     lr = LogisticRegression(family="multinomial", maxIter=40, regParam=1e-3, standardization=False, featuresCol="features", labelCol="label", weightCol="weight")
     return Pipeline(stages=[
-        NGram(n=2, inputCol="words", outputCol="pairs"),
-        HashingTF(binary=True, numFeatures=FEATURES, inputCol="words", outputCol="f1"),
+        HashingTF(binary=True, numFeatures=FEATURES, inputCol="ones", outputCol="f1"),
         HashingTF(binary=True, numFeatures=FEATURES, inputCol="pairs", outputCol="f2"),
         VectorAssembler(inputCols=["f1", "f2"], outputCol="features"),
         lr,
@@ -189,7 +212,8 @@ def train(spark: SparkSession, docs: DataFrame, text: str = "text") -> tuple[Pip
     own += [(n, 0, 3.0, at % 4 == 1) for at, n in enumerate(OTHER)]
     back = background(docs, text).select("p", F.lit(0).alias("label"), F.lit(1.0).alias("weight"), (F.pmod(F.xxhash64("p", F.lit(11)), F.lit(4)) == 0).alias("held"))
     rows = spark.createDataFrame(own, "p string, label int, weight double, held boolean").unionByName(back)
-    rows = rows.select(words(F.col("p")).alias("words"), F.col("label").cast("double").alias("label"), "weight", "held").coalesce(2).cache()
+    rows = rows.select(words(F.col("p")).alias("words"), F.col("label").cast("double").alias("label"), "weight", "held").coalesce(2)
+    rows = rows.select("*", features(F.col("words")).alias("_f")).select("words", "label", "weight", "held", "_f.*").cache()
     first = _fitted(rows.where("not held"))
     held = first.transform(rows.where("held")).select(vector_to_array("rawPrediction").alias("z"), F.col("label").cast("int").alias("y")).collect()  # a part of the bounded training rows
     model = _fitted(rows)
@@ -211,11 +235,12 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list
     model, temperature, least = train(docs.sparkSession, docs, text)
     kept = [doc_id] if keep is None else keep
     body = F.col(f"`{text}`").cast("string")
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_doc"), F.coalesce(paragraphs(body), F.array().cast("array<string>")).alias("ps"), F.coalesce(has_word(F.lower(body), LEXICON), F.lit(False)).alias("some"))
-    asked = F.when(F.col("some"), F.filter("ps", lambda p: has_word(F.lower(p), LEXICON))).otherwise(F.array().cast("array<string>"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_doc"), F.coalesce(paragraphs(body), F.array().cast("array<string>")).alias("ps"))
+    enough = temperature * (math.log(least / (1 - least)) - math.log(len(CLASSES) - 1)) - 1e-6
+    asked = F.filter("ps", lambda p: has_word(F.lower(p), LEXICON) | (most_some(model, words(p)) >= enough))
     rows = rows.select("_row", "_doc", F.size("ps").alias("n_paragraphs"), F.explode_outer(asked).alias("p"))
     rows = rows.withColumn("words", F.coalesce(words(F.col("p")), F.array().cast("array<string>")))
-    made = model.transform(rows).select("_row", "_doc", "n_paragraphs", "p", "words", vector_to_array("rawPrediction").alias("z"), F.col("prediction").cast("int").alias("k"))
+    made = classified(model, rows).select("_row", "_doc", "n_paragraphs", "p", "words", vector_to_array("rawPrediction").alias("z"), F.col("prediction").cast("int").alias("k"))
     top = F.array_max("z")
     e = F.transform("z", lambda a: F.exp((a - top) / F.lit(temperature)))
     share_of = lambda n: F.size(F.array_intersect(F.lit(n), F.col("own"))) / len(n)

@@ -571,6 +571,24 @@ def test_licenses_against_brute_force_templates(spark, docs):
     assert license_scan.scan(d.where("false")).count() == 0
 
 
+def test_paragraphs_without_a_word_of_the_lexicon_are_classified(spark, docs, monkeypatch):
+    text = "Permission is granted free of charge to any person with a copy of this work and associated documentation files"
+    assert not set(text.lower().split()) & set(license_scan.LEXICON)
+    d = docs.unionByName(spark.createDataFrame([(9001, "Some text.\n\n" + text)], "doc_id long, text string"))
+    model, temperature, least = license_scan.train(spark, d)
+    monkeypatch.setattr(license_scan, "train", lambda *_: (model, temperature, least))
+    rows = d.select("doc_id", F.explode(license_scan.paragraphs(F.col("text"))).alias("p")).withColumn("words", license_scan.words(F.col("p")))
+    rows = license_scan.classified(model, rows).select("doc_id", "p", license_scan.vector_to_array("rawPrediction").alias("z"), license_scan.most_some(model, F.col("words")).alias("bound")).collect()
+    want = collections.Counter()
+    for r in rows:  # every paragraph by the whole model
+        e = [math.exp((a - max(r.z)) / temperature) for a in r.z]
+        assert r.bound >= max(r.z[1:]) - r.z[0] - 1e-6
+        want[r.doc_id] += 1 - e[0] / sum(e) >= least
+    got = {r.doc_id: r for r in license_scan.scan(d).collect()}
+    assert got[9001].n_unknown == want[9001] == 1
+    assert all(r.n_confirmed + r.n_unknown >= want[k] for k, r in got.items())
+
+
 # -- personal data -----------------------------------------------------------------------------------------------------
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
