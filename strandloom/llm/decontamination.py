@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import _text
-from strandloom.llm._store import stored
+from strandloom.llm._store import dropped, released, stored
 
 WINDOW = 8
 SLOP = 16
@@ -277,7 +277,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     are one window, and one of them alone is no evidence). Rows of one id share their fate."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     index = stored(build_index(docs), "postings")
-    bad = search(index, bench, slop=None).where(F.col("whole") | (F.size("items") >= 2)).select(F.col("doc_id").alias("_bad")).distinct()
+    bad = stored(search(index, bench, slop=None).where(F.col("whole") | (F.size("items") >= 2)).select(F.col("doc_id").alias("_bad")).distinct(), "bad")
+    dropped(spark, index)
+    released(spark)
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
 
 

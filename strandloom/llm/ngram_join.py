@@ -446,7 +446,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     if row is None:
         docs, row = docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`"), F.monotonically_increasing_id().alias("_row")), "_row"
     whole = stored(prepared(docs, row, doc_id, text, size), "sets")
-    made = whole.drop("elements")
+    made = stored(whole.drop("elements"), "rows")  # what the result needs of the sets, which are dropped
     # a class's smallest row is one whose task met the class there first, so its set is stored
     first = F.min(F.when(F.col("elements").isNotNull(), F.col("row"))).alias("cls")
     classes = stored(whole.where("n_shingles > 0").groupBy("h1", "h2").agg(first, F.min("doc_id").alias("low")), "classes")
@@ -489,7 +489,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             temporary.append(comp)
             comp = components(edges.union(more))
         temporary += [rest, more]
-    for x in temporary:
+    for x in (*temporary, whole):
         dropped(spark, x)
     released(spark)
     of = classes.join(comp, classes["cls"] == comp["node"], "left").select("h1", "h2", F.coalesce("label", "cls").alias("comp"), "low")
@@ -510,5 +510,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard_components(held.select("row", "doc.doc_id", "doc.text"), size=5, percent=80, row="row")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(order).alias("f")).select(F.col("f.row").alias("row"))
-    keep = first.union(found.where("n_shingles = 0").select("row"))
+    keep = stored(first.union(found.where("n_shingles = 0").select("row")), "kept")
+    dropped(spark, found)  # its tables alone, all stored by jaccard_components
+    del found, first
+    released(spark)
     return held.join(keep, "row", "left_semi").select("doc.*")

@@ -45,3 +45,18 @@ def test_stages(spark):
                 if re.fullmatch(r"[^@+]*", text) and not re.search(r"[0-9]{3}|[A-Za-z0-9+/_=-]{20}|[0-9]\.|\[at\]|\(at\)", text):
                     assert after[k] == text
         rows = after
+
+
+def test_stages_drop_their_large_tables(spark):
+    from pathlib import Path
+
+    from strandloom.llm import decontamination, ngram_join
+    from strandloom.llm._store import shared_dir
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for module in (ngram_join, decontamination):
+        at = Path(shared_dir(spark).removeprefix("file://"))
+        before = set(at.iterdir())
+        assert module.stage(spark, docs, sf).count() > 0
+        assert not {x.name.split("-")[0] for x in set(at.iterdir()) - before} & {"sets", "members", "classes", "rows", "postings"}
