@@ -136,6 +136,36 @@ def test_ids_of_fuzzed_texts():
 
 
 # -- similarity join ---------------------------------------------------------------------------------------------------
+def test_ids_of_letters_beyond_ascii():
+    from tokenizers import Tokenizer
+
+    t, ids, r = Tokenizer.from_file(token_ids.default_path()), token_ids.Ids(token_ids.default_path()), random.Random(5)
+    signs = [chr(c) for c in range(0xA1, 0x180)] + ["\u0130", "\u0301", "\u0308", "\u03a3", "\u212b", "'s", "<|endoftext|>", "a", "B", "7", ",", "!!", " "]
+    for _ in range(3000):
+        text = "".join(r.choice(signs) if r.random() < 0.6 else r.choice("aZ0., ") for _ in range(r.randrange(1, 12)))
+        assert ids.document(text.encode()) == np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes(), text
+
+
+@pytest.mark.parametrize("run", [1, 7, 40])
+def test_ids_of_texts_cut_into_runs(monkeypatch, run):
+    text = ("Straße, (x) it's \t<|endoftext|>  é×1 Ünder_score 2024 中文! " * 9).encode()
+    ids = token_ids.Ids(token_ids.default_path())
+    want = ids.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+    monkeypatch.setattr(token_ids, "RUN_BYTES", run, raising=False)
+    for t in (text, text.strip(), b" " + text):
+        assert np.frombuffer(ids.document(t), "<u4").tolist() == [*want, 0]
+
+
+def test_ids_of_known_words_are_not_made_anew(monkeypatch):
+    """A word in other case or between other signs needs no tokenizer."""
+    ids = token_ids.Ids(token_ids.default_path())
+    known = ids.document("häuser straße baum 7 ! , ( )".encode())
+    monkeypatch.setattr(ids, "tokenizer", None)
+    monkeypatch.setattr(ids, "tokenize", None, raising=False)
+    chunks = "Häuser HÄUSER häuser, (Straße) Baum! BAUM7,".split()
+    assert set(np.frombuffer(ids.document(" ".join(chunks).encode()), "<u4").tolist()) <= set(np.frombuffer(known, "<u4").tolist())
+
+
 def brute_components(rows, size, p):
     sets = []
     for _, text in rows:
