@@ -46,7 +46,8 @@ from strandloom.llm._store import dropped, released, stored
 from strandloom.llm.components import components
 
 DIMS = (64, 1024)  # least and most coordinates of a shard's points
-POINT_DIMS = 256  # coordinates of the points that are sent ahead of sets
+POINT_DIMS = 256  # coordinates of an R-tree of the points that are sent ahead of sets, and the fewest of a point
+POINT_MOST = 1 << 16  # the most
 SHARD = 2048  # members of a block
 BLOCK_ELEMENTS = 1 << 21  # or so many elements
 LEAF = 32
@@ -332,33 +333,64 @@ def shard_links(rows: DataFrame, p: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def point_dims(n: np.ndarray) -> np.ndarray:
+    """Coordinates of the points of sets of n elements: with less than one for eight elements, unrelated large sets look alike."""
+    return np.clip(1 << np.log2(np.maximum(n, 1)).astype(np.int64) >> 2, POINT_DIMS, POINT_MOST)
+
+
 def points(heads: DataFrame) -> DataFrame:
-    """(cls, n, vec): each class's element counts by POINT_DIMS groups."""
+    """(cls, n, vec): each class's element counts by point_dims(n) groups, in the fewest bytes a count that hold them all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             e, first = unpacked(b.column(1))
-            n = np.diff(first)
-            at = np.repeat(np.arange(len(n)) * POINT_DIMS, n) + (e * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - POINT_DIMS.bit_length())).astype(np.int64)
-            vec = np.bincount(at, minlength=len(n) * POINT_DIMS).astype(np.int32).reshape(-1, POINT_DIMS)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array([v.tobytes() for v in vec], pa.binary())], names=["cls", "n", "vec"])
+            n, out = np.diff(first), []
+            group = e * np.uint64(0x9E3779B97F4A7C15)
+            for k, dims in enumerate(point_dims(n).tolist()):
+                held = np.bincount((group[first[k] : first[k + 1]] >> np.uint64(65 - dims.bit_length())).astype(np.int64), minlength=dims)
+                out.append(held.astype(np.min_scalar_type(int(held.max()))).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(out, pa.binary())], names=["cls", "n", "vec"])
 
     return heads.select("cls", "elements").mapInArrow(run, "cls long, n long, vec binary")
 
 
+def folded(vec: bytes, own: int, dims: int) -> np.ndarray:
+    """A point of own coordinates, with dims of them."""
+    return np.frombuffer(vec, f"<u{len(vec) // own}").reshape(dims, -1).sum(axis=1, dtype=np.int32)
+
+
 def near_points(rows: DataFrame, p: int) -> DataFrame:
-    """Of rows (shard, lo, hi, cls, comp, side, n, vec), those that have a partner of another component that an R-tree of the points can't rule out."""
+    """Of rows (shard, lo, hi, cls, comp, side, n, vec), those that have a partner of another component that the points can't rule out: first
+    an R-tree of them in POINT_DIMS coordinates, then those pairs that are left in as many as both have."""
+
+    def possible(i: np.ndarray, j: np.ndarray, n: np.ndarray, own: np.ndarray, vec: list[bytes], held: dict) -> np.ndarray:
+        dims, ok = np.minimum(own[i], own[j]), np.ones(len(i), bool)
+        need = -(-p * (n[i] + n[j]) // (100 + p))
+        for d in np.unique(dims[dims > POINT_DIMS]).tolist():
+            if d not in held:
+                there = np.flatnonzero(own >= d)
+                held[d] = np.cumsum(own >= d) - 1, np.stack([folded(vec[k], int(own[k]), d) for k in there.tolist()])
+            place, wide = held[d]
+            at = np.flatnonzero(dims == d)
+            for part in np.split(at, np.arange(0, len(at), max(1, (1 << 20) // d))[1:]):
+                ok[part] = np.minimum(wide[place[i[part]]], wide[place[j[part]]]).sum(axis=1) >= need[part]
+        return ok
 
     def found(t: pa.Table) -> pa.Table:
         shard, lo, hi, _, comp, side, n = (t.column(k).to_numpy() for k in range(7))
-        vec = np.frombuffer(b"".join(t.column(7).to_pylist()), np.int32).reshape(len(t), POINT_DIMS)
+        own, vec = point_dims(n), t.column(7).to_pylist()
         new = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
         kept = np.zeros(len(t), bool)
         for x, y in zip(new.tolist(), np.append(new[1:], len(t)).tolist()):
             if y - x > 1:
-                across = lo[x] != hi[x]
-                for i, j in tree_pairs(vec[x:y], n[x:y], p, np.unique(comp[x:y], return_inverse=True)[1]):
-                    ok = side[x + i] != side[x + j] if across else np.ones(len(i), bool)
+                across, held = lo[x] != hi[x], {}
+                flat = np.stack([folded(v, int(d), POINT_DIMS) for v, d in zip(vec[x:y], own[x:y])])
+                for i, j in tree_pairs(flat, n[x:y], p, np.unique(comp[x:y], return_inverse=True)[1]):
+                    ok = ~(kept[x + i] & kept[x + j])
+                    if across:
+                        ok &= side[x + i] != side[x + j]
+                    i, j = i[ok], j[ok]
+                    ok = possible(i, j, n[x:y], own[x:y], vec[x:y], held)
                     kept[x + i[ok]] = kept[x + j[ok]] = True
         return t.select(["shard", "lo", "hi", "cls", "comp", "side"]).filter(pa.array(kept))
 

@@ -272,6 +272,19 @@ def test_join_of_one_large_group(spark, monkeypatch, shard):
     assert joined(df) == brute_components(rows, 3, 90)
 
 
+def test_points_rule_out_unrelated_large_sets(spark):
+    r = np.random.default_rng(3)
+    new = lambda n: np.unique(r.integers(0, 1 << 48, n, np.uint64) << np.uint64(16))
+    base = new(8600)
+    sets = {1: new(12_000), 2: new(12_000), 3: new(9_000), 4: base[:8000], 5: base[:8500], 6: new(40), 7: np.repeat(new(1), 700), 8: np.repeat(new(1), 70_000)}
+    sets[9] = sets[8][:69_000]
+    heads = spark.createDataFrame([(k, ngram_join.packed(v).tobytes()) for k, v in sets.items()], "cls long, elements binary")
+    rows = spark.createDataFrame([(0, lo, hi, k, k, k % 2 if hi else 0) for k in sets for lo, hi in ((0, 0), (0, 1))], "shard long, lo long, hi long, cls long, comp long, side long")
+    for p in (80, 90):
+        got = {(x.hi, x.cls) for x in ngram_join.near_points(rows.join(ngram_join.points(heads), "cls"), p).collect()}
+        assert got == {(h, k) for h in (0, 1) for k in (4, 5, 8, 9)}
+
+
 def test_stage_keeps_one_row_of_a_group(spark):
     words = " ".join(f"w{k}" for k in range(40))
     rows = [(None, words, {"a": 1}, 1), (5, words.upper(), None, 2), (5, words + " end", {"b": 2}, 3), (7, "", None, 4), (7, "", None, 5), (None, None, None, 6), (8, "apart from all others here", None, 7)]
