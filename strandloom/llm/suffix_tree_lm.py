@@ -11,7 +11,8 @@ kept suffix of each token's history.
 Scale. Counts and nodes are tables that grow with the input. A text's score is a sum over its n-grams: log p of each token at the root,
 log(B / (C + 1)) of each kept context that a token follows, and for each stored symbol what its own entry adds to that. So
 ``weights`` gives each n-gram one number and scoring is a join on the n-gram. Counts and lookups are shuffled by buckets of hashed keys, whose
-number grows with the input, as packed arrays, so that a task holds one bucket's keys at a time. Keys above a share of ``HEAD`` (at most 1 / HEAD
+number grows with the input, as packed arrays, so that a task holds one bucket's keys at a time. Lookups go in ``PASSES`` rounds over the buckets, whose
+shuffles are dropped one by one, so that the disk holds a part of them at a time. Keys above a share of ``HEAD`` (at most 1 / HEAD
 an order) are looked up in a broadcast, since they would be hot in a shuffle, all others by a shuffle. A
 bitmap of fixed size leaves out keys that have no row, which loses none.
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,7 @@ HEAD = 1e-6
 END = np.uint64(0x1D8E4E27C47D124F)
 HELD = 1 << 18  # distinct keys that a task counts before it passes them on
 BUCKET = 1 << 18  # keys of a bucket, about
+PASSES = 4  # rounds of lookups, a power of two up to 8; each shuffles the keys of its buckets alone
 
 
 def tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -339,6 +342,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: in
 
     made = stored(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, base double, model double, far long, none long, asked array<long>"), "scored")
     released(docs.sparkSession)
+    sent.unpersist()
     found = answered(made.select("row", "asked"), rest).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("lp", "w", "seen")])
     missed = F.col("far") - F.coalesce("seen", F.lit(0))
     lp = F.coalesce("lp", F.lit(0.0)) + missed * F.lit(unseen)
@@ -349,9 +353,17 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: in
 
 
 def answered(asked: DataFrame, table: DataFrame) -> DataFrame:
-    """(row, lp, w, seen): sums over the asked keys of a text that the table (key, lp, w) has, in parts. Both are shuffled by bucket, packed;
-    of each bucket, the table's part comes first and is held, those of the texts pass by."""
-    many = buckets_for(table.count())
+    """(row, lp, w, seen): sums over the asked keys of a text that the table (key, lp, w) has, in parts, one a round of lookups. A round has every
+    PASSES-th bucket; its sums are stored and its shuffles dropped before the next."""
+    many, parts = buckets_for(table.count()), []
+    for nth in range(PASSES):
+        parts.append(stored(_answered(asked, table, many, nth).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("lp", "w", "seen")]), "answers"))
+        released(asked.sparkSession)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _answered(asked: DataFrame, table: DataFrame, many: int, nth: int) -> DataFrame:
+    """The sums of one round. Both sides are shuffled by bucket, packed; of each bucket, the table's part comes first and is held, those of the texts pass by."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -361,9 +373,12 @@ def answered(asked: DataFrame, table: DataFrame) -> DataFrame:
                 row = part.column(0).to_numpy()
                 if not len(key):
                     continue
-                at, nth = bucket_of(key, many), np.repeat((row - row[0]).astype(np.uint32), n)  # rows of a part are numbered in turn
-                o = np.argsort(at, kind="stable")
-                out = dealt(at[o], 1, [key[o], nth[o]])
+                at, own = bucket_of(key, many), np.repeat((row - row[0]).astype(np.uint32), n)  # rows of a part are numbered in turn
+                now = np.flatnonzero(at % PASSES == nth)
+                o = now[np.argsort(at[now], kind="stable")]
+                if not len(o):
+                    continue
+                out = dealt(at[o], 1, [key[o], own[o]])
                 base = pa.array([row[:1].tobytes()] * len(out), pa.binary())
                 yield pa.RecordBatch.from_arrays([*out.columns, base], names=["bucket", "side", "c0", "c1", "c2"])
 
@@ -371,7 +386,8 @@ def answered(asked: DataFrame, table: DataFrame) -> DataFrame:
         for b in batches:
             key, lp, w = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             at = bucket_of(key, many)
-            o = np.argsort(at, kind="stable")
+            now = np.flatnonzero(at % PASSES == nth)
+            o = now[np.argsort(at[now], kind="stable")]
             yield dealt(at[o], 0, [key[o], lp[o].astype(float), w[o].astype(float)])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -382,6 +382,23 @@ def test_suffix_tree_against_brute_force(docs, head):
         assert sum(tree.p(context, t) for t in known) + tree.p(context, "never seen") == pytest.approx(1.0)
 
 
+def test_lookups_go_in_rounds(spark):
+    """Each round shuffles its own buckets; together they find what is there, once."""
+    r = np.random.default_rng(7)
+    keys = np.unique(r.integers(-(1 << 63), (1 << 63) - 1, 4000)).tolist()
+    table = spark.createDataFrame([(k, -1.0 if n % 2 else None, float(n % 5)) for n, k in enumerate(keys[:3000])], "key long, lp double, w double")
+    rows = [(n, [keys[k] for k in r.integers(0, len(keys), 200).tolist()]) for n in range(50)] + [(50, [])]
+    asked, there = spark.createDataFrame(rows, "row long, asked array<long>"), {k: n for n, k in enumerate(keys[:3000])}
+    want = {n: [there[k] for k in own if k in there] for n, own in rows if own}
+    assert collections.Counter(keys) == collections.Counter(set(keys))
+    got = suffix_tree_lm.answered(asked, table)
+    assert len(got.inputFiles()) >= suffix_tree_lm.PASSES  # all stored, no round waits in a plan
+    got = {x.row: (x.lp or 0.0, x.w, x.seen) for x in got.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("lp", "w", "seen")]).collect()}
+    assert got == {n: (-sum(v % 2 for v in ks), sum(float(v % 5) for v in ks), sum(v % 2 for v in ks)) for n, ks in want.items()}
+    for nth in range(suffix_tree_lm.PASSES):
+        assert suffix_tree_lm._answered(asked, table, 8, nth).count() > 0
+
+
 def test_suffix_tree_odd(odd, empty):
     rows = suffix_tree_lm.score(odd).collect()
     assert len(rows) == len(ODD) and all(not r.held_out for r in rows if r.doc_id is None) and all(r.n_tokens >= 1 for r in rows)
