@@ -44,6 +44,7 @@ HEAD = 1e-6
 END = np.uint64(0x1D8E4E27C47D124F)
 HELD = 1 << 18  # distinct keys that a task counts before it passes them on
 BUCKET = 1 << 18  # keys of a bucket, about
+BLOCK = 2000  # texts whose lookups are sent together, at most
 PASSES = 4  # rounds of lookups, a power of two up to 8; each shuffles the keys of its buckets alone
 
 
@@ -352,6 +353,15 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: in
     )
 
 
+def blocks(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of numbered texts, each of at most BLOCK texts with numbers in turn: a batch may span files, whose tasks number apart."""
+    row = b.column(0).to_numpy()
+    cuts = [0, *(np.flatnonzero(np.diff(row) != 1) + 1).tolist(), len(b)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        for x in range(lo, hi, BLOCK):
+            yield b.slice(x, min(BLOCK, hi - x))
+
+
 def answered(asked: DataFrame, table: DataFrame) -> DataFrame:
     """(row, lp, w, seen): sums over the asked keys of a text that the table (key, lp, w) has, in parts, one a round of lookups. A round has every
     PASSES-th bucket; its sums are stored and its shuffles dropped before the next."""
@@ -367,8 +377,7 @@ def _answered(asked: DataFrame, table: DataFrame, many: int, nth: int) -> DataFr
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in range(0, len(b), 2000):
-                part = b.slice(x, 2000)
+            for part in blocks(b):
                 key, n = part.column(1).flatten().to_numpy(), np.diff(part.column(1).offsets.to_numpy())
                 row = part.column(0).to_numpy()
                 if not len(key):

@@ -399,6 +399,15 @@ def test_lookups_go_in_rounds(spark):
         assert suffix_tree_lm._answered(asked, table, 8, nth).count() > 0
 
 
+def test_lookups_of_texts_from_several_tasks(docs):
+    """Texts are numbered by task; a batch of lookups may hold texts of several."""
+    rows = [tuple(r) for r in docs.collect()]
+    tree = BruteTree([of_words(x) for name, x in rows if zlib.crc32(str(name).encode()) % 5 != 1])
+    got = {r.doc_id: r for r in suffix_tree_lm.score(docs.repartition(7)).collect()}
+    for name, text in rows:
+        assert got[name].score == pytest.approx(tree.score(of_words(text)))
+
+
 def test_suffix_tree_odd(odd, empty):
     rows = suffix_tree_lm.score(odd).collect()
     assert len(rows) == len(ODD) and all(not r.held_out for r in rows if r.doc_id is None) and all(r.n_tokens >= 1 for r in rows)
