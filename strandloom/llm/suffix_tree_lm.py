@@ -12,7 +12,7 @@ Scale. Counts and nodes are tables that grow with the input. A text's score is a
 log(B / (C + 1)) of each kept context that a token follows, and for each stored symbol what its own entry adds to that. So
 ``weights`` gives each n-gram one number and scoring is a join on the n-gram. Counts and lookups are shuffled by buckets of hashed keys, whose
 number grows with the input, as packed arrays, so that a task holds one bucket's keys at a time. Lookups go in ``PASSES`` rounds over the buckets, whose
-shuffles are dropped one by one, so that the disk holds a part of them at a time. Keys above a share of ``HEAD`` (at most 1 / HEAD
+shuffles are dropped one by one, so that the disk holds a part of them at a time. What they find goes back packed to the block of texts that asked. Keys above a share of ``HEAD`` (at most 1 / HEAD
 an order) are looked up in a broadcast, since they would be hot in a shuffle, all others by a shuffle. A
 bitmap of fixed size leaves out keys that have no row, which loses none.
 
@@ -362,34 +362,40 @@ def blocks(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield b.slice(x, min(BLOCK, hi - x))
 
 
+def summed(own: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """Distinct texts and each column's sums, from texts in order."""
+    new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    return [own[new], *(np.add.reduceat(c, new, dtype=c.dtype) if len(new) else c for c in columns)]
+
+
 def answered(asked: DataFrame, table: DataFrame) -> DataFrame:
     """(row, lp, w, seen): sums over the asked keys of a text that the table (key, lp, w) has, in parts, one a round of lookups. A round has every
     PASSES-th bucket; its sums are stored and its shuffles dropped before the next."""
     many, parts = buckets_for(table.count()), []
     for nth in range(PASSES):
-        parts.append(stored(_answered(asked, table, many, nth).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("lp", "w", "seen")]), "answers"))
+        parts.append(stored(_answered(asked, table, many, nth), "answers"))
         released(asked.sparkSession)
     return reduce(DataFrame.unionByName, parts)
 
 
 def _answered(asked: DataFrame, table: DataFrame, many: int, nth: int) -> DataFrame:
-    """The sums of one round. Both sides are shuffled by bucket, packed; of each bucket, the table's part comes first and is held, those of the texts pass by."""
+    """The sums of one round, at most one row a text. Both sides are shuffled by bucket, packed; of each bucket, the table's part comes first and is held, those
+    of the texts pass by. What is found goes back packed to the block that asked, a row a block and bucket with at most an entry a found key, and is summed there."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in blocks(b):
                 key, n = part.column(1).flatten().to_numpy(), np.diff(part.column(1).offsets.to_numpy())
-                row = part.column(0).to_numpy()
                 if not len(key):
                     continue
-                at, own = bucket_of(key, many), np.repeat((row - row[0]).astype(np.uint32), n)  # rows of a part are numbered in turn
+                at, own = bucket_of(key, many), np.repeat(np.arange(len(part), dtype=np.uint16), n)
                 now = np.flatnonzero(at % PASSES == nth)
                 o = now[np.argsort(at[now], kind="stable")]
                 if not len(o):
                     continue
                 out = dealt(at[o], 1, [key[o], own[o]])
-                base = pa.array([row[:1].tobytes()] * len(out), pa.binary())
-                yield pa.RecordBatch.from_arrays([*out.columns, base], names=["bucket", "side", "c0", "c1", "c2"])
+                block = pa.array([part.column(0)[0].as_py().to_bytes(8, "little")] * len(out), pa.binary())
+                yield pa.RecordBatch.from_arrays([*out.columns, block], names=["bucket", "side", "c0", "c1", "c2"])
 
     def know(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -400,14 +406,9 @@ def _answered(asked: DataFrame, table: DataFrame, many: int, nth: int) -> DataFr
             yield dealt(at[o], 0, [key[o], lp[o].astype(float), w[o].astype(float)])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, held = [], 0
-
-        def out() -> pa.RecordBatch:
-            x = [np.concatenate(c) for c in zip(*sums)]
-            rows, back = np.unique(x[0], return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(rows), *(pa.array(np.bincount(back, c, len(rows))) for c in x[1:3]), pa.array(np.bincount(back, x[3], len(rows)).astype(np.int64))], names=["row", "lp", "w", "seen"])
-
-        at, parts, known = None, [], None
+        names = ["block", "token", "seen", "lp", "gram", "w"]
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k == 0 else pa.binary()) for k, x in enumerate(zip(*found))], names=names)
+        found, held, at, parts, known = [], 0, None, [], None
         for b in batches:
             for bucket, side, c0, c1, c2 in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4)):
                 if bucket != at:
@@ -419,22 +420,37 @@ def _answered(asked: DataFrame, table: DataFrame, many: int, nth: int) -> DataFr
                     x = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
                     o = np.argsort(x[0].view(np.uint64), kind="stable")
                     known, parts = [Places(x[0][o].copy()), x[1][o], x[2][o]], []
-                key, row = np.frombuffer(c0.as_buffer(), np.int64), np.frombuffer(c1.as_buffer(), np.uint32) + np.frombuffer(c2.as_buffer(), np.int64)
-                place = known[0].of(key)
+                place, own = known[0].of(np.frombuffer(c0.as_buffer(), np.int64)), np.frombuffer(c1.as_buffer(), np.uint16)
                 there = place >= 0
-                place, row = place[there], row[there]
-                lp = known[1][place]
-                sums.append((row, np.nan_to_num(lp), known[2][place], ~np.isnan(lp)))
-                held += len(row)
-                if held >= 4 * HELD:
+                place, own = place[there], own[there]
+                lp, w = known[1][place], known[2][place]
+                token, gram = ~np.isnan(lp), w != 0  # a single token may have a context's weight too
+                if len(own):
+                    sums = (*summed(own[token], np.ones(token.sum(), np.uint32), lp[token]), *summed(own[gram], w[gram]))
+                    found.append((int.from_bytes(c2.as_py(), "little", signed=True), *(x.tobytes() for x in sums)))
+                held += len(own)
+                if held >= HELD:
                     yield out()
-                    sums, held = [], 0
-        if sums:
+                    found, held = [], 0
+        if found:
             yield out()
 
+    def total(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        types = (np.uint16, np.uint32, float, np.uint16, float)
+        token, seen, lp, gram, w = (np.concatenate([np.frombuffer(x.as_buffer(), t) for h in held for x in h.column(k)]) for k, t in enumerate(types, 1))
+        o = np.flatnonzero(np.bincount(token, minlength=BLOCK) + np.bincount(gram, minlength=BLOCK))
+        lp, w, seen = (np.bincount(x, y, BLOCK)[o] for x, y in ((token, lp), (gram, w), (token, seen)))
+        columns = [held[0].column(0)[0].as_py() + o, lp.astype(float), w.astype(float), seen.astype(np.int64)]  # bincount of nothing gives integers
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["row", "lp", "w", "seen"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in by_bucket(batches):
+            yield total(held)
+
     schema = "bucket long, side long, c0 binary, c1 binary, c2 binary"
     both = table.select("key", "lp", "w").mapInArrow(know, schema).unionByName(asked.mapInArrow(ask, schema))
-    return both.repartition("bucket").sortWithinPartitions("bucket", "side").mapInArrow(answer, "row long, lp double, w double, seen long")
+    found = both.repartition("bucket").sortWithinPartitions("bucket", "side").mapInArrow(answer, "block long, token binary, seen binary, lp binary, gram binary, w binary")
+    return found.repartition("block").sortWithinPartitions("block").mapInArrow(add, "row long, lp double, w double, seen long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -399,6 +399,27 @@ def test_lookups_go_in_rounds(spark):
         assert suffix_tree_lm._answered(asked, table, 8, nth).count() > 0
 
 
+def test_answers_do_not_grow_with_buckets(spark):
+    """A round returns one row a text, with as many sums of few as of many buckets."""
+    r = np.random.default_rng(8)
+    keys = np.unique(r.integers(-(1 << 63), (1 << 63) - 1, 3000)).tolist()
+    table = spark.createDataFrame([(k, -1.0, 2.0) for k in keys], "key long, lp double, w double")
+    asked = spark.createDataFrame([(n, r.permutation(keys)[:500].tolist()) for n in range(60)], "row long, asked array<long>")
+    conf = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for many in (8, 256):
+            rounds = [suffix_tree_lm._answered(asked, table, many, nth).collect() for nth in range(suffix_tree_lm.PASSES)]
+            assert all(sorted(x.row for x in rows) == list(range(60)) for rows in rounds)
+            for n in ("lp", "w", "seen"):
+                assert sum(x[n] for rows in rounds for x in rows) == 60 * 500 * {"lp": -1, "w": 2, "seen": 1}[n]
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_lookups_of_texts_from_several_tasks(docs):
     """Texts are numbered by task; a batch of lookups may hold texts of several."""
     rows = [tuple(r) for r in docs.collect()]
