@@ -26,13 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Rows of a batch that goes to a Python worker. Texts have some kB each, so that Spark's 10,000 would fill many times that memory in worker and executor.
 BATCH = 1000
+#: Bytes of such a batch, about: a thousand sets of long texts have many times that.
+BATCH_BYTES = 1 << 22
 
 
 def bounded(spark: SparkSession) -> None:
-    """Lets this session send at most BATCH rows at a time to Python workers; a smaller setting stays."""
+    """Lets this session send at most BATCH rows or about BATCH_BYTES at a time to Python workers; a smaller number of rows stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "0")) <= BATCH:
         spark.conf.set(key, str(BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def new_path(spark: SparkSession, tag: str) -> str:

@@ -50,6 +50,8 @@ POINT_DIMS = 256  # coordinates of an R-tree of the points that are sent ahead o
 POINT_MOST = 1 << 16  # the most
 SHARD = 2048  # members of a block
 BLOCK_ELEMENTS = 1 << 21  # or so many elements
+PART_ELEMENTS = 1 << 17  # elements of a shard that are worked on at a time, beside the shard's own
+GROUPS_BYTES = 1 << 22  # bytes of groups that a task takes at a time
 LEAF = 32
 FAN = 8
 ELEMENT_BYTES = 6
@@ -108,16 +110,20 @@ def packed(sets: np.ndarray) -> np.ndarray:
 
 
 def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The elements of a column of packed sets, sorted within each, and where each set begins."""
-    column = column.cast(pa.large_binary())
-    if not len(column):
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].reshape(-1, ELEMENT_BYTES) if data else np.zeros((0, ELEMENT_BYTES), np.uint8)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :ELEMENT_BYTES] = raw
-    return wide.reshape(-1).view("<u8"), (offsets - offsets[0]) // ELEMENT_BYTES
+    """The elements of a column of packed sets, sorted within each, and where each set begins. Chunks are unpacked in place, without a copy of them together."""
+    chunks = [c.cast(pa.large_binary()) for c in (column.chunks if isinstance(column, pa.ChunkedArray) else [column]) if len(c)]
+    raw, first = [], [np.zeros(1, np.int64)]
+    for c in chunks:
+        _, offsets, data = c.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[c.offset : c.offset + len(c) + 1]
+        raw.append(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].reshape(-1, ELEMENT_BYTES) if data else np.zeros((0, ELEMENT_BYTES), np.uint8))
+        first.append((offsets[1:] - offsets[0]) // ELEMENT_BYTES + first[-1][-1])
+    wide = np.zeros((sum(map(len, raw)), 8), np.uint8)
+    at = 0
+    for r in raw:
+        wide[at : at + len(r), :ELEMENT_BYTES] = r
+        at += len(r)
+    return wide.reshape(-1).view("<u8"), np.concatenate(first)
 
 
 def shard_keys(s: np.ndarray, p: int, edges: list[int]) -> np.ndarray:
@@ -278,7 +284,7 @@ class Shard:
             nth = np.arange(len(j)) - np.repeat(np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(j))))
             now = nth < take
             try_, j = j[now], j[~now]
-            cut = np.searchsorted(np.cumsum(self.n[try_]), np.arange(1, int(self.n[try_].sum()) // 500_000 + 1) * 500_000)
+            cut = np.searchsorted(np.cumsum(self.n[try_]), np.arange(PART_ELEMENTS, int(self.n[try_].sum()) + 1, PART_ELEMENTS))
             for part in np.split(try_, np.unique(cut)):
                 if len(part):
                     for k in part[self.linked(i, part)].tolist():
@@ -287,6 +293,18 @@ class Shard:
                             self.label[self.label == self.label[k]] = self.label[i]
             j, take = self.open(i, j), 2 * take
 
+    def counts(self, dims: int) -> np.ndarray:
+        """Each set's element counts by dims groups, made from some sets at a time."""
+        m = len(self.n)
+        out = np.zeros((m, dims), np.uint16 if self.n.max(initial=0) < 1 << 15 else np.int32)
+        cut = np.searchsorted(self.first, np.arange(PART_ELEMENTS, self.first[-1], PART_ELEMENTS), "right") - 1
+        cut = np.unique(np.concatenate([cut, np.arange(0, m, max(1, PART_ELEMENTS // dims)), [m]]))
+        for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            group = (self.e[self.first[x] : self.first[y]] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - dims.bit_length())
+            at = np.repeat(np.arange(y - x) * dims, self.n[x:y]) + group.view(np.int64)
+            out[x:y] = np.bincount(at, minlength=(y - x) * dims).reshape(-1, dims)
+        return out
+
     def forest(self) -> list[tuple[int, int]]:
         """Links that connect what the shard's links connect, at most one fewer than its members."""
         m = len(self.n)
@@ -294,10 +312,7 @@ class Shard:
         if m == 2 or not (self.label != self.label[0]).any():
             return self.links
         dims = 1 << int(np.clip(int(self.n.max()) // 2, *DIMS)).bit_length() - 1
-        at = np.repeat(np.arange(m) * dims, self.n) + ((self.e * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - dims.bit_length())).astype(np.int64)
-        vec = np.bincount(at, minlength=m * dims).reshape(m, dims)
-        vec = vec.astype(np.uint16 if vec.max(initial=0) < 1 << 15 else np.int32)
-        for i, j in tree_pairs(vec, self.n, self.p, self.label):
+        for i, j in tree_pairs(self.counts(dims), self.n, self.p, self.label):
             order = np.argsort(i, kind="stable")
             i, j = i[order], j[order]
             new = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
@@ -312,13 +327,11 @@ def shard_links(rows: DataFrame, p: int) -> DataFrame:
 
     def found(t: pa.Table) -> pa.RecordBatch:
         shard, lo, hi, cls, comp, side = (t.column(k).to_numpy() for k in range(6))
-        e, first = unpacked(t.column(6).combine_chunks() if t.num_rows else t.column(6))
         new = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
         a, b = [], []
         for x, y in zip(new.tolist(), np.append(new[1:], len(t)).tolist()):
             if y - x > 1:
-                s = Shard(e[first[x] : first[y]], first[x : y + 1] - first[x], comp[x:y], side[x:y], p)
-                for i, j in s.forest():
+                for i, j in Shard(*unpacked(t.column(6).slice(x, y - x)), comp[x:y], side[x:y], p).forest():
                     a.append(cls[x + i])
                     b.append(cls[x + j])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -326,7 +339,7 @@ def shard_links(rows: DataFrame, p: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
             yield found(t)
-        _text.trim()
+            _text.trim()
 
     rows = rows.select("shard", "lo", "hi", "cls", "comp", "side", "elements")
     rows = rows.repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi", "cls")
@@ -397,29 +410,30 @@ def near_points(rows: DataFrame, p: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
             yield from found(t).to_batches()
-        _text.trim()
+            _text.trim()
 
     rows = rows.select("shard", "lo", "hi", "cls", "comp", "side", "n", "vec").repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi", "cls")
     return rows.mapInArrow(run, "shard long, lo long, hi long, cls long, comp long, side long")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of whole groups of rows, from batches in order of the first three columns; some 16 MB or one group at a time."""
+    """Tables of whole groups of rows, from batches in order of the first three columns; some GROUPS_BYTES or one group at a time, in the batches' own memory."""
     held: list[pa.Table] = []
     size = 0
     for b in batches:
         held.append(pa.table(b.columns, names=b.schema.names))
         size += b.nbytes
-        if size < 1 << 24:
+        if size < GROUPS_BYTES:
             continue
-        t = pa.concat_tables(held).combine_chunks()
+        t = pa.concat_tables(held)
         key = [t.column(k).to_numpy() for k in range(3)]
         cut = int(np.argmax(np.logical_and.reduce([x == x[-1] for x in key])))  # the last group may go on
+        held, size = [t.slice(cut)], 0
         if cut:
-            yield t.slice(0, cut).combine_chunks()
-        held, size = [t.slice(cut).combine_chunks()], 0
+            yield t.slice(0, cut)
+        del t, b
     if held:
-        yield pa.concat_tables(held).combine_chunks()
+        yield pa.concat_tables(held)
 
 
 def blocks(m: str, elements: str):

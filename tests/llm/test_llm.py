@@ -5,13 +5,16 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strandloom.llm import best_fit, components, decontamination, license_scan, ngram_join, packed_matrix, pii, quality_rules, quotes, suffix_tree_lm, token_ids, warc
+from strandloom.llm._store import stored
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -272,6 +275,39 @@ def test_join_of_one_large_group(spark, monkeypatch, shard):
     assert joined(df) == brute_components(rows, 3, 90)
 
 
+def test_shard_of_large_sets_takes_little_memory():
+    """A group of several batches is worked on in less memory than its unpacked sets once more, and batches aren't copied together."""
+    r = np.random.default_rng(7)
+    sets = [np.unique(r.integers(0, 1 << 48, 16_384, np.uint64)) for _ in range(120)]
+    sets += [np.concatenate([s[:-200], s[-200:] + np.uint64(1)]) for s in sets[:8]]
+    size = 8 * sum(map(len, sets))
+    zero = pa.array(np.zeros(16, np.int64))
+    names = ["shard", "lo", "hi", "cls", "comp", "side", "elements"]
+    batch = lambda k: pa.RecordBatch.from_arrays([*[zero] * 3, *[pa.array(np.arange(k, k + 16))] * 2, zero, pa.array([ngram_join.packed(s << np.uint64(16)).tobytes() for s in sets[k : k + 16]])], names=names)
+    batches = [batch(k) for k in range(0, len(sets), 16)]
+    arrow = pa.total_allocated_bytes()
+    (t,) = ngram_join.whole_groups(iter(batches))
+    e, first = ngram_join.unpacked(t.column(6))
+    assert (e == np.concatenate(sets)).all() and np.diff(first).tolist() == [len(s) for s in sets]
+    assert pa.total_allocated_bytes() - arrow < size / 10
+    shard = ngram_join.Shard(e, first, np.arange(len(sets)), np.zeros(len(sets), np.int64), 80)
+    tracemalloc.start()
+    try:
+        links = shard.forest()
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert {tuple(sorted(x)) for x in links} == {(k, 120 + k) for k in range(8)}
+    assert most < size
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    """Rows of long values go to Python workers in batches of some MB."""
+    rows = stored(spark.range(0, 400, 1, 1).select("id", F.repeat(F.lit("x"), 100_000).alias("text")), "long")
+    sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()
+    assert sum(r.n for r in sizes) >= 40_000_000 and max(r.n for r in sizes) < 8_000_000
+
+
 def test_points_rule_out_unrelated_large_sets(spark):
     r = np.random.default_rng(3)
     new = lambda n: np.unique(r.integers(0, 1 << 48, n, np.uint64) << np.uint64(16))
