@@ -26,15 +26,19 @@ FROM p LEFT JOIN f ON p.h = f.h
 """
 
 OP7 = rf"""
-WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOW}, '{_ALNUM}') AS w FROM benchmark),
+WITH i AS MATERIALIZED (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOW}, '{_ALNUM}') AS w FROM benchmark),
 iw AS (SELECT DISTINCT item, least(8, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(8, len(w)) + 2), lambda k: array_to_string(w[k:k + least(8, len(w)) - 1], ' '))) AS t FROM i WHERE len(w) > 0),
-d AS (SELECT doc_id, regexp_extract_all({_LOW}, '{_ALNUM}') AS w FROM documents),
+d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOW}, '{_ALNUM}') AS w FROM documents),
 dw AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS k, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) AS t FROM d, (SELECT DISTINCT n FROM iw) z WHERE len(w) >= n),
 h AS (SELECT doc_id, k, dw.n, item FROM dw JOIN iw ON dw.n = iw.n AND dw.t = iw.t),
 c AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM h) q GROUP BY doc_id),
-g AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) q GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
-FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN g ON g.doc_id = d.doc_id
+g AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) q GROUP BY doc_id),
+nw AS MATERIALIZED (SELECT DISTINCT item, w[k] AS a, list_distinct(w[k:k + n - 1]) AS s FROM (SELECT item, w, least(8, len(w)) AS n, unnest(range(1, len(w) - least(8, len(w)) + 2)) AS k FROM i WHERE len(w) > 0) q),
+dp AS MATERIALIZED (SELECT doc_id, unnest(w) AS a, unnest(list_transform(range(1, len(w) + 1), lambda k: w[greatest(1, k - 16):k + 16])) AS s FROM d),
+m AS (SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS near FROM (SELECT DISTINCT doc_id, item FROM (SELECT doc_id, item, len(list_filter(nw.s, lambda x: list_contains(dp.s, x))) = len(nw.s) AS near FROM dp JOIN nw ON dp.a = nw.a) q WHERE near) q GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated,
+  coalesce(n_near, 0) AS n_near_items, sha256(coalesce(near, '')) AS near_items_sha256
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
 """
 
 OP10 = rf"""
