@@ -56,4 +56,37 @@ b AS (SELECT *, CAST(CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 *
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
 
-SQL = {"op3_ngram_jaccard_join": OP3, "op6_warc": OP6, "op7_decontamination": OP7, "op10_quality_rules": OP10}
+OP12 = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, good, toxic, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b, 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) AS c,
+    regexp_matches(t, '[#$%&*|]') AS d, w.doc_id > min(w.doc_id) OVER (PARTITION BY t) AS e FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+m AS (SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS bits, count(*) AS n, count(*) FILTER (good = 1) AS n_good, count(*) FILTER (toxic = 1) AS n_toxic FROM f GROUP BY ALL),
+x AS (SELECT unnest([1, 2, 4, 8, 16]) AS bit, unnest(['A', 'B', 'C', 'D', 'E']) AS name),
+o AS (SELECT p.name || q.name || r.name || s.name || t.name AS filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits FROM x p, x q, x r, x s, x t WHERE p.bit + q.bit + r.bit + s.bit + t.bit = 31 AND (p.bit | q.bit | r.bit | s.bit | t.bit) = 31),
+s AS (SELECT filter_order, step, bits[step] AS bit, list_sum(bits[1:step - 1])::INT AS prior FROM (SELECT filter_order, bits, unnest(range(1, 6))::INT AS step FROM o) q),
+g AS (SELECT part, filter_order, step, s.bit, CAST(coalesce(sum(n) FILTER ((m.bits & (bit | coalesce(prior, 0))) = 0), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER ((m.bits & bit) <> 0 AND (m.bits & coalesce(prior, 0)) = 0), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER ((m.bits & bit) <> 0 AND (m.bits & coalesce(prior, 0)) <> 0), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (m.bits = bit), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(n_good) FILTER ((m.bits & bit) <> 0 AND (m.bits & coalesce(prior, 0)) = 0), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(n_toxic) FILTER ((m.bits & bit) <> 0 AND (m.bits & coalesce(prior, 0)) = 0), 0) AS BIGINT) AS toxic_lost
+  FROM m, s GROUP BY part, filter_order, step, s.bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM g
+"""
+
+OP13 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOW}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM w, (SELECT unnest(range(1, 6)) AS m) z WHERE len(w) >= m) q GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+k AS (SELECT lang, m, phrase, a, w, unnest(range(1, m)) AS cut FROM c),
+s AS (SELECT k.lang, k.phrase, k.a, cut, l.f AS l, r.f AS r, n, CAST(CAST(1000 AS HUGEINT) * k.a * n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(w[1:cut], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(w[cut + 1:k.m], ' ') JOIN n ON n.lang = k.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+x AS (SELECT DISTINCT c.lang, c.phrase FROM (SELECT lang, a, array_to_string(w[x:x + y - 1], ' ') AS part FROM c, (SELECT unnest(range(1, 5)) AS x) u, (SELECT unnest(range(2, 5)) AS y) v WHERE y < m AND x + y - 1 <= m) q JOIN c ON c.lang = q.lang AND c.phrase = q.part WHERE 100 * q.a >= 100 * c.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.lang = b.lang AND x.phrase = b.phrase)) q WHERE rank <= 2000
+"""
+
+SQL = {"op3_ngram_jaccard_join": OP3, "op6_warc": OP6, "op7_decontamination": OP7, "op10_quality_rules": OP10, "op12_filter_audit": OP12, "op13_collocations": OP13}

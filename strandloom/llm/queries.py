@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import best_fit, decontamination, license_scan, ngram_join, oracles, packed_matrix, pii, quality_rules, quotes, suffix_tree_lm, warc
+from strandloom.llm import best_fit, collocations, decontamination, filter_audit, language_id, license_scan, ngram_join, oracles, packed_matrix, pii, quality_rules, quotes, suffix_tree_lm, warc
 
 QUERIES = {
     "op1_packed_matrix": packed_matrix.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_license_scan": license_scan.query,
     "op9_pii": pii.query,
     "op10_quality_rules": quality_rules.query,
+    "op11_language_id": language_id.query,
+    "op12_filter_audit": filter_audit.query,
+    "op13_collocations": collocations.query,
 }
 ORACLE_SQL: dict[str, str] = oracles.SQL
