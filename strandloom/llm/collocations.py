@@ -38,7 +38,9 @@ SPREAD, MAX_BITS, LEAST_BITS = 32, 27, 16
 #: Cells of a block, by which sketches are merged.
 BLOCK = 1 << 18
 #: Phrases that a task holds before it hands them on, and words that are worked on at a time.
-HELD, PART = 1 << 17, 1 << 17
+HELD, PART = 1 << 19, 1 << 17
+#: Bytes of text of a task, about, where that makes more tasks than there are cores: it fills one sketch of no more bytes.
+TASK_BYTES = 1 << 28
 _WORD = np.ones(256, bool)
 _WORD[[32, 9, *STOPS]] = False
 _STOP = np.zeros(256, bool)
@@ -170,7 +172,7 @@ def _runs(b: pa.RecordBatch) -> Iterator[tuple[int, Words, np.ndarray, np.ndarra
 
 def sketch(docs: DataFrame, bits: int, lengths: range, least: int, sketches: list) -> Reached:
     """docs: (lang, text). Cells of the merged sketch of phrases of these lengths that reach least.
-    Each core fills one sketch; blocks of 2^18 cells are added up as they come, and bits of cells go to the driver: 2^(bits - 2) bytes."""
+    A task fills one sketch; blocks of 2^18 cells are added up as they come, and bits of cells go to the driver: 2^(bits - 2) bytes."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(sketches)
     kind = np.uint8 if least < 256 else np.uint32
@@ -198,7 +200,7 @@ def sketch(docs: DataFrame, bits: int, lengths: range, least: int, sketches: lis
         return added(np.frombuffer(x, kind), np.frombuffer(y, kind)).tobytes()
 
     cores = spark.sparkContext.defaultParallelism
-    parts = docs.coalesce(cores).mapInArrow(run, "block long, cells binary").rdd.map(lambda r: (r[0], bytes(r[1]))).reduceByKey(merged, cores)
+    parts = docs.mapInArrow(run, "block long, cells binary").rdd.map(lambda r: (r[0], bytes(r[1]))).reduceByKey(merged, cores)
     out = np.zeros((2 << bits) // 8, np.uint8)
     for k, packed in parts.mapValues(lambda x: np.packbits(np.frombuffer(x, kind) >= least).tobytes()).collect():
         out[k * block // 8 : (k + 1) * block // 8] = np.frombuffer(packed, np.uint8)
@@ -206,11 +208,13 @@ def sketch(docs: DataFrame, bits: int, lengths: range, least: int, sketches: lis
 
 
 def counts(docs: DataFrame, sketches: list[Reached], longest: int, least: int) -> DataFrame:
-    """(lang, phrase, words, f) of phrases of one to ``longest`` words that occur ``least`` times or more, counted exactly."""
+    """(lang, phrase, words, f) of phrases of one to ``longest`` words that occur ``least`` times or more, counted exactly;
+    in a row of no phrase and 0 words, all words of a language."""
     sent = docs.sparkSession.sparkContext.broadcast(sketches)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
+        total: dict[str, int] = {}
 
         def out() -> pa.RecordBatch:
             rows = list(held.values())
@@ -219,7 +223,9 @@ def counts(docs: DataFrame, sketches: list[Reached], longest: int, least: int) -
 
         for b in batches:
             names = b.column(0).to_pylist()
-            for _, w, text, lang, a, z in _runs(b):
+            for lo, w, text, lang, a, z in _runs(b):
+                for k, n in enumerate(np.bincount(text[a:z] - lo).tolist(), lo):
+                    total[names[k]] = total.get(names[k], 0) + n
                 for length, at, h in survivors(w, lang, range(1, longest + 1), a, z, sent.value):
                     h, first, n = np.unique(h, return_index=True, return_counts=True)
                     for key, i, m in zip(h.tolist(), at[first].tolist(), n.tolist()):
@@ -231,28 +237,16 @@ def counts(docs: DataFrame, sketches: list[Reached], longest: int, least: int) -
                 if len(held) > HELD:
                     yield out()
         yield out()
+        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(total), pa.string()), "phrase": pa.nulls(len(total), pa.string()), "words": pa.array([0] * len(total), pa.int32()), "n": pa.array(list(total.values()), pa.int64())})
         _text.trim()
 
     found = docs.mapInArrow(run, "lang string, phrase string, words int, n long")
-    return found.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("n").alias("f")).where(F.col("f") >= least)
+    return found.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("n").alias("f")).where((F.col("words") == 0) | (F.col("f") >= least))
 
 
-def totals(docs: DataFrame) -> DataFrame:
-    """(lang, n): all words of a language."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = np.zeros(b.num_rows, np.int64)
-            for lo, hi, w in texts_of(b.column(1)):
-                _, offsets = _text.buffers(b.column(1))
-                n[lo:hi] = np.diff(np.append(np.searchsorted(w.start, offsets[lo:hi] - offsets[lo]), len(w.start)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n)], names=["lang", "n"])
-
-    return docs.mapInArrow(run, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
-
-
-def scored(found: DataFrame, total: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(lang, phrase, a, l, r, n, score) of the candidates among found (lang, phrase, words, f) that no longer one subsumes."""
+def scored(found: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(lang, phrase, a, l, r, n, score) of the candidates among found, made by counts(), that no longer one subsumes."""
+    total = found.where("words = 0").select("lang", F.col("f").alias("n"))
     split = F.split("phrase", " ")
     cand = found.where("words > 1").select("lang", "phrase", F.col("f").alias("a"), split.alias("w"), "words")
     cut = cand.select("lang", "phrase", "a", "w", "words", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
@@ -280,15 +274,17 @@ def top(made: DataFrame, size: int = TOP) -> DataFrame:
 
 def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, percent: int = PERCENT, size: int = TOP, bits: int | None = None) -> DataFrame:
     """The first ``size`` collocations of each language: lang, rank, phrase, a, l, r, n, score."""
-    bounded(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded(spark)
     own = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
+    letters = own.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    own = own.coalesce(max(spark.sparkContext.defaultParallelism, letters // TASK_BYTES))  # what a task counts is added up before the shuffle
     if bits is None:
-        letters = own.select(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = min(MAX_BITS, max(LEAST_BITS, (letters // SPREAD).bit_length()))
     sketches = [sketch(own, bits, range(1, 3), least, [])]
     sketches.append(sketch(own, bits, range(3, longest + 1), least, sketches))
     found = stored(counts(own, sketches, longest, least), "phrases")
-    return top(scored(found, totals(own), percent), size)
+    return top(scored(found, percent), size)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
