@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+
+from strandloom.sources import blocks
 
 SCHEMA = "qname string, flag int, rname string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, qual string, tags map<string,string>"
 _OPS, _BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
+_PAIRS = [x + y for x in _BASES for y in _BASES]
+_QUALITIES = bytes((k + 33) & 255 for k in range(256))
 # Struct codes of the types of tags.
 _TYPES = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 
@@ -57,55 +64,67 @@ def inflated(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def bam_records(data: bytes) -> Iterator[tuple]:
-    """Rows of SCHEMA from an inflated BAM."""
+def bam_header(data: bytes) -> tuple[str, list[tuple[str, int]], int]:
+    """Header text, contigs with their lengths, and the place of the first record in an inflated BAM; struct.error where data ends before."""
     if data[:4] != b"BAM\1":
         raise ValueError("not a BAM file")
     at = 8 + struct.unpack_from("<i", data, 4)[0]
     (n,) = struct.unpack_from("<i", data, at)
-    at, names = at + 4, []
+    text, at, contigs = data[8:at].rstrip(b"\0").decode(), at + 4, []
     for _ in range(n):
         (k,) = struct.unpack_from("<i", data, at)
-        names.append(data[at + 4 : at + 3 + k].decode())
+        contigs.append((data[at + 4 : at + 3 + k].decode(), struct.unpack_from("<i", data, at + 4 + k)[0]))
         at += 8 + k
+    return text, contigs, at
+
+
+def bam_record(data: bytes, names: list[str]) -> tuple:
+    """A row of SCHEMA from a record without its length field."""
     name = lambda k: names[k] if k >= 0 else "*"
+    ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, next_ref, next_pos, tlen = struct.unpack_from("<iiBBHHHiiii", data)
+    k, end = 32, len(data)
+    qname = data[k : k + n_name - 1].decode()
+    k += n_name
+    cigar = "".join(f"{v >> 4}{_OPS[v & 15]}" for v in struct.unpack_from(f"<{n_cigar}I", data, k)) or "*"
+    k += 4 * n_cigar
+    seq = "".join(map(_PAIRS.__getitem__, data[k : k + (n_seq + 1) // 2]))[:n_seq] or "*"
+    k += (n_seq + 1) // 2
+    raw = data[k : k + n_seq]
+    qual = "*" if not raw or raw[0] == 255 else raw.translate(_QUALITIES).decode("latin-1")
+    k += n_seq
+    tags = {}
+    while k < end:
+        key, kind = data[k : k + 2].decode(), chr(data[k + 2])
+        k += 3
+        if kind in "ZH":
+            stop = data.index(0, k)
+            tags[key], k = data[k:stop].decode(), stop + 1
+        elif kind == "A":
+            tags[key], k = chr(data[k]), k + 1
+        elif kind == "B":
+            sub, count = chr(data[k]), struct.unpack_from("<I", data, k + 1)[0]
+            values = struct.unpack_from(f"<{count}{_TYPES[sub]}", data, k + 5)
+            tags[key] = ",".join([sub, *map(str, values)])
+            k += 5 + count * struct.calcsize(_TYPES[sub])
+        else:
+            (v,) = struct.unpack_from("<" + _TYPES[kind], data, k)
+            tags[key], k = str(v), k + struct.calcsize(_TYPES[kind])
+    mate = "=" if next_ref == ref and ref >= 0 else name(next_ref)
+    return qname, flag, name(ref), pos, mapq, cigar, mate, next_pos, tlen, seq, qual, tags
+
+
+def bam_records(data: bytes) -> Iterator[tuple]:
+    """Rows of SCHEMA from an inflated BAM."""
+    _, contigs, at = bam_header(data)
+    names = [c for c, _ in contigs]
     while at < len(data):
         (size,) = struct.unpack_from("<i", data, at)
-        ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, next_ref, next_pos, tlen = struct.unpack_from("<iiBBHHHiiii", data, at + 4)
-        k, end = at + 36, at + 4 + size
-        qname = data[k : k + n_name - 1].decode()
-        k += n_name
-        cigar = "".join(f"{v >> 4}{_OPS[v & 15]}" for v in struct.unpack_from(f"<{n_cigar}I", data, k)) or "*"
-        k += 4 * n_cigar
-        seq = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in data[k : k + (n_seq + 1) // 2])[:n_seq] or "*"
-        k += (n_seq + 1) // 2
-        raw = data[k : k + n_seq]
-        qual = "*" if not raw or raw[0] == 255 else "".join(chr(q + 33) for q in raw)
-        k += n_seq
-        tags = {}
-        while k < end:
-            key, kind = data[k : k + 2].decode(), chr(data[k + 2])
-            k += 3
-            if kind in "ZH":
-                stop = data.index(0, k)
-                tags[key], k = data[k:stop].decode(), stop + 1
-            elif kind == "A":
-                tags[key], k = chr(data[k]), k + 1
-            elif kind == "B":
-                sub, count = chr(data[k]), struct.unpack_from("<I", data, k + 1)[0]
-                values = struct.unpack_from(f"<{count}{_TYPES[sub]}", data, k + 5)
-                tags[key] = ",".join([sub, *map(str, values)])
-                k += 5 + count * struct.calcsize(_TYPES[sub])
-            else:
-                (v,) = struct.unpack_from("<" + _TYPES[kind], data, k)
-                tags[key], k = str(v), k + struct.calcsize(_TYPES[kind])
-        mate = "=" if next_ref == ref and ref >= 0 else name(next_ref)
-        yield qname, flag, name(ref), pos, mapq, cigar, mate, next_pos, tlen, seq, qual, tags
-        at = end
+        yield bam_record(data[at + 4 : at + 4 + size], names)
+        at += 4 + size
 
 
 def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """BAM files below a path, from any store that Spark reads; a file is one task's."""
+    """BAM files below a path, from any store that Spark reads; a file is one task's. scan_bam() splits files."""
 
     def run(batches):
         import pandas as pd
@@ -120,34 +139,176 @@ def read_bam(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, f"aln_id long, {SCHEMA}")
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+_FIELDS = pa.schema(
+    [("qname", pa.string()), ("flag", pa.int32()), ("rname", pa.string()), ("pos", pa.int64()), ("mapq", pa.int32()), ("cigar", pa.string()), ("rnext", pa.string()), ("pnext", pa.int64())]
+    + [("tlen", pa.int64()), ("seq", pa.string()), ("qual", pa.string()), ("tags", pa.map_(pa.string(), pa.string())), ("file", pa.string()), ("voffset", pa.int64())]
+)
+#: Rows of a batch that a task hands on, and bytes of a split.
+BATCH, STEP = 1000, 1 << 25
+
+
+@dataclass
+class _Part(InputPartition):
+    path: str
+    size: int
+    split: blocks.Split | None  # None: not of blocks, read whole
+    contigs: list
+
+
+def _store(path: str):
+    """File system and path: whatever pyarrow opens by address (local, hdfs, s3, gs), the same on driver and executors."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def _files(path: str) -> list[tuple[str, int]]:
+    """(address, bytes) of the files that a path, folder or pattern of the last name stands for, in order."""
+    import fnmatch
+
+    from pyarrow import fs
+
+    head, _, last = path.rpartition("/")
+    pattern = last if any(c in last for c in "*?[") else None
+    store, at = _store(head if pattern else path)
+    info = store.get_file_info(at)
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(at))
+    prefix = path.split("://")[0] + "://" if "://" in path else ""
+    return sorted((prefix + x.path, x.size) for x in found if x.type == fs.FileType.File and (fnmatch.fnmatch(x.base_name, pattern) if pattern else info.type == fs.FileType.File or x.base_name.endswith(".bam")))
+
+
+def parsed_region(text: str) -> tuple[str, int, int]:
+    """name, name:begin or name:begin-end in places from 1, as (name, begin, end) from 0, end exclusive."""
+    name, colon, span = text.rpartition(":")
+    if not colon or not re.fullmatch(r"[\d,]+(-[\d,]*)?", span):
+        return text, 0, 1 << 31
+    a, dash, z = span.replace(",", "").partition("-")
+    return name, max(0, int(a) - 1), int(z) if z else 1 << 31
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    """Splits of the files; with a region, those of the blocks that the index leads to."""
+
+    def __init__(self, options: dict):
+        self.path, self.step, self.report = options["path"], int(options.get("step", STEP)), options.get("report", "false") == "true"
+        self.region = parsed_region(options["region"]) if options.get("region") else None
+        self.asked: tuple[str, int, int] | None = None
 
     def partitions(self):
-        return [_File(p) for p in self.paths]
+        out = []
+        for path, size in _files(self.path):
+            store, at = _store(path)
+            head = blocks.Content(blocks.Bytes(lambda: store.open_input_file(at), 0, size, size))  # noqa: B023
+            if not blocks.block_size(head.f.take(280)):
+                out.append(_Part(path, size, None, []))
+                continue
+            while True:
+                if not head.more():
+                    raise ValueError(f"{path} ends within its header")
+                try:
+                    _, contigs, first = bam_header(head.data)
+                    break
+                except (struct.error, IndexError):  # the header goes on
+                    continue
+            names = [c for c, _ in contigs]
+            found = None
+            for name, begin, end in [x for x in (self.region, self.asked) if x]:
+                ref = names.index(name) if name in names else None
+                index = next((store.open_input_file(x).read() for x in (at + ".bai", at.removesuffix(".bam") + ".bai") if store.get_file_info(x).type.name == "File"), None)
+                if ref is None and (name != "*" or self.region == (name, begin, end)) or begin >= end:
+                    found = []
+                elif index is not None and ref is not None and found is None:
+                    found = blocks.chunks(index, ref, begin, end)
+            step = self.step or size + 1
+            out += [_Part(path, size, s, contigs) for s in blocks.splits(size, head.offset(first), step, found)]
+            head.f.close()
+        return out or [_Part("", 0, None, [])]
 
     def read(self, part):
-        with open(part.path, "rb") as f:
-            yield from bam_records(inflated(f.read()))
+        if not part.path:
+            return
+        store, at = _store(part.path)
+        read, n, rows = 0, 0, []
+
+        def seen(f):
+            nonlocal read
+            read += f.read
+
+        def raw():
+            nonlocal read
+            if part.split is None:
+                data = store.open_input_file(at).read()
+                read += len(data)
+                yield from enumerate(bam_records(inflated(data)))
+                return
+            for place, data in blocks.records(lambda: store.open_input_file(at), part.size, part.split, [k for _, k in part.contigs], seen):
+                yield place, bam_record(data, names)
+
+        names = [c for c, _ in part.contigs]
+        for place, row in raw():
+            if self.region and not _over(row, *self.region):
+                continue
+            n += 1
+            if self.report:
+                continue
+            rows.append((*row[:-1], list(row[-1].items()), part.path, place))
+            if len(rows) == BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FIELDS.types)], schema=_FIELDS)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FIELDS.types)], schema=_FIELDS)
+        if self.report:
+            yield (part.path, part.split.after if part.split else 0, read, n)
+
+
+class _PushedReader(_Reader):
+    """Also takes filters, which Spark offers only where spark.sql.python.filterPushdown.enabled is set."""
+
+    def pushFilters(self, filters):
+        """Equality of rname and bounds of pos narrow the blocks that are read; Spark applies all filters again."""
+        name, least, most = None, 0, 1 << 31
+        for f in filters:
+            at, value = getattr(f, "attribute", None), getattr(f, "value", None)
+            if at == ("rname",) and isinstance(f, EqualTo):
+                name = value
+            if at == ("pos",) and isinstance(value, int):
+                least = max(least, value + isinstance(f, GreaterThan)) if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)) else least
+                most = min(most, value + (not isinstance(f, LessThan))) if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)) else most
+        if name is not None:
+            self.asked = (name, max(0, least), most)
+        return filters
+
+
+def _over(row: tuple, name: str, begin: int, end: int) -> bool:
+    """Whether a record lies over a region; one without reference bases is one base long."""
+    if row[2] != name:
+        return False
+    n = sum(int(k) for k, op in re.findall(r"(\d+)([MDN=X])", row[5])) if not row[1] & 4 else 0
+    return row[3] < end and row[3] + max(1, n) > begin
 
 
 class BamSource(DataSource):
-    """spark.read.format("bam_records").load(path): for paths that all executors mount; read_bam() reads any store."""
+    """spark.read.format("bam_records").load(path): BAM files, folders of them or patterns, split by runs of blocks.
+
+    Options: ``region`` (name, name:begin or name:begin-end, from 1) keeps records over a region, and reads only the blocks
+    that the file's .bai names, where there is one; ``step``, bytes of a split (0: none); ``report`` returns instead of records a row
+    a split with the bytes read and the records found; ``pushdown``, with spark.sql.python.filterPushdown.enabled: filters on rname and pos narrow the blocks as well."""
 
     @classmethod
     def name(cls) -> str:
         return "bam_records"
 
     def schema(self) -> str:
-        return SCHEMA
+        return "file string, begin long, bytes long, records long" if self.options.get("report", "false") == "true" else SCHEMA + ", file string, voffset long"
 
     def reader(self, schema) -> DataSourceReader:
-        import glob
+        return (_PushedReader if self.options.get("pushdown", "false") == "true" else _Reader)(dict(self.options))
+
 
-        return _Reader(sorted(glob.glob(self.options["path"])))
+def scan_bam(spark: SparkSession, path: str, region: str | None = None, step: int = STEP) -> DataFrame:
+    """Records of BAM files by splits, in any store that pyarrow opens: SCHEMA, file, voffset. read_bam() reads what only Spark can open."""
+    spark.dataSource.register(BamSource)
+    own = spark.read.format("bam_records").option("step", step).option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
+    return (own.option("region", region) if region else own).load(path)
