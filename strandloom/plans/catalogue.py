@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import filters, strings
-from strandloom.operators import cigar, cnv, correct, depth, edges, methyl, overlap, phase, ranges, tag, variants
+from strandloom.operators import cigar, cnv, correct, depth, edges, likelihood, methyl, overlap, phase, pileup, ranges, tag, variants
 from strandloom.plans.bindings import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -523,6 +523,58 @@ def _(a):
     return depth.pileup_depth(a, ["chrom"], "start_pos", "end_pos")
 
 
+@query(
+    "t02_pileup_files", "cigars",
+    sql="""SELECT chrom, pos, count(*) FILTER (file = 0) AS depth0, count(*) FILTER (file = 1) AS depth1, coalesce(string_agg(cell, '' ORDER BY aln_id) FILTER (file = 0), '') AS text0, coalesce(string_agg(cell, '' ORDER BY aln_id) FILTER (file = 1), '') AS text1
+    FROM (WITH r AS (SELECT *, aln_id % 2 AS file, aln_id % 7 AS a, 5 + aln_id % 30 AS b, 1 + aln_id % 4 AS c, 3 + aln_id % 9 AS d, 1 + aln_id % 5 AS e, 2 + aln_id % 6 AS f, substring(repeat('ACGTTGCA', 20), CAST(1 + aln_id % 4 AS INT), 100) AS seq FROM cigars WHERE flag & 4 = 0)
+      SELECT chrom, file, aln_id, pos + k AS pos, CASE WHEN k = 0 THEN '^' || chr(CAST(33 + flag AS INT)) ELSE '' END || substring(seq, a + k + 1, 1) || CASE WHEN k = b - 1 THEN '+' || c || '(' || substring(seq, a + b + 1, c) || ')' ELSE '' END AS cell FROM (SELECT *, unnest(range(0, b)) AS k FROM r) m
+      UNION ALL SELECT chrom, file, aln_id, pos + b + k, substring(seq, a + b + c + k + 1, 1) || CASE WHEN k = d - 1 THEN '-' || e || '()' ELSE '' END FROM (SELECT *, unnest(range(0, d)) AS k FROM r) m
+      UNION ALL SELECT chrom, file, aln_id, pos + b + d + k, '*' FROM (SELECT *, unnest(range(0, e)) AS k FROM r) m
+      UNION ALL SELECT chrom, file, aln_id, pos + b + d + e + k, substring(seq, a + b + c + d + k + 1, 1) || CASE WHEN k = f - 1 THEN '$' ELSE '' END FROM (SELECT *, unnest(range(0, f)) AS k FROM r) m) t GROUP BY chrom, pos""",
+)
+def _(c):
+    size = cigar.query_length(F.col("cigar")).cast("int")
+    reads = c.select("chrom", "aln_id", "pos", "flag", "cigar", F.col("flag").alias("mapq"), (F.col("aln_id") % 2).alias("file"), F.substring(F.repeat(F.lit("ACGTTGCA"), 20), (1 + F.col("aln_id") % 4).cast("int"), size).alias("seq"))
+    x = pileup.columns(reads, 2)
+    return x.select("chrom", "pos", *[F.col("depths")[k].alias(f"depth{k}") for k in (0, 1)], *[F.col("texts")[k].alias(f"text{k}") for k in (0, 1)])
+
+
+@query(
+    "t03_mate_overlaps", "@orders",
+    sql="""WITH o AS (SELECT o_orderkey AS o, o_orderkey % 15 AS s, substring(md5(CAST(o_orderkey AS VARCHAR)), 1, 1) < '8' AS first FROM orders),
+    a AS (SELECT o, k, k AS ref, (o + k // 3) % 4 AS base, (o * 7 + k * 3) % 41 AS q FROM (SELECT *, unnest(range(0, 20)) AS k FROM o) t),
+    b AS (SELECT o, k, CASE WHEN k < 6 THEN s + k ELSE s + k + 2 END AS ref, (o + (s + k) // 3) % 4 AS base, (o * 5 + k * 11) % 41 AS q FROM (SELECT *, unnest(range(0, 16)) AS k FROM o) t),
+    m AS (SELECT a.o, a.k AS ka, b.k AS kb, CASE WHEN a.base = b.base THEN first WHEN a.q = b.q THEN first ELSE a.q > b.q END AS won, CASE WHEN a.base = b.base THEN least(200, a.q + b.q) ELSE greatest(a.q, b.q) * 4 // 5 END AS kept FROM a JOIN b ON a.o = b.o AND a.ref = b.ref JOIN o ON o.o = a.o)
+    SELECT a.o * 2 AS aln_id, string_agg(CAST(CASE WHEN m.o IS NULL THEN q WHEN won THEN kept ELSE 0 END AS VARCHAR), ',' ORDER BY k) AS quals FROM a LEFT JOIN m ON m.o = a.o AND m.ka = a.k GROUP BY a.o
+    UNION ALL SELECT b.o * 2 + 1, string_agg(CAST(CASE WHEN m.o IS NULL THEN q WHEN won THEN 0 ELSE kept END AS VARCHAR), ',' ORDER BY k) FROM b LEFT JOIN m ON m.o = b.o AND m.kb = b.k GROUP BY b.o""",
+)
+def _(orders):
+    o, s = F.col("o_orderkey"), F.col("o_orderkey") % 15
+    bases = lambda start, n: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.substring(F.lit("ACGT"), ((o + F.floor((start + k) / 3)) % 4 + 1).cast("int"), F.lit(1))), "")
+    quals = lambda x, y, n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: ((o * x + k * y) % 41).cast("int"))
+    row = lambda k, flag, pos, text, seq, qual: F.struct((o * 2 + k).alias("aln_id"), F.lit(flag).alias("flag"), pos.alias("pos"), F.lit(text).alias("cigar"), seq.alias("seq"), qual.alias("qual"))
+    mates = F.array(row(0, 99, o, "20M", bases(F.lit(0), 20), quals(7, 3, 20)), row(1, 147, o + s, "6M2D10M", bases(s, 16), quals(5, 11, 16)))
+    reads = orders.select((o % 3).alias("chrom"), o.cast("string").alias("qname"), F.explode(mates).alias("r")).select("chrom", "qname", "r.*")
+    return pileup.overlaps_resolved(reads, []).select("aln_id", F.array_join(F.transform("qual", lambda q: q.cast("string")), ",").alias("quals"))
+
+
+@query(
+    "a24_genotype_likelihoods", "obs",
+    sql="""SELECT chrom, pos, first, second, round(phred, 5) AS phred FROM (WITH b AS (SELECT chrom, pos, allele, least(greatest(qual, 4), 63) AS q, read_id % 2 AS s FROM obs),
+    r AS (SELECT *, count(*) OVER (PARTITION BY chrom, pos) AS n, count(*) OVER o - 1 AS k, CASE WHEN s = 1 THEN sum(s) OVER o - 1 ELSE count(*) OVER o - 1 - sum(s) OVER o END AS w FROM b WINDOW o AS (PARTITION BY chrom, pos, allele ORDER BY q DESC, s DESC ROWS UNBOUNDED PRECEDING)),
+    p AS (SELECT q, n, j, exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(pow(10, -q / 10.0)) + (n - j) * ln(1 - pow(10, -q / 10.0))) AS p FROM (SELECT q, n, unnest(range(0, n + 1)) AS j FROM (SELECT DISTINCT q, n FROM r) d) u),
+    t AS (SELECT q, n, j, sum(p) OVER (PARTITION BY q, n ORDER BY j DESC) AS tail FROM p),
+    c AS (SELECT x.q, x.n, x.j AS k, 10 / ln(10) * (ln(x.tail) - ln(y.tail)) AS c FROM t x JOIN t y ON x.q = y.q AND x.n = y.n AND y.j = x.j + 1),
+    e AS (SELECT chrom, pos, coalesce(sum((pow(1 - 0.17, w) * 0.97 + 0.03) * c) FILTER (allele = 0), 0) AS e0, coalesce(sum((pow(1 - 0.17, w) * 0.97 + 0.03) * c) FILTER (allele = 1), 0) AS e1, count(*) FILTER (allele = 0) AS n0, count(*) FILTER (allele = 1) AS n1
+      FROM r JOIN c ON c.q = r.q AND c.n = r.n AND c.k = r.k GROUP BY chrom, pos)
+    SELECT chrom, pos, 0 AS first, 0 AS second, greatest(e1, 0) AS phred FROM e UNION ALL SELECT chrom, pos, 1, 1, greatest(e0, 0) FROM e
+    UNION ALL SELECT chrom, pos, 0, 1, greatest(0, -4.343 * (CASE WHEN n0 > 0 AND n1 > 0 THEN lgamma(n0 + n1 + 1) - lgamma(n0 + 1) - lgamma(n1 + 1) ELSE 0 END - (n0 + n1) * ln(2))) FROM e) q""",
+)
+def _(o):
+    sums = likelihood.allele_sums(o.withColumn("strand", F.col("read_id") % 2), ["chrom", "pos"])
+    return likelihood.genotypes(sums, ["chrom", "pos"], [0, 1]).withColumn("phred", F.round("phred", 5))
+
+
 @query("g14_neighbours", "obs_dense")
 def _(o):
     node, pairs = methyl.graph(o)
