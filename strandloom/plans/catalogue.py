@@ -581,6 +581,45 @@ def _(o):
     return methyl.neighbours_agree(node.where("vtype = 2"), pairs)
 
 
+# -- alignments as files -----------------------------------------------------------------------------------------------
+def _bam_folder(c: DataFrame) -> str:
+    """The alignments of the view, with sequences and tags, written as BAM files."""
+    from strandloom.sources import bam_sink, shared
+
+    size = cigar.query_length(F.col("cigar")).cast("int")
+    seq = F.substring(F.repeat(F.lit("ACGTTGCA"), 20), (1 + F.col("aln_id") % 4).cast("int"), size)
+    tags = F.create_map(F.lit("HP"), (F.col("aln_id") % 2 + 1).cast("string"), F.lit("PS"), F.col("pos").cast("string"))
+    reads = c.select(
+        F.concat(F.lit("r"), F.col("aln_id")).alias("qname"), F.col("flag").cast("int").alias("flag"), F.concat(F.lit("c"), F.col("chrom")).alias("rname"), "pos", F.lit(30).alias("mapq"), "cigar",
+        F.lit("*").alias("rnext"), F.lit(-1).cast("long").alias("pnext"), F.lit(0).cast("long").alias("tlen"), seq.alias("seq"), F.lit("*").alias("qual"), tags.alias("tags"),
+    )
+    at = shared.new_folder(c.sparkSession, "bam")
+    bam_sink.written(reads, at, bam_sink.header_of([(f"c{k}", 1 << 28) for k in range(3)]))
+    return at
+
+
+@query(
+    "k07_bam_round_trip", "cigars",
+    sql="""SELECT concat('r', aln_id) AS qname, flag, concat('c', chrom) AS rname, pos, cigar, substring(repeat('ACGTTGCA', 20), CAST(1 + aln_id % 4 AS INT), CAST(aln_id % 7 + 5 + aln_id % 30 + 1 + aln_id % 4 + 3 + aln_id % 9 + 2 + aln_id % 6 AS INT)) AS seq,
+    aln_id % 2 + 1 AS hp, pos AS ps FROM cigars""",
+)
+def _(c):
+    from strandloom.sources import alignments
+
+    x = alignments.scan_bam(c.sparkSession, _bam_folder(c), step=1 << 18)
+    return x.select("qname", "flag", "rname", "pos", "cigar", "seq", F.col("tags")["HP"].cast("int").alias("hp"), F.col("tags")["PS"].cast("long").alias("ps"))
+
+
+@query(
+    "s21_region_scan", "cigars",
+    sql="""SELECT concat('r', aln_id) AS qname, pos FROM cigars WHERE chrom = 1 AND pos < 2000 AND pos + CASE WHEN flag & 4 <> 0 THEN 1 ELSE 5 + aln_id % 30 + 3 + aln_id % 9 + 1 + aln_id % 5 + 2 + aln_id % 6 END > 100""",
+)
+def _(c):
+    from strandloom.sources import alignments
+
+    return alignments.scan_bam(c.sparkSession, _bam_folder(c), region="c1:101-2000").select("qname", "pos")
+
+
 # -- scalar functions --------------------------------------------------------------------------------------------------
 @query("x02_run_length", "@part", sql="SELECT p_partkey, CASE WHEN 4 >= length(p_name) THEN 1 ELSE least(10, 1 + length(substring(p_name, 1, 3)) - length(rtrim(substring(p_name, 1, 3), substring(p_name, 4, 1))) + length(substring(p_name, 5, 10)) - length(ltrim(substring(p_name, 5, 10), substring(p_name, 4, 1)))) END AS run FROM part")
 def _(p):

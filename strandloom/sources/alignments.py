@@ -131,7 +131,10 @@ def read_bam(spark: SparkSession, path: str) -> DataFrame:
 
         for b in batches:
             for n, data in zip(b["n"], b["content"]):
-                rows = [(int(n) << 36 | k, *r) for k, r in enumerate(bam_records(inflated(bytes(data))))]
+                task, nth = int(n) >> 33, int(n) & ((1 << 33) - 1)  # a task's files are few: Spark packs small ones up to a size
+                if task >= 1 << 17 or nth >= 1 << 10:
+                    raise ValueError("too many files for one read")
+                rows = [(task << 46 | nth << 36 | k, *r) for k, r in enumerate(bam_records(inflated(bytes(data))))]
                 for k in range(0, len(rows), 20_000):
                     yield pd.DataFrame(rows[k : k + 20_000], columns=["aln_id", *[c.split()[0] for c in SCHEMA.split(", ")]])
 
