@@ -8,7 +8,7 @@ Calibration. A first fit leaves out every fourth notice with all its wordings an
 temperature of least log loss and the bound on 1 - p(none) that at most 1% of the background passes. The model in use is fitted on all.
 
 Verdict on a paragraph. Its most probable family is confirmed if p reaches the bound and at least ``CONTAINED`` of the word triples of one of the
-family's notices occur in it. Else it is ``unknown`` if 1 - p(none) reaches the bound, or if it holds so much of any notice: a licence, but none that the
+family's notices occur in it and nothing of ``BARRED`` does, so that a text with NoDerivatives is never passed as one without, nor version 1.1 as 2.0. Else it is ``unknown`` if 1 - p(none) reaches the bound, or if it holds so much of any notice: a licence, but none that the
 templates confirm. Each paragraph is scored by the model's weights of all its words and pairs. ``most_some`` sums, per word and pair, the weight of the class
 that it speaks for most, and so is never below the margin of any class over ``none``: where 13 classes of that margin don't reach the bound, 1 - p(none)
 can't, and the paragraph is ``none``. All others go through the whole model, and so do those with a word of ``LEXICON``, which may hold ``CONTAINED`` of a
@@ -22,6 +22,7 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -96,6 +97,20 @@ OTHER_NOTICES = [
     "you may copy and redistribute the software freely provided that this notice is not removed or altered from any source distribution",
     "permission is granted to use copy and sublicense this software without charge subject to the conditions of this license",
 ]
+_ND, _NC, _SA = r"no ?deriv[a-z]*|by(?: nc| sa)* nd", r"non ?commercial|by(?: nd| sa)* nc", r"share ?alike|by(?: nc| nd)* sa"
+#: By family, what tells a stricter, an older or another licence of its name apart, in a paragraph's words: where it is there, the family isn't confirmed.
+BARRED = {
+    "mit": r"mit(?: license)? 0|mit no attribution",
+    "apache-2.0": r"apache(?: [a-z]+){0,4} (?:[013-9]|2 [1-9])",
+    "mpl-2.0": r"(?:mozilla(?: [a-z]+){0,4}|mpl) (?:[013-9]|2 [1-9])",
+    "gpl": r"lesser|library general|affero|lgpl|agpl",
+    "lgpl": r"affero|agpl",
+    "agpl": r"lesser|library general|lgpl",
+    "bsd": r"advertising materials",
+    "cc-by": f"{_ND}|{_NC}|{_SA}",
+    "cc-by-sa": f"{_ND}|{_NC}",
+    "cc-by-nc": f"{_ND}|{_SA}",
+}
 #: A paragraph that holds enough of a notice has one of these words.
 LEXICON = [
     "license", "licenses", "licensed", "licence", "licences", "licenced", "licensing", "licensor", "licensee", "sublicense", "unlicense", "unencumbered", "software", "redistribution",
@@ -251,9 +266,11 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list
     p_some = 1 - F.element_at("e", 1) / F.col("total")
     sure = F.element_at("e", F.col("k") + 1) / F.col("total")
     share = F.coalesce(F.try_element_at("shares", F.col("family")), F.lit(0.0))
+    said = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    barred = F.coalesce(reduce(lambda c, k: c.when(F.col("family") == k, said.rlike(f" (?:{BARRED[k]}) ")), list(BARRED)[1:], F.when(F.col("family") == list(BARRED)[0], said.rlike(f" (?:{BARRED[list(BARRED)[0]]}) "))), F.lit(False))
     held = F.coalesce(F.array_max(F.map_values("shares")), F.lit(0.0)) >= CONTAINED
     there = F.col("p").isNotNull()
-    known = there & ~F.col("family").isin("none", "other") & (sure >= least) & (share >= CONTAINED)
+    known = there & ~F.col("family").isin("none", "other") & (sure >= least) & (share >= CONTAINED) & ~barred
     unknown = there & ((p_some >= least) | held) & ~known
     near = F.coalesce(has_word(F.lower("p"), ANCHORS), F.lit(False))
     made = made.select("_row", "_doc", "n_paragraphs", "family", sure.alias("sure"), near.alias("near"), known.alias("known"), unknown.alias("unknown"))
