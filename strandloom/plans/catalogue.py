@@ -209,16 +209,16 @@ def _(v):
     return side("pos % 3 <> 0", "a").join(side("pos % 2 = 0", "b"), ["chrom", "pos", "ref", "alt"], "full").select("chrom", "pos", "gt_a", "gt_b")
 
 
-@query("j21_overlap_join", "intervals", sql="SELECT a.chrom, a.iv AS iv_a, b.iv AS iv_b FROM intervals a JOIN intervals b ON a.chrom = b.chrom AND a.start_pos <= b.end_pos AND b.start_pos <= a.end_pos WHERE a.iv % 4 = 0")
+@query("j21_overlap_join", "intervals", sql="SELECT a.chrom, a.iv AS iv_a, b.iv AS iv_b FROM intervals a JOIN intervals b ON a.chrom = b.chrom AND a.start_pos <= b.end_pos AND b.start_pos <= a.end_pos")
 def _(i):
-    a = i.where("iv % 4 = 0").select("chrom", F.col("iv").alias("iv_a"), F.col("start_pos").alias("s1"), F.col("end_pos").alias("e1"))
+    a = i.select("chrom", F.col("iv").alias("iv_a"), F.col("start_pos").alias("s1"), F.col("end_pos").alias("e1"))
     b = i.select("chrom", F.col("iv").alias("iv_b"), F.col("start_pos").alias("s2"), F.col("end_pos").alias("e2"))
     return ranges.overlap_join(a, b, ["chrom"], ("s1", "e1"), ("s2", "e2"), 256).select("chrom", "iv_a", "iv_b")
 
 
-@query("j22_region_exclude", "variants", "intervals", sql="SELECT v.chrom, v.pos FROM variants v WHERE NOT EXISTS (SELECT 1 FROM intervals i WHERE i.iv % 3 = 0 AND v.chrom = i.chrom AND v.pos BETWEEN i.start_pos AND i.end_pos)")
+@query("j22_region_exclude", "variants", "intervals", sql="SELECT v.chrom, v.pos FROM variants v WHERE NOT EXISTS (SELECT 1 FROM intervals i WHERE v.chrom = i.chrom AND v.pos BETWEEN i.start_pos AND i.end_pos)")
 def _(v, i):
-    return ranges.points_within(v, i.where("iv % 3 = 0"), ["chrom"], "start_pos", "end_pos", "pos", 256, anti=True).select("chrom", "pos")
+    return ranges.points_within(v, i, ["chrom"], "start_pos", "end_pos", "pos", 256, anti=True).select("chrom", "pos")
 
 
 @query("j23_multi_region_once", "aln", "intervals", sql="SELECT a.chrom, a.read_id FROM aln a WHERE EXISTS (SELECT 1 FROM intervals i WHERE a.chrom = i.chrom AND a.start_pos <= i.end_pos AND i.start_pos <= a.end_pos)")
@@ -581,6 +581,15 @@ def _(o):
     return methyl.neighbours_agree(node.where("vtype = 2"), pairs)
 
 
+@query(
+    "s22_region_query", "aln", "intervals",
+    sql="SELECT a.chrom, a.read_id, a.start_pos, a.end_pos FROM aln a WHERE EXISTS (SELECT 1 FROM intervals i WHERE a.chrom = i.chrom AND a.start_pos <= i.end_pos AND i.start_pos <= a.end_pos)",
+)
+def _(a, i):
+    x = ranges.in_regions(a, i.select("chrom", F.col("start_pos").alias("start"), F.col("end_pos").alias("end")), ["chrom"], ("start_pos", "end_pos"), size=16)
+    return x.select("chrom", "read_id", "start_pos", "end_pos")
+
+
 # -- alignments as files -----------------------------------------------------------------------------------------------
 def _bam_folder(c: DataFrame) -> str:
     """The alignments of the view, with sequences and tags, written as BAM files."""
