@@ -37,7 +37,8 @@ def end_position(pos: Column, cigar: Column, flag: Column) -> Column:
 
 
 def blocks(reads: DataFrame, keep: list[str], pos: str = "pos", cigar: str = "cigar") -> DataFrame:
-    """One row an operation: op_index, op, len, ref_start, query_start (both 0-based), next_op, next_len, first, last.
+    """One row an operation: op_index, op, len, ref_start, query_start (both 0-based), next_op, next_len, first, last, head, tail
+    (whether it is the first or last operation of all, and of those over reference bases).
     Prefix sums are a fold inside the row, so nothing is shuffled."""
     zero = F.struct(F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("q"), F.array().cast("array<struct<op:string,len:bigint,r:bigint,q:bigint>>").alias("out"))
 
@@ -50,10 +51,12 @@ def blocks(reads: DataFrame, keep: list[str], pos: str = "pos", cigar: str = "ci
     folded = F.aggregate(parse(F.col(cigar)), zero, step, lambda a: a["out"])
     x = reads.select(*keep, F.col(pos).alias("_pos"), folded.alias("_ops"))
     nxt = lambda f: F.try_element_at("_ops", F.col("op_index") + 2)[f]
-    x = x.select(*keep, "_pos", "_ops", F.posexplode("_ops").alias("op_index", "_x"))
+    over = F.transform("_ops", lambda o: o["op"].isin(*BOTH, *REF) & (o["len"] > 0))
+    x = x.select(*keep, "_pos", "_ops", (F.array_position(over, True) - 1).alias("_h"), (F.size("_ops") - F.array_position(F.reverse(over), True)).alias("_t"), F.posexplode("_ops").alias("op_index", "_x"))
     return x.select(
         *keep, "op_index", F.col("_x.op").alias("op"), F.col("_x.len").alias("len"), (F.col("_pos") + F.col("_x.r")).alias("ref_start"), F.col("_x.q").alias("query_start"),
         nxt("op").alias("next_op"), nxt("len").alias("next_len"), (F.col("op_index") == 0).alias("first"), (F.col("op_index") == F.size("_ops") - 1).alias("last"),
+        (F.col("op_index") == F.col("_h")).alias("head"), (F.col("op_index") == F.col("_t")).alias("tail"),
     )
 
 

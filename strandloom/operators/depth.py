@@ -23,7 +23,7 @@ def pileup_depth(blocks: DataFrame, keys: list[str], start: str, end: str) -> Da
 
 
 def pileup_columns(ops: DataFrame, keys: list[str]) -> DataFrame:
-    """One row a read and covered position. ops: CIGAR blocks as made by cigar.blocks (ref_start, op, len, query_start, next_op, next_len, first, last)."""
+    """One row a read and covered position. ops: CIGAR blocks as made by cigar.blocks (ref_start, op, len, query_start, next_op, next_len, head, tail)."""
     x = ops.where(F.col("op").isin("M", "=", "X", "D", "N"))
     k = F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1)).alias("k")
     x = x.select("*", k)
@@ -32,7 +32,7 @@ def pileup_columns(ops: DataFrame, keys: list[str]) -> DataFrame:
     match = F.col("op").isin("M", "=", "X")
     return x.select(
         *keys, (F.col("ref_start") + F.col("k")).alias("pos"), F.when(match, F.col("query_start") + F.col("k")).otherwise(F.col("query_start")).alias("qpos"), indel.cast("long").alias("indel"),
-        (F.col("op") == "D").alias("is_del"), (F.col("op") == "N").alias("is_refskip"), (F.col("first") & (F.col("k") == 0)).alias("is_head"), (F.col("last") & last).alias("is_tail"),
+        (F.col("op") == "D").alias("is_del"), (F.col("op") == "N").alias("is_refskip"), (F.col("head") & (F.col("k") == 0)).alias("is_head"), (F.col("tail") & last).alias("is_tail"),
     )
 
 

@@ -821,7 +821,15 @@ def _(a):
     return x.where(F.col("upto") >= F.expr("(n + 1) div 2")).groupBy("chrom").agg(F.min("mapq").alias("median"))
 
 
-@query("t01_pileup_columns", "cigars")
+@query(
+    "t01_pileup_columns", "cigars",
+    sql="""SELECT chrom, aln_id, pos, qpos, indel, is_del, false AS is_refskip, is_head, is_tail
+    FROM (WITH r AS (SELECT *, aln_id % 7 AS a, 5 + aln_id % 30 AS b, 1 + aln_id % 4 AS c, 3 + aln_id % 9 AS d, 1 + aln_id % 5 AS e, 2 + aln_id % 6 AS f FROM cigars)
+      SELECT chrom, aln_id, pos + k AS pos, a + k AS qpos, CASE WHEN k = b - 1 THEN c ELSE 0 END AS indel, false AS is_del, k = 0 AS is_head, false AS is_tail FROM (SELECT *, unnest(range(0, b)) AS k FROM r) m
+      UNION ALL SELECT chrom, aln_id, pos + b + k, a + b + c + k, CASE WHEN k = d - 1 THEN -e ELSE 0 END, false, false, false FROM (SELECT *, unnest(range(0, d)) AS k FROM r) m
+      UNION ALL SELECT chrom, aln_id, pos + b + d + k, a + b + c + d, 0, true, false, false FROM (SELECT *, unnest(range(0, e)) AS k FROM r) m
+      UNION ALL SELECT chrom, aln_id, pos + b + d + e + k, a + b + c + d + k, 0, false, false, k = f - 1 FROM (SELECT *, unnest(range(0, f)) AS k FROM r) m) t""",
+)
 def _(c):
     return depth.pileup_columns(cigar.blocks(c, ["chrom", "aln_id"]), ["chrom", "aln_id"])
 
