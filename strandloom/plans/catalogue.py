@@ -430,7 +430,16 @@ def _(c):
     return ranges.runs(c.select("chrom", "pos").distinct(), ["chrom"], "pos")
 
 
-@query("w08_overlap_resolve", "obs")
+@query(
+    "w08_overlap_resolve", "obs",
+    sql="""SELECT * FROM (WITH RECURSIVE a AS (SELECT chrom, read_id AS aln_id, read_id - read_id % 36 + read_id % 3 AS read_id, min(pos) AS f, max(pos) AS l FROM obs GROUP BY ALL),
+    r AS (SELECT chrom, read_id, list(aln_id ORDER BY aln_id) AS id, list(f ORDER BY aln_id) AS f, list(l ORDER BY aln_id) AS l FROM a GROUP BY chrom, read_id),
+    w AS (SELECT chrom, read_id, CAST(1 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept, CAST(-1 AS BIGINT) AS e FROM r
+      UNION ALL SELECT chrom, read_id, CASE WHEN fate = 'pop' THEN k ELSE k + 1 END, CASE fate WHEN 'stay' THEN list_append(kept, k) WHEN 'pop' THEN kept[:-2] ELSE kept END, CASE WHEN fate <> 'pop' THEN l[k] WHEN len(kept) > 1 THEN l[kept[-2]] ELSE -1 END
+      FROM (SELECT *, CASE WHEN t IS NULL OR f[k] > e THEN 'stay' WHEN l[k] < e THEN 'go' WHEN least(l[t], l[k]) - greatest(f[t], f[k]) + 1 <= 0 OR (least(l[t], l[k]) - greatest(f[t], f[k]) + 1) / (greatest(l[t], l[k]) - least(f[t], f[k]) + 1) < 0.2 THEN 'stay' WHEN l[k] - f[k] <= l[t] - f[t] THEN 'go' ELSE 'pop' END AS fate
+        FROM (SELECT w.*, r.f, r.l, kept[-1] AS t FROM w JOIN r USING (chrom, read_id) WHERE k <= len(r.id)) x) y)
+    SELECT w.chrom, id[unnest(kept)] AS aln_id FROM w JOIN r USING (chrom, read_id) WHERE k > len(id)) z""",
+)
 def _(o):
     x = o.withColumn("aln_id", F.col("read_id")).withColumn("read_id", F.col("read_id").cast("long") - F.col("read_id") % 36 + F.col("read_id") % 3)
     return overlap.without_overlaps(x).select("chrom", "aln_id").distinct()

@@ -48,12 +48,50 @@ def test_cnv_intervals():
     assert cnv.intervals_of([]) == []
 
 
-def test_overlapping_alignments():
-    assert overlap.dropped_of([(10, 100)], 0.2) == set()
-    assert overlap.dropped_of([(10, 100), (50, 120)], 0.2) == {1}
-    assert overlap.dropped_of([(10, 100), (50, 400)], 0.05) == {0}
-    assert overlap.dropped_of([(10, 100), (20, 90)], 0.2) == {1}
-    assert overlap.dropped_of([(10, 100), (200, 300)], 0.2) == set()
+def _dropped(spark, rows, threshold):
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, spans array<struct<first:long,last:long>>")
+    return [set(r.gone) for r in df.select("i", overlap.dropped(F.col("spans"), threshold).alias("gone")).orderBy("i").collect()]
+
+
+def test_overlapping_alignments(spark):
+    assert _dropped(spark, [[(10, 100)], [(10, 100), (50, 120)], [(10, 100), (20, 90)], [(10, 100), (200, 300)], []], 0.2) == [set(), {1}, {1}, set(), set()]
+    assert _dropped(spark, [[(10, 100), (50, 400)]], 0.05) == [{0}]
+
+
+def _drop_model(spans, threshold):
+    """Recursion over positions covered, written down as sets of positions."""
+    cover = [set(range(a, b + 1)) for a, b in spans]
+
+    def settle(k, kept, end):
+        if not kept or spans[k][0] > end:
+            return [*kept, k], True
+        if spans[k][1] < end:
+            return kept, False
+        s = kept[-1]
+        if len(cover[s] & cover[k]) < threshold * len(cover[s] | cover[k]) or not cover[s] & cover[k]:
+            return [*kept, k], True
+        if len(cover[k]) <= len(cover[s]):
+            return kept, False
+        return settle(k, kept[:-1], spans[kept[-2]][1] if len(kept) > 1 else -1)
+
+    kept = []
+    for k in range(len(spans)):
+        kept, _ = settle(k, kept, spans[k - 1][1] if k else -1)
+    return set(range(len(spans))) - set(kept)
+
+
+@pytest.mark.parametrize("threshold", [0.05, 0.25, 0.5])
+def test_overlapping_alignments_against_a_model(spark, threshold):
+    r = random.Random(5)
+    rows = [[(a, a + r.randrange(60)) for a in (r.randrange(100) for _ in range(r.randrange(9)))] for _ in range(400)]
+    assert _dropped(spark, rows, threshold) == [_drop_model(x, threshold) for x in rows]
+
+
+def test_reads_without_overlapping_alignments(spark):
+    rows = [(1, 7, read, p, 0) for read, p in ((1, 10), (1, 100), (2, 5))] + [(1, 8, 1, p, 0) for p in (50, 120)]
+    obs = spark.createDataFrame(rows, "chrom long, aln_id long, read_id long, pos long, allele int")
+    assert {(x.aln_id, x.pos) for x in overlap.without_overlaps(obs).collect()} == {(7, 10), (7, 100), (7, 5)}
+    assert overlap.without_overlaps(obs.where("false")).count() == 0
 
 
 def test_crowded_homopolymers(spark):
