@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.edges import edge_weights
 from strandloom.params import MOD, SNP
+from strandloom.sources import shared
 
 
 def call(prob: Column, modified: float = 0.8, unmodified: float = 0.2) -> Column:
@@ -61,115 +61,92 @@ def graph(obs: DataFrame, n: int = 50) -> tuple[DataFrame, DataFrame]:
     return node, e.select("chrom", "p1", "p2", (F.col("rr_hi") + F.col("aa_hi")).alias("same"), (F.col("ra_hi") + F.col("ar_hi")).alias("flipped"))
 
 
-def _connected(node: pd.DataFrame, edge: pd.DataFrame, adjacent: int, confidence: float, rounds: int, with_snps: bool) -> list[int]:
-    """Positions of a chromosome that pass: strong sites, their connections, what these reach, and the check of neighbours."""
-    kind, depth = dict(zip(node.pos, node.vtype)), dict(zip(node.pos, node.n_reads))
-    order = sorted(kind)
-    pair = {(a, b): (s + f, max(s, f)) for a, b, s, f in zip(edge.p1, edge.p2, edge.same, edge.flipped)}
-    starts = {a for a, _ in pair}
+def _supported(node: DataFrame, pairs: DataFrame, confidence: float) -> DataFrame:
+    """One row a pair that any rule asks for: its ends' kinds and ranks on the contig, whether enough reads show it
+    (``firm``), whether they agree (``sure``), and whether it holds neighbours together (``holds``)."""
+    at = node.withColumn("rank", F.row_number().over(Window.partitionBy("chrom").orderBy("pos")))
+    one, two = (at.select("chrom", F.col("pos").alias(f"p{k}"), F.col("vtype").alias(f"t{k}"), F.col("n_reads").alias(f"n{k}"), F.col("rank").alias(f"k{k}")) for k in (1, 2))
+    total, most = F.col("same") + F.col("flipped"), F.greatest("same", "flipped")
+    x = pairs.join(one, ["chrom", "p1"]).join(two, ["chrom", "p2"])
+    x = x.withColumn("firm", (total > 6) & (4 * total > F.col("n1") + F.col("n2"))).withColumn("sure", F.col("firm") & (most >= confidence * total))
+    return x.withColumn("holds", (total >= 6) & (most >= confidence * total)).where("firm or holds").select("chrom", "p1", "p2", "t1", "t2", "k1", "k2", "firm", "sure", "holds")
 
-    def support(a: int, b: int) -> str:
-        """'thin': too few reads, which ends a search; 'sure': they agree; else 'split'."""
-        total, most = pair.get((a, b), (0, 0))
-        if total <= max((depth[a] + depth[b]) / 4, 6):
-            return "thin"
-        return "sure" if most >= confidence * total else "split"
 
-    strong, weak, touched, passed = set(), set(), set(), []
-    if not with_snps:
-        strong = {p for p in order if kind[p] == MOD}
-    else:
-        for k, p in enumerate(order[:-1]):
-            if p not in starts:
-                continue
-            if kind[p] == MOD:
-                for q in order[k + 1 : k + 1 + adjacent]:
-                    s = support(p, q)
-                    if s == "thin":
-                        break
-                    if kind[q] == SNP:
-                        touched.add(p)
-                        if s == "sure" and p not in strong:
-                            strong.add(p)
-                            break
-                if p not in touched:
-                    weak.add(p)
-            elif kind[p] == SNP:
-                passed.append(p)
-                for q in order[k + 1 :]:
-                    s = support(p, q)
-                    if s == "thin":
-                        break
-                    if kind[q] == MOD:
-                        touched.add(q)
-                        if s == "sure":  # the neighbour right after the SNP is the one accepted
-                            strong.add(order[k + 1])
-    seen, added = set(passed), set()
-    members = sorted(strong)
-    for k, p in enumerate(members):
-        if p not in starts:
-            continue
-        for q in members[k + 1 : k + 1 + adjacent]:
-            s = support(p, q)
-            if s == "thin":
-                break
-            if s == "sure":
-                for x in (p, q):
-                    if x not in added:
-                        added.add(x)
-                        passed.append(x)
-                        seen.add(x)
-                        if with_snps:
-                            weak.add(x)
-    for _ in range(rounds if with_snps else 0):
-        members, next_weak, next_added = sorted(weak), set(), set()
-        for k, p in enumerate(members):
-            if p not in starts:
-                continue
-            tried = False
-            for q in members[k + 1 : k + 1 + adjacent]:
-                if p not in added and q not in added:
-                    continue
-                tried = True
-                s = support(p, q)
-                if s == "thin":
-                    break
-                if s == "sure":
-                    for x in (p, q):
-                        if x not in seen:
-                            seen.add(x)
-                            passed.append(x)
-                            next_weak.add(x)
-                            next_added.add(x)
-            if not tried:
-                next_weak.add(p)
-        weak, added = next_weak, next_added
-    passed.sort()
-    good = lambda a, b: pair.get((a, b), (0, 0))[0] >= 6 and pair[a, b][1] >= confidence * pair[a, b][0]
-    out = []
-    for k, p in enumerate(passed):
-        if kind.get(p) == SNP:
-            continue
-        edge_case = k in (0, len(passed) - 1)
-        if k and passed[k - 1] not in starts:
-            continue
-        before = k > 0 and good(passed[k - 1], p)
-        if before and k < len(passed) - 1 and p not in starts:
-            continue
-        if edge_case or (before and good(p, passed[k + 1])):
-            out.append(p)
-    return out
+def _unbroken(pairs: DataFrame, place: str) -> DataFrame:
+    """The firm pairs of a site up to the first partner that lacks one: ``place`` counts the partners it would have met, from 1."""
+    n = F.row_number().over(Window.partitionBy("chrom", "p1").orderBy(place))
+    return pairs.where("firm").withColumn("_n", n).where(F.col("_n") == F.col(place)).drop("_n")
+
+
+def _ends(pairs: DataFrame, flag: str) -> DataFrame:
+    return pairs.select("chrom", F.explode(F.array("p1", "p2")).alias("pos")).distinct().withColumn(flag, F.lit(True))
+
+
+def _among(state: DataFrame, member: str, pairs: DataFrame, adjacent: int, either: str | None = None) -> DataFrame:
+    """Unbroken pairs between members, which meet the next ``adjacent`` members; with ``either``, only partners of which one has that flag."""
+    w = Window.partitionBy("chrom").orderBy("pos")
+    m = state.where(member).select("chrom", "pos", F.row_number().over(w).alias("m"), *([F.col(either).alias("e"), F.count_if(either).over(w).alias("c")] if either else []))
+    one, two = (m.select("chrom", F.col("pos").alias(f"p{k}"), *[F.col(c).alias(f"{c}{k}") for c in m.columns[2:]]) for k in (1, 2))
+    x = pairs.where("firm").join(one, ["chrom", "p1"]).join(two, ["chrom", "p2"]).where(F.col("m2") - F.col("m1") <= adjacent)
+    place = F.col("m2") - F.col("m1")
+    if either:
+        x, place = x.where("e1 or e2"), F.when(F.col("e1"), place).otherwise(F.col("c2") - F.col("c1"))
+    return _unbroken(x.withColumn("place", place), "place")
 
 
 def connected(node: DataFrame, pairs: DataFrame, adjacent: int = 20, confidence: float = 0.9, rounds: int = 2, with_snps: bool = True) -> DataFrame:
-    """(chrom, pos) of the sites that pass. A chromosome's input is its aggregated nodes and pairs."""
+    """(chrom, pos) of the sites that pass, as rules on one frame of supported pairs.
+
+    A site looks forward along its contig until a partner lacks support. It is strong if it surely agrees with a SNP on
+    its way; a SNP that surely agrees with a site makes the node after it strong; without SNPs every site is strong.
+    Strong sites that surely agree pass. Then, in rounds, sites that meet no SNP are joined to those added before. What
+    passes stays if it also agrees with both neighbours among SNPs and passed sites; at an end of a contig one is enough
+    or none. No nodes or pairs: no rows.
+
+    Runs jobs: pairs and the state after each pass are checkpointed (a row a node, a few flags). Ranks come from windows
+    over a contig's nodes, which are aggregated sites; pairs are only windowed by their first site.
+    """
+    spark = node.sparkSession
+    shared.set_checkpoints(spark)
+    node = node.select("chrom", "pos", "vtype", "n_reads").checkpoint()
+    # a pair opens its first site even where it has no support
+    opens = pairs.select("chrom", F.col("p1").alias("pos")).distinct().withColumn("opens", F.lit(True))
+    firm = _supported(node, pairs, confidence).checkpoint()
+    state = node.select("chrom", "pos", "vtype").join(opens, ["chrom", "pos"], "left")
+    if with_snps:
+        way = _unbroken(firm.withColumn("place", F.col("k2") - F.col("k1")), "place")
+        forward = way.where((F.col("t1") == MOD) & (F.col("t2") == SNP) & (F.col("place") <= adjacent))
+        back = way.where((F.col("t1") == SNP) & (F.col("t2") == MOD))
+        own = forward.groupBy("chrom", F.col("p1").alias("pos")).agg(F.max("sure").alias("strong"))
+        met = back.select("chrom", F.col("p2").alias("pos")).distinct().withColumn("met", F.lit(True))
+        after = way.where("place = 1").join(back.where("sure").select("chrom", "p1").distinct(), ["chrom", "p1"], "left_semi").select("chrom", F.col("p2").alias("pos"), F.lit(True).alias("next"))
+        state = state.join(own, ["chrom", "pos"], "left").join(met, ["chrom", "pos"], "left").join(after, ["chrom", "pos"], "left")
+        weak = F.col("opens") & (F.col("vtype") == MOD) & F.col("strong").isNull() & F.col("met").isNull()
+        strong = F.coalesce("strong", F.lit(False)) | F.coalesce("next", F.lit(False))
+        flags = {"strong": strong, "weak": weak, "passed": F.col("opens") & (F.col("vtype") == SNP)}
+    else:
+        flags = {"strong": F.col("vtype") == MOD, "weak": F.lit(False), "passed": F.lit(False)}
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    state = state.select("chrom", "pos", "vtype", yes(F.col("opens")).alias("opens"), *[yes(v).alias(k) for k, v in flags.items()]).checkpoint()
 
-    def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        found = _connected(n, e, adjacent, confidence, rounds, with_snps) if len(n) else []
-        return pd.DataFrame({"chrom": [n.chrom.iloc[0]] * len(found) if len(n) else [], "pos": found})
+    added = _ends(_among(state, "strong", firm, adjacent).where("sure"), "new")
+    state = state.join(added, ["chrom", "pos"], "left").withColumn("added", yes(F.col("new"))).drop("new")
+    state = state.withColumn("passed", F.col("passed") | F.col("added")).withColumn("weak", F.col("weak") | F.col("added")).checkpoint()
+    for _ in range(rounds if with_snps else 0):
+        new = _ends(_among(state, "weak", firm, adjacent, "added").where("sure"), "new")
+        w = Window.partitionBy("chrom", "weak").orderBy("pos").rowsBetween(1, adjacent)
+        idle = F.col("weak") & F.col("opens") & ~F.when(F.col("added"), F.count("*").over(w) > 0).otherwise(F.count_if("added").over(w) > 0)
+        x = state.withColumn("idle", idle).join(new, ["chrom", "pos"], "left").withColumn("new", yes(F.col("new")) & ~F.col("passed"))
+        state = x.select("chrom", "pos", "vtype", "opens", "strong", (F.col("new") | F.col("idle")).alias("weak"), (F.col("passed") | F.col("new")).alias("passed"), F.col("new").alias("added")).checkpoint()
 
-    pairs = pairs.withColumnRenamed("chrom", "e_chrom")  # both sides come from the same table
-    return node.groupBy("chrom").cogroup(pairs.groupBy("e_chrom")).applyInPandas(run, "chrom long, pos long")
+    w = Window.partitionBy("chrom").orderBy("pos")
+    p = state.where("passed").select("chrom", "pos", "vtype", F.lag("pos").over(w).alias("before"), F.lag("opens").over(w).alias("before_opens"), F.lead("pos").over(w).alias("after"))
+    p = p.where(F.col("vtype") != SNP)
+    holds = firm.where("holds").select("chrom", "p1", "p2")
+    left = holds.select("chrom", F.col("p1").alias("before"), F.col("p2").alias("pos"), F.lit(True).alias("left"))
+    right = holds.select("chrom", F.col("p1").alias("pos"), F.col("p2").alias("after"), F.lit(True).alias("right"))
+    p = p.join(left, ["chrom", "before", "pos"], "left").join(right, ["chrom", "pos", "after"], "left")
+    return p.where("before is null or (after is null and before_opens) or (left and right)").select("chrom", "pos")
 
 
 def neighbours_agree(candidates: DataFrame, pairs: DataFrame, confidence: float = 0.9, least: int = 6) -> DataFrame:

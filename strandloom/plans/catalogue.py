@@ -512,12 +512,53 @@ def _(o):
     return methyl.graph(o)[1]
 
 
-@query("g11_strong_sites", "obs_dense")
+# Sites in SQL: firm pairs f, unbroken ways of a set of members m, and the flags of each pass as sets of sites.
+_FIRM = _EDGES.replace("FROM obs)", "FROM obs_dense)") + """
+    , n AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY pos) AS k FROM (SELECT chrom, pos, min_by(vtype, read_id) AS vtype, count(DISTINCT read_id) AS n FROM obs_dense GROUP BY chrom, pos) x),
+    pr AS (SELECT e.chrom, p1, p2, a.vtype AS t1, b.vtype AS t2, a.k AS k1, b.k AS k2, a.n + b.n AS depths, rr_hi + rr_lo + aa_hi + aa_lo + ra_hi + ra_lo + ar_hi + ar_lo AS total, greatest(rr_hi + rr_lo + aa_hi + aa_lo, ra_hi + ra_lo + ar_hi + ar_lo) AS most
+      FROM e JOIN n a ON a.chrom = e.chrom AND a.pos = p1 JOIN n b ON b.chrom = e.chrom AND b.pos = p2 WHERE a.vtype <> 0 OR b.vtype <> 0),
+    f AS (SELECT *, most * 10 >= total * 9 AS sure FROM pr WHERE total > 6 AND total * 4 > depths),
+    opens AS (SELECT DISTINCT chrom, p1 AS pos FROM pr)"""
+
+
+def _way(name: str, members: str, added: str | None = None) -> str:
+    """CTEs of the sure ends among members that meet the next 20, or the next added ones."""
+    either = f"(SELECT count(*) FROM {added} d WHERE d.chrom = a.chrom AND d.pos > a.pos AND d.pos <= b.pos)" if added else "b.m - a.m"
+    is_in = lambda x: f"EXISTS (SELECT 1 FROM {added} d WHERE d.chrom = {x}.chrom AND d.pos = {x}.pos)"
+    place = f"CASE WHEN {is_in('a')} THEN b.m - a.m ELSE {either} END" if added else either
+    return f""", {name}_m AS (SELECT chrom, pos, row_number() OVER (PARTITION BY chrom ORDER BY pos) AS m FROM {members}),
+    {name}_p AS (SELECT f.chrom, p1, p2, sure, {place} AS place FROM f JOIN {name}_m a ON a.chrom = f.chrom AND a.pos = p1 JOIN {name}_m b ON b.chrom = f.chrom AND b.pos = p2 WHERE b.m - a.m <= 20 {f"AND ({is_in('a')} OR {is_in('b')})" if added else ""}),
+    {name}_s AS (SELECT chrom, p1, p2 FROM (SELECT *, row_number() OVER (PARTITION BY chrom, p1 ORDER BY place) AS rn FROM {name}_p) x WHERE sure AND rn = place),
+    {name} AS (SELECT chrom, p1 AS pos FROM {name}_s UNION SELECT chrom, p2 FROM {name}_s)"""
+
+
+_NEIGHBOURS = """, z AS (SELECT l.chrom, l.pos, n.vtype, lag(l.pos) OVER w AS b, lead(l.pos) OVER w AS a FROM passed l JOIN n ON n.chrom = l.chrom AND n.pos = l.pos WINDOW w AS (PARTITION BY l.chrom ORDER BY l.pos)),
+    holds AS (SELECT chrom, p1, p2 FROM pr WHERE total >= 6 AND most * 10 >= total * 9)
+    SELECT chrom, pos FROM z WHERE vtype <> 0 AND (b IS NULL OR (a IS NULL AND EXISTS (SELECT 1 FROM opens o WHERE o.chrom = z.chrom AND o.pos = z.b))
+      OR (EXISTS (SELECT 1 FROM holds h WHERE h.chrom = z.chrom AND p1 = z.b AND p2 = z.pos) AND EXISTS (SELECT 1 FROM holds h WHERE h.chrom = z.chrom AND p1 = z.pos AND p2 = z.a)))"""
+
+
+def _round(k: int) -> str:
+    """The k-th round: the sites that are new, and the weak ones of the next."""
+    return _way(f"r{k}", f"weak{k}", f"added{k}") + f""", added{k + 1} AS (SELECT * FROM r{k} EXCEPT SELECT * FROM seen{k}), seen{k + 1} AS (SELECT * FROM seen{k} UNION SELECT * FROM added{k + 1}),
+    weak{k + 1} AS (SELECT * FROM added{k + 1} UNION SELECT a.chrom, a.pos FROM r{k}_m a JOIN opens o ON o.chrom = a.chrom AND o.pos = a.pos WHERE NOT EXISTS (SELECT 1 FROM r{k}_m b WHERE b.chrom = a.chrom AND b.m > a.m AND b.m <= a.m + 20
+      AND EXISTS (SELECT 1 FROM added{k} d WHERE d.chrom = a.chrom AND (d.pos = a.pos OR d.pos = b.pos))))"""
+
+
+@query(
+    "g11_strong_sites", "obs_dense",
+    sql=_FIRM + """, way AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chrom, p1 ORDER BY k2) AS rn FROM f) x WHERE rn = k2 - k1),
+    strong AS (SELECT chrom, p1 AS pos FROM way WHERE t1 = 2 AND t2 = 0 AND sure AND rn <= 20 UNION SELECT w.chrom, w.p2 FROM way w WHERE rn = 1 AND EXISTS (SELECT 1 FROM way v WHERE v.chrom = w.chrom AND v.p1 = w.p1 AND v.t1 = 0 AND v.t2 = 2 AND v.sure)),
+    met AS (SELECT chrom, p1 AS pos FROM way WHERE t1 = 2 AND t2 = 0 AND rn <= 20 UNION SELECT chrom, p2 FROM way WHERE t1 = 0 AND t2 = 2),
+    ways AS (SELECT o.*, n.vtype FROM opens o JOIN n ON n.chrom = o.chrom AND n.pos = o.pos)"""
+    + _way("added0", "strong") + """, seen0 AS (SELECT chrom, pos FROM ways WHERE vtype = 0 UNION SELECT * FROM added0), weak0 AS ((SELECT chrom, pos FROM ways WHERE vtype = 2 EXCEPT SELECT * FROM met) UNION SELECT * FROM added0)"""
+    + _round(0) + _round(1) + ", passed AS (SELECT * FROM seen2)" + _NEIGHBOURS,
+)
 def _(o):
     return methyl.connected(*methyl.graph(o))
 
 
-@query("g15_no_snp_sites", "obs_dense")
+@query("g15_no_snp_sites", "obs_dense", sql=_FIRM + ", strong AS (SELECT chrom, pos FROM n WHERE vtype = 2)" + _way("passed", "strong") + _NEIGHBOURS)
 def _(o):
     return methyl.connected(*methyl.graph(o), with_snps=False)
 

@@ -8,6 +8,12 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def set_checkpoints(spark: SparkSession) -> None:
+    """Gives checkpoint() its folder where the session has none yet: one below spark.checkpoint.dir."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(new_folder(spark, "checkpoints"))
+
+
 def new_folder(spark: SparkSession, tag: str) -> str:
     """A new path below spark.checkpoint.dir; below a folder of this machine only where none is set and all runs here, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
