@@ -1,87 +1,116 @@
-"""Copy-number intervals from clipped alignment ends, and the observations that they make unreliable."""
+"""Copy-number intervals from clipped alignment ends, and the observations that they make unreliable.
 
-from __future__ import annotations
+An interval's balance is the clipped starts since it opened less the clipped ends, so any interval's balance is a
+difference of two running sums. From the row where an interval opens, its fate is the first of a few events, which are
+searched in whole stretches of rows. A quiet row, of fewer than five starts and ends and no fewer ends than starts,
+opens nothing and closes nothing. After a gap of 200 kb nothing that is open survives it, and after one of 30 kb
+nothing whose balance can't be deep, which the running sum's rise over its least value bounds: contigs are cut there
+into parts.
+"""
 
-from dataclasses import dataclass
+from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.ranges import BIN, point_join
 
-AREA, LONGEST, DEEP = 30_000, 200_000, 30
-
-
-@dataclass
-class _Candidate:
-    """An interval that may be one: balance of starts over ends, and what would close it."""
-
-    start: int
-    end: int
-    balance: int
-    peak: int | None = None
-
-    @property
-    def closing_ends(self) -> float:
-        return self.peak // 2 if self.peak >= 10 else 5
-
-    @property
-    def closing_balance(self) -> int:
-        return 5 if self.peak >= 20 else self.peak // 4 if self.peak >= 10 else 2
-
-    def lost(self, pos: int) -> bool:
-        return pos > self.end or self.balance <= 0 or pos - self.start >= LONGEST
+# How long an interval waits for more clips, the longest one, the balance that lets it wait anew, starts of a steep one.
+AREA, LONGEST, DEEP, STEEP = 30_000, 200_000, 30, 5
+# Fixed values for a steep one by its peak of starts: below the first number, between them, from the second on.
+PEAKS = (10, 20)
+ENDS_BELOW, BALANCE_BELOW, BALANCE_ABOVE = 5, 2, 5
+# For one that isn't: a balance above this closes by a fourth of it in ends, else by five ends.
+HIGH, ENDS_ELSE = 20, 5
+
+
+def _first(hits: np.ndarray) -> int:
+    return int(hits.argmax()) if hits.any() else len(hits)
+
+
+class _Part:
+    """Rows (pos, front, back) of a part of a contig, with the running balance."""
+
+    def __init__(self, pos: np.ndarray, front: np.ndarray, back: np.ndarray):
+        self.pos, self.front, self.back = pos, front, back
+        self.total = np.cumsum(front - back)
+
+    def fate(self, start: int, row: int, base: int, peak: int | None, end: int) -> tuple[str, int, int]:
+        """What ends the interval of the row ``start`` from ``row`` on, where, and the end that it then waits for. base: the running balance before it; peak: None for one that isn't steep."""
+        size = 64
+        while row < len(self.pos):
+            s = slice(row, row + size)
+            pos, front, back, balance = self.pos[s], self.front[s], self.back[s], self.total[s] - base
+            ends = np.maximum.accumulate(np.where(balance > DEEP, pos + AREA, end))
+            gone = (pos > ends) | (balance <= 0) | (pos - self.pos[start] >= LONGEST)
+            if peak is None:
+                before = balance - (front - back)
+                closed = back >= np.where(before > HIGH, before // 4, ENDS_ELSE)
+                # the order of events at one row: closed, replaced by a steep one, gone
+                events = (("closed", closed), ("steeper", front >= STEEP), ("gone", gone))
+            else:
+                few = BALANCE_BELOW if peak < PEAKS[0] else peak // 4 if peak < PEAKS[1] else BALANCE_ABOVE
+                closed = (back >= (ENDS_BELOW if peak < PEAKS[0] else peak // 2)) | ((balance <= few) & (pos <= ends))
+                events = (("steeper", front > peak), ("closed", closed), ("gone", gone))
+            at, _, what = min((_first(hits), k, name) for k, (name, hits) in enumerate(events))
+            if at < len(pos):
+                return what, row + at, int(ends[at - 1]) if at else end
+            row, end, size = row + len(pos), int(ends[-1]), 4 * size
+        return "open", row, end
+
+    def intervals(self) -> list[tuple[int, int]]:
+        opening = np.flatnonzero((self.front >= STEEP) | (self.front > self.back))
+        found, row = [], 0
+        while (k := np.searchsorted(opening, row)) < len(opening):
+            start = int(opening[k])
+            base, steep = int(self.total[start] - self.front[start] + self.back[start]), self.front[start] >= STEEP
+            what, row, _ = self.fate(start, start + 1, base, int(self.front[start]) if steep else None, int(self.pos[start]) + AREA)
+            while what == "steeper":
+                fresh, start = not steep, row
+                if fresh:  # a steep one takes the place of another kind and counts anew, from the next row on
+                    base = int(self.total[row] - self.front[row] + self.back[row])
+                steep = True
+                what, row, _ = self.fate(start, row + fresh, base, int(self.front[start]), int(self.pos[start]) + AREA)
+            if what == "closed":
+                found.append((int(self.pos[start]), int(self.pos[row])))
+            row += 1
+        return found
 
 
 def intervals_of(histogram: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Intervals of one chromosome from (pos, front, back), sorted. Five or more starts open a steep candidate, fewer a slow one that a later steep
-    start replaces; ends that pull the balance down close it."""
+    """Intervals of a contig's rows (pos, front, back), sorted by pos. The last row counts again 30 kb on."""
     if not histogram:
         return []
     last = histogram[-1]
-    found, now = [], None
-    for pos, up, down in [*histogram, (last[0] + AREA, last[1], last[2])]:
-        steep = up >= 5
-        if now is None:
-            if steep or up > down:
-                now = _Candidate(pos, pos + AREA, up - down, up if steep else None)
-            continue
-        if now.peak is None:
-            if down >= (now.balance // 4 if now.balance > 20 else 5):
-                found.append((now.start, pos))
-                now = None
-            elif steep:
-                now = _Candidate(pos, pos + AREA, up - down, up)
-            else:
-                now.balance += up - down
-                if now.balance > DEEP:
-                    now.end = pos + AREA
-                if now.lost(pos):
-                    now = None
-            continue
-        if up > now.peak:
-            now = _Candidate(pos, pos + AREA, now.balance, up)
-        now.balance += up - down
-        if now.balance > DEEP:
-            now.end = pos + AREA
-        if down >= now.closing_ends or (now.balance <= now.closing_balance and pos <= now.end):
-            found.append((now.start, pos))
-            now = None
-        elif now.lost(pos):
-            now = None
-    return found
+    return _Part(*np.array([*histogram, (last[0] + AREA, *last[1:])], dtype=np.int64).T).intervals()
+
+
+def parts(histogram: DataFrame) -> DataFrame:
+    """The histogram with its contigs' last rows repeated 30 kb on, and the part of each row. Sums run over a contig, then over a stretch of it, in the JVM."""
+    last = histogram.groupBy("chrom").agg(F.max_by(F.struct("pos", "front", "back"), "pos").alias("x")).select("chrom", (F.col("x.pos") + AREA).alias("pos"), "x.front", "x.back")
+    h = histogram.select("chrom", F.col("pos").cast("long").alias("pos"), "front", "back").unionByName(last)
+    w = Window.partitionBy("chrom").orderBy("pos")
+    quiet = (F.col("front") < STEEP) & (F.col("back") < ENDS_ELSE) & (F.col("front") <= F.col("back"))
+    h = h.withColumn("gap", F.when(quiet, F.col("pos") - F.lag("pos").over(w)))
+    h = h.withColumn("stretch", F.count_if(F.col("gap") >= LONGEST).over(w))
+    w = Window.partitionBy("chrom", "stretch").orderBy("pos")
+    h = h.withColumn("total", F.sum(F.col("front") - F.col("back")).over(w))
+    least = F.least(F.lit(0), F.min("total").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    h = h.withColumn("cut", (F.col("gap") > AREA) & (F.col("total") - least <= DEEP))
+    return h.withColumn("part", F.count_if("cut").over(w)).select("chrom", "pos", "front", "back", "stretch", "part")
 
 
 def cnv_intervals(histogram: DataFrame) -> DataFrame:
-    """(chrom, start, end). A chromosome's histogram is small: one row a clipped position."""
+    """(chrom, start, end) from (chrom, pos, front, back), one row a clipped position. A part of a contig is one group. No rows: none."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("pos")
-        found = intervals_of(list(zip(part.pos.tolist(), part.front.tolist(), part.back.tolist())))
+        found = _Part(*(part[c].to_numpy(np.int64) for c in ("pos", "front", "back"))).intervals()
         return pd.DataFrame({"chrom": [part.chrom.iloc[0]] * len(found), "start": [a for a, _ in found], "end": [b for _, b in found]})
 
-    return histogram.groupBy("chrom").applyInPandas(run, "chrom long, start long, end long")
+    return parts(histogram).groupBy("chrom", "stretch", "part").applyInPandas(run, "chrom long, start long, end long")
 
 
 def miss_rates(obs: DataFrame, intervals: DataFrame, size: int = BIN) -> DataFrame:

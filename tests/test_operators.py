@@ -48,6 +48,53 @@ def test_cnv_intervals():
     assert cnv.intervals_of([]) == []
 
 
+def _cnv_model(rows):
+    """One row at a time with everything that is open in a dictionary."""
+    found, now = [], None
+    for pos, up, down in [*rows, (rows[-1][0] + 30_000, *rows[-1][1:])]:
+        if now is None or (now["peak"] is None and up >= 5 and not down >= (now["n"] // 4 if now["n"] > 20 else 5)) or (now and now["peak"] is not None and up > now["peak"]):
+            carried = now["n"] + up - down if now and now["peak"] is not None else None
+            opens = now is not None or up >= 5 or up > down
+            now = {"start": pos, "n": up - down if carried is None else carried, "peak": up if up >= 5 else None, "wait": pos + 30_000} if opens else None
+            if carried is None:
+                continue
+            before = 0
+        else:
+            before = now["n"]
+            now["n"] += up - down
+        if now["peak"] is None:
+            closed = down >= (before // 4 if before > 20 else 5)
+        now["wait"] = pos + 30_000 if now["n"] > 30 else now["wait"]
+        if now["peak"] is not None:
+            p = now["peak"]
+            closed = down >= (5 if p < 10 else p // 2) or (now["n"] <= (2 if p < 10 else p // 4 if p < 20 else 5) and pos <= now["wait"])
+        if closed:
+            found.append((now["start"], pos))
+        if closed or now["n"] <= 0 or pos > now["wait"] or pos - now["start"] >= 200_000:
+            now = None
+    return found
+
+
+def _histogram(seed):
+    r = random.Random(seed)
+    step, most, share, pos, rows = r.choice([500, 5_000, 60_000, 200_000]), r.choice([2, 4, 8, 16, 40]), r.choice([0.3, 0.5, 0.7]), 0, []
+    for _ in range(r.randrange(1, 150)):
+        pos += r.randrange(1, step)
+        rows.append((pos, r.randrange(most) if r.random() < share else 0, r.randrange(most) if r.random() > share else 0))
+    return rows
+
+
+def test_copy_number_intervals_against_a_model(spark):
+    for seed in range(1_000):
+        assert cnv.intervals_of(_histogram(seed)) == _cnv_model(_histogram(seed))
+    rows = [(c, *x) for c in range(200) for x in _histogram(c)]
+    h = spark.createDataFrame(rows, "chrom long, pos long, front int, back int")
+    got = sorted(map(tuple, cnv.cnv_intervals(h).collect()))
+    assert got == [(c, *x) for c in range(200) for x in _cnv_model(_histogram(c))] and len(got) > 400
+    assert cnv.parts(h).select("chrom", "stretch", "part").distinct().count() > 400
+    assert cnv.cnv_intervals(h.where("false")).count() == 0
+
+
 def _dropped(spark, rows, threshold):
     df = spark.createDataFrame(list(enumerate(rows)), "i int, spans array<struct<first:long,last:long>>")
     return [set(r.gone) for r in df.select("i", overlap.dropped(F.col("spans"), threshold).alias("gone")).orderBy("i").collect()]
