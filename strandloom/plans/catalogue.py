@@ -445,7 +445,20 @@ def _(o):
     return overlap.without_overlaps(x).select("chrom", "aln_id").distinct()
 
 
-@query("w09_cnv_machine", "aln")
+@query(
+    "w09_cnv_machine", "aln",
+    sql="""SELECT * FROM (WITH RECURSIVE h AS (SELECT chrom, pos, sum(u) AS u, sum(d) AS d FROM (SELECT chrom, start_pos * 50 AS pos, 1 AS u, 0 AS d FROM aln UNION ALL SELECT chrom, end_pos * 50 + 7, 0, 1 FROM aln) x GROUP BY chrom, pos),
+    g AS (SELECT chrom, CAST(pos AS BIGINT) AS pos, CAST(u AS BIGINT) AS u, CAST(d AS BIGINT) AS d, row_number() OVER (PARTITION BY chrom ORDER BY pos) AS k FROM (SELECT * FROM h UNION ALL SELECT chrom, max(pos) + 30000, arg_max(u, pos), arg_max(d, pos) FROM h GROUP BY chrom) y),
+    w AS (SELECT chrom, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS s, CAST(NULL AS BIGINT) AS e, CAST(0 AS BIGINT) AS b, CAST(NULL AS BIGINT) AS p, CAST(NULL AS BIGINT) AS f, CAST(NULL AS BIGINT) AS t FROM (SELECT DISTINCT chrom FROM g) c
+      UNION ALL SELECT chrom, k, CASE WHEN NOT over THEN s END, CASE WHEN NOT over THEN e END, b, CASE WHEN NOT over THEN p END, CASE WHEN shut THEN s END, CASE WHEN shut THEN pos END
+      FROM (SELECT *, coalesce(s IS NOT NULL AND NOT fresh AND (shut OR pos > e OR b <= 0 OR pos - s >= 200000), false) AS over
+        FROM (SELECT chrom, k, pos, s, b, p, fresh, CASE WHEN NOT fresh AND b > 30 THEN pos + 30000 ELSE e END AS e,
+            coalesce(s IS NOT NULL AND NOT fresh AND CASE WHEN p IS NULL THEN slow ELSE d >= CASE WHEN p < 10 THEN 5 ELSE p // 2 END OR (b <= CASE WHEN p < 10 THEN 2 WHEN p < 20 THEN p // 4 ELSE 5 END AND pos <= CASE WHEN b > 30 THEN pos ELSE e END) END, false) AS shut
+          FROM (SELECT chrom, gk AS k, pos, d, slow, fresh, CASE WHEN fresh THEN CASE WHEN u >= 5 OR u > d THEN pos END WHEN u > p THEN pos ELSE s END AS s, CASE WHEN fresh OR u > p THEN pos + 30000 ELSE e END AS e,
+              CASE WHEN fresh THEN u - d ELSE b + u - d END AS b, CASE WHEN fresh THEN CASE WHEN u >= 5 THEN u END WHEN u > p THEN u ELSE p END AS p
+            FROM (SELECT w.*, d >= CASE WHEN b > 20 THEN b // 4 ELSE 5 END AS slow, s IS NULL OR (p IS NULL AND u >= 5 AND d < CASE WHEN b > 20 THEN b // 4 ELSE 5 END) AS fresh, g.pos, g.u, g.d, g.k AS gk FROM w JOIN g ON g.chrom = w.chrom AND g.k = w.k + 1) a) c) d2) e2)
+    SELECT chrom, f AS "start", t AS "end" FROM w WHERE f IS NOT NULL) z""",
+)
 def _(a):
     ends = a.select("chrom", F.explode(F.array(F.struct((F.col("start_pos") * 50).alias("pos"), F.lit(1).alias("front"), F.lit(0).alias("back")), F.struct((F.col("end_pos") * 50 + 7).alias("pos"), F.lit(0).alias("front"), F.lit(1).alias("back")))).alias("x"))
     return cnv.cnv_intervals(ends.groupBy("chrom", "x.pos").agg(F.sum("x.front").alias("front"), F.sum("x.back").alias("back")))
