@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions import filters, strings
+from strandloom.functions import alleles, filters, strings
 from strandloom.operators import cigar, cnv, correct, depth, edges, likelihood, methyl, overlap, phase, pileup, ranges, tag, variants
 from strandloom.plans.bindings import view, with_views
 
@@ -794,6 +794,36 @@ def _(v, a):
     return x.select("chrom", "pos", F.concat_ws("\t", f, s).alias("line"))
 
 
+# -- alleles removed ---------------------------------------------------------------------------------------------------
+def _three_alternatives(orders: DataFrame) -> DataFrame:
+    """Records of four alleles, one an order, with values by alternative, allele and genotype."""
+    o = F.col("o_orderkey")
+    text = lambda *parts: F.concat_ws(",", *[p.cast("string") for p in parts])
+    info = F.concat(F.lit("DP="), o % 9, F.lit(";AC="), text(o % 2, o % 3, o % 5), F.lit(";AD="), text(F.lit(1), o % 4, o % 6, o % 7))
+    sample = F.concat(o % 4, F.lit("|"), F.floor(o / 3) % 4, F.lit(":"), text(*[(o + 7 * k) % 50 for k in range(10)]))
+    cells = [F.lit("1"), o.cast("string"), *map(F.lit, (".", "A", "C,G,T", ".", ".")), info, F.lit("GT:PL"), sample]
+    return orders.select("o_orderkey", F.array(*cells).alias("fields"))
+
+
+_REMOVED = """WITH o AS (SELECT o_orderkey, o_orderkey AS o, (o_orderkey // 3) % 4 AS second, {keep} AS keep FROM orders),
+    k AS (SELECT *, list_filter(keep, lambda a: a > 0) AS alts FROM o)
+    SELECT o_orderkey, concat_ws(chr(9), '1', o, '.', 'A', CASE WHEN len(alts) = 0 THEN '.' ELSE array_to_string(list_transform(alts, lambda a: ['C', 'G', 'T'][a]), ',') END, '.', '.',
+      'DP=' || (o % 9) || ';AC=' || CASE WHEN len(alts) = 0 THEN '.' ELSE array_to_string(list_transform(alts, lambda a: [o % 2, o % 3, o % 5][a]), ',') END || ';AD=' || array_to_string(list_transform(keep, lambda a: [1, o % 4, o % 6, o % 7][a + 1]), ','), 'GT:PL',
+      coalesce(CAST(list_position(keep, CAST(o % 4 AS INT)) - 1 AS VARCHAR), '.') || '|' || coalesce(CAST(list_position(keep, CAST(second AS INT)) - 1 AS VARCHAR), '.') || ':'
+      || array_to_string(list_transform(list_filter(range(10), lambda g: list_contains(keep, [0, 1, 1, 2, 2, 2, 3, 3, 3, 3][g + 1]) AND list_contains(keep, [0, 0, 1, 0, 1, 2, 0, 1, 2, 3][g + 1])), lambda g: (o + 7 * g) % 50), ',')) AS line FROM k"""
+
+
+@query("x25_trim_alleles", "@orders", sql=_REMOVED.format(keep="list_filter([0, 1, 2, 3], lambda a: a IN (0, o_orderkey % 4, (o_orderkey // 3) % 4))"))
+def _(o):
+    return _three_alternatives(o).select("o_orderkey", F.array_join(alleles.trimmed(F.col("fields"), {"AC": "A", "AD": "R"}, {"PL": "G"}), "\t").alias("line"))
+
+
+@query("v11_remove_alleles", "@orders", sql=_REMOVED.format(keep="list_filter([0, 1, 2, 3], lambda a: a <> 1 + o_orderkey % 3)"))
+def _(o):
+    drop = F.array((1 + F.col("o_orderkey") % 3).cast("int"))
+    return _three_alternatives(o).select("o_orderkey", F.array_join(alleles.without_alleles(F.col("fields"), drop, {"AC": "A", "AD": "R"}, {"PL": "G"}), "\t").alias("line"))
+
+
 # -- filter language ---------------------------------------------------------------------------------------------------
 _LINE = {"qty": "l_quantity", "price": "l_extendedprice", "line": "l_linenumber", "flag": "l_orderkey", "rf": "l_returnflag", "ls": "l_linestatus"}
 #: name, expression, the same in SQL
