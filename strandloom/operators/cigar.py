@@ -36,9 +36,8 @@ def end_position(pos: Column, cigar: Column, flag: Column) -> Column:
     return pos + F.when((flag.bitwiseAND(4) != 0) | (n == 0), F.lit(1)).otherwise(n)
 
 
-def blocks(reads: DataFrame, keep: list[str], pos: str = "pos", cigar: str = "cigar") -> DataFrame:
-    """One row an operation: op_index, op, len, ref_start, query_start (both 0-based), next_op, next_len, first, last.
-    Prefix sums are a fold inside the row, so nothing is shuffled."""
+def placed(cigar: Column) -> Column:
+    """Array of (op, len, r, q): the operations with the reference and query bases before them."""
     zero = F.struct(F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("q"), F.array().cast("array<struct<op:string,len:bigint,r:bigint,q:bigint>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -47,7 +46,13 @@ def blocks(reads: DataFrame, keep: list[str], pos: str = "pos", cigar: str = "ci
         one = F.struct(x["op"].alias("op"), x["len"].alias("len"), acc["r"].alias("r"), acc["q"].alias("q"))
         return F.struct(r.alias("r"), q.alias("q"), F.array_append(acc["out"], one).alias("out"))
 
-    folded = F.aggregate(parse(F.col(cigar)), zero, step, lambda a: a["out"])
+    return F.aggregate(parse(cigar), zero, step, lambda a: a["out"])
+
+
+def blocks(reads: DataFrame, keep: list[str], pos: str = "pos", cigar: str = "cigar") -> DataFrame:
+    """One row an operation: op_index, op, len, ref_start, query_start (both 0-based), next_op, next_len, first, last.
+    Prefix sums are a fold inside the row, so nothing is shuffled."""
+    folded = placed(F.col(cigar))
     x = reads.select(*keep, F.col(pos).alias("_pos"), folded.alias("_ops"))
     nxt = lambda f: F.try_element_at("_ops", F.col("op_index") + 2)[f]
     x = x.select(*keep, "_pos", "_ops", F.posexplode("_ops").alias("op_index", "_x"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import alleles, filters, strings
-from strandloom.operators import cigar, cnv, correct, depth, edges, likelihood, methyl, overlap, phase, pileup, ranges, tag, variants
+from strandloom.operators import cigar, cnv, correct, depth, edges, likelihood, methyl, overlap, phase, pileup, ranges, realign, tag, variants
 from strandloom.plans.bindings import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -602,6 +602,24 @@ def _(c):
     return x.select("chrom", "pos", *[F.col("depths")[k].alias(f"depth{k}") for k in (0, 1)], *[F.col("texts")[k].alias(f"text{k}") for k in (0, 1)])
 
 
+@query(
+    "t07_mapping_quality_cap", "cigars",
+    sql="""SELECT aln_id, CAST(CASE WHEN t > 40 THEN -1 ELSE floor(sqrt((40 - greatest(t, 0)) / 40) * 40 + 0.499) END AS INT) AS cap FROM (SELECT aln_id, coalesce(sum(least(33, q)) FILTER (off), 0)
+        - CASE WHEN count(*) FILTER (off) = 0 THEN 0 ELSE 4.343 * (count(*) FILTER (off) * ln(count(*) FILTER (good) + max(b + d + CASE WHEN aln_id % 3 = 0 THEN f ELSE 0 END)) - lgamma(count(*) FILTER (off) + 1)) END
+        + max(coalesce(list_sum(list_transform(range(a), lambda k: (aln_id + 3 * k) % 41)), 0) + CASE WHEN aln_id % 3 = 0 THEN 13 * (1 + aln_id % 3) ELSE 0 END) / 5.0 AS t
+      FROM (SELECT *, good AND substring(repeat('ACGTTGCA', 20), CAST(1 + aln_id % 4 + y AS INT), 1) <> base AS off FROM (SELECT *, (aln_id + 3 * y) % 41 AS q, substring(repeat('ACGTNGCA', 20), CAST(1 + x AS INT), 1) AS base, (aln_id + 3 * y) % 41 >= 13 AND substring(repeat('ACGTNGCA', 20), CAST(1 + x AS INT), 1) <> 'N' AS good
+        FROM (SELECT *, CASE s WHEN 1 THEN k WHEN 2 THEN b + k ELSE b + d + e + k END AS x, CASE s WHEN 1 THEN a + k WHEN 2 THEN a + b + c + k ELSE a + b + c + d + k END AS y
+          FROM (SELECT *, unnest(range(0, CASE s WHEN 1 THEN b WHEN 2 THEN d ELSE f - aln_id % 3 END)) AS k
+            FROM (SELECT aln_id, aln_id % 7 AS a, 5 + aln_id % 30 AS b, 1 + aln_id % 4 AS c, 3 + aln_id % 9 AS d, 1 + aln_id % 5 AS e, 2 + aln_id % 6 AS f, unnest([1, 2, 3]) AS s FROM cigars) p0) p1) p2) p3) p4 GROUP BY aln_id) p5""",
+)
+def _(c):
+    n, size = F.col("aln_id"), cigar.query_length(F.col("cigar")).cast("int")
+    seq = F.substring(F.repeat(F.lit("ACGTTGCA"), 20), (1 + n % 4).cast("int"), size)
+    qual = F.transform(F.sequence(F.lit(0), size - 1), lambda k: ((n + 3 * k) % 41).cast("int"))
+    ref = F.substring(F.repeat(F.lit("ACGTNGCA"), 20), F.lit(1), (cigar.ref_length(F.col("cigar")) - n % 3).cast("int"))
+    return c.select("aln_id", realign.mapping_quality_cap(F.col("cigar"), seq, qual, ref).alias("cap"))
+
+
 @query(
     "t03_mate_overlaps", "@orders",
     sql="""WITH o AS (SELECT o_orderkey AS o, o_orderkey % 15 AS s, substring(md5(CAST(o_orderkey AS VARCHAR)), 1, 1) < '8' AS first FROM orders),
@@ -638,7 +656,12 @@ def _(o):
     return likelihood.genotypes(sums, ["chrom", "pos"], [0, 1]).withColumn("phred", F.round("phred", 5))
 
 
-@query("g14_neighbours", "obs_dense")
+@query(
+    "g14_neighbours", "obs_dense",
+    sql=f"""{_EDGES.replace("FROM obs)", "FROM obs_dense)")}, c AS (SELECT chrom, pos, lag(pos) OVER w AS b, lead(pos) OVER w AS a FROM (SELECT chrom, pos, min_by(vtype, read_id) AS vtype FROM obs_dense GROUP BY chrom, pos) x WHERE vtype = 2 WINDOW w AS (PARTITION BY chrom ORDER BY pos)),
+    ok AS (SELECT chrom, p1, p2 FROM (SELECT chrom, p1, p2, rr_hi + rr_lo + aa_hi + aa_lo AS same, ra_hi + ra_lo + ar_hi + ar_lo AS flipped FROM e) y WHERE same + flipped >= 6 AND greatest(same, flipped) * 10 >= 9 * (same + flipped))
+    SELECT c.chrom, c.pos FROM c WHERE b IS NULL OR a IS NULL OR (EXISTS (SELECT 1 FROM ok WHERE ok.chrom = c.chrom AND p1 = b AND p2 = pos) AND EXISTS (SELECT 1 FROM ok WHERE ok.chrom = c.chrom AND p1 = pos AND p2 = a))""",
+)
 def _(o):
     node, pairs = methyl.graph(o)
     return methyl.neighbours_agree(node.where("vtype = 2"), pairs)
@@ -880,12 +903,21 @@ def _(o, a):
     return log.select(F.col("Read").alias("read_name"), F.col("Haplotype").alias("haplotype"), F.col("PhaseSet").alias("phase_set"), F.col("TotalAllele").alias("n_alleles"), F.col("HP1Allele").alias("h1"), F.col("HP2Allele").alias("h2"))
 
 
-@query("p3_modcall_sites", "calls")
+_GENOTYPED = f"""{_SITES}, pp AS (SELECT a.chrom, a.pos, a.n_mod + b.n_mod AS n_mod, a.n_unmod + b.n_unmod AS n_unmod, a.depth + b.depth AS depth FROM s a JOIN s b ON a.chrom = b.chrom AND b.pos = a.pos + 1 WHERE a.strand = 0 AND b.strand = 1),
+    pq AS (SELECT chrom, pos, {_GT} AS pair FROM pp), sg AS (SELECT s.*, coalesce(pair, {_GT}) AS gt, pair IS NOT NULL AS paired FROM s LEFT JOIN pq ON pq.chrom = s.chrom AND pq.pos = s.pos - s.pos % 2)"""
+
+
+@query("p3_modcall_sites", "calls", sql=f"{_GENOTYPED} SELECT chrom, pos, n_mod, n_unmod, depth, gt, paired FROM sg")
 def _(c):
     return methyl.genotyped(_sites(c)).select("chrom", "pos", "n_mod", "n_unmod", "depth", "gt", "paired")
 
 
-@query("k09_modcall_lines", "calls")
+@query(
+    "k09_modcall_lines", "calls",
+    sql=f"""{_GENOTYPED}, names AS (SELECT chrom, pos, coalesce(string_agg(CAST(read_id AS VARCHAR), ',' ORDER BY scan_ord) FILTER ({_CALL} = 'mod'), '') AS mr, coalesce(string_agg(CAST(read_id AS VARCHAR), ',' ORDER BY scan_ord) FILTER ({_CALL} = 'unmod'), '') AS nr FROM calls GROUP BY chrom, pos)
+    SELECT sg.chrom, sg.pos, concat_ws(chr(9), sg.chrom, sg.pos + 1, '.', substring('ACGTN', CAST(sg.pos % 5 AS INT) + 1, 1), 'N', '.', 'PASS', concat('RS=', CASE sg.pos % 2 WHEN 0 THEN 'P' ELSE 'N' END, ';MR=', mr, ';NR=', nr, ';'), 'GT:MD:UD:DP', concat_ws(':', gt, n_mod, n_unmod, depth)) AS line
+    FROM sg JOIN names n ON n.chrom = sg.chrom AND n.pos = sg.pos WHERE gt = '0/1' AND sg.pos % 5 < 4""",
+)
 def _(c):
     from strandloom.plans.api import modcall_lines
 
@@ -919,7 +951,16 @@ def _(c):
     return depth.pileup_columns(cigar.blocks(c, ["chrom", "aln_id"]), ["chrom", "aln_id"])
 
 
-@query("x27_fisher_exact", "obs")
+_LOG_TABLE = "lgamma(a + 1) - lgamma(k + 1) - lgamma(a - k + 1) + lgamma(n - a + 1) - lgamma(c - k + 1) - lgamma(n - a - c + k + 1) - lgamma(n + 1) + lgamma(c + 1) + lgamma(n - c + 1)"
+
+
+@query(
+    "x27_fisher_exact", "obs",
+    sql=f"""SELECT chrom, pos, round(least(1.0, sum(p) FILTER (p <= own * (1 + 1e-8))), 9) AS p FROM (SELECT chrom, pos, p, max(p) FILTER (k = n00) OVER (PARTITION BY chrom, pos) AS own
+      FROM (SELECT *, exp({_LOG_TABLE}) AS p FROM (SELECT *, unnest(range(greatest(0, a + c - n), least(a, c) + 1)) AS k
+        FROM (SELECT chrom, pos, n00, n00 + n01 AS a, n00 + n10 AS c, n00 + n01 + n10 + n11 AS n FROM (SELECT chrom, pos, count(*) FILTER (allele = 0 AND read_id % 2 = 0) AS n00, count(*) FILTER (allele = 0 AND read_id % 2 = 1) AS n01,
+          count(*) FILTER (allele = 1 AND read_id % 2 = 0) AS n10, count(*) FILTER (allele = 1 AND read_id % 2 = 1) AS n11 FROM obs GROUP BY chrom, pos) x) y) z) w) v GROUP BY chrom, pos""",
+)
 def _(o):
     from strandloom.functions import stats
 
