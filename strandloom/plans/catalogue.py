@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import alleles, filters, strings
-from strandloom.operators import cigar, cnv, correct, depth, edges, likelihood, methyl, overlap, phase, pileup, ranges, realign, tag, variants
+from strandloom.operators import cigar, cnv, correct, depth, edges, headers, likelihood, methyl, overlap, phase, pileup, ranges, realign, tag, variants
 from strandloom.plans.bindings import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -847,6 +847,35 @@ def _(o):
     return _three_alternatives(o).select("o_orderkey", F.array_join(alleles.without_alleles(F.col("fields"), drop, {"AC": "A", "AD": "R"}, {"PL": "G"}), "\t").alias("line"))
 
 
+# -- headers -----------------------------------------------------------------------------------------------------------
+def _header_lines(orders: DataFrame) -> DataFrame:
+    """Meta lines of five files, one an order."""
+    o = F.col("o_orderkey")
+    info = F.concat(F.lit("##INFO=<ID=I"), F.floor(o / 4) % 20, F.lit(",Number="), F.when(F.floor(o / 80) % 2 == 0, "1").otherwise("A"), F.lit(",Type=Integer>"))
+    other = F.when(o % 4 == 1, F.concat(F.lit("##contig=<ID=chr"), F.floor(o / 4) % 30, F.lit(">"))).when(o % 4 == 2, F.concat(F.lit("##tool"), o % 7, F.lit("=v"), o % 3))
+    return orders.select((o % 5).alias("file"), o.alias("line_no"), F.when(o % 4 == 0, info).otherwise(F.coalesce(other, F.concat(F.lit("##SAMPLE=<Name=x"), o % 6, F.lit(">")))).alias("line"))
+
+
+_LINES = """WITH l AS (SELECT o_orderkey % 5 AS file, o_orderkey AS o, CASE o_orderkey % 4 WHEN 0 THEN concat('##INFO=<ID=I', (o_orderkey // 4) % 20, ',Number=', CASE WHEN (o_orderkey // 80) % 2 = 0 THEN '1' ELSE 'A' END, ',Type=Integer>') WHEN 1 THEN concat('##contig=<ID=chr', (o_orderkey // 4) % 30, '>')
+      WHEN 2 THEN concat('##tool', o_orderkey % 7, '=v', o_orderkey % 3) ELSE concat('##SAMPLE=<Name=x', o_orderkey % 6, '>') END AS line FROM orders),
+    d AS (SELECT *, CASE o % 4 WHEN 0 THEN (o // 4) % 20 WHEN 1 THEN (o // 4) % 30 WHEN 2 THEN o % 7 END AS name FROM l)"""
+
+
+@query("u06_header_union", "@orders", sql=f"{_LINES}, r AS (SELECT *, row_number() OVER (PARTITION BY o % 4, name ORDER BY file, o) AS rn, min(file) OVER (PARTITION BY o % 4, name) AS owner, min(file) OVER () AS least FROM d) SELECT file, o AS line_no, line FROM r WHERE CASE WHEN o % 4 < 2 THEN rn = 1 WHEN o % 4 = 2 THEN file = owner ELSE file = least END")
+def _(o):
+    return headers.union(_header_lines(o)).select("file", "line_no", "line")
+
+
+@query(
+    "v12_header_translation", "@orders",
+    sql=f"""{_LINES}, f AS (SELECT file, o % 4 AS k, name, min(o) AS o FROM d WHERE o % 4 < 2 GROUP BY ALL), g AS (SELECT file, k, name, row_number() OVER (PARTITION BY file, k ORDER BY o) - k AS own FROM f),
+    u AS (SELECT k, name, row_number() OVER (PARTITION BY k ORDER BY file, o) - k AS n FROM (SELECT *, row_number() OVER (PARTITION BY k, name ORDER BY file, o) AS rn FROM f) x WHERE rn = 1)
+    SELECT file, CASE k WHEN 0 THEN 'id' ELSE 'contig' END AS kind, concat(CASE k WHEN 0 THEN 'I' ELSE 'chr' END, name) AS id, own, n FROM g JOIN u USING (k, name)""",
+)
+def _(o):
+    return headers.translation(_header_lines(o)).select("file", "kind", "id", "own", "n")
+
+
 # -- filter language ---------------------------------------------------------------------------------------------------
 _LINE = {"qty": "l_quantity", "price": "l_extendedprice", "line": "l_linenumber", "flag": "l_orderkey", "rf": "l_returnflag", "ls": "l_linestatus"}
 #: name, expression, the same in SQL
