@@ -27,7 +27,8 @@ def mapping_quality_cap(cigar: Column, seq: Column, qual: Column, ref: Column, t
     position on. Where it ends, the walk ends: later operations, clips too, don't count. A null in any gives null; a negative threshold is 40."""
     threshold = 40 if threshold < 0 else threshold
     read = F.struct(_bases(seq).alias("own"), qual.alias("qual"), _bases(ref).alias("there"), F.length(ref).alias("end"), placed(cigar).alias("ops"))
-    return let(read, lambda r: _cap(r, threshold))
+    given = cigar.isNotNull() & seq.isNotNull() & qual.isNotNull() & ref.isNotNull()
+    return F.when(given, let(read, lambda r: _cap(r, threshold)))
 
 
 def _cap(read: Column, threshold: int) -> Column:
