@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators import cigar, cnv, correct, depth, edges, methyl, overlap, phase, ranges, tag, variants
+from strandloom.operators import cigar, cnv, correct, depth, methyl, overlap, phase, ranges, tag, variants
 from strandloom.params import HaplotagParams, ModcallParams, PhaseParams
 
 
 def phase_observations(obs: DataFrame, params: PhaseParams = PhaseParams()) -> DataFrame:
-    """(chrom, pos, gt, ps) from clean observations (chrom, read_id, pos, allele, qual, vtype)."""
-    types = edges.node_types(obs)
-    e = edges.decided(edges.edge_weights(obs, params.adjacent, params.base_quality), types, params.edge_threshold, params.low_weight)
-    walked = phase.greedy(phase.nodes(types, e, params.distance), e, params.adjacent)
+    """(chrom, pos, gt, ps) from clean observations (chrom, read_id, pos, allele, qual, vtype). Runs a job: see phase.walked()."""
+    walked = phase.walked(obs, params.distance, params.adjacent, params.base_quality, params.edge_threshold, params.low_weight)
     placed = phase.blocks(walked)
     return phase.export(correct.corrected(obs, placed, params.read_confidence, params.snp_confidence, params.low_weight))
 
@@ -40,7 +38,7 @@ def observe(reads: DataFrame, snps: DataFrame, svs: DataFrame | None = None, mod
 
 
 def phase_reads(reads: DataFrame, snps: DataFrame, svs: DataFrame | None = None, mods: DataFrame | None = None, homopolymers: DataFrame | None = None, params: PhaseParams = PhaseParams()) -> DataFrame:
-    """(chrom, pos, gt, ps). For ONT reads, SNPs in crowded homopolymers (``homopolymers``: chrom, vpos, run) are left out."""
+    """(chrom, pos, gt, ps). Runs a job: see phase.walked(). For ONT reads, SNPs in crowded homopolymers (``homopolymers``: chrom, vpos, run) are left out."""
     if params.ont and homopolymers is not None:
         runs = snps.join(homopolymers.select("chrom", F.col("vpos").alias("pos"), "run"), ["chrom", "pos"])
         snps = variants.without_conflicts(snps, variants.crowded_homopolymers(runs.select("chrom", "pos", "run")))

@@ -504,20 +504,14 @@ def _(o):
     return edges.decided(edges.edge_weights(o), edges.node_types(o)).select("chrom", "p1", "p2", "decision", "weight")
 
 
-def _walked(o: DataFrame, distance: int = 300_000) -> DataFrame:
-    t = edges.node_types(o)
-    e = edges.decided(edges.edge_weights(o), t)
-    return phase.greedy(phase.nodes(t, e, distance), e)
-
-
 @query("g05_greedy_phase", "obs_gapped")
 def _(o):
-    return _walked(o)
+    return phase.walked(o)
 
 
 @query("g06_blocks", "obs_gapped")
 def _(o):
-    return phase.blocks(_walked(o, 10))
+    return phase.blocks(phase.walked(o, 10))
 
 
 @query("g10_methylation_graph", "obs", sql=f"{_EDGES}, y AS (SELECT chrom, pos, vtype FROM (SELECT chrom, pos, vtype, row_number() OVER (PARTITION BY chrom, pos ORDER BY read_id) AS rn FROM obs) t WHERE rn = 1) SELECT e.chrom, p1, p2, rr_hi + rr_lo + aa_hi + aa_lo AS same, ra_hi + ra_lo + ar_hi + ar_lo AS flipped FROM e JOIN y a ON e.chrom = a.chrom AND p1 = a.pos JOIN y b ON e.chrom = b.chrom AND p2 = b.pos WHERE a.vtype <> 0 OR b.vtype <> 0")
