@@ -7,6 +7,8 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +19,12 @@ from strandloom.sources import blocks
 
 SCHEMA = "qname string, flag int, rname string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, qual string, tags map<string,string>"
 _OPS, _BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
-_PAIRS = [x + y for x in _BASES for y in _BASES]
+_OF_DIGIT = bytes.maketrans(b"0123456789abcdef", _BASES.encode())
+_HEAD = struct.Struct("<iiBBHHHiiii")
 _QUALITIES = bytes((k + 33) & 255 for k in range(256))
 # Struct codes of the types of tags.
 _TYPES = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
+_NUMBER = {ord(k): struct.Struct("<" + v) for k, v in _TYPES.items()}
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
@@ -78,37 +82,43 @@ def bam_header(data: bytes) -> tuple[str, list[tuple[str, int]], int]:
     return text, contigs, at
 
 
+@lru_cache(1 << 16)
+def _op(code: int) -> str:
+    return f"{code >> 4}{_OPS[code & 15]}"
+
+
 def bam_record(data: bytes, names: list[str]) -> tuple:
     """A row of SCHEMA from a record without its length field."""
     name = lambda k: names[k] if k >= 0 else "*"
-    ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, next_ref, next_pos, tlen = struct.unpack_from("<iiBBHHHiiii", data)
+    ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, next_ref, next_pos, tlen = _HEAD.unpack_from(data)
     k, end = 32, len(data)
     qname = data[k : k + n_name - 1].decode()
     k += n_name
-    cigar = "".join(f"{v >> 4}{_OPS[v & 15]}" for v in struct.unpack_from(f"<{n_cigar}I", data, k)) or "*"
+    cigar = "".join(map(_op, struct.unpack_from(f"<{n_cigar}I", data, k))) or "*"
     k += 4 * n_cigar
-    seq = "".join(map(_PAIRS.__getitem__, data[k : k + (n_seq + 1) // 2]))[:n_seq] or "*"
+    seq = data[k : k + (n_seq + 1) // 2].hex().encode().translate(_OF_DIGIT).decode()[:n_seq] or "*"
     k += (n_seq + 1) // 2
     raw = data[k : k + n_seq]
     qual = "*" if not raw or raw[0] == 255 else raw.translate(_QUALITIES).decode("latin-1")
     k += n_seq
     tags = {}
     while k < end:
-        key, kind = data[k : k + 2].decode(), chr(data[k + 2])
+        key, kind = data[k : k + 2].decode(), data[k + 2]
         k += 3
-        if kind in "ZH":
+        if (number := _NUMBER.get(kind)) is not None:
+            tags[key], k = str(number.unpack_from(data, k)[0]), k + number.size
+        elif kind in b"ZH":
             stop = data.index(0, k)
             tags[key], k = data[k:stop].decode(), stop + 1
-        elif kind == "A":
+        elif kind == 65:  # A
             tags[key], k = chr(data[k]), k + 1
-        elif kind == "B":
+        elif kind == 66:  # B
             sub, count = chr(data[k]), struct.unpack_from("<I", data, k + 1)[0]
             values = struct.unpack_from(f"<{count}{_TYPES[sub]}", data, k + 5)
             tags[key] = ",".join([sub, *map(str, values)])
             k += 5 + count * struct.calcsize(_TYPES[sub])
         else:
-            (v,) = struct.unpack_from("<" + _TYPES[kind], data, k)
-            tags[key], k = str(v), k + struct.calcsize(_TYPES[kind])
+            raise KeyError(chr(kind))
     mate = "=" if next_ref == ref and ref >= 0 else name(next_ref)
     return qname, flag, name(ref), pos, mapq, cigar, mate, next_pos, tlen, seq, qual, tags
 
@@ -150,6 +160,16 @@ _FIELDS = pa.schema(
 BATCH, STEP = 1000, 1 << 25
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of _FIELDS, their tags as dictionaries."""
+    columns = dict(zip(_FIELDS.names, zip(*rows)))
+    tags = columns.pop("tags")
+    own = pa.array(accumulate(map(len, tags), initial=0), pa.int32())
+    made = {c: pa.array(v, _FIELDS.field(c).type) for c, v in columns.items()}
+    made["tags"] = pa.MapArray.from_arrays(own, pa.array([k for t in tags for k in t], pa.string()), pa.array([v for t in tags for v in t.values()], pa.string()))
+    return pa.RecordBatch.from_arrays([made[c] for c in _FIELDS.names], schema=_FIELDS)
+
+
 @dataclass
 class _Part(InputPartition):
     path: str
@@ -256,12 +276,12 @@ class _Reader(DataSourceReader):
             n += 1
             if self.report:
                 continue
-            rows.append((*row[:-1], list(row[-1].items()), part.path, place))
+            rows.append((*row, part.path, place))
             if len(rows) == BATCH:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FIELDS.types)], schema=_FIELDS)
+                yield _batch(rows)
                 rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FIELDS.types)], schema=_FIELDS)
+            yield _batch(rows)
         if self.report:
             yield (part.path, part.split.after if part.split else 0, read, n)
 

@@ -17,10 +17,12 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from strandloom.sources import alignments, blocks
 
@@ -28,7 +30,13 @@ from strandloom.sources import alignments, blocks
 END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 CONTENT = 0xFF00
 _OPS = {op: k for k, op in enumerate("MIDNSHP=X")}
-_NIBBLE = {c: k for k, c in enumerate("=ACMGRSVTWYHKDBN")}
+_OP = re.compile(r"\d+[MIDNSHP=X]")
+# letters as hexadecimal digits of their codes, and qualities without their offset
+_DIGITS = bytes(b"0123456789abcdef"["=ACMGRSVTWYHKDBN".find(chr(k).upper()) % 16] for k in range(256))
+_PLAIN = bytes((k - 33) & 255 for k in range(256))
+_HEAD = struct.Struct("<iiiBBHHHiiii")
+_INTEGER, _ARRAY = re.compile(r"-?\d{1,10}"), re.compile(r"[cCsSiI](,-?\d+)+")
+_COLUMNS = [c.split()[0] for c in alignments.SCHEMA.split(", ")]
 _FIRST_OF_LEVEL = ((4681, 14), (585, 17), (73, 20), (9, 23), (1, 26))
 
 
@@ -59,36 +67,64 @@ def with_program(header: str, program: str, command: str = "") -> str:
 
 def smallest_bin(begin: int, end: int) -> int:
     """The bin of the deepest level that holds begin to end (exclusive) whole."""
-    return next((first + (begin >> bits) for first, bits in _FIRST_OF_LEVEL if begin >> bits == (end - 1) >> bits), 0)
+    for first, bits in _FIRST_OF_LEVEL:
+        if begin >> bits == (end - 1) >> bits:
+            return first + (begin >> bits)
+    return 0
 
 
 def _tag(key: str, value: str) -> bytes:
     head = key.encode()
-    if re.fullmatch(r"-?\d{1,10}", value) and -(1 << 31) <= int(value) < 1 << 31:
+    if _INTEGER.fullmatch(value) and -(1 << 31) <= int(value) < 1 << 31:
         return head + b"i" + struct.pack("<i", int(value))
-    if re.fullmatch(r"[cCsSiI](,-?\d+)+", value):
+    if _ARRAY.fullmatch(value):
         kind, *rest = value.split(",")
         return head + b"B" + kind.encode() + struct.pack(f"<I{len(rest)}{alignments._TYPES[kind]}", len(rest), *map(int, rest))
     return head + b"Z" + value.encode() + b"\0"
 
 
-def encoded(row, refs: dict[str, int]) -> tuple[bytes, int, int, int]:
-    """(record with its length field, contig, begin, end) of a row of alignments.SCHEMA."""
-    ref = -1 if row.rname in (None, "*") else refs[row.rname]
-    mate = ref if row.rnext == "=" else -1 if row.rnext in (None, "*") else refs[row.rnext]
-    ops = [(int(n), op) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", row.cigar or "")]
-    seq = "" if row.seq in (None, "*") else row.seq.upper()
-    codes = [_NIBBLE.get(c, 15) for c in seq] + [0] * (len(seq) % 2)
-    packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2]))
-    qual = bytes([255]) * len(seq) if row.qual in (None, "*") or len(row.qual) != len(seq) else bytes(ord(c) - 33 for c in row.qual)
-    pos = -1 if row.pos is None else row.pos
-    end = pos + max(1, sum(n for n, op in ops if op in "MDN=X") if not (row.flag or 0) & 4 else 0)
-    name = (row.qname or "*").encode() + b"\0"
-    body = struct.pack(
-        "<iiBBHHHiiii", ref, pos, len(name), row.mapq or 0, smallest_bin(max(0, pos), max(1, end)), len(ops), row.flag or 0, len(seq), mate, -1 if row.pnext is None else row.pnext, row.tlen or 0,
+@lru_cache(1 << 16)
+def _op(text: str) -> tuple[int, int]:
+    """(code, bases of the reference) of an operation."""
+    n, op = int(text[:-1]), text[-1]
+    return n << 4 | _OPS[op], n if op in "MDN=X" else 0
+
+
+def _qualities(text: str) -> bytes:
+    """Qualities without their offset; one below it is an error."""
+    if text.isascii() and min(text, default="!") >= "!":
+        return text.encode().translate(_PLAIN)
+    return bytes([ord(c) - 33 for c in text])
+
+
+def encoded(row: tuple, refs: dict[str, int]) -> tuple[bytes, int, int, int]:
+    """(record with its length field, contig, begin, end) of a row of alignments.SCHEMA, its tags as pairs."""
+    qname, flag, rname, pos, mapq, cigar, rnext, pnext, tlen, seq, qual, tags = row
+    ref = -1 if rname in (None, "*") else refs[rname]
+    mate = ref if rnext == "=" else -1 if rnext in (None, "*") else refs[rnext]
+    ops = [_op(x) for x in _OP.findall(cigar)] if cigar else []
+    seq = "" if seq in (None, "*") else seq
+    # letters beyond one byte have no code, as unknown ones
+    packed = bytes.fromhex((seq.encode("latin-1", "replace").translate(_DIGITS) + b"0" * (len(seq) % 2)).decode())
+    qual = b"\xff" * len(seq) if qual in (None, "*") or len(qual) != len(seq) else _qualities(qual)
+    pos, flag = -1 if pos is None else pos, flag or 0
+    end = pos + max(1, sum([n for _, n in ops]) if not flag & 4 else 0)
+    name = (qname or "*").encode() + b"\0"
+    own = b"".join([_tag(k, v) for k, v in sorted(tags) if v is not None]) if tags else b""
+    head = _HEAD.pack(
+        32 + len(name) + 4 * len(ops) + len(packed) + len(qual) + len(own),
+        ref, pos, len(name), mapq or 0, smallest_bin(max(0, pos), max(1, end)), len(ops), flag, len(seq), mate, -1 if pnext is None else pnext, tlen or 0,
     )
-    body += name + b"".join(struct.pack("<I", n << 4 | _OPS[op]) for n, op in ops) + packed + qual + b"".join(_tag(k, v) for k, v in sorted((row.tags or {}).items()) if v is not None)
-    return struct.pack("<i", len(body)) + body, ref, pos, end
+    return head + name + struct.pack(f"<{len(ops)}I", *[code for code, _ in ops]) + packed + qual + own, ref, pos, end
+
+
+def _values(c: pa.Array) -> list:
+    """A column's values, maps as lists of pairs."""
+    if isinstance(c, pa.MapArray):
+        pairs, at = list(zip(_values(c.keys), _values(c.items))), c.offsets.to_pylist()
+        values = [pairs[a:z] for a, z in zip(at, at[1:])]
+        return [v if ok else None for v, ok in zip(values, c.is_valid().to_pylist())] if c.null_count else values
+    return c.to_pylist() if c.null_count else c.to_numpy(zero_copy_only=False).tolist()
 
 
 class _Out:
@@ -159,11 +195,11 @@ class _Written(WriterCommitMessage):
     indexed: bool
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, header: str):
         self.path, self.header = path.rstrip("/"), header
 
-    def write(self, rows: Iterator) -> _Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
         from pyspark import TaskContext
 
         store, at = alignments._store(self.path)
@@ -175,7 +211,7 @@ class _Writer(DataSourceWriter):
             out = _Out(stream)
             out.write(b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(contigs)) + b"".join(struct.pack("<i", len(c.encode()) + 1) + c.encode() + b"\0" + struct.pack("<i", k) for c, k in contigs))
             out.flush()
-            for row in rows:
+            for row in (r for b in batches for r in zip(*[_values(b.column(c)) for c in _COLUMNS])):
                 data, ref, begin, end = encoded(row, refs)
                 if len(out.held) + len(data) > CONTENT:
                     out.flush()
@@ -213,7 +249,7 @@ class BamSink(DataSource):
     def name(cls) -> str:
         return "bam_files"
 
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(self.options["path"], self.options["header"])
 
 
@@ -224,6 +260,6 @@ def written(reads: DataFrame, path: str, header: str, partitions: int | None = N
     order = F.array_position(F.array(*[F.lit(n) for n, _ in contigs_of(header)]), F.coalesce("rname", F.lit("*")))
     key = F.when(order == 0, F.lit(1 << 30)).otherwise(order)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = reads.select(*[c.split()[0] for c in alignments.SCHEMA.split(", ")], key.alias("_c"))
+    own = reads.select(*_COLUMNS, key.alias("_c"))
     own = own.repartitionByRange(n, "_c", "pos", "qname").sortWithinPartitions("_c", "pos", "qname").drop("_c")
     own.write.format("bam_files").option("header", header).mode("append").save(path)

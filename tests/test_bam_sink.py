@@ -74,3 +74,23 @@ def test_programs():
 def test_bins():
     for a, z in ((0, 1), (16383, 16385), (0, 1 << 29), (5 << 20, (5 << 20) + 9)):
         assert bam_sink.smallest_bin(a, z) in blocks.region_bins(a, z)
+
+
+def test_odd_letters_and_nulls(spark, tmp_path):
+    """A letter whose upper case is two, nulls in every place, and tags with a null value or none; nothing shifts the fields behind it."""
+    at = str(tmp_path / "odd")
+    odd = [("a", 0, "c1", 5, 7, "3M", "*", -1, 0, "aßg", '!~"', {"XX": None, "PS": "-12", "BB": "s,-3,4"}), ("b", *[None] * 11), ("c", 16, "c2", None, 1, "1S2=1H", "=", 3, 2, "ac", None, {})]
+    bam_sink.written(spark.createDataFrame(odd, SCHEMA), at, HEADER, 1)
+    got = [tuple(r) for r in alignments.scan_bam(spark, at).orderBy("qname").drop("file", "voffset").collect()]
+    assert got == [
+        ("a", 0, "c1", 5, 7, "3M", "*", -1, 0, "ANG", '!~"', {"BB": "s,-3,4", "PS": "-12"}), ("b", 0, "*", -1, 0, "*", "*", -1, 0, "*", "*", {}), ("c", 16, "c2", -1, 1, "1S2=1H", "=", 3, 2, "AC", "*", {}),
+    ]
+    with pytest.raises(Exception, match="range"):
+        bam_sink.written(spark.createDataFrame([(*odd[0][:10], "! !", {})], SCHEMA), at, HEADER, 1)
+
+
+def test_batches_are_written_without_rows():
+    """Rows made of batches took more than the coding of records."""
+    from pyspark.sql.datasource import DataSourceArrowWriter
+
+    assert issubclass(bam_sink._Writer, DataSourceArrowWriter)
