@@ -37,45 +37,47 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def genotype_flags(keep: Column, most: int) -> Column:
-    """For each ploidy from 1 to ``most``, whether each genotype holds kept alleles only, in the order of genotypes."""
+def _genotypes(n: Column, p: int) -> Column:
+    """How many genotypes of ploidy p there are over n alleles."""
+    return F.floor(prod([n + k for k in range(1, p)], start=n) / factorial(p)).cast("int")
 
-    def of(n: Column, p: int) -> Column:
-        """Genotypes of ploidy p over n alleles."""
-        return F.floor(prod([n + k for k in range(1, p)], start=n) / factorial(p)).cast("int")
 
-    def longer(p: int) -> Callable[[Column], Column]:
-        def add(lists: Column) -> Column:
-            shorter = F.element_at(lists, -1)
-            return F.concat(lists, F.array(F.flatten(F.transform(keep, lambda ok, a: F.transform(F.slice(shorter, F.lit(1), of(a + 1, p - 1)), lambda g: g & ok)))))
+def genotype_flags(keep: Column, ploidy: int) -> Column:
+    """Whether each genotype of a ploidy holds kept alleles only, in the order of genotypes."""
 
-        return add
+    def longer(p: int) -> Callable[[Column], Column]:
+        return lambda shorter: F.flatten(F.transform(keep, lambda ok, a: F.transform(F.slice(shorter, F.lit(1), _genotypes(a + 1, p - 1)), lambda g: g & ok)))
 
-    out = F.array(keep)
-    for p in range(2, most + 1):
+    out = keep
+    for p in range(2, ploidy + 1):
         out = let(out, longer(p))
     return out
 
 
-def _lists(keep: Column, most: int) -> Column:
-    return F.struct(keep.alias("keep"), F.array(F.slice(keep, F.lit(2), F.size(keep))).alias("A"), F.array(keep).alias("R"), genotype_flags(keep, most).alias("G"))
-
-
-def _picked(text: Column, key: Column, lists: Column, numbers: dict[str, str], most: int | None = None) -> Column:
-    """The values that stay. Values whose count fits no allele or genotype list, as a missing one, stay as they are."""
+def _picked(text: Column, key: Column, keep: Column, numbers: dict[str, str], most: int) -> Column:
+    """The values that stay. Values whose count fits no allele or genotype list, as a missing one, stay as they are. A list of flags is made only for the count that it fits."""
     by = {n: [k for k, v in numbers.items() if v == n] for n in "ARG"}
-    kinds = F.lit(None)
-    for n, keys in by.items():
-        if keys:
-            kinds = F.when(key.isin(keys), F.slice(lists[n], F.lit(1), F.lit(most or 99))).otherwise(kinds)
+    n = F.size(keep)
+
+    def fit(count: Column) -> Column:
+        out = F.lit(None).cast("array<boolean>")
+        if by["G"]:
+            own = F.lit(None).cast("array<boolean>")
+            for p in range(most, 0, -1):  # of ploidies with as many genotypes the least
+                own = F.when(count == _genotypes(n, p), genotype_flags(keep, p)).otherwise(own)
+            out = F.when(key.isin(by["G"]), own).otherwise(out)
+        if by["R"]:
+            out = F.when(key.isin(by["R"]), F.when(count == n, keep)).otherwise(out)
+        if by["A"]:
+            out = F.when(key.isin(by["A"]), F.when(count == n - 1, F.slice(keep, F.lit(2), n))).otherwise(out)
+        return out
 
     def cut(v: Column) -> Column:
-        fit = F.get(F.filter(kinds, lambda x: F.size(x) == F.size(v)), F.lit(0))
-        return let(fit, lambda f: F.when(f.isNotNull(), F.array_join(F.filter(v, lambda _, k: F.get(f, k)), ",")))
+        return let(let(F.size(v), fit), lambda f: F.when(f.isNotNull(), F.array_join(F.filter(v, lambda _, k: F.get(f, k)), ",")))
 
     if not numbers:
         return text
-    return let(F.when(text != ".", let(F.split(text, ","), cut)), lambda left: F.when(left.isNull(), text).when(left == "", ".").otherwise(left))
+    return let(F.when(key.isin(list(numbers)) & (text != "."), let(F.split(text, ","), cut)), lambda left: F.when(left.isNull(), text).when(left == "", ".").otherwise(left))
 
 
 def renumbered(gt: Column, keep: Column) -> Column:
@@ -95,22 +97,22 @@ def without_alleles(fields: Column, drop: Column, info: dict[str, str], formats:
     stay. INFO has genotypes of two alleles, samples have up to ``most``. A record that loses nothing stays as it is."""
     at = lambda k: F.get(fields, F.lit(k))
 
-    def one_info(e: Column, lists: Column) -> Column:
-        key = F.substring_index(e, "=", 1)
-        return F.when(key.isin(list(info)) & (key != e), F.concat(key, F.lit("="), _picked(F.substring(e, F.length(key) + 2, F.length(e)), key, lists, info, 2))).otherwise(e)
+    def one_info(e: Column, keep: Column) -> Column:
+        own = lambda key: F.when(key.isin(list(info)) & (key != e), F.concat(key, F.lit("="), _picked(F.substring(e, F.length(key) + 2, F.length(e)), key, keep, info, 2))).otherwise(e)
+        return let(F.substring_index(e, "=", 1), own)
 
-    def one_value(v: Column, key: Column, lists: Column) -> Column:
-        return F.when(key == "GT", renumbered(v, lists["keep"])).otherwise(_picked(v, key, lists, formats))
+    def one_value(v: Column, key: Column, keep: Column) -> Column:
+        return F.when(key == "GT", renumbered(v, keep)).otherwise(_picked(v, key, keep, formats, most))
 
-    def new(lists: Column) -> Column:
-        left = F.array_join(F.filter(_texts(at(ALT)), lambda _, k: F.get(lists["keep"], k + 1)), ",")
-        sample = lambda s, keys: F.array_join(F.transform(F.split(s, ":"), lambda v, k: one_value(v, F.get(keys, k), lists)), ":")
-        head = F.transform(F.slice(fields, 1, SAMPLES), lambda f, k: F.when(k == ALT, F.when(left == "", ".").otherwise(left)).when(k == INFO, F.array_join(F.transform(F.split(f, ";"), lambda e: one_info(e, lists)), ";")).otherwise(f))
+    def new(keep: Column) -> Column:
+        left = F.array_join(F.filter(_texts(at(ALT)), lambda _, k: F.get(keep, k + 1)), ",")
+        sample = lambda s, keys: F.array_join(F.transform(F.split(s, ":"), lambda v, k: let(F.get(keys, k), lambda key: one_value(v, key, keep))), ":")
+        head = F.transform(F.slice(fields, 1, SAMPLES), lambda f, k: F.when(k == ALT, F.when(left == "", ".").otherwise(left)).when(k == INFO, F.array_join(F.transform(F.split(f, ";"), lambda e: one_info(e, keep)), ";")).otherwise(f))
         samples = F.slice(fields, F.lit(SAMPLES + 1), F.greatest(F.size(fields) - SAMPLES, F.lit(0)))
         return F.concat(head, let(F.split(at(FORMAT), ":"), lambda keys: F.transform(samples, lambda s: sample(s, keys))))
 
     def record(keep: Column) -> Column:
-        return F.when(F.exists(keep, lambda k: ~k), let(_lists(keep, most), new)).otherwise(fields)
+        return F.when(F.exists(keep, lambda k: ~k), new(keep)).otherwise(fields)
 
     return let(flags(at(ALT), drop), record)
 

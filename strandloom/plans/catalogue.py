@@ -813,7 +813,8 @@ def _(v, a):
 
 # -- alleles removed ---------------------------------------------------------------------------------------------------
 def _three_alternatives(orders: DataFrame) -> DataFrame:
-    """Records of four alleles, one an order, with values by alternative, allele and genotype."""
+    """Records of four alleles, one an order, with values by alternative, allele and genotype. Keys are dealt first: a file of few row groups would leave all work to few tasks."""
+    orders = orders.select("o_orderkey").repartition(int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
     o = F.col("o_orderkey")
     text = lambda *parts: F.concat_ws(",", *[p.cast("string") for p in parts])
     info = F.concat(F.lit("DP="), o % 9, F.lit(";AC="), text(o % 2, o % 3, o % 5), F.lit(";AD="), text(F.lit(1), o % 4, o % 6, o % 7))

@@ -71,3 +71,19 @@ def test_records_without_alternatives_or_samples(spark):
     df = spark.createDataFrame(rows, "fields array<string>, drop array<int>")
     got = [x.f for x in df.select(alleles.without_alleles(F.col("fields"), F.col("drop"), INFO, FORMATS).alias("f")).collect()]
     assert got == [rows[0][0], ["1", "5", ".", "A", ".", ".", ".", "AC=.;DB"], None]
+
+
+def test_many_alleles(spark):
+    """Thirty-one alleles have 376,992 genotypes of ploidy 5: their flags are not made where the values are of ploidy 2."""
+    alts, n = ["A" * k + "C" for k in range(30)], 496
+    rows = [(["1", "5", ".", "A", ",".join(alts), ".", ".", "DB", "GT:PL", "0/1:" + ",".join(map(str, range(n)))], [1 + k]) for k in range(30)]
+    df = spark.createDataFrame(rows, "fields array<string>, drop array<int>")
+    got = [x.f for x in df.select(alleles.without_alleles(F.col("fields"), F.col("drop"), {}, {"PL": "G"}, 5).alias("f")).collect()]
+    for f, (fields, drop) in zip(got, rows):
+        assert f[9].split(":")[1] == ",".join(str(k) for k, g in enumerate(_genotypes(31, 2)) if drop[0] not in g)
+
+
+def test_work_is_dealt_whatever_the_files(spark):
+    from strandloom.plans import catalogue
+
+    assert catalogue.QUERIES["v11_remove_alleles"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
