@@ -12,10 +12,12 @@ reads of one column keep the order given; an empty table gives no columns.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators import cigar
@@ -87,8 +89,8 @@ def columns(reads: DataFrame, files: int, chrom: str = "chrom", order: str = "al
     )
 
 
-def _places(pos: int, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Reference and read places of the aligned bases of a CIGAR."""
+def _places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Reference and read places of the aligned bases of a CIGAR, from 0."""
     import re
 
     ops = [(int(n), op) for n, op in re.findall(cigar.OP, text or "")]
@@ -96,50 +98,93 @@ def _places(pos: int, text: str) -> tuple[np.ndarray, np.ndarray]:
     both = np.isin(kind, cigar.BOTH)
     ref, query = np.cumsum(n * (both | np.isin(kind, cigar.REF))), np.cumsum(n * (both | np.isin(kind, cigar.QUERY)))
     within = np.concatenate([np.arange(k) for k in n[both]] or [np.zeros(0, np.int64)])
-    return pos + np.repeat((ref - n)[both], n[both]) + within, np.repeat((query - n)[both], n[both]) + within
-
-
-def agreed(a: tuple, b: tuple, first: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Qualities of two mates (pos, cigar, seq, qualities) after their overlap: at a common position equal bases have the sum (200 at most)
-    in one mate, others four fifths of the higher quality in that mate, and the other mate has 0; ties and equal bases go to the first mate or the other."""
-    (ra, qa), (rb, qb) = _places(a[0], a[1]), _places(b[0], b[1])
-    _, ka, kb = np.intersect1d(ra, rb, assume_unique=True, return_indices=True)
-    va, vb = a[3].astype(np.int64), b[3].astype(np.int64)
-    own_a, own_b = qa[ka], qb[kb]
-    good = (own_a < len(va)) & (own_b < len(vb))
-    own_a, own_b = own_a[good], own_b[good]
-    sa, sb = np.frombuffer(a[2].encode(), np.uint8)[own_a], np.frombuffer(b[2].encode(), np.uint8)[own_b]
-    x, y = va[own_a], vb[own_b]
-    same = sa == sb
-    won = np.where(same, first, np.where(x == y, first, x > y))
-    kept = np.where(same, np.minimum(x + y, 200), np.maximum(x, y) * 4 // 5)
-    va[own_a], vb[own_b] = np.where(won, kept, 0), np.where(won, 0, kept)
-    return va, vb
+    return np.repeat((ref - n)[both], n[both]) + within, np.repeat((query - n)[both], n[both]) + within
+
+
+#: Places of short CIGARs, which come again and again.
+_known_places = lru_cache(1 << 12)(_places)
+
+
+class _Side:
+    """One mate of each of a batch of pairs: aligned bases in order of (pair, reference place), bases and qualities."""
+
+    def __init__(self, pos: pa.Array, text: pa.Array, seq: pa.Array, qual: pa.Array):
+        found = [_known_places(t) if len(t) < 100 else _places(t) for t in text.to_pylist()]
+        size = np.array([len(r) for r, _ in found], np.int64)
+        self.pair = np.repeat(np.arange(len(found)), size)
+        self.ref = np.concatenate([r for r, _ in found]) + np.repeat(pos.to_numpy(zero_copy_only=False).astype(np.int64), size)
+        self.query = np.concatenate([q for _, q in found])
+        self.offsets = np.concatenate([[0], np.cumsum(qual.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
+        self.qual = qual.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.bases = np.frombuffer("".join(seq.to_pylist()).encode("latin-1", "replace"), np.uint8)
+
+    def at(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in bases and qualities of aligned bases, and which of them the read has."""
+        begin = self.offsets[self.pair[k]]
+        return begin + self.query[k], begin + self.query[k] < self.offsets[self.pair[k] + 1]
+
+
+def _common(a: _Side, b: _Side) -> tuple[np.ndarray, np.ndarray]:
+    """Aligned bases of both sides at the same place of the same pair."""
+    low = min(a.ref.min(initial=0), b.ref.min(initial=0))
+    span = max(a.ref.max(initial=0), b.ref.max(initial=0)) - low + 1
+    if span * (1 + max(a.pair.max(initial=0), b.pair.max(initial=0))) >= 1 << 62:
+        raise ValueError("positions are too far apart")
+    x, y = a.pair * span + a.ref - low, b.pair * span + b.ref - low
+    k = np.minimum(np.searchsorted(y, x), max(0, len(y) - 1))
+    same = y[k] == x if len(y) else np.zeros(len(x), bool)
+    return np.flatnonzero(same), k[same]
+
+
+def agreed(a: _Side, b: _Side, wins: np.ndarray) -> np.ndarray:
+    """Qualities of the mates ``a`` after their overlap with ``b``: at a common position equal bases have the sum (200 at most)
+    in one mate, others four fifths of the higher quality in that mate, and the other mate has 0; wins: which pairs' ties and equal bases go to ``a``."""
+    ka, kb = _common(a, b)
+    (own, has), (other, there) = a.at(ka), b.at(kb)
+    good = has & there
+    own, other, tie = own[good], other[good], wins[a.pair[ka[good]]]
+    x, y = a.qual[own], b.qual[other]
+    same = a.bases[own] == b.bases[other]
+    won = np.where(same | (x == y), tie, x > y)
+    out = a.qual.copy()
+    out[own] = np.where(won, np.where(same, np.minimum(x + y, 200), np.maximum(x, y) * 4 // 5), 0)
+    return out
 
 
 def overlaps_resolved(reads: DataFrame, keys: list[str], chrom: str = "chrom", order: str = "aln_id") -> DataFrame:
     """reads with ``qual`` (array of int) of overlapping mates mended: of a base that both mates show only one keeps a quality.
     reads: (keys, chrom, order, qname, flag, pos, cigar, seq, qual). Mates: two primary reads of one name, both mapped, properly paired, on one contig.
-    A name with more such reads is left as it is. The mate that keeps equal bases follows from a hash of the name."""
+    A name with more such reads is left as it is. The mate that keeps equal bases follows from a hash of the name.
+    Each read meets its mate by one shuffle of the reads and takes it along."""
     mate = (F.col("flag").bitwiseAND(0x1 | 0x2 | 0x4 | 0x8 | 0x100 | 0x800) == 0x3) & F.col("seq").isNotNull() & (F.col("seq") != "*") & (F.size("qual") == F.length("seq"))
     group = [*keys, chrom, "qname"]
-    paired = reads.where(mate).select(*group, order, "pos", "cigar", "seq", "qual", cigar.end_position(F.col("pos"), F.col("cigar"), F.col("flag")).alias("_end"))
-    # two rows at most are gathered: more of a name only count
-    ends = paired.groupBy(*group).agg(F.count("*").alias("_n"), F.min(F.struct("pos", order)).alias("_a"), F.max(F.struct("pos", order)).alias("_b"), F.min("_end").alias("_least"), F.max("pos").alias("_most"))
-    ends = ends.where((F.col("_n") == 2) & (F.col("_least") > F.col("_most"))).select(*group, F.col(f"_a.{order}").alias("_x"), F.col(f"_b.{order}").alias("_y"))
-    side = lambda c: paired.select(*group, F.col(order).alias(c), F.struct("pos", "cigar", "seq", "qual").alias(f"{c}r"))
-    pairs = ends.join(side("_x"), [*group, "_x"]).join(side("_y"), [*group, "_y"]).select("_x", "_y", "_xr", "_yr", (F.substring(F.md5(F.col("qname").cast("binary")), 1, 1) < "8").alias("_first"))
-    kind = reads.schema[order].dataType.simpleString()
+    named = mate
+    for k in group:
+        named = named & F.col(k).isNotNull()
+    read = reads.withColumn("qual", F.col("qual").cast("array<int>"))
+    end = cigar.end_position(F.col("pos"), F.col("cigar"), F.col("flag"))
+    # reads that have no mate go anywhere; the read is one column, so that its own names don't meet those used here
+    own = F.struct("pos", "cigar", "seq", "qual", end.alias("end"))
+    x = read.select(F.struct("*").alias("r"), F.when(named, own).alias("own"), F.struct(*group, F.when(named, F.lit(0).cast("long")).otherwise(F.xxhash64(order)).alias("_alone")).alias("name"), F.col(order).alias("id"))
+    by = Window.partitionBy("name")
+    x = x.withColumn("n", F.count("*").over(by)).withColumn("before", F.lag("own").over(by.orderBy("own.pos", "id"))).withColumn("after", F.lead("own").over(by.orderBy("own.pos", "id")))
+    other = F.coalesce("before", "after")
+    met = F.col("own").isNotNull() & (F.col("n") == 2) & (F.least("own.end", other["end"]) > F.greatest("own.pos", other["pos"]))
+    first = F.substring(F.md5(F.col("r.qname").cast("binary")), 1, 1) < "8"
+    x = x.select("r", F.when(met, other.dropFields("end")).alias("other"), (first == F.col("before").isNull()).alias("wins"))
+    names = read.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, quals = [], []
-            for r in b.to_pylist():
-                a, z = [(m["pos"], m["cigar"], m["seq"], np.array(m["qual"], np.int64)) for m in (r["_xr"], r["_yr"])]
-                names += [r["_x"], r["_y"]]
-                quals += [q.astype(np.int32) for q in agreed(a, z, r["_first"])]
-            yield pa.RecordBatch.from_arrays([pa.array(names, b.column(0).type), pa.array(quals, pa.list_(pa.int32()))], names=["_id", "_qual"])
-
-    mended = pairs.mapInArrow(run, f"_id {kind}, _qual array<int>")
-    out = reads.join(mended, reads[order] == mended["_id"], "left")
-    return out.select(*[F.coalesce("_qual", F.col("qual").cast("array<int>")).alias("qual") if c == "qual" else reads[c] for c in reads.columns])
+            made, met = b.column(0).flatten(), b.column(1).is_valid()
+            old = made[names.index("qual")]
+            if pc.any(met).as_py():
+                t = b.filter(met)
+                own, wins = t.column(0).flatten(), t.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                mine, its = _Side(*[own[names.index(c)] for c in ("pos", "cigar", "seq", "qual")]), _Side(*t.column(1).flatten())
+                new = pa.ListArray.from_arrays(pa.array(mine.offsets, pa.int32()), pa.array(agreed(mine, its, wins), pa.int32()))
+                at = pc.replace_with_mask(pa.array(np.arange(len(met)), pa.int64()), met, pa.array(len(met) + np.arange(len(new)), pa.int64()))
+                made[names.index("qual")] = pa.concat_arrays([old.cast(new.type), new]).take(at)
+            yield pa.RecordBatch.from_arrays(made, names=names)
+
+    return x.mapInArrow(run, read.schema)

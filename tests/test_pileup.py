@@ -123,6 +123,19 @@ def test_mates_against_a_walk(spark):
     assert pileup.overlaps_resolved(df.where("false"), []).count() == 0
 
 
+def test_mates_meet_by_one_shuffle_and_other_columns_stay(spark):
+    """The reads were computed four times and joined three times; a read of a name without mates leaves its row, whatever its columns are called."""
+    rows = [(0, "n", 1, 99, 0, "4M", "ACGT", [1, 2, 3, 4], 5, None, "x"), (0, "n", 2, 147, 2, "4M", "GTAC", [9, 2, 3, 4], 6, "b", None), (None, "n", 3, 99, 0, "4M", "ACGT", [1, 2, 3, 4], 7, "c", "y"), (0, "m", 4, 4, None, None, "AC", None, 8, "d", "z")]
+    df = spark.createDataFrame(rows, "chrom int, qname string, aln_id long, flag int, pos long, cigar string, seq string, qual array<int>, n int, before string, _other string")
+    out = pileup.overlaps_resolved(df, [])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 0 and plan.count("LogicalRDD") == 1
+    got = sorted(tuple(r) for r in out.collect() if r.chrom == 0)
+    assert [(r[2], *r[8:]) for r in sorted(got, key=lambda r: r[2])] == [(1, 5, None, "x"), (2, 6, "b", None), (4, 8, "d", "z")]
+    assert {r.aln_id: r.qual for r in out.collect() if r.aln_id != 4}[3] == [1, 2, 3, 4]
+    assert sorted(q for r in got if r[2] < 3 for q in r[7]) == sorted([1, 2, 3, 4, 0, 0, 12, 6])
+
+
 def test_likelihoods_against_a_walk(spark):
     r = random.Random(9)
     rows = [(c, r.choice("ACG") if c else "A", r.randrange(70), r.randrange(2)) for c in range(6) for _ in range([0, 3, 40, 120, 1, 255][c])] + [(7, "C", None, 0)]
