@@ -53,7 +53,10 @@ def genotyped(sites: DataFrame, het: float = 0.6, noise: float = 0.2) -> DataFra
 
 def graph(obs: DataFrame, n: int = 50) -> tuple[DataFrame, DataFrame]:
     """Nodes (chrom, pos, vtype, n_reads) and pair counts (chrom, p1, p2, same, flipped) without pairs of SNPs."""
-    node = obs.groupBy("chrom", "pos").agg(F.min_by("vtype", "read_id").alias("vtype"), F.count_distinct("read_id").alias("n_reads"))
+    # reads are told apart by their order, which a task needs less memory for than for tables of them
+    before = F.lag("read_id").over(Window.partitionBy("chrom", "pos").orderBy("read_id"))
+    own = obs.select("chrom", "pos", "vtype", "read_id", (F.col("read_id").isNotNull() & (before.isNull() | (before != F.col("read_id")))).alias("new"))
+    node = own.groupBy("chrom", "pos").agg(F.min_by("vtype", "read_id").alias("vtype"), F.count_if("new").alias("n_reads"))
     e = edge_weights(obs, n, 0)
     t = node.select("chrom", "pos", "vtype")
     e = e.join(t.withColumnsRenamed({"pos": "p1", "vtype": "t1"}), ["chrom", "p1"]).join(t.withColumnsRenamed({"pos": "p2", "vtype": "t2"}), ["chrom", "p2"])

@@ -99,3 +99,17 @@ def test_connected_sites_without_rows(spark):
     node = spark.createDataFrame([], "chrom long, pos long, vtype int, n_reads long")
     pairs = spark.createDataFrame([], "chrom long, p1 long, p2 long, same long, flipped long")
     assert methyl.connected(node, pairs).collect() == []
+
+
+def test_reads_are_counted_without_tables_of_them(spark):
+    """Tables of (position, read) pairs were what a task needed most memory for."""
+    from pyspark.sql import functions as F
+
+    from strandloom.operators import methyl
+    from strandloom.plans.bindings import view
+
+    o = view(spark, "/root/testdata/sf0.001", "obs_dense").withColumn("read_id", F.when(F.col("read_id") % 11 > 0, F.col("read_id") % 300))
+    node, _ = methyl.graph(o.unionByName(o))
+    assert "distinct" not in node._jdf.queryExecution().optimizedPlan().toString()
+    want = {(r.chrom, r.pos): r.n for r in o.groupBy("chrom", "pos").agg(F.count_distinct("read_id").alias("n")).collect()}
+    assert {(r.chrom, r.pos): r.n_reads for r in node.collect()} == want
